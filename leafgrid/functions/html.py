@@ -2,16 +2,19 @@
 
 All of it stays inside the row: no shuffle, no Python.  A grid is
 ``STRUCT<head ARRAY<ARRAY<STRING>>, body ARRAY<ARRAY<STRING>>, n_cols INT>``.
+
+Table tags are first replaced by one-character marks in whole-table passes; plain tags
+by fast literal replacement, the rest by patterns that only run if a tag is left.
 """
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from leafgrid import constants as K
-from leafgrid.functions.text import squeeze, strip
+from leafgrid.functions.text import contains_any, squeeze, strip
 
 _ENTITIES = (
-    ("&nbsp;", " "),
+    ("&nbsp;", " "),
     ("&lt;", "<"),
     ("&gt;", ">"),
     ("&quot;", '"'),
@@ -19,33 +22,75 @@ _ENTITIES = (
     ("&apos;", "'"),
     ("&amp;", "&"),
 )
-_THEAD = r"(?is)<thead\b[^>]*>(.*?)</thead\s*>"
-_TFOOT = r"(?is)<tfoot\b[^>]*>(.*?)</tfoot\s*>"
+# row, cell, start of its text, end of cell or row, header section, footer section, end of section
+_ROW, _CELL, _TEXT, _DONE, _HEAD, _FOOT, _END = (chr(i) for i in range(1, 8))
+_PLAIN_TAGS = (
+    ("<tr>", _ROW),
+    ("<td>", f"{_CELL}d{_TEXT}"),
+    ("<th>", f"{_CELL}h{_TEXT}"),
+    ("</td>", _DONE),
+    ("</th>", _DONE),
+    ("</tr>", _DONE),
+    ("<thead>", _HEAD),
+    ("</thead>", _END),
+    ("<tbody>", _END),
+    ("</tbody>", _END),
+    ("<br>", "\n"),
+)
+_OTHER_TAGS = (
+    (r"(?i)<br\b[^>]*>", "\n"),
+    (r"(?i)<tr\b[^>]*>", _ROW),
+    (r"(?i)<td\b([^>]*)>", f"{_CELL}d$1{_TEXT}"),
+    (r"(?i)<th\b([^>]*)>", f"{_CELL}h$1{_TEXT}"),
+    (r"(?i)</t[dhr]\b[^>]*>", _DONE),
+    (r"(?i)<thead\b[^>]*>", _HEAD),
+    (r"(?i)<tfoot\b[^>]*>", _FOOT),
+    (r"(?i)<(?:/?tbody|/thead|/tfoot)\b[^>]*>", _END),
+    (r"(?i)</?[a-z!][^>]*>", ""),
+)
 _OPEN = "array<struct<i:int,text:string,left:int>>"
 _ROWS = "array<array<string>>"
+_ALL = 1 << 30
+
+
+def let(value: Column, use) -> Column:
+    """Bind ``value`` so that it is computed once however often ``use`` refers to it."""
+    return F.get(F.transform(F.array(value), use), 0)
 
 
-def _all(text, pattern):
+def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 1)
 
 
 def first_table(html: Column) -> Column:
     """Inner HTML of the first table with a cell and some text, else null."""
-    tables = _all(html, r"(?is)<table\b[^>]*>(.*?)</table\s*>")
-    usable = F.filter(
-        tables,
-        lambda t: t.rlike(r"(?i)<t[dh]\b") & (strip(F.regexp_replace(t, "<[^>]*>", "")) != ""),
-    )
-    return F.when(html.contains("<"), F.get(usable, 0))
+    tables = _matches(html, r"(?is)<table\b[^>]*>(.*?)</table\s*>")
+    some_text = f"(?:^|>){K.WS}*[^<{K.WS[1:]}"
+    usable = F.filter(tables, lambda t: t.rlike(r"(?i)<t[dh]\b") & t.rlike(some_text))
+    return F.when(html.rlike(r"(?i)<table\b"), F.get(usable, 0))
+
+
+def _marked(table: Column) -> Column:
+    """Table text with marks instead of tags, entities decoded, whitespace collapsed."""
+    marks = [_ROW, _CELL, _TEXT, _DONE, _HEAD, _FOOT, _END]
+    clean = F.when(contains_any(table, marks), F.translate(table, "".join(marks), "")).otherwise(table)
+    for tag, mark in _PLAIN_TAGS:
+        clean = F.replace(clean, F.lit(tag), F.lit(mark))
+
+    def decode(text):
+        decoded = text
+        for entity, char in _ENTITIES:
+            decoded = F.replace(decoded, F.lit(entity), F.lit(char))
+        return F.when(text.contains("&"), decoded).otherwise(text)
+
+    text = let(clean, lambda c: F.when(c.contains("<"), _replace_other(c)).otherwise(c))
+    return F.regexp_replace(let(text, decode), f"[\\r\\n]+|{K.WS}{{2,}}", " ")
 
 
-def _cell_text(raw: Column) -> Column:
-    text = F.regexp_replace(raw, r"(?is)</t[dhr]\b.*", "")
-    decoded = text
-    for entity, char in _ENTITIES:
-        decoded = F.replace(decoded, F.lit(entity), F.lit(char))
-    text = strip(F.when(text.contains("&"), decoded).otherwise(text))
-    return F.regexp_replace(text, f"[\\r\\n]+|{K.WS}{{2,}}", " ")
+def _replace_other(text: Column) -> Column:
+    for pattern, mark in _OTHER_TAGS:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
 
 
 def _span(attrs: Column, name: str) -> Column:
@@ -53,26 +98,55 @@ def _span(attrs: Column, name: str) -> Column:
     return F.coalesce(F.nullif(n, F.lit("")).try_cast("int"), F.lit(1))
 
 
-def _tail(parts: Column) -> Column:
-    return F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0)))
-
-
 def _parse_cell(part: Column) -> Column:
-    attrs = F.substring_index(part, ">", 1)
+    attrs = F.substring_index(part, _TEXT, 1)
     spanned = attrs.contains("span") | attrs.contains("SPAN")
     one = F.lit(1)
     return F.struct(
-        F.lower(F.substring(part, 1, 2)).eqNullSafe("th").alias("th"),
+        part.startswith("h").alias("th"),
         F.when(spanned, _span(attrs, "rowspan")).otherwise(one).alias("down"),
         F.when(spanned, _span(attrs, "colspan")).otherwise(one).alias("across"),
-        _cell_text(F.substr(part, F.length(attrs) + 2)).alias("text"),
+        strip(F.substring_index(F.substring_index(part, _TEXT, -1), _DONE, 1)).alias("text"),
     )
 
 
 def _parse_rows(section: Column) -> Column:
-    rows = _tail(F.split(section, r"(?i)<tr\b"))
-    return F.transform(
-        rows, lambda r: F.transform(_tail(F.split(r, r"(?i)<(?=t[dh]\b)")), _parse_cell)
+    rows = F.slice(F.split(section, _ROW), 2, _ALL)
+    return F.transform(rows, lambda r: F.transform(F.slice(F.split(r, _CELL), 2, _ALL), _parse_cell))
+
+
+def sections(table: Column) -> Column:
+    """Rows of parsed cells of the header, the footer and the rest."""
+    head, foot = f"{_HEAD}([^{_FOOT}{_END}]*)", f"{_FOOT}([^{_HEAD}{_END}]*)"
+
+    def part(text, mark, pattern):
+        return _parse_rows(F.when(text.contains(mark), F.array_join(_matches(text, pattern), "")).otherwise(""))
+
+    return let(
+        _marked(table),
+        lambda t: F.struct(
+            part(t, _HEAD, head).alias("head"),
+            _parse_rows(F.regexp_replace(t, f"{head}|{foot}", "")).alias("rest"),
+            part(t, _FOOT, foot).alias("foot"),
+        ),
+    )
+
+
+def split_header(s: Column) -> Column:
+    """Without a header section the leading rows made only of ``<th>`` are the header."""
+    first_data = F.array_position(
+        F.transform(s.rest, lambda r: F.exists(r, lambda c: ~c.th)), F.lit(True)
+    )
+    lead = (
+        F.when(F.size(s["head"]) > 0, F.lit(0))
+        .when(first_data > 0, first_data - 1)
+        .otherwise(F.size(s.rest))
+        .cast("int")
+    )
+    return F.struct(
+        F.concat(s["head"], F.slice(s.rest, F.lit(1), lead)).alias("head"),
+        F.slice(s.rest, lead + 1, F.lit(_ALL)).alias("rest"),
+        s.foot.alias("foot"),
     )
 
 
@@ -85,22 +159,24 @@ def _place(rows: Column) -> Column:
         ),
     )
 
+    def advance(out, row):
+        still = F.transform(
+            F.filter(row, lambda o: o.left > 1),
+            lambda o: F.struct(o.i.alias("i"), o.text.alias("text"), (o.left - 1).alias("left")),
+        )
+        line = F.array(F.transform(row, lambda o: o.text))
+        return F.struct(still.cast(_OPEN).alias("open"), F.concat(out, line).alias("out"))
+
     def step(state, cells):
-        count = F.size(cells)
         taken = F.transform(state.open, lambda o: o.i)
-        free = F.array_except(F.sequence(F.lit(0), count + F.size(state.open)), taken)
+        free = F.array_except(F.sequence(F.lit(0), F.size(cells) + F.size(state.open)), taken)
         placed = F.zip_with(
-            F.slice(free, 1, count),
+            F.slice(free, F.lit(1), F.size(cells)),
             cells,
             lambda i, c: F.struct(i.alias("i"), c.text.alias("text"), c.down.alias("left")),
         )
         row = F.array_sort(F.concat(state.open, placed))
-        still = F.transform(
-            F.filter(row, lambda o: o.left > 1),
-            lambda o: F.struct(o.i.alias("i"), o.text.alias("text"), (o.left - 1).alias("left")),
-        )
-        line = F.array(F.transform(row, lambda o: o.text))
-        return F.struct(still.cast(_OPEN).alias("open"), F.concat(state.out, line).alias("out"))
+        return let(row, lambda r: advance(state.out, r))
 
     def finish(state):
         more = F.array_max(F.transform(state.open, lambda o: o.left))
@@ -110,84 +186,67 @@ def _place(rows: Column) -> Column:
         )
         return F.when(more >= 1, F.concat(state.out, tail)).otherwise(state.out)
 
-    start = F.struct(
-        F.array().cast(_OPEN).alias("open"), F.array().cast(_ROWS).alias("out")
-    )
-    spans_rows = F.exists(rows, lambda r: F.exists(r, lambda c: c.down > 1))
-    plain = F.transform(wide, lambda r: F.transform(r, lambda c: c.text))
-    return F.when(spans_rows, F.aggregate(wide, start, step, finish)).otherwise(plain)
-
-
-def _has_text(row: Column) -> Column:
-    return F.exists(row, lambda t: t != "")
-
-
-def sections(table: Column) -> Column:
-    """Rows of parsed cells, split into header and body.
-
-    Without ``<thead>`` the leading rows made only of ``<th>`` are the header.
-    """
-    # markup other than table structure goes first, in one pass over the whole table
-    t = F.regexp_replace(table, r"(?i)<br\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"(?i)<(?!/?(?:t[drh]|thead|tbody|tfoot)\b)/?[a-z!][^>]*>", "")
-    head = _parse_rows(F.array_join(_all(t, _THEAD), ""))
-    foot = _parse_rows(F.array_join(_all(t, _TFOOT), ""))
-    rest = _parse_rows(F.regexp_replace(F.regexp_replace(t, _THEAD, ""), _TFOOT, ""))
-    return F.struct(head.alias("head"), rest.alias("rest"), foot.alias("foot"))
-
-
-def split_header(s: Column) -> Column:
-    first_data = F.array_position(
-        F.transform(s.rest, lambda r: F.exists(r, lambda c: ~c.th)), F.lit(True)
-    )
-    lead = (
-        F.when(F.size(s.head) > 0, F.lit(0))
-        .when(first_data > 0, first_data - 1)
-        .otherwise(F.size(s.rest))
-        .cast("int")
-    )
-    return F.struct(
-        F.concat(s.head, F.slice(s.rest, F.lit(1), lead)).alias("head"),
-        F.slice(s.rest, lead + 1, F.size(s.rest)).alias("rest"),
-        s.foot.alias("foot"),
-    )
+    start = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(_ROWS).alias("out"))
+    spans = F.exists(rows, lambda r: F.exists(r, lambda c: (c.down != 1) | (c.across != 1)))
+    plain = F.transform(rows, lambda r: F.transform(r, lambda c: c.text))
+    return F.when(spans, F.aggregate(wide, start, step, finish)).otherwise(plain)
 
 
 def place_sections(s: Column) -> Column:
     """Each section is placed on its own: spans never cross from header to body."""
+    foot = F.when(F.size(s.foot) > 0, _place(s.foot)).otherwise(F.array().cast(_ROWS))
     return F.struct(
-        _place(s.head).alias("head"), F.concat(_place(s.rest), _place(s.foot)).alias("body")
+        _place(s["head"]).alias("head"), F.concat(_place(s.rest), foot).alias("body")
     )
 
 
+def _has_text(row: Column) -> Column:
+    return F.exists(row, lambda t: t != "")
+
+
 def settle_header(g: Column) -> Column:
     """In a header of several rows, blank rows drop out; blank rows after the last
     one with text count as data."""
-    last = F.array_max(F.transform(g["head"], lambda r, i: F.when(_has_text(r), i + 1).otherwise(0)))
-    several = F.size(g["head"]) > 1
-    return F.struct(
-        F.when(several, F.filter(F.slice(g["head"], F.lit(1), last), _has_text))
-        .otherwise(g["head"])
-        .alias("head"),
-        F.when(several, F.concat(F.slice(g["head"], last + 1, F.size(g["head"])), g.body))
-        .otherwise(g.body)
-        .alias("body"),
+    rows = F.transform(g["head"], lambda r, i: F.when(_has_text(r), i + 1).otherwise(0))
+    split = let(
+        F.array_max(rows),
+        lambda last: F.struct(
+            F.filter(F.slice(g["head"], F.lit(1), last), _has_text).alias("head"),
+            F.concat(F.slice(g["head"], last + 1, F.lit(_ALL)), g.body).alias("body"),
+        ),
     )
+    blank = F.exists(g["head"], lambda r: ~_has_text(r))
+    return F.when((F.size(g["head"]) > 1) & blank, split).otherwise(g)
 
 
 def square(g: Column) -> Column:
     """Pad every row to the widest one; in a one-column table blank data rows drop out."""
-    width = F.coalesce(
-        F.array_max(F.transform(F.concat(g["head"], g.body), lambda r: F.size(r))), F.lit(0)
-    )
 
-    def pad(rows):
-        return F.transform(
-            rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
-        )
+    def padded(width):
+        def pad(rows):
+            ragged = F.exists(rows, lambda r: F.size(r) < width)
+            full = F.transform(
+                rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
+            )
+            return F.when(ragged, full).otherwise(rows)
+
+        body = F.when(width == 1, F.filter(g.body, _has_text)).otherwise(g.body)
+        return F.struct(pad(g["head"]).alias("head"), pad(body).alias("body"), width.alias("n_cols"))
+
+    sizes = F.transform(F.concat(g["head"], g.body), lambda r: F.size(r))
+    return let(F.coalesce(F.array_max(sizes), F.lit(0)), padded)
+
+
+def table_grid(html: Column) -> Column:
+    """The whole way from element HTML to a squared grid; null if there is no table."""
+    grid = first_table(html)
+    for stage in (sections, split_header, place_sections, settle_header, square):
+        grid = let(grid, _unless_null(stage))
+    return grid
 
-    body = F.when(width == 1, F.filter(g.body, _has_text)).otherwise(g.body)
-    return F.struct(pad(g["head"]).alias("head"), pad(body).alias("body"), width.alias("n_cols"))
+
+def _unless_null(stage):
+    return lambda v: F.when(v.isNotNull(), stage(v))
 
 
 def header_names(g: Column) -> Column:
@@ -206,17 +265,3 @@ def paragraph(html: Column, css_class: str) -> Column:
     """Text of the first ``<p>`` with that class, ``""`` if there is none."""
     pattern = rf'(?is)<p[^>]*class="{css_class}"[^>]*>(.*?)</p>'
     return squeeze(F.regexp_extract(html, pattern, 1))
-
-
-def _let(value: Column, use) -> Column:
-    """Bind ``value`` so that it is computed once however often ``use`` refers to it."""
-    return F.get(F.transform(F.array(value), use), 0)
-
-
-def table_grid(html: Column) -> Column:
-    """The whole way from element HTML to a squared grid; null if there is no table."""
-    stages = (sections, split_header, place_sections, settle_header, square)
-    grid = first_table(html)
-    for i, stage in enumerate(stages):
-        grid = _let(grid, (lambda st: lambda v: F.when(v.isNotNull(), st(v)))(stage))
-    return grid

@@ -30,7 +30,8 @@ def nfc(text: Column) -> Column:
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, f"^{K.WS}+|{K.WS}+$", "")
+    """Trim all Unicode whitespace; works from both ends, without a pattern."""
+    return F.trim(text, F.lit(K.WS_CHARS))
 
 
 def squeeze(text: Column) -> Column:

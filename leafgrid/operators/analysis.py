@@ -13,24 +13,29 @@ UNIT = r"(%p|%|pp|bp|조원|억원|만원|천원|원|달러|명|건|개|배)"
 def compare_series(grids: DataFrame, label_col: int, left: str, right: str) -> DataFrame:
     """Difference and ratio of two named columns for each data row of each table that
     has both and a number in both."""
-    named = grids.select("doc_id", "seq", "grid.body", H.header_names(F.col("grid")).alias("names"))
-    named = named.select(
-        "doc_id",
-        "seq",
-        (F.array_position("names", F.lit(left)).cast("int") - 1).alias("_l"),
-        (F.array_position("names", F.lit(right)).cast("int") - 1).alias("_r"),
-        "body",
-    ).filter("_l >= 0 AND _r >= 0")
-    rows = named.select("doc_id", "seq", "_l", "_r", F.posexplode_outer("body").alias("row", "cells"))
-    values = rows.select(
-        "doc_id",
-        "seq",
-        "row",
-        F.get("cells", F.lit(label_col)).alias("label"),
-        number(F.get("cells", F.col("_l"))).alias("left_value"),
-        number(F.get("cells", F.col("_r"))).alias("right_value"),
-    ).filter("left_value IS NOT NULL AND right_value IS NOT NULL")
-    return values.select(
+    def rows(g):
+        names = H.header_names(g)
+        columns = F.struct(
+            (F.array_position(names, F.lit(left)).cast("int") - 1).alias("l"),
+            (F.array_position(names, F.lit(right)).cast("int") - 1).alias("r"),
+        )
+        return H.let(columns, lambda c: F.when((c.l >= 0) & (c.r >= 0), compared(g.body, c)))
+
+    def compared(body, c):
+        return F.transform(
+            body,
+            lambda r, i: F.struct(
+                i.alias("row"),
+                F.get(r, F.lit(label_col)).alias("label"),
+                number(F.get(r, c.l)).alias("left_value"),
+                number(F.get(r, c.r)).alias("right_value"),
+            ),
+        )
+
+    # one expression per grid and an outer explode: a filter before it would make the
+    # optimizer compute the grid once more for the filter
+    values = grids.select("doc_id", "seq", F.inline_outer(H.let(F.col("grid"), rows)))
+    return values.filter("left_value IS NOT NULL AND right_value IS NOT NULL").select(
         "*",
         (F.col("left_value") - F.col("right_value")).alias("difference"),
         F.round(F.col("left_value") / F.nullif("right_value", F.lit(0.0)), 6).alias("ratio"),

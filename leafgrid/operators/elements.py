@@ -43,17 +43,19 @@ def label() -> Column:
     """Kind of an element: chart, figure, footnote, chart_misid, real_table or other."""
     category = F.col("category")
     md = T.strip(F.coalesce("markdown", F.lit("")))
-    breaks = F.regexp_count(md, F.lit("<br>"))
-    digits = F.regexp_count(md, F.lit(K.DIGIT))
+    breaks = (F.length(md) - F.length(F.replace(md, F.lit("<br>"), F.lit("")))) / 4
     length = F.length(md)
-    share = digits / F.greatest(length, F.lit(1))
+    # plain digits settle most tables; the full digit class is only tried after them
+    plain = length - F.length(F.translate(md, "0123456789", ""))
+    digits = length - F.length(F.regexp_replace(md, K.DIGIT, ""))
+    few = [n / F.greatest(length, F.lit(1)) < K.MIN_DIGIT_SHARE for n in (plain, digits)]
     return (
         F.when(category == "chart", "chart")
         .when(category == "figure", "figure")
         .when((category != "table") | category.isNull(), "other")
         .when(T.starts_with_any(md, K.FOOTNOTE_PREFIXES), "footnote")
-        .when((breaks >= K.CHART_BR_COUNT) & T.contains_any(md, K.AXIS_HINTS), "chart_misid")
-        .when((length > K.PROSE_LENGTH) & (share < K.MIN_DIGIT_SHARE), "other")
+        .when(T.contains_any(md, K.AXIS_HINTS) & (breaks >= K.CHART_BR_COUNT), "chart_misid")
+        .when((length > K.PROSE_LENGTH) & few[0] & few[1], "other")
         .otherwise("real_table")
     )
 
@@ -111,23 +113,13 @@ def asset_rows(
     sent to the next block, so each block sees the whole look-back of its first rows and
     no document ends up in a single task.
     """
-    if not (captions or numbers):
-        return _with_prefix(elements, notes).filter("prefix IS NOT NULL").select(
-            "doc_id", "seq", "page", "label", "prefix", *[e.alias(n) for n, e in carry]
-        )
-    thin = _with_prefix(elements, notes)
+    asset_kinds = elements.filter(F.col("category").isin("table", "chart", "figure"))
+    source = elements if captions else asset_kinds
+    cand = caption_candidate() if captions else F.lit(None).cast("string")
+    keep = ["doc_id", "seq", "page", *(["_cand"] if captions else [])]
+    thin = _with_prefix(source.withColumn("_cand", cand), keep, notes, carry)
     if not captions:
         thin = thin.filter("prefix IS NOT NULL")
-    is_asset = F.col("prefix").isNotNull()
-    thin = thin.select(
-        "doc_id",
-        "seq",
-        "page",
-        F.when(is_asset, F.col("label")).alias("label"),
-        "prefix",
-        *([caption_candidate().alias("_cand")] if captions else []),
-        *[F.when(is_asset, e).alias(n) for n, e in carry],
-    )
     blocked = with_block(thin, "seq", width)
     home = blocked.withColumn("_home", F.lit(True))
     if captions:
@@ -148,7 +140,7 @@ def asset_rows(
         out = out.select("*", *[F.sum(mine[p]).over(upto).alias(f"prev_{p}") for p in "tcf"])
     out = out.filter("_home AND prefix IS NOT NULL").drop("_home")
     if numbers:
-        flags = _with_prefix(elements).filter("prefix IS NOT NULL").select(
+        flags = _with_prefix(asset_kinds, ["doc_id", "seq"]).filter("prefix IS NOT NULL").select(
             "doc_id", "seq", *[(F.col("prefix") == p).cast("int").alias(p) for p in "tcf"]
         )
         offsets = block_offsets(with_block(flags, "seq", width), ["doc_id"], sums="tcf")
@@ -160,11 +152,26 @@ def asset_rows(
     return out
 
 
-def _with_prefix(elements: DataFrame, notes=False) -> DataFrame:
-    cases = F.when(F.col("label") == "footnote", "n") if notes else F.lit(None).cast("string")
-    for kind, prefix in _PREFIX.items():
-        cases = F.when(F.col("label") == kind, prefix).otherwise(cases)
-    return classify_elements(elements).withColumn("prefix", cases)
+def once(*columns: Column) -> Column:
+    """The columns through a one-row generator.  Unlike a plain projection the optimizer
+    never copies it into a later filter, so costly expressions are computed once."""
+    return F.inline(F.array(F.struct(*columns)))
+
+
+def _with_prefix(elements: DataFrame, keep, notes=False, carry=()) -> DataFrame:
+    """``keep`` plus label, prefix and the carried facts (null for other elements)."""
+    cases = F.create_map(*[F.lit(x) for pair in _PREFIX.items() for x in pair])
+    if notes:
+        cases = F.map_concat(cases, F.create_map(F.lit("footnote"), F.lit("n")))
+    base = elements.select(*keep, "category", "markdown", "html", once(label().alias("label")))
+    prefix = F.try_element_at(cases, F.col("label")).alias("prefix")
+    if not carry:
+        return base.select(*keep, "label", prefix)
+    facts = F.struct(*[e.alias(n) for n, e in carry])
+    named = base.select(*keep, "label", prefix, "category", "markdown", "html")
+    return named.select(
+        *keep, "label", "prefix", once(F.when(F.col("prefix").isNotNull(), facts).alias("_facts"))
+    ).select(*keep, "label", "prefix", "_facts.*")
 
 
 def _nearest_caption(rows: DataFrame, order) -> DataFrame:

@@ -81,18 +81,15 @@ def with_offsets(responses: DataFrame, plan: DataFrame) -> DataFrame:
 def merge_elements(chunks: DataFrame) -> DataFrame:
     """Elements of all chunks of a document in one numbering (chunks carry ``offset``).
 
-    The first position of a chunk is the running size of the chunks before it; only the
-    sizes take part in the window, the elements stay where they are until the join.
+    The first position of a chunk is the running size of the chunks before it.  The
+    elements travel with their chunk through the one shuffle the window needs.
     """
-    sizes = chunks.select("doc_id", "chunk_no", F.coalesce(F.size("elements"), F.lit(0)).alias("_n"))
-    sizes = sizes.withColumn("_n", F.greatest("_n", F.lit(0)).cast("long"))
-    starts = running(sizes, ["doc_id"], "chunk_no", sums=["_n"]).select(
-        "doc_id", "chunk_no", F.col("prev__n").alias("_start")
-    )
-    placed = chunks.join(starts, ["doc_id", "chunk_no"])
+    size = F.when(F.col("elements").isNotNull(), F.size("elements")).otherwise(0).cast("long")
+    sized = chunks.select("doc_id", "chunk_no", "offset", "elements", size.alias("_n"))
+    placed = running(sized, ["doc_id"], "chunk_no", sums=["_n"])
     shift = placed.select(
         "doc_id",
-        "_start",
+        F.col("prev__n").alias("_start"),
         F.transform(
             "elements", lambda e: e.withField("page", e.page + F.col("offset"))
         ).alias("elements"),

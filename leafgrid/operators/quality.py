@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from leafgrid import constants as K
 from leafgrid.functions import html as H
 from leafgrid.functions import text as T
-from leafgrid.operators.elements import label
+from leafgrid.operators.elements import label, once
 from leafgrid.operators.tables import number
 
 
@@ -102,7 +102,7 @@ def _volumes(elements: DataFrame) -> DataFrame:
     ok = H.first_table(F.coalesce("html", F.lit(""))).isNotNull()
     data = F.col("category").isin("table", "chart")
     rows = elements.select(
-        "doc_id", "category", label().alias("label"), F.when(data, ok).otherwise(False).alias("ok")
+        "doc_id", "category", once(label().alias("label"), F.when(data, ok).otherwise(False).alias("ok"))
     )
     table = (F.col("label") == "real_table") & F.col("ok")
     chart = F.col("label").isin("chart", "chart_misid") & F.col("ok")

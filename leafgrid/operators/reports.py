@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from leafgrid import constants as K
 from leafgrid.functions import html as H
 from leafgrid.functions import text as T
-from leafgrid.operators.elements import label, page_or_zero
+from leafgrid.operators.elements import label, once, page_or_zero
 from leafgrid.operators.tables import boundary_cases, boundary_reason, fallback_path
 
 
@@ -36,7 +36,9 @@ def _flags(elements: DataFrame) -> DataFrame:
     kinds = elements.filter(F.col("category").isin("table", "chart", "figure"))
     ok = H.first_table(F.coalesce("html", F.lit(""))).isNotNull()
     kinds = kinds.select(
-        "doc_id", page_or_zero().alias("page"), label().alias("label"), F.when(F.col("category") != "figure", ok).alias("ok")
+        "doc_id",
+        page_or_zero().alias("page"),
+        once(label().alias("label"), F.when(F.col("category") != "figure", ok).alias("ok")),
     )
     return kinds.select(
         "doc_id",
@@ -89,12 +91,16 @@ def index_rows(assets: DataFrame) -> DataFrame:
 
 
 def top_assets(
-    assets: DataFrame, tables=K.TOP_TABLES, charts=K.TOP_CHARTS, figures=K.TOP_FIGURES
+    elements: DataFrame,
+    assets: DataFrame,
+    tables=K.TOP_TABLES,
+    charts=K.TOP_CHARTS,
+    figures=K.TOP_FIGURES,
 ) -> DataFrame:
     """First assets of each document and how many more there are.
 
     The ``rank <=`` filter lets Spark keep the first rows map-side; the totals are a
-    partial aggregate.  Neither gathers a document.
+    partial aggregate of flags.  Neither gathers a document.
     """
     limits = {"t": tables, "c": charts, "f": figures}
     shown = assets.filter("prefix = 'f' OR (parsed_ok AND prefix IN ('t', 'c'))")
@@ -105,16 +111,19 @@ def top_assets(
         .filter(F.col("rank") <= max(limits.values()))
         .filter(F.col("rank") <= limit)
     )
-    totals = shown.groupBy("doc_id", "prefix").agg(F.count(F.lit(1)).alias("_n"))
+    totals = _flags(elements).groupBy("doc_id").agg(*[F.count_if(p).alias(f"_n_{p}") for p in limits])
+    total = F.when(F.col("prefix") == "t", F.col("_n_t")).when(F.col("prefix") == "c", F.col("_n_c")).otherwise(
+        F.col("_n_f")
+    )
     title = F.substring(F.coalesce("caption", F.lit(K.NO_TITLE)), 1, K.TOP_CAPTION_LENGTH)
     entry = F.when(F.col("prefix") == "f", F.coalesce(F.nullif("figure_type", F.lit("")), F.lit("figure")))
-    return top.join(totals, ["doc_id", "prefix"]).select(
+    return top.join(totals, "doc_id").select(
         "doc_id",
         "prefix",
         "rank",
         F.coalesce(entry, F.col("name")).alias("entry"),
         title.alias("title"),
-        F.greatest(F.col("_n") - limit, F.lit(0)).alias("overflow"),
+        F.greatest(total - limit, F.lit(0)).alias("overflow"),
     )
 
 

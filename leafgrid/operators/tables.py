@@ -15,6 +15,7 @@ from leafgrid.operators.elements import (
     DATA_LABELS,
     asset_rows,
     label,
+    once,
     page_or_zero,
     with_name,
     with_slug,
@@ -24,10 +25,10 @@ from leafgrid.operators.elements import (
 def table_grids(elements: DataFrame) -> DataFrame:
     """``doc_id, seq, page, label, grid``; ``grid`` is null if the table is unreadable."""
     data = elements.filter(F.col("category").isin("table", "chart")).select(
-        "doc_id", "seq", "page", label().alias("label"), "html"
+        "doc_id", "seq", "page", "html", once(label().alias("label"))
     )
     data = data.filter(F.col("label").isin(*DATA_LABELS))
-    return data.select("doc_id", "seq", "page", "label", H.table_grid(F.col("html")).alias("grid"))
+    return data.select("doc_id", "seq", "page", "label", once(H.table_grid(F.col("html")).alias("grid")))
 
 
 def grid_rows(grids: DataFrame, *keep: str) -> DataFrame:
@@ -86,13 +87,14 @@ def visuals(elements: DataFrame, captions=True, shapes=True, figures=False, note
     The HTML is reduced to its shape before the shuffle, so it is never shuffled itself.
     """
     html = F.coalesce("html", F.lit(""))
-    facts = [("parsed_ok", H.first_table(html).isNotNull())]
     if shapes:
-        measured = F.transform(
-            F.array(H.table_grid(html)),
+        measured = H.let(
+            H.table_grid(html),
             lambda g: F.struct(F.size(g.body).alias("n_rows"), g.n_cols.alias("n_cols")),
         )
-        facts.append(("_shape", F.when(F.col("label").isin(*DATA_LABELS), F.get(measured, 0))))
+        facts = [("_shape", F.when(F.col("label").isin(*DATA_LABELS), measured))]
+    else:
+        facts = [("parsed_ok", H.first_table(html).isNotNull())]
     if figures:
         is_figure = F.col("label") == "figure"
         facts.append(("figure_type", F.when(is_figure, H.paragraph(html, "figure-type"))))
@@ -102,10 +104,11 @@ def visuals(elements: DataFrame, captions=True, shapes=True, figures=False, note
     found = asset_rows(elements, captions=captions, notes=notes, carry=facts)
     if not figures:
         found = found.filter("prefix <> 'f'")
-    if captions:
-        found = with_name(with_slug(found))
     if shapes:
         found = found.select("*", "_shape.n_rows", "_shape.n_cols").drop("_shape")
+        found = found.withColumn("parsed_ok", F.col("n_cols").isNotNull())
+    if captions:
+        found = with_name(with_slug(found))
     kind = F.when(F.col("prefix") == "t", "table").when(F.col("prefix") == "c", "chart").when(
         F.col("prefix") == "f", "figure"
     )

@@ -269,7 +269,9 @@ def document_meta(spark, sf):
 
 @query
 def top_assets(spark, sf):
-    return reports.top_assets(_assets(spark, sf, shapes=False, figures=True), tables=3, charts=2, figures=1)
+    e = X.elements(spark, sf)
+    assets = tables.visuals(e, shapes=False, figures=True)
+    return reports.top_assets(e, assets, tables=3, charts=2, figures=1)
 
 
 @query

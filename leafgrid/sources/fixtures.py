@@ -54,8 +54,11 @@ def placed_orders(spark, sf_dir) -> DataFrame:
 
 
 def order_tables(spark, sf_dir) -> DataFrame:
-    lines = order_lines(spark, sf_dir)
-    return placed_orders(spark, sf_dir).join(lines, "ok", "left")
+    """Orders with their lines.  The explicit partitioning is the one the join needs; it
+    also keeps small inputs from ending up in one task."""
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    placed = placed_orders(spark, sf_dir).repartition(n, "ok")
+    return placed.join(order_lines(spark, sf_dir), "ok", "left")
 
 
 def elements(spark, sf_dir) -> DataFrame:
