@@ -13,8 +13,8 @@ from leafgrid import constants as K
 # Characters that NFC may change or join with a neighbour.  Text without any of them
 # is already NFC, so it never has to leave the JVM.
 NFC_SUSPECTS = (
-    r"[\p{M}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}\x{1F71}-\x{1FFD}\x{2000}-\x{2001}"
-    r"\x{2329}-\x{232A}\x{37E}\x{387}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{11000}-\x{11FFF}"
+    r"[\p{M}\x{374}\x{900}-\x{FFF}\x{1100}-\x{11FF}\x{2126}\x{212A}\x{212B}\x{1F71}-\x{1FFD}\x{2000}-\x{2001}"
+    r"\x{2329}-\x{232A}\x{2ADC}\x{37E}\x{387}\x{F900}-\x{FAFF}\x{FB1D}-\x{FB4E}\x{11000}-\x{11FFF}"
     r"\x{1D15E}-\x{1D1C0}\x{2F800}-\x{2FA1F}]"
 )
 

@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgrid import constants as K
+from leafgrid.functions.joins import look_up
 
 LEGACY_MODE = "enhanced"
 
@@ -39,7 +40,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, force: bool = False) ->
     if force:
         found = requests.select("*", F.lit(None).cast("string").alias("matched"), F.lit(None).cast("string").alias("response"))
     else:
-        found = requests.join(effective_cache(cache), ["sha16", "mode"], "left")
+        found = look_up(requests, effective_cache(cache), ["sha16", "mode"], "left")
     return found.select(
         *requests.columns, F.col("matched").isNotNull().alias("hit"), "matched", "response"
     )
@@ -48,7 +49,7 @@ def cache_lookup(requests: DataFrame, cache: DataFrame, force: bool = False) ->
 def cache_misses(requests: DataFrame, cache: DataFrame, force: bool = False) -> DataFrame:
     if force:
         return requests
-    return requests.join(effective_cache(cache), ["sha16", "mode"], "left_anti").select(*requests.columns)
+    return look_up(requests, effective_cache(cache), ["sha16", "mode"], "left_anti").select(*requests.columns)
 
 
 def parse_cost(looked_up: DataFrame, pages: DataFrame, rates=K.PAGE_RATES) -> DataFrame:

@@ -113,6 +113,7 @@ def asset_rows(
     sent to the next block, so each block sees the whole look-back of its first rows and
     no document ends up in a single task.
     """
+    width = max(width, K.CAPTION_LOOKBACK + 1)
     asset_kinds = elements.filter(F.col("category").isin("table", "chart", "figure"))
     source = elements if captions else asset_kinds
     cand = caption_candidate() if captions else F.lit(None).cast("string")

@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafgrid import constants as K
+from leafgrid.functions.joins import look_up
 from leafgrid.functions.prefix import running
 from leafgrid.functions.text import strip
 from leafgrid.operators.elements import explode_elements
@@ -47,7 +48,7 @@ def page_range_filter(elements: DataFrame, requests: DataFrame) -> DataFrame:
     ranges = page_ranges(requests).filter("status <> 'invalid'")
     inside = (F.col("status") == "all") | F.col("page").between(F.col("start"), F.col("end"))
     return (
-        elements.join(ranges, "doc_id")
+        look_up(elements, ranges, ["doc_id"])
         .filter(inside)
         .select(*elements.columns, (F.col("page") - F.col("offset")).alias("slice_page"))
     )
@@ -58,7 +59,7 @@ def restore_page_offset(sliced: DataFrame, requests: DataFrame) -> DataFrame:
     ranges = page_ranges(requests).select("doc_id", "offset")
     page = (F.col("page") + F.col("offset")).alias("page")
     columns = [page if c == "page" else F.col(c) for c in sliced.columns]
-    return sliced.join(ranges, "doc_id").select(*columns)
+    return look_up(sliced, ranges, ["doc_id"]).select(*columns)
 
 
 def chunk_plan(documents: DataFrame, size: int = K.CHUNK_PAGES) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from leafgrid import constants as K
 from leafgrid.functions import html as H
 from leafgrid.functions import text as T
+from leafgrid.functions.joins import look_up
 from leafgrid.operators.elements import label, once, page_or_zero
 from leafgrid.operators.tables import boundary_cases, boundary_reason, fallback_path
 
@@ -146,7 +147,8 @@ def page_contents(documents: DataFrame, elements: DataFrame, assets: DataFrame)
     page = _flags(elements).groupBy("doc_id", "page").agg(
         F.bool_or(F.col("t") | F.col("c")).alias("has_data"), F.bool_or("f").alias("has_figure")
     )
-    shown = assets.filter("prefix = 'f' OR (parsed_ok AND prefix IN ('t', 'c'))").join(page, ["doc_id", "page"])
+    shown = assets.filter("prefix = 'f' OR (parsed_ok AND prefix IN ('t', 'c'))")
+    shown = look_up(shown, page, ["doc_id", "page"])
     shown = shown.filter("prefix <> 'f' OR NOT has_data").select(
         "doc_id",
         "page",
