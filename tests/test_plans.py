@@ -120,3 +120,12 @@ def test_a_hot_hash_is_split(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_no_query_multiplies_its_inputs(spark):
+    from leafgrid.plans.registry import QUERIES
+
+    lazy = [q for n, q in QUERIES.items() if n not in ("write_assets", "stitch_tables")]
+    for query in lazy:
+        text = plan(query(spark, "/root/testdata/sf0.001"))
+        assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
