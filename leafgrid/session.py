@@ -14,6 +14,8 @@ def session(name: str = "leafgrid", master: str = None, **settings) -> SparkSess
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
         "spark.ui.enabled": "false",
+        # recording the call site of each column call takes longer than many queries
+        "spark.python.sql.dataFrameDebugging.enabled": "false",
         **settings,
     }
     builder = SparkSession.builder.appName(name)
