@@ -43,10 +43,10 @@ def targets(sizes: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float
     return w.select("source", "source_size", F.least(F.col("limit"), F.col("weight") * level).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0, **keep) -> DataFrame:
-    """(row columns, size, source_size, target, taken) for docs (doc_id, source, text).
+def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: float = 2.0) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken) for every row of docs (doc_id, source, text).
 
-    ``taken`` sums to the whole words of the target for each source.  ``keep`` names further columns to carry along.
+    ``taken`` sums to the whole words of the target for each source.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -54,7 +54,6 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
         F.col("source").cast("string").alias("source"),
         F.size(F.regexp_extract_all(text, F.lit(f"({WORDS})"), F.lit(1))).cast("long").alias("size"),
         F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
-        *[c.alias(n) for n, c in keep.items()],
     )
     rows = stage(rows, "sizes")
     # the leading digits of the key are the range; ranges hold about RANGE_ROWS rows of the whole table
@@ -74,4 +73,21 @@ def mix_sources(docs: DataFrame, weights=(3, 1, 2), share: float = 1.5, most: fl
     rest = budget - epochs * F.col("source_size")
     last = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), rest - F.col("before")))
     taken = F.when(F.col("source_size") > 0, epochs * F.col("size") + last).otherwise(F.lit(0).cast("long"))
-    return facts.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"), *keep)
+    return facts.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
+
+
+def mixture(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs as often as the mix takes them, all columns kept; the text at a source's cut ends at it.
+
+    Rows with one doc_id share the largest decision for it; rows the mix takes no word of are not in the mixture.
+    """
+    plan = mix_sources(docs, **options).where("taken > 0").groupBy(F.col("doc_id").alias("_id")).agg(F.max("taken").alias("_taken"), F.max("size").alias("_size"))
+    rows = docs.join(plan, docs["doc_id"].cast("long").eqNullSafe(plan["_id"]))
+    rows = rows.withColumn("_copy", F.explode(F.expr("sequence(1L, (_taken + _size - 1) div _size)")))
+    part = F.least(F.col("_size"), F.col("_taken") - (F.col("_copy") - 1) * F.col("_size")).cast("int")
+    words = F.regexp_extract_all("text", F.lit(f"({WORDS})"), F.lit(1))
+    text = F.when(part < F.col("_size"), F.array_join(F.slice(words, F.lit(1), part), " ")).otherwise(F.col("text"))
+    rows = rows.withColumn("text", text)
+    if "n_chars" in docs.columns:
+        rows = rows.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return rows.select(*docs.columns)

@@ -110,26 +110,8 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= 80 * union).select("a", "b")
 
 
-def ngram_jaccard(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every distinct doc_id of docs (doc_id, text)."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    docs = docs.where("doc_id is not null")
-    feats = stage(docs.mapInArrow(_features, "doc_id long, n long, s1 long, s2 long, low array<long>"), "features")
-    ids = feats.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*")
-    groups = stage(ids.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id")), "groups")
-
-    # 1: sets that share enough low columns with any other set
-    low = feats.join(groups, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
-    entries = low.select("doc_id", "n", "s1", F.explode("low").alias("h"))
-    common = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select("h")
-    least = F.expr("greatest(1, ((4 * n + 4) div 5) div 10)")
-    close = entries.join(common.hint("shuffle_hash"), "h").groupBy("doc_id", "n", "s1").agg(F.count("*").alias("met"))
-    close = stage(close.where(F.col("met") >= least).select("doc_id", "s1"), "close")
-
-    # 2: frequencies of all columns of those sets; the rarest columns of each
-    bits, shift = _some_ids(close.select("doc_id"))
-    sets = docs.mapInArrow(lambda batches: _sets(batches, bits, shift), "doc_id long, s1 long, h array<long>")
-    sets = stage(sets.join(close, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id"]).drop("s1"), "sets")
+def link_sets(sets: DataFrame) -> DataFrame:
+    """(id, component) of the sets (doc_id, h: distinct hashes) that link with any other; one row per doc_id in ``sets``."""
     cells = sets.select("doc_id", F.size("h").cast("long").alias("n"), F.explode("h").alias("h"))
     often = cells.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
     met = cells.join(often.hint("shuffle_hash"), "h")
@@ -162,7 +144,30 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     # the columns come in one order in both sets: what follows the last one met may still be shared
     met = met.where("18 * (both + least(an - ap, bn - bp) - 1) >= 8 * (an + bn)").select("a", "b")
     more = stage(_overlap(met, sets), "links")
-    linked = components(sure.union(more), "components") if more.limit(1).count() else parts.withColumnRenamed("doc_id", "id")
+    return components(sure.union(more), "components") if more.limit(1).count() else parts.withColumnRenamed("doc_id", "id")
+
+
+def ngram_jaccard(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every distinct doc_id of docs (doc_id, text)."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    docs = docs.where("doc_id is not null")
+    feats = stage(docs.mapInArrow(_features, "doc_id long, n long, s1 long, s2 long, low array<long>"), "features")
+    ids = feats.groupBy("doc_id").agg(F.min(F.struct("n", "s1", "s2")).alias("s")).select("doc_id", "s.*")
+    groups = stage(ids.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id")), "groups")
+
+    # 1: sets that share enough low columns with any other set
+    low = feats.join(groups, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
+    entries = low.select("doc_id", "n", "s1", F.explode("low").alias("h"))
+    common = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select("h")
+    least = F.expr("greatest(1, ((4 * n + 4) div 5) div 10)")
+    close = entries.join(common.hint("shuffle_hash"), "h").groupBy("doc_id", "n", "s1").agg(F.count("*").alias("met"))
+    close = stage(close.where(F.col("met") >= least).select("doc_id", "s1"), "close")
+
+    # 2 and 3: all columns of those sets
+    bits, shift = _some_ids(close.select("doc_id"))
+    sets = docs.mapInArrow(lambda batches: _sets(batches, bits, shift), "doc_id long, s1 long, h array<long>")
+    sets = stage(sets.join(close, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id"]).drop("s1"), "sets")
+    linked = link_sets(sets)
 
     # back to all documents
     named = groups.withColumnRenamed("doc_id", "id").join(linked, "id", "left")
@@ -171,6 +176,12 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def without_copies(docs: DataFrame) -> DataFrame:
+    """One document of each group of docs (the smallest doc_id), all columns kept."""
+    gone = ngram_jaccard(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("_id"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
+
+
 def _by(key, *order):
     w = Window.partitionBy(key)
     return w.orderBy(*order) if order else w
