@@ -20,6 +20,12 @@ _ENTITIES = (
     ("&quot;", '"'),
     ("&#39;", "'"),
     ("&apos;", "'"),
+    ("&times;", "×"),
+    ("&minus;", "−"),
+    ("&ndash;", "–"),
+    ("&mdash;", "—"),
+    ("&middot;", "·"),
+    ("&hellip;", "…"),
     ("&amp;", "&"),
 )
 # row, cell, start of its text, end of cell or row, header section, footer section, end of section
@@ -62,12 +68,25 @@ def _matches(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(text, F.lit(pattern), 1)
 
 
+def visible(html: Column) -> Column:
+    """Without comments and without rows and cells that are not displayed."""
+    shown = F.when(html.contains("<!--"), F.regexp_replace(html, r"(?s)<!--.*?(?:-->|$)", "")).otherwise(html)
+    for tag in ("tr", "t[dh]"):
+        hidden = rf"(?is)<({tag})\b(?=[^>]*\bdisplay\s*:\s*none)[^>]*>.*?</\1\s*>"
+        shown = let(shown, lambda t: F.when(t.rlike(r"(?i)\bdisplay\s*:"), F.regexp_replace(t, hidden, "")).otherwise(t))
+    return shown
+
+
 def first_table(html: Column) -> Column:
-    """Inner HTML of the first table with a cell and some text, else null."""
-    tables = _matches(html, r"(?is)<table\b[^>]*>(.*?)</table\s*>")
+    """Inner HTML of the first table with a cell and some text, else null.
+
+    A table inside a table counts as unreadable: its rows would mix with the outer ones.
+    """
+    tables = _matches(visible(html), r"(?is)<table\b[^>]*>(.*?)</table\s*>")
     some_text = f"(?:^|>){K.WS}*[^<{K.WS[1:]}"
     usable = F.filter(tables, lambda t: t.rlike(r"(?i)<t[dh]\b") & t.rlike(some_text))
-    return F.when(html.rlike(r"(?i)<table\b"), F.get(usable, 0))
+    first = let(F.get(usable, 0), lambda t: F.when(~t.rlike(r"(?i)<table\b"), t))
+    return F.when(html.rlike(r"(?i)<table\b"), first)
 
 
 def _marked(table: Column) -> Column:
@@ -78,7 +97,7 @@ def _marked(table: Column) -> Column:
         clean = F.replace(clean, F.lit(tag), F.lit(mark))
 
     def decode(text):
-        decoded = text
+        decoded = F.when(text.contains("&#"), _numbered(text)).otherwise(text)
         for entity, char in _ENTITIES:
             decoded = F.replace(decoded, F.lit(entity), F.lit(char))
         return F.when(text.contains("&"), decoded).otherwise(text)
@@ -87,6 +106,20 @@ def _marked(table: Column) -> Column:
     return F.regexp_replace(let(text, decode), f"[\\r\\n]+|{K.WS}{{2,}}", " ")
 
 
+def _numbered(text: Column) -> Column:
+    """Numeric character references as characters; ``&#39;`` and the like included."""
+
+    def put(t, ref):
+        wide = F.conv(F.regexp_extract(ref, "(?i)x([0-9a-f]+)", 1), 16, 10)
+        code = F.coalesce(wide, F.regexp_extract(ref, "#([0-9]+)", 1)).try_cast("int")
+        good = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
+        char = F.decode(F.unhex(F.lpad(F.hex(code.cast("long")), 8, "0")), "UTF-32")
+        return F.when(good, F.replace(t, ref, char)).otherwise(t)
+
+    refs = F.array_distinct(F.regexp_extract_all(text, F.lit("(?i)(&#(?:[0-9]{1,7}|x[0-9a-f]{1,6});)"), 1))
+    return F.aggregate(refs, text, put)
+
+
 def _replace_other(text: Column) -> Column:
     for pattern, mark in _OTHER_TAGS:
         text = F.regexp_replace(text, pattern, mark)

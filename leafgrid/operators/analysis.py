@@ -42,25 +42,19 @@ def compare_series(grids: DataFrame, label_col: int, left: str, right: str) -> D
     )
 
 
-def period_change(grids: DataFrame) -> DataFrame:
-    """Change of each number against the previous number in its row."""
-    rows = grids.select("doc_id", "seq", F.posexplode_outer("grid.body").alias("row", "cells"))
-    numbers = rows.filter("row IS NOT NULL").select(
-        "doc_id",
-        "seq",
-        "row",
-        F.filter(
-            F.transform("cells", lambda t, i: F.struct(i.alias("col"), number(t).alias("num"))),
-            lambda n: n.num.isNotNull(),
-        ).alias("nums"),
-    )
+def period_change(grids: DataFrame, labels: int = 1) -> DataFrame:
+    """Change of each number against the column before it; the first ``labels`` columns name the
+    row, the others are periods.  A period without a number gives no row and no previous value."""
+    rows = grids.select("doc_id", "seq", F.posexplode_outer("grid.body").alias("row", "cells")).filter("row IS NOT NULL")
+    nums = F.transform(F.slice("cells", labels + 1, H._ALL), number)
     steps = F.transform(
         "nums",
         lambda n, i: F.struct(
-            n["col"].alias("col"), n.num.alias("num"), F.when(i > 0, F.get("nums", i - 1).num).alias("previous")
+            (i + labels).alias("col"), n.alias("num"), F.when(i > 0, F.get("nums", i - 1)).alias("previous")
         ),
     )
-    out = numbers.select("doc_id", "seq", "row", F.inline(steps))
+    out = rows.select("doc_id", "seq", "row", nums.alias("nums"))
+    out = out.select("doc_id", "seq", "row", F.inline(F.filter(steps, lambda x: x.num.isNotNull())))
     return out.withColumn("change", F.col("num") - F.col("previous"))
 
 
@@ -83,25 +77,40 @@ def normalize_numbers(cells: DataFrame) -> DataFrame:
     )
 
 
-def unit_of(row: Column) -> Column:
-    """The unit a row states if all its non-empty cells only state units, else null."""
-    texts = F.filter(row, lambda t: t != "")
+def units_of(row: Column) -> Column:
+    """The unit of each column if the row's non-empty cells all state units, else null."""
     pattern = rf"^\(?\s*(?:단위\s*[::]\s*)?{UNIT}\s*\)?$"
-    units = F.array_distinct(F.transform(texts, lambda t: F.regexp_extract(t, pattern, 1)))
-    only_units = (F.size(texts) > 0) & ~F.array_contains(units, "")
-    return F.when(only_units, F.array_join(units, ","))
+    units = F.transform(row, lambda t: F.nullif(F.regexp_extract(t, pattern, 1), F.lit("")))
+    stated = F.exists(row, lambda t: t != "") & F.forall(F.zip_with(row, units, lambda t, u: (t == "") | u.isNotNull()), lambda fine: fine)
+    return F.when(stated, units)
 
 
-def unit_rows(grids: DataFrame) -> DataFrame:
-    """Tables whose header or first data row only states units; ``row`` counts from 0."""
-    rows = F.concat("grid.head", F.slice("grid.body", 1, 1))
-    found = F.get(
+def _found_units(grid: str = "grid") -> Column:
+    """Place and column units of the unit row: a header row or the first data row."""
+    rows = F.concat(f"{grid}.head", F.slice(f"{grid}.body", 1, 1))
+    return F.get(
         F.filter(
-            F.transform(rows, lambda r, i: F.struct(i.alias("row"), unit_of(r).alias("unit"))),
-            lambda u: u.unit.isNotNull(),
+            F.transform(rows, lambda r, i: F.struct(i.alias("row"), units_of(r).alias("units"))),
+            lambda u: u.units.isNotNull(),
         ),
         0,
     )
-    return grids.select("doc_id", "seq", found.alias("u")).select("doc_id", "seq", "u.row", "u.unit").filter(
-        "unit IS NOT NULL"
-    )
+
+
+def unit_rows(grids: DataFrame) -> DataFrame:
+    """Where tables state their units, one row per column with a unit; ``row`` counts from 0."""
+    found = grids.select("doc_id", "seq", _found_units().alias("u"))
+    units = found.select("doc_id", "seq", "u.row", F.posexplode_outer("u.units").alias("col", "unit"))
+    return units.filter("unit IS NOT NULL")
+
+
+def unit_cells(grids: DataFrame) -> DataFrame:
+    """Numbers of the data cells with the unit of their column; the unit row itself drops out.
+    Both sides are in the same grid, so nothing is joined."""
+    found = grids.select("doc_id", "seq", F.size("grid.head").alias("n_head"), F.col("grid.body").alias("body"), _found_units().alias("u"))
+    rows = found.select("doc_id", "seq", "n_head", "u", F.posexplode_outer("body").alias("at", "cells")).filter("at IS NOT NULL")
+    row = F.col("n_head") + F.col("at")
+    rows = rows.filter(~F.coalesce(F.col("u.row") == row, F.lit(False)))
+    cells = rows.select("doc_id", "seq", row.alias("row"), "u", F.posexplode_outer("cells").alias("col", "text"))
+    typed = cells.select("doc_id", "seq", "row", "col", number(F.col("text")).alias("num"), F.get("u.units", F.col("col")).alias("unit"))
+    return typed.filter("num IS NOT NULL")

@@ -5,13 +5,10 @@ from pyspark.sql import functions as F
 
 from leafgrid import constants as K
 from leafgrid.functions.joins import look_up
-from leafgrid.functions.prefix import running
+from leafgrid.functions.prefix import BLOCK, running
 from leafgrid.functions.text import strip
 from leafgrid.operators.elements import explode_elements
 
-SEGMENT_CHUNKS = 64
-
-
 def _whole_number(text: Column) -> Column:
     return F.when(text.rlike("^[+-]?[0-9]+$"), text).try_cast("int")
 
@@ -79,41 +76,41 @@ def with_offsets(responses: DataFrame, plan: DataFrame) -> DataFrame:
     return responses.join(plan.select("doc_id", "chunk_no", "offset"), ["doc_id", "chunk_no"])
 
 
-def merge_elements(chunks: DataFrame) -> DataFrame:
+def merge_elements(chunks: DataFrame, width: int = BLOCK) -> DataFrame:
     """Elements of all chunks of a document in one numbering (chunks carry ``offset``).
 
-    The first position of a chunk is the running size of the chunks before it.  The
-    elements travel with their chunk through the one shuffle the window needs.
+    The first position of a chunk is the running size of the chunks before it.  Only the sizes
+    go through the window; the elements meet their start in one join on the chunk.
     """
     size = F.when(F.col("elements").isNotNull(), F.size("elements")).otherwise(0).cast("long")
-    sized = chunks.select("doc_id", "chunk_no", "offset", "elements", size.alias("_n"))
-    placed = running(sized, ["doc_id"], "chunk_no", sums=["_n"])
-    shift = placed.select(
+    sizes = chunks.select("doc_id", "chunk_no", size.alias("_n"))
+    starts = running(sizes, ["doc_id"], "chunk_no", sums=["_n"], width=width)
+    starts = starts.select("doc_id", "chunk_no", F.col("prev__n").alias("_start"))
+    shift = chunks.select(
         "doc_id",
-        F.col("prev__n").alias("_start"),
+        "chunk_no",
         F.transform(
             "elements", lambda e: e.withField("page", e.page + F.col("offset"))
         ).alias("elements"),
-    )
+    ).join(starts, ["doc_id", "chunk_no"])
     return explode_elements(shift, F.col("_start"))
 
 
-def merge_contents(chunks: DataFrame, segment: int = SEGMENT_CHUNKS) -> DataFrame:
-    """Whole-document text, markdown and HTML, in segments of ``segment`` chunks.
+def content_parts(chunks: DataFrame) -> DataFrame:
+    """What each chunk adds to the text, markdown and HTML of its document, in chunk order:
+    each non-empty part and a blank line.  The form to store for very long documents."""
+    part = lambda f: F.concat(F.nullif(F.col(f"content.{f}"), F.lit("")), F.lit("\n\n"))
+    return chunks.select("doc_id", "chunk_no", *[part(f).alias(f) for f in ("html", "markdown", "text")])
 
-    Each non-empty part is followed by a blank line.  A document of up to ``segment``
-    chunks is one row; a longer one continues in ``segment_no`` 1, 2, ..., so no value
-    outgrows a task.
-    """
+
+def merge_contents(chunks: DataFrame) -> DataFrame:
+    """Whole-document text, markdown and HTML: one row per document, whatever its size."""
 
     def joined(field):
-        part = F.nullif(F.col(f"content.{field}"), F.lit(""))
-        parts = F.array_sort(F.collect_list(F.when(part.isNotNull(), F.struct("chunk_no", part.alias("p")))))
-        return F.array_join(F.transform(parts, lambda s: F.concat(s.p, F.lit("\n\n"))), "").alias(field)
+        parts = F.array_sort(F.collect_list(F.when(F.col(field).isNotNull(), F.struct("chunk_no", F.col(field).alias("p")))))
+        return F.array_join(F.transform(parts, lambda s: s.p), "").alias(field)
 
-    return chunks.groupBy(
-        "doc_id", F.expr(f"chunk_no div {segment}").cast("int").alias("segment_no")
-    ).agg(joined("html"), joined("markdown"), joined("text"))
+    return content_parts(chunks).groupBy("doc_id").agg(joined("html"), joined("markdown"), joined("text"))
 
 
 def merge_headers(chunks: DataFrame) -> DataFrame:
@@ -125,13 +122,32 @@ def merge_headers(chunks: DataFrame) -> DataFrame:
     )
 
 
+def latest_responses(responses: DataFrame) -> DataFrame:
+    """The latest response (largest ``received_at``) of each (doc_id, chunk_no); equal times
+    keep the larger hash.  The choice is made on keys and times alone."""
+    keys = ["doc_id", "chunk_no"]
+    rows = responses.withColumn("_at", F.struct("received_at", F.xxhash64(*[c for c in responses.columns]).alias("h")))
+    last = rows.groupBy(*keys).agg(F.max("_at").alias("_last"))
+    return look_up(rows, last, keys).filter("_at = _last").select(*responses.columns)
+
+
 def missing_chunks(plan: DataFrame, responses: DataFrame) -> DataFrame:
-    """Documents with fewer or more responses than planned chunks: these are failures.
+    """Documents whose responses are not one per planned chunk.
 
-    Both sides become ``+1 / -1`` rows of one aggregate, so no join is needed.
+    ``received`` counts planned chunks that arrived, so a repeated chunk does not stand for a lost one;
+    ``missing``, ``repeated`` and ``unplanned`` count chunks.  Lost or unplanned chunks are failures.
+    Both sides become rows of one aggregate per chunk, so no join is needed.
     """
-    sides = plan.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("r")).unionByName(
-        responses.select("doc_id", F.lit(0).alias("p"), F.lit(1).alias("r"))
+    sides = plan.select("doc_id", "chunk_no", F.lit(1).alias("p"), F.lit(0).alias("r")).unionByName(
+        responses.select("doc_id", "chunk_no", F.lit(0).alias("p"), F.lit(1).alias("r"))
+    )
+    chunks = sides.groupBy("doc_id", "chunk_no").agg(F.max("p").alias("p"), F.sum("r").alias("r"))
+    counts = chunks.groupBy("doc_id").agg(
+        F.sum("p").cast("long").alias("planned"),
+        F.count_if(F.expr("p = 1 AND r > 0")).alias("received"),
+        F.count_if(F.expr("p = 1 AND r = 0")).alias("missing"),
+        F.count_if(F.expr("r > 1")).alias("repeated"),
+        F.count_if(F.expr("p = 0")).alias("unplanned"),
     )
-    counts = sides.groupBy("doc_id").agg(F.sum("p").alias("planned"), F.sum("r").alias("received"))
-    return counts.filter("planned > 0 AND planned <> received")
+    failed = (F.col("missing") > 0) | (F.col("unplanned") > 0)
+    return counts.filter("planned > 0 AND missing + repeated + unplanned > 0").withColumn("failed", failed)

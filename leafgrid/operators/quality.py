@@ -7,7 +7,7 @@ from leafgrid import constants as K
 from leafgrid.functions import html as H
 from leafgrid.functions import text as T
 from leafgrid.operators.elements import label, once
-from leafgrid.operators.tables import number
+from leafgrid.operators.tables import number, table_grids
 
 
 def within_tolerance(actual: Column, expected: Column, tol: Column) -> Column:
@@ -16,13 +16,20 @@ def within_tolerance(actual: Column, expected: Column, tol: Column) -> Column:
     return F.when(expected == 0, F.abs(actual) < K.ZERO_TOLERANCE).otherwise(relative)
 
 
-def golden_cells(golden: DataFrame, grids: DataFrame) -> DataFrame:
+def asked_grids(elements: DataFrame, targets: DataFrame, keys: list) -> DataFrame:
+    """Grids of the asked tables only: the keys meet the elements before any HTML is parsed."""
+    data = elements.filter(F.col("category").isin("table", "chart"))
+    return table_grids(data.join(targets.select(*keys).distinct(), keys, "left_semi"))
+
+
+def golden_cells(golden: DataFrame, elements: DataFrame) -> DataFrame:
     """Compare expected numbers (``doc_id, seq, row_label, col_name, expected, tol``).
 
     The row is the first data row with that label in its first column; a missing row,
     column or number is a miss.  The look-up happens inside the grid: one join on the
     table key, no exploded cells.
     """
+    grids = asked_grids(elements, golden, ["doc_id", "seq"])
     tables = grids.select("doc_id", "seq", "grid.body", H.header_names(F.col("grid")).alias("names"))
     found = golden.join(tables, ["doc_id", "seq"], "left")
     row = F.get(F.filter("body", lambda r: F.get(r, 0) == F.col("row_label")), 0)
@@ -33,10 +40,11 @@ def golden_cells(golden: DataFrame, grids: DataFrame) -> DataFrame:
     return out.select("doc_id", "seq", "row_label", "col_name", "expected", "actual", hit.alias("hit"))
 
 
-def golden_substrings(golden: DataFrame, grids: DataFrame, needed: int = 4) -> DataFrame:
+def golden_substrings(golden: DataFrame, elements: DataFrame, needed: int = 4) -> DataFrame:
     """How many expected strings (``doc_id, seq, wanted ARRAY<STRING>``) occur in the
     space-joined data cells; also inside longer numbers."""
     joined = F.array_join(F.transform("grid.body", lambda r: F.array_join(r, " ")), " ")
+    grids = asked_grids(elements, golden, ["doc_id", "seq"])
     tables = grids.select("doc_id", "seq", joined.alias("_joined"))
     found = golden.join(tables, ["doc_id", "seq"], "left")
     hits = F.size(F.filter("wanted", lambda w: F.coalesce(F.contains(F.col("_joined"), w), F.lit(False))))
@@ -44,10 +52,11 @@ def golden_substrings(golden: DataFrame, grids: DataFrame, needed: int = 4) -> D
 
 
 def largest_table_on_page(
-    targets: DataFrame, grids: DataFrame, min_rows: int = 5, min_cols: int = 5
+    targets: DataFrame, elements: DataFrame, min_rows: int = 5, min_cols: int = 5
 ) -> DataFrame:
     """Largest table of each asked (doc_id, page), first one on ties, and whether it is
     large enough; a page without a table fails."""
+    grids = asked_grids(elements, targets, ["doc_id", "page"])
     sized = grids.filter("label = 'real_table' AND grid IS NOT NULL").select(
         "doc_id", "page", "seq", F.size("grid.body").alias("n_rows"), F.col("grid.n_cols").alias("n_cols")
     )

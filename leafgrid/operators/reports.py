@@ -51,16 +51,25 @@ def _flags(elements: DataFrame) -> DataFrame:
     )
 
 
-def document_counts(documents: DataFrame, elements: DataFrame) -> DataFrame:
+def asset_flags(assets: DataFrame) -> DataFrame:
+    """The same from rows of ``visuals(figures=True, notes=True)``: no HTML is read again."""
+    prefix, ok = F.col("prefix"), F.coalesce("parsed_ok", F.lit(False))
+    return assets.select(
+        "doc_id", "page", ((prefix == "t") & ok).alias("t"), ((prefix == "c") & ok).alias("c"), (prefix == "f").alias("f"), (prefix == "n").alias("n")
+    )
+
+
+def document_counts(documents: DataFrame, elements: DataFrame, flags: DataFrame = None) -> DataFrame:
+    """``flags`` (``asset_flags``) may stand for the elements."""
     names = {"t": "tables", "c": "charts", "f": "figures", "n": "footnotes"}
-    counts = _flags(elements).groupBy("doc_id").agg(*[F.count_if(c).alias(n) for c, n in names.items()])
+    counts = (flags or _flags(elements)).groupBy("doc_id").agg(*[F.count_if(c).alias(n) for c, n in names.items()])
     return documents.select("doc_id").join(counts, "doc_id", "left").fillna(0, list(names.values()))
 
 
-def page_map(documents: DataFrame, elements: DataFrame) -> DataFrame:
+def page_map(documents: DataFrame, elements: DataFrame, flags: DataFrame = None) -> DataFrame:
     """Tables, charts and figures on each page that has any, for documents with a page
     count; one partial aggregate, then a join of small rows."""
-    pages = _flags(elements).filter("t OR c OR f").groupBy("doc_id", "page").agg(
+    pages = (flags or _flags(elements)).filter("t OR c OR f").groupBy("doc_id", "page").agg(
         *[F.count_if(c).alias(n) for c, n in (("t", "tables"), ("c", "charts"), ("f", "figures"))]
     )
     return pages.join(documents.filter("usage_pages > 0").select("doc_id"), "doc_id", "left_semi")
@@ -92,7 +101,6 @@ def index_rows(assets: DataFrame) -> DataFrame:
 
 
 def top_assets(
-    elements: DataFrame,
     assets: DataFrame,
     tables=K.TOP_TABLES,
     charts=K.TOP_CHARTS,
@@ -112,7 +120,7 @@ def top_assets(
         .filter(F.col("rank") <= max(limits.values()))
         .filter(F.col("rank") <= limit)
     )
-    totals = _flags(elements).groupBy("doc_id").agg(*[F.count_if(p).alias(f"_n_{p}") for p in limits])
+    totals = asset_flags(assets).groupBy("doc_id").agg(*[F.count_if(p).alias(f"_n_{p}") for p in limits])
     total = F.when(F.col("prefix") == "t", F.col("_n_t")).when(F.col("prefix") == "c", F.col("_n_c")).otherwise(
         F.col("_n_f")
     )
@@ -139,12 +147,12 @@ def boundary_reasons(assets: DataFrame) -> DataFrame:
     return boundary_cases(assets).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-def page_contents(documents: DataFrame, elements: DataFrame, assets: DataFrame) -> DataFrame:
+def page_contents(documents: DataFrame, assets: DataFrame) -> DataFrame:
     """What is on each page: its data, else its figures, else a pointer to the source.
 
     The per-page verdict is a small aggregate; assets look it up by (document, page).
     """
-    page = _flags(elements).groupBy("doc_id", "page").agg(
+    page = asset_flags(assets).groupBy("doc_id", "page").agg(
         F.bool_or(F.col("t") | F.col("c")).alias("has_data"), F.bool_or("f").alias("has_figure")
     )
     shown = assets.filter("prefix = 'f' OR (parsed_ok AND prefix IN ('t', 'c'))")
@@ -166,56 +174,75 @@ def page_contents(documents: DataFrame, elements: DataFrame, assets: DataFrame)
     )
 
 
-def document_meta(documents: DataFrame, elements: DataFrame, assets: DataFrame) -> DataFrame:
-    """Machine-readable summary of each document as JSON text.
+def _items() -> dict:
+    """The lists of a document's summary: which rows, in which order, with which fields."""
+    col = F.col
+    return {
+        "footnotes": (col("prefix") == "n", ["seq"], dict(page=col("page"), markdown=col("markdown"))),
+        "boundary_cases": (
+            col("reason").isNotNull(),
+            ["seq"],
+            dict(page=col("page"), index=col("index"), reason=col("reason"), fallback_path=col("fallback")),
+        ),
+        "files": (
+            col("parsed_ok") & col("prefix").isin("t", "c"),
+            [(col("prefix") == "c").alias("section"), "seq"],
+            dict(
+                type=col("kind"), path=col("name"), page=col("page"), caption=col("caption"), rows=col("n_rows"), cols=col("n_cols")
+            ),
+        ),
+        "figures": (
+            col("prefix") == "f",
+            ["seq"],
+            dict(
+                index=col("index"),
+                page=col("page"),
+                figure_type=col("figure_type"),
+                description=col("description"),
+                caption=col("caption"),
+            ),
+        ),
+    }
+
+
+KEEP_NULLS = {"ignoreNullFields": "false"}
+
+
+def _json_options(name):
+    """Absent fallback paths are left out, other nulls are written."""
+    return {} if name == "boundary_cases" else KEEP_NULLS
+
 
-    ``assets`` comes from ``visuals(figures=True, notes=True)``.  Lists are gathered per
-    block of positions, where the rows already are; a document longer than one block
-    continues in ``part`` 1, 2, ..., so a list never outgrows a task.
+def meta_items(assets: DataFrame) -> DataFrame:
+    """The entries of all summaries, one row each (``doc_id, list, seq, item``): the form to store
+    where documents are very long.  ``assets`` comes from ``visuals(figures=True, notes=True)``."""
+    known = assets.withColumn("reason", boundary_reason()).withColumn("fallback", fallback_path())
+    entries = [
+        F.when(when, F.struct(F.lit(name).alias("list"), F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()]), _json_options(name)).alias("item")))
+        for name, (when, _, fields) in _items().items()
+    ]
+    found = known.select("doc_id", "seq", F.explode(F.array_compact(F.array(*entries))).alias("e"))
+    return found.select("doc_id", "e.list", "seq", "e.item")
+
+
+def document_meta(documents: DataFrame, assets: DataFrame) -> DataFrame:
+    """Machine-readable summary of each document as JSON text, one row per document of any size.
+
+    ``assets`` comes from ``visuals(figures=True, notes=True)``.
     """
 
-    def rows(when: Column, order, **fields):
+    def rows(when: Column, order, fields):
         item = F.struct(*order, F.struct(*[c.alias(n) for n, c in fields.items()]).alias("v"))
         return F.transform(F.array_sort(F.collect_list(F.when(when, item))), lambda x: x.v)
 
     col = F.col
-    is_file = col("parsed_ok") & col("prefix").isin("t", "c")
     lists = (
         assets.withColumn("reason", boundary_reason())
         .withColumn("fallback", fallback_path())
-        .groupBy("doc_id", col("_block").alias("part"))
-        .agg(
-            rows(col("prefix") == "n", ["seq"], page=col("page"), markdown=col("markdown")).alias("footnotes"),
-            rows(
-                col("reason").isNotNull(),
-                ["seq"],
-                page=col("page"),
-                index=col("index"),
-                reason=col("reason"),
-                fallback_path=col("fallback"),
-            ).alias("boundary"),
-            rows(
-                is_file,
-                [(col("prefix") == "c").alias("section"), "seq"],
-                type=col("kind"),
-                path=col("name"),
-                page=col("page"),
-                caption=col("caption"),
-                rows=col("n_rows"),
-                cols=col("n_cols"),
-            ).alias("files"),
-            rows(
-                col("prefix") == "f",
-                ["seq"],
-                index=col("index"),
-                page=col("page"),
-                figure_type=col("figure_type"),
-                description=col("description"),
-                caption=col("caption"),
-            ).alias("figures"),
-        )
+        .groupBy("doc_id")
+        .agg(*[rows(*parts).alias(name) for name, parts in _items().items()])
     )
-    counts = document_counts(documents, elements).select(
+    counts = document_counts(documents, None, asset_flags(assets)).select(
         "doc_id", F.struct("tables", "charts", "figures", "footnotes").alias("counts")
     )
     head = documents.select(
@@ -224,28 +251,17 @@ def document_meta(documents: DataFrame, elements: DataFrame, assets: DataFrame)
         F.coalesce("model", F.lit(K.DEFAULT_MODEL)).alias("model"),
     )
     full = head.join(counts, "doc_id").join(lists, "doc_id", "left")
-    keep = {"ignoreNullFields": "false"}
-    empty = F.lit("[]")
-
     def listing(name):
-        return F.coalesce(F.to_json(col(name), keep), empty)
+        return F.coalesce(F.to_json(col(name), _json_options(name)), F.lit("[]"))
 
-    boundary = F.coalesce(F.to_json(col("boundary")), empty)
     meta = F.concat(
         F.lit('{"source":'),
-        F.to_json("source", keep),
+        F.to_json("source", KEEP_NULLS),
         F.lit(',"model":'),
         F.regexp_replace(F.to_json(F.array("model")), r"^\[|\]$", ""),
         F.lit(',"counts":'),
-        F.to_json("counts", keep),
-        F.lit(',"footnotes":'),
-        listing("footnotes"),
-        F.lit(',"boundary_cases":'),
-        boundary,
-        F.lit(',"files":'),
-        listing("files"),
-        F.lit(',"figures":'),
-        listing("figures"),
+        F.to_json("counts", KEEP_NULLS),
+        *[x for name in _items() for x in (F.lit(f',"{name}":'), listing(name))],
         F.lit("}"),
     )
-    return full.select("doc_id", F.coalesce("part", F.lit(0)).alias("part"), meta.alias("meta"))
+    return full.select("doc_id", meta.alias("meta"))

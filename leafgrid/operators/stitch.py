@@ -5,16 +5,28 @@ from pyspark.sql import functions as F
 
 from leafgrid.functions.prefix import BLOCK, running
 from leafgrid.functions import html as H
+from leafgrid.functions.joins import look_up
 from leafgrid.operators.elements import asset_rows
-from leafgrid.session import stage
+from leafgrid.operators.tables import table_cells
 
+FURNITURE = ("header", "footer")
 
-def stitched_parts(elements: DataFrame, width: int = BLOCK) -> DataFrame:
+
+def page_edges(elements: DataFrame) -> DataFrame:
+    """First and last position of each page, page headers, footers and numbers aside."""
+    body = elements.filter(~F.coalesce(F.col("category").isin(*FURNITURE), F.lit(False)))
+    return body.groupBy("doc_id", "page").agg(F.min("seq").alias("_top"), F.max("seq").alias("_bottom"))
+
+
+def stitched_parts(elements: DataFrame, width: int = BLOCK, keep=lambda df, name: df) -> DataFrame:
     """Real tables with the table they continue: ``stitched_id`` is the ``seq`` of the
     first part, ``row_offset`` the number of data rows in the parts before.
 
-    A table continues the previous one of its document if that lies on the page before,
-    has the same width and header, and the table has no caption.
+    A table continues the previous one of its document if it starts its page, that one ends the page
+    before, both have the same width and header, and the table has no caption.
+
+    Lazy; ``keep(df, name)`` may store the two intermediate results that are read twice
+    (``session.stage`` does).
     """
     facts = F.get(
         F.transform(
@@ -33,19 +45,22 @@ def stitched_parts(elements: DataFrame, width: int = BLOCK) -> DataFrame:
     tables = tables.filter("prefix = 't' AND fact.n_cols IS NOT NULL").select(
         "doc_id", "seq", "page", "caption", "fact.*"
     )
-    here = F.struct("seq", "page", "n_cols", "signature")
-    tables = stage(tables.withColumn("_here", here), "tables")
+    tables = look_up(tables.filter("page IS NOT NULL"), page_edges(elements), ["doc_id", "page"])
+    here = F.struct("seq", "page", "n_cols", "signature", (F.col("seq") == F.col("_bottom")).alias("ends"))
+    tables = keep(tables.withColumn("_here", here), "tables")
     seen = running(tables, ["doc_id"], "seq", sums=["n_body"], lasts=["_here"], width=width)
     last = F.col("prev__here")
     continues = F.coalesce(
         (last.page == F.col("page") - 1)
+        & last.ends
+        & (F.col("seq") == F.col("_top"))
         & (last.n_cols == F.col("n_cols"))
         & (last.signature == F.col("signature"))
         & F.col("caption").isNull(),
         F.lit(False),
     )
     start = F.when(~continues, F.struct("seq", F.col("prev_n_body").alias("before")))
-    chains = stage(
+    chains = keep(
         seen.select("doc_id", "seq", "n_head", "prev_n_body", continues.alias("continues"), start.alias("_start")),
         "chains",
     )
@@ -61,8 +76,10 @@ def stitched_parts(elements: DataFrame, width: int = BLOCK) -> DataFrame:
     )
 
 
-def stitch_cells(cells: DataFrame, parts: DataFrame) -> DataFrame:
-    """Cells of stitched tables: repeated headers dropped, rows renumbered."""
-    whole = cells.join(parts, ["doc_id", "seq"]).filter("NOT (continues AND is_header)")
+def stitch_cells(grids: DataFrame, parts: DataFrame) -> DataFrame:
+    """Cells of stitched tables: repeated headers dropped, rows renumbered.  Grids meet their
+    parts before they are exploded."""
+    whole = grids.join(parts.drop("n_head"), ["doc_id", "seq"])
+    cells = table_cells(whole, "stitched_id", "continues", "row_offset").filter("NOT (continues AND is_header)")
     row = F.when(F.col("is_header"), F.col("row")).otherwise(F.col("row") + F.col("row_offset"))
-    return whole.select("doc_id", "stitched_id", row.cast("long").alias("row"), "col", "is_header", "text")
+    return cells.select("doc_id", "stitched_id", row.cast("long").alias("row"), "col", "is_header", "text")

@@ -47,7 +47,7 @@ ord AS (
     CAST(ROW_NUMBER() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS INT) - 1 i FROM orders),
 j AS (
   SELECT o.*, COALESCE(t.bh, '') bh, COALESCE(t.bm, '') bm, COALESCE(t.cnt, 0) cnt,
-    CAST(FLOOR(i / 2) AS INT) + 1 page FROM ord o LEFT JOIN tab t ON o.ok = t.ok),
+    CAST(FLOOR(i / 2) AS INT) + 1 page, CAST(o.ok // 10 % 3 AS INT) v FROM ord o LEFT JOIN tab t ON o.ok = t.ok),
 el0 AS (
   SELECT doc_id, i * 3 seq, page,
     CASE WHEN ok % 3 = 0 THEN 'caption' WHEN ok % 3 = 1 THEN 'heading1' ELSE 'paragraph' END category,
@@ -63,6 +63,8 @@ el0 AS (
     CASE WHEN k = 6 THEN '<figure><p>no data</p></figure>'
          WHEN k = 8 THEN '<figure><figcaption><p class="figure-type">diagram, ' || pr || '</p><p class="figure-description">흐름 흐름 흐름 | ' || ok || '</p></figcaption></figure>'
          WHEN bh = '' THEN '<table></table>'
+         WHEN v = 1 THEN '<TABLE class="t"><!-- x > y --><TR><TH scope="col">구분</TH><TH>항목</TH><TH>합계</TH><TH>건수</TH></TR><tbody><tr style="display: none"><td>숨김</td></tr>' || bh || '</tbody></TABLE>'
+         WHEN v = 2 THEN '<table><thead><tr><th>kind</th><th>line</th><th>sum</th><th>count</th></tr></thead><tbody>' || replace(bh, '주문', '&#111;rder') || '</tbody></table>'
          ELSE '<table><thead><tr><th rowspan="2">구분</th><th rowspan="2">항목</th><th colspan="2">수량</th></tr><tr><th>합계</th><th>건수</th></tr></thead><tbody>' || bh || '</tbody></table>' END FROM j
   UNION ALL
   SELECT doc_id, i * 3 + 2, page, CASE WHEN ok % 4 = 0 THEN 'table' ELSE 'paragraph' END,
@@ -85,7 +87,7 @@ cand AS (
     COALESCE(NULLIF({_strip(f"regexp_replace(raw, '{K.CAPTION_PREFIX}', '')")}, ''), raw) caption
   FROM raw WHERE raw <> '' AND (category = 'caption' OR (category = 'heading1' AND length(raw) < {K.HEADING_LENGTH}))),
 vis AS (
-  SELECT CAST(doc_id AS BIGINT) doc_id, i * 3 + 1 AS seq, page, ok, pr, k, cnt,
+  SELECT CAST(doc_id AS BIGINT) doc_id, i * 3 + 1 AS seq, i, page, ok, pr, k, v, CASE v WHEN 0 THEN 2 ELSE 1 END n_head, cnt,
     CASE WHEN k <= 4 THEN 'real_table' WHEN k <= 6 THEN 'chart' WHEN k = 7 THEN 'chart_misid'
          WHEN k = 8 THEN 'figure' ELSE 'other' END label,
     CASE WHEN k <= 4 THEN 't' WHEN k <= 7 THEN 'c' WHEN k = 8 THEN 'f' END prefix,
@@ -118,15 +120,17 @@ boundary AS (
 notes AS (SELECT doc_id, seq, page, md markdown FROM lab WHERE label = 'footnote'),
 data AS (SELECT * FROM vis WHERE parsed_ok AND prefix IN ('t', 'c')),
 heads AS (
-  SELECT * FROM (VALUES {_values([(0, 0, "구분"), (0, 1, "항목"), (0, 2, "수량"), (0, 3, "수량"),
-                                  (1, 0, "구분"), (1, 1, "항목"), (1, 2, "합계"), (1, 3, "건수")])}) t("row", col, "text")),
+  SELECT * FROM (VALUES {_values([(0, 0, 0, "구분"), (0, 0, 1, "항목"), (0, 0, 2, "수량"), (0, 0, 3, "수량"),
+                                  (0, 1, 0, "구분"), (0, 1, 1, "항목"), (0, 1, 2, "합계"), (0, 1, 3, "건수"),
+                                  (1, 0, 0, "구분"), (1, 0, 1, "항목"), (1, 0, 2, "합계"), (1, 0, 3, "건수"),
+                                  (2, 0, 0, "kind"), (2, 0, 1, "line"), (2, 0, 2, "sum"), (2, 0, 3, "count")])}) t(v, "row", col, "text")),
 bodies AS (
-  SELECT d.doc_id, d.seq, d.page, d.label, d.ok, CAST(r.rn + 1 AS INT) "row", c.col,
-    CASE c.col WHEN 0 THEN '주문' WHEN 1 THEN CAST(r.no AS VARCHAR) WHEN 2 THEN CAST(r.qty AS VARCHAR)
-      ELSE CAST(r.n AS VARCHAR) END "text", r.no, r.qty, r.n
+  SELECT d.doc_id, d.seq, d.page, d.label, d.ok, d.v, d.n_head, CAST(r.rn - 1 + d.n_head AS INT) "row", c.col,
+    CASE c.col WHEN 0 THEN CASE d.v WHEN 2 THEN 'order' ELSE '주문' END WHEN 1 THEN CAST(r.no AS VARCHAR)
+      WHEN 2 THEN CAST(r.qty AS VARCHAR) ELSE CAST(r.n AS VARCHAR) END "text", r.no, r.qty, r.n
   FROM data d JOIN rk r ON r.ok = d.ok CROSS JOIN (VALUES (0), (1), (2), (3)) c(col)),
 cells AS (
-  SELECT d.doc_id, d.seq, h."row", h.col, true is_header, h."text" FROM data d CROSS JOIN heads h
+  SELECT d.doc_id, d.seq, h."row", h.col, true is_header, h."text" FROM data d JOIN heads h ON h.v = d.v
   UNION ALL SELECT doc_id, seq, "row", col, false, "text" FROM bodies),
 docs AS (
   SELECT CAST(o_custkey AS BIGINT) doc_id, CAST((COUNT(*) - 1) // 2 + 1 AS INT) n_pages,
@@ -175,7 +179,7 @@ entries AS (
     'response-' || doc_id response, {START} + doc_id * 3600 ts FROM documents WHERE doc_id % 3 = 0),
 fresh AS (
   SELECT substring(sha256("text"), 1, 16) sha16, CASE WHEN doc_id % 4 = 0 THEN 'enhanced' ELSE 'standard' END "mode",
-    'response-' || doc_id response, {START} + doc_id * 3600 ts FROM documents WHERE doc_id % 2 = 0),
+    'response-' || doc_id response, {START} + doc_id * 3600 ts FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 <> 0),
 usable AS (
   SELECT r.doc_id, e."mode" IS NOT NULL exact, e.response,
     ROW_NUMBER() OVER (PARTITION BY r.doc_id ORDER BY (e."mode" IS NOT NULL) DESC, e.ts DESC) rn
@@ -192,17 +196,18 @@ found AS (
   FROM wanted w JOIN files f ON contains(lower(nfc_normalize(f.stem)), lower(nfc_normalize(w.term)))
     AND f.ext_l IN (SELECT ext FROM mimes)),
 gold AS (
-  SELECT CAST(doc_id AS BIGINT) doc_id, i * 3 + 1 seq, j.ok, k, r.qty, j.ok % 5 g,
+  SELECT CAST(doc_id AS BIGINT) doc_id, i * 3 + 1 seq, j.ok, k, v, r.qty, j.ok % 5 g,
     CASE j.ok % 5 WHEN 0 THEN CAST(r.qty AS DOUBLE) * 1.04e0 WHEN 1 THEN CAST(r.qty AS DOUBLE) * 1.1e0
       WHEN 2 THEN 0e0 ELSE CAST(r.qty AS DOUBLE) END expected
   FROM j JOIN rk r ON r.ok = j.ok AND r.rn = 1),
 gold_hits AS (
   SELECT doc_id, seq, CASE WHEN g = 3 THEN '없음' ELSE '주문' END row_label, '{CHART_COLUMNS[0]}' col_name, expected,
-    CASE WHEN g <> 3 AND k NOT IN (6, 8, 9) THEN CAST(qty AS DOUBLE) END actual,
+    CASE WHEN v = 0 AND g <> 3 AND k NOT IN (6, 8, 9) THEN CAST(qty AS DOUBLE) END actual,
     COALESCE(CASE WHEN expected = 0 THEN abs(actual) < {K.ZERO_TOLERANCE}
       ELSE abs(actual - expected) / abs(expected) <= 0.05 END, false) hit FROM gold),
 joined AS (
-  SELECT ok, STRING_AGG('주문 ' || no || ' ' || qty || ' ' || n, ' ' ORDER BY no) s FROM ln GROUP BY ok),
+  SELECT ok, STRING_AGG(CASE ok // 10 % 3 WHEN 2 THEN 'order ' ELSE '주문 ' END || no || ' ' || qty || ' ' || n, ' ' ORDER BY no) s
+  FROM ln GROUP BY ok),
 strings AS (
   SELECT CAST(doc_id AS BIGINT) doc_id, i * 3 + 1 seq,
     CASE WHEN k IN (6, 8, 9) THEN 0 ELSE contains(s, '주문')::INT + contains(s, r.no::VARCHAR)::INT
@@ -231,13 +236,14 @@ rollup_rows AS (
   FROM docs d CROSS JOIN (VALUES ('complex_table'), ('chart_to_data'), ('volumes'), ('unchecked')) s(scenario)
   LEFT JOIN checks c ON c.doc_id = d.doc_id AND c.scenario = s.scenario GROUP BY d.doc_id, s.scenario),
 real AS (
-  SELECT *, LAG(page) OVER (PARTITION BY doc_id ORDER BY seq) before FROM assets
-  WHERE label = 'real_table' AND parsed_ok),
-linked AS (SELECT *, COALESCE(before = page - 1 AND caption IS NULL, false) continues FROM real),
+  SELECT *, LAG(STRUCT_PACK(page, v, ends := i % 2 = 1 AND (doc_id + i) % 3 <> 0)) OVER (PARTITION BY doc_id ORDER BY seq) before,
+    i % 2 = 0 AND (doc_id + i) % 4 <> 0 starts
+  FROM vis WHERE label = 'real_table' AND parsed_ok),
+linked AS (SELECT *, COALESCE(before.page = page - 1 AND before.v = v AND before.ends AND starts, false) continues FROM real),
 chains AS (
   SELECT *, MAX(CASE WHEN NOT continues THEN seq END) OVER (PARTITION BY doc_id ORDER BY seq) stitched_id FROM linked),
 parts AS (
-  SELECT *, COALESCE(SUM(n_rows) OVER (PARTITION BY doc_id, stitched_id ORDER BY seq
+  SELECT *, COALESCE(SUM(cnt) OVER (PARTITION BY doc_id, stitched_id ORDER BY seq
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) row_offset FROM chains),
 said AS (
   SELECT 'figures' origin, doc_id, seq, description "text" FROM assets WHERE prefix = 'f'
@@ -259,8 +265,21 @@ def _listing(source: str, item: str, order: str, name: str, where: str = "true")
     return f"(SELECT doc_id, '[' || STRING_AGG({item}, ',' ORDER BY {order}) || ']' {name} FROM {source} WHERE {where} GROUP BY doc_id)"
 
 
+_ITEMS = """
+SELECT doc_id, 'footnotes' list, seq, json_object('page', page, 'markdown', markdown)::VARCHAR item FROM notes
+UNION ALL
+SELECT doc_id, 'boundary_cases', seq, CASE WHEN fallback_path IS NULL THEN json_object('page', page, 'index', "index", 'reason', reason)
+  ELSE json_object('page', page, 'index', "index", 'reason', reason, 'fallback_path', fallback_path) END::VARCHAR FROM boundary
+UNION ALL
+SELECT doc_id, 'files', seq, json_object('type', kind, 'path', "name", 'page', page, 'caption', caption, 'rows', n_rows, 'cols', n_cols)::VARCHAR
+FROM assets WHERE parsed_ok AND prefix <> 'f'
+UNION ALL
+SELECT doc_id, 'figures', seq, json_object('index', idx, 'page', page, 'figure_type', figure_type, 'description', description, 'caption', caption)::VARCHAR
+FROM assets WHERE prefix = 'f'
+"""
+
 _META = f"""
-SELECT m.doc_id, CAST(0 AS BIGINT) part,
+SELECT m.doc_id,
   '{{"source":' || json_object('name', "name", 'sha256', sha, 'pages', usage_pages)
   || ',"model":' || to_json(COALESCE(model, '{K.DEFAULT_MODEL}'))
   || ',"counts":' || json_object('tables', tables, 'charts', charts, 'figures', counts.figures, 'footnotes', counts.footnotes)
@@ -312,19 +331,23 @@ SELECT doc_id, CAST(c AS INT) chunk_no, CAST(c * {CHUNK_PAGES} + 1 AS INT) "star
 FROM (SELECT *, unnest(range(CASE WHEN is_pdf THEN (n_pages - 1) // {CHUNK_PAGES} + 1 ELSE 1 END)) c FROM docs)""",
     "merge_chunks": "SELECT doc_id, seq, page, category, markdown, html FROM el",
     "merge_contents": """
-SELECT doc_id, CAST(chunk_no // 2 AS INT) segment_no,
+SELECT doc_id,
   COALESCE(STRING_AGG(html || chr(10) || chr(10), '' ORDER BY chunk_no) FILTER (html <> ''), '') html,
   COALESCE(STRING_AGG(markdown || chr(10) || chr(10), '' ORDER BY chunk_no) FILTER (markdown <> ''), '') markdown,
-  '' "text" FROM chunks GROUP BY doc_id, chunk_no // 2""",
+  '' "text" FROM chunks GROUP BY doc_id""",
+    "content_parts": """
+SELECT doc_id, chunk_no, NULLIF(html, '') || chr(10) || chr(10) html, NULLIF(markdown, '') || chr(10) || chr(10) markdown,
+  CAST(NULL AS VARCHAR) "text" FROM chunks""",
     "merge_headers": """
 SELECT doc_id, arg_max(model, chunk_no) FILTER (model IS NOT NULL) model, CAST(SUM(pages) AS BIGINT) pages
 FROM chunks GROUP BY doc_id""",
     "restore_page_offset": "SELECT doc_id, seq, page FROM picked",
-    "missing_chunks": f"""
-SELECT doc_id, planned, received FROM (
-  SELECT doc_id, CAST((n_pages - 1) // {CHUNK_PAGES} + 1 AS BIGINT) planned,
-    CAST(COALESCE((SELECT COUNT(*) FROM chunks c WHERE c.doc_id = d.doc_id AND (c.doc_id + c.chunk_no) % 7 <> 3), 0) AS BIGINT) received
-  FROM docs d) WHERE planned <> received""",
+    "missing_chunks": """
+SELECT *, missing > 0 OR unplanned > 0 failed FROM (
+  SELECT d.doc_id, COUNT(c.chunk_no) planned, COUNT(*) FILTER (g <> 3) received, COUNT(*) FILTER (g = 3) missing,
+    COUNT(*) FILTER (g = 4) repeated, CAST((d.doc_id % 17 = 1)::INT AS BIGINT) unplanned
+  FROM docs d JOIN (SELECT *, (doc_id + chunk_no) % 7 g FROM chunks) c USING (doc_id) GROUP BY d.doc_id)
+WHERE missing + repeated + unplanned > 0""",
     "elements": f"""
 SELECT doc_id, chunk_no, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id, chunk_no ORDER BY seq) - 1 AS INT) seq,
   page - chunk_no * {CHUNK_PAGES} page, category, markdown, html FROM chunked""",
@@ -342,12 +365,22 @@ SELECT label, COUNT(*) n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) share
 FROM lab WHERE category = 'table' GROUP BY label""",
     "table_cells": "SELECT * FROM cells",
     "table_headers": f"""
-SELECT doc_id, seq, col, "name", 2 n_levels
-FROM data CROSS JOIN (VALUES (0, '구분'), (1, '항목'), (2, '{CHART_COLUMNS[0]}'), (3, '{CHART_COLUMNS[1]}')) h(col, "name")""",
+SELECT d.doc_id, d.seq, h.col, h."name", d.n_head n_levels
+FROM data d JOIN (VALUES (0, 0, '구분'), (0, 1, '항목'), (0, 2, '{CHART_COLUMNS[0]}'), (0, 3, '{CHART_COLUMNS[1]}'),
+  (1, 0, '구분'), (1, 1, '항목'), (1, 2, '합계'), (1, 3, '건수'), (2, 0, 'kind'), (2, 1, 'line'), (2, 2, 'sum'), (2, 3, 'count'))
+  h(v, col, "name") ON h.v = d.v""",
     "typed_cells": 'SELECT *, TRY_CAST("text" AS DOUBLE) num FROM cells',
     "table_shapes": "SELECT doc_id, seq, CAST(cnt AS INT) n_rows, 4 n_cols FROM data",
     "parse_failures": "SELECT * FROM boundary",
     "write_assets": 'SELECT c.*, a."name" FROM cells c JOIN assets a USING (doc_id, seq)',
+    "asset_csv": f"""
+SELECT a.doc_id, a.seq, a."name", 0 "row", h.line FROM data d JOIN assets a USING (doc_id, seq)
+JOIN (VALUES (0, '구분,항목,{CHART_COLUMNS[0]},{CHART_COLUMNS[1]}'), (1, '구분,항목,합계,건수'), (2, 'kind,line,sum,count')) h(v, line) ON h.v = d.v
+UNION ALL
+SELECT a.doc_id, a.seq, a."name", CAST(b."row" - b.n_head + 1 AS INT), CASE b.v WHEN 2 THEN 'order' ELSE '주문' END || ',' || no || ',' || qty || ',' || n
+FROM bodies b JOIN assets a USING (doc_id, seq) WHERE b.col = 0""",
+    "write_failures": """
+SELECT a.doc_id, a.seq, a."name", e.html FROM assets a JOIN el e USING (doc_id, seq) WHERE NOT a.parsed_ok AND a.prefix IN ('t', 'c')""",
     "stitch_tables": """
 SELECT p.doc_id, p.stitched_id, CAST(CASE WHEN c.is_header THEN c."row" ELSE c."row" + p.row_offset END AS BIGINT) "row",
   c.col, c.is_header, c."text"
@@ -366,6 +399,7 @@ SELECT doc_id, kind || 's' section, seq, CASE WHEN prefix <> 'f' THEN "name" END
   CASE WHEN length(d) > {K.DESCRIPTION_LENGTH} THEN substring(d, 1, {K.DESCRIPTION_LENGTH}) || '{K.ELLIPSIS}' ELSE d END description
 FROM (SELECT *, replace(description, '|', '\\|') d FROM assets) WHERE {_SHOWN}""",
     "document_meta": _META,
+    "meta_items": _ITEMS,
     "top_assets": f"""
 SELECT doc_id, prefix, CAST(rn AS INT) "rank", CASE WHEN prefix = 'f' THEN figure_type ELSE "name" END entry,
   substring(COALESCE(caption, '{K.NO_TITLE}'), 1, {K.TOP_CAPTION_LENGTH}) title, GREATEST(n - lim, 0) overflow
@@ -393,7 +427,7 @@ FROM (SELECT doc_id, CAST(unnest(range(1, n_pages + 1)) AS INT) page FROM docs)
 LEFT JOIN (SELECT *, ROW_NUMBER() OVER (PARTITION BY doc_id, page ORDER BY n_rows DESC, seq) rn FROM assets
   WHERE label = 'real_table' AND parsed_ok) b ON b.doc_id = p.doc_id AND b.page = p.page AND b.rn = 1""",
     "match_table_by_columns": """
-SELECT doc_id, page, COUNT(*) n_charts, MIN(seq) matched_seq FROM data WHERE prefix = 'c' GROUP BY doc_id, page""",
+SELECT doc_id, page, COUNT(*) n_charts, MIN(seq) FILTER (v = 0) matched_seq FROM data WHERE prefix = 'c' GROUP BY doc_id, page""",
     "hangul_retained": """
 SELECT doc_id, seq, bool_or(regexp_matches("text", '[가-힣]')) retained FROM cells GROUP BY doc_id, seq""",
     "text_integrity": f"""
@@ -424,11 +458,14 @@ FROM said s LEFT JOIN words w ON w.origin = s.origin AND w.doc_id = s.doc_id AND
     "compare_series": """
 SELECT doc_id, seq, CAST(rn - 1 AS INT) "row", CAST(no AS VARCHAR) "label", CAST(qty AS DOUBLE) left_value,
   CAST(n AS DOUBLE) right_value, CAST(qty - n AS DOUBLE) difference, ROUND(qty / n, 6) ratio
-FROM data JOIN rk USING (ok)""",
+FROM data JOIN rk USING (ok) WHERE v = 0""",
     "period_change": """
-SELECT doc_id, seq, "row" - 2 "row", col, CAST("text" AS DOUBLE) num,
-  LAG(CAST("text" AS DOUBLE)) OVER w previous, CAST("text" AS DOUBLE) - LAG(CAST("text" AS DOUBLE)) OVER w "change"
-FROM bodies WHERE col > 0 WINDOW w AS (PARTITION BY doc_id, seq, "row" ORDER BY col)""",
+SELECT doc_id, 0 seq, CAST(rn AS INT) "row", CAST(y - 1991 AS INT) col, num, previous, num - previous "change"
+FROM (SELECT *, LAG(num) OVER (PARTITION BY doc_id, pr ORDER BY y) previous
+  FROM (SELECT doc_id, pr, dense_rank() OVER (PARTITION BY doc_id ORDER BY pr) - 1 rn, unnest(range(1992, 1999)) y
+    FROM (SELECT DISTINCT CAST(o_custkey AS BIGINT) doc_id, o_orderpriority pr FROM orders)) g
+  LEFT JOIN (SELECT o_custkey doc_id, o_orderpriority pr, year(o_orderdate) y, CAST(SUM(CAST(trunc(o_totalprice) AS BIGINT)) AS DOUBLE) num
+    FROM orders GROUP BY ALL) v USING (doc_id, pr, y)) WHERE num IS NOT NULL""",
     "normalize_numbers": """
 SELECT l_orderkey, l_linenumber,
   CASE g WHEN 0 THEN '▲' || comma WHEN 1 THEN '▽ ' || comma WHEN 2 THEN '(' || comma || ')' WHEN 3 THEN qty || '.5%'
@@ -437,7 +474,12 @@ SELECT l_orderkey, l_linenumber,
     WHEN g = 6 THEN NULL ELSE 1000e0 * qty END num,
   CASE g WHEN 3 THEN '%' WHEN 5 THEN '조원' END unit FROM written""",
     "unit_rows": """
-SELECT doc_id, seq, 2 "row", CASE WHEN page % 2 = 1 THEN '건' ELSE '%' END unit FROM data WHERE seq % 2 = 1""",
+SELECT doc_id, seq, n_head "row", col, CASE WHEN page % 2 = 1 THEN '건' ELSE '%' END unit
+FROM data, (VALUES (0), (1), (2), (3)) c(col) WHERE seq % 2 = 1 AND (page % 2 = 1 OR col > 1)""",
+    "unit_cells": """
+SELECT doc_id, seq, CAST("row" + (seq % 2 = 1)::INT AS INT) "row", col, CAST("text" AS DOUBLE) num,
+  CASE WHEN seq % 2 = 1 THEN CASE WHEN page % 2 = 1 THEN '건' WHEN col > 1 THEN '%' END END unit
+FROM bodies WHERE col > 0""",
     "parse_cost": """
 SELECT doc_id, "mode", hit, n_pages,
   CASE WHEN hit THEN 0e0 ELSE ROUND(n_pages * CASE "mode" WHEN 'enhanced' THEN 0.03e0 ELSE 0.01e0 END, 4) END AS "cost"

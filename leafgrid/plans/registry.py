@@ -99,12 +99,18 @@ def _chunks(spark, sf):
 
 @query
 def merge_chunks(spark, sf):
-    return paging.merge_elements(_chunks(spark, sf)).drop("text")
+    # a narrow block, so that documents cross its border
+    return paging.merge_elements(_chunks(spark, sf), width=2).drop("text")
 
 
 @query
 def merge_contents(spark, sf):
-    return paging.merge_contents(_chunks(spark, sf), segment=2)
+    return paging.merge_contents(_chunks(spark, sf))
+
+
+@query
+def content_parts(spark, sf):
+    return paging.content_parts(_chunks(spark, sf))
 
 
 @query
@@ -223,10 +229,22 @@ def write_assets(spark, sf):
     return spark.read.parquet(path).drop("bucket")
 
 
+@query
+def asset_csv(spark, sf):
+    return sinks.asset_csv(X.elements(spark, sf))
+
+
+@query
+def write_failures(spark, sf):
+    path = run_folder(spark, "failures")
+    sinks.write_failures(X.elements(spark, sf), path)
+    return spark.read.parquet(path)
+
+
 @query
 def stitch_tables(spark, sf):
-    e = X.elements(spark, sf)
-    return stitch.stitch_cells(tables.table_cells(tables.table_grids(e)), stitch.stitched_parts(e))
+    e = X.continued_elements(spark, sf)
+    return stitch.stitch_cells(tables.table_grids(e), stitch.stitched_parts(e, width=16))
 
 
 # -- reports -------------------------------------------------------------------------
@@ -264,14 +282,18 @@ def index_rows(spark, sf):
 @query
 def document_meta(spark, sf):
     assets = _assets(spark, sf, figures=True, notes=True)
-    return reports.document_meta(X.documents_meta(spark, sf), X.elements(spark, sf), assets)
+    return reports.document_meta(X.documents_meta(spark, sf), assets)
+
+
+@query
+def meta_items(spark, sf):
+    return reports.meta_items(_assets(spark, sf, figures=True, notes=True))
 
 
 @query
 def top_assets(spark, sf):
-    e = X.elements(spark, sf)
-    assets = tables.visuals(e, shapes=False, figures=True)
-    return reports.top_assets(e, assets, tables=3, charts=2, figures=1)
+    assets = _assets(spark, sf, shapes=False, figures=True)
+    return reports.top_assets(assets, tables=3, charts=2, figures=1)
 
 
 @query
@@ -287,7 +309,7 @@ def boundary_reasons(spark, sf):
 @query
 def page_contents(spark, sf):
     assets = _assets(spark, sf, shapes=False, figures=True)
-    return reports.page_contents(X.documents_meta(spark, sf), X.elements(spark, sf), assets)
+    return reports.page_contents(X.documents_meta(spark, sf), assets)
 
 
 # -- quality -------------------------------------------------------------------------
@@ -295,12 +317,12 @@ def page_contents(spark, sf):
 
 @query
 def golden_cells(spark, sf):
-    return quality.golden_cells(X.golden_numbers(spark, sf), _grids(spark, sf))
+    return quality.golden_cells(X.golden_numbers(spark, sf), X.elements(spark, sf))
 
 
 @query
 def golden_substrings(spark, sf):
-    return quality.golden_substrings(X.golden_strings(spark, sf), _grids(spark, sf))
+    return quality.golden_substrings(X.golden_strings(spark, sf), X.elements(spark, sf))
 
 
 @query
@@ -308,7 +330,7 @@ def largest_table_on_page(spark, sf):
     pages = X.documents_meta(spark, sf).select(
         "doc_id", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page")
     )
-    return quality.largest_table_on_page(pages, _grids(spark, sf), min_rows=5, min_cols=4)
+    return quality.largest_table_on_page(pages, X.elements(spark, sf), min_rows=5, min_cols=4)
 
 
 @query
@@ -339,9 +361,8 @@ def silent_drop_check(spark, sf):
 
 def _rollup(spark, sf):
     e = X.elements(spark, sf)
-    grids = tables.table_grids(e)
-    strings = quality.golden_substrings(X.golden_strings(spark, sf), grids)
-    numbers = quality.golden_cells(X.golden_numbers(spark, sf), grids)
+    strings = quality.golden_substrings(X.golden_strings(spark, sf), e)
+    numbers = quality.golden_cells(X.golden_numbers(spark, sf), e)
     volumes = quality.volume_thresholds(e, THRESHOLDS)
     checks = (
         strings.select("doc_id", F.lit("complex_table").alias("scenario"), "passed")
@@ -389,7 +410,7 @@ def compare_series(spark, sf):
 
 @query
 def period_change(spark, sf):
-    return analysis.period_change(_grids(spark, sf))
+    return analysis.period_change(tables.table_grids(X.period_elements(spark, sf)))
 
 
 @query
@@ -402,7 +423,12 @@ def unit_rows(spark, sf):
     return analysis.unit_rows(tables.table_grids(X.elements_with_units(spark, sf)))
 
 
+@query
+def unit_cells(spark, sf):
+    return analysis.unit_cells(tables.table_grids(X.elements_with_units(spark, sf)))
+
+
 @query
 def parse_cost(spark, sf):
-    looked_up = cache.cache_lookup(X.requests(spark, sf), X.cached(spark, sf))
+    looked_up = cache.cache_hits(X.requests(spark, sf), X.cached(spark, sf))
     return cache.parse_cost(looked_up, X.request_pages(spark, sf), K.PAGE_RATES)

@@ -83,10 +83,23 @@ def elements(spark, sf_dir) -> DataFrame:
         F.coalesce(F.array_join(row_md, ""), none).alias("bm"),
     )
     bh, bm = F.col("bh"), F.col("bm")
+    variant = F.floor(ok / 10) % 3
     head = (
         '<table><thead><tr><th rowspan="2">구분</th><th rowspan="2">항목</th><th colspan="2">수량</th></tr>'
         "<tr><th>합계</th><th>건수</th></tr></thead><tbody>"
     )
+    # one header row, upper-case tags, attributes, a comment, a hidden row
+    single = (
+        '<TABLE class="t"><!-- x > y --><TR><TH scope="col">구분</TH><TH>항목</TH><TH>합계</TH><TH>건수</TH></TR>'
+        '<tbody><tr style="display: none"><td>숨김</td></tr>'
+    )
+    # no Hangul, a numeric character reference
+    english = "<table><thead><tr><th>kind</th><th>line</th><th>sum</th><th>count</th></tr></thead><tbody>"
+    whole = (
+        F.when(variant == 0, _text(head, bh, "</tbody></table>"))
+        .when(variant == 1, _text(single, bh, "</tbody></TABLE>"))
+        .otherwise(_text(english, F.replace(bh, F.lit("주문"), F.lit("&#111;rder")), "</tbody></table>"))
+    )
     figure = _text(
         '<figure><figcaption><p class="figure-type">diagram, ', pr,
         '</p><p class="figure-description">흐름 흐름 흐름 | ', s(ok), "</p></figcaption></figure>",
@@ -112,7 +125,7 @@ def elements(spark, sf_dir) -> DataFrame:
         F.when(k == 6, "<figure><p>no data</p></figure>")
         .when(k == 8, figure)
         .when(bh == "", "<table></table>")
-        .otherwise(_text(head, bh, "</tbody></table>"))
+        .otherwise(whole)
         .alias("html"),
     )
     note = ok % 4 == 0
@@ -128,6 +141,37 @@ def elements(spark, sf_dir) -> DataFrame:
     )
 
 
+def continued_elements(spark, sf_dir) -> DataFrame:
+    """Elements of which some tables start or end their page: the second order of a page loses its
+    last element, the first one its title, or the title is a page header."""
+    i = F.expr("seq div 3")
+    kind, case = F.col("seq") % 3, F.col("doc_id") + i
+    title = (kind == 0) & (i % 2 == 0)
+    gone = (title & (case % 4 > 1)) | ((kind == 2) & (i % 2 == 1) & (case % 3 != 0))
+    e = elements(spark, sf_dir).filter(~gone)
+    return e.withColumn("category", F.when(title & (case % 4 == 1), "header").otherwise(F.col("category")))
+
+
+YEARS = range(1992, 1999)
+
+
+def period_elements(spark, sf_dir) -> DataFrame:
+    """One table per customer: order totals by priority (rows) and year (columns)."""
+    o = table(spark, sf_dir, "orders").groupBy(
+        F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("pr"), F.year("o_orderdate").alias("y")
+    ).agg(F.sum(F.col("o_totalprice").cast("bigint")).alias("v"))
+    per_row = o.groupBy("doc_id", "pr").agg(*[F.coalesce(F.sum(F.when(F.col("y") == y, F.col("v"))).cast("string"), F.lit("-")).alias(f"y{y}") for y in YEARS])
+    cells = F.concat(*[_text("<td>", F.col(f"y{y}"), "</td>") for y in YEARS])
+    row = per_row.select("doc_id", F.struct("pr", _text("<tr><td>", F.col("pr"), "</td>", cells, "</tr>").alias("h")).alias("r"))
+    rows = row.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
+    head = "<table><tr><th>구분</th>" + "".join(f"<th>{y}</th>" for y in YEARS) + "</tr>"
+    html = _text(head, F.array_join(F.transform("rows", lambda r: r.h), ""), "</table>")
+    none = F.lit(None).cast("string")
+    return rows.select(
+        "doc_id", F.lit(0).alias("seq"), F.lit(1).alias("page"), F.lit("table").alias("category"), F.lit("| 1 |").alias("markdown"), none.alias("text"), html.alias("html")
+    )
+
+
 def documents_meta(spark, sf_dir) -> DataFrame:
     """One row per document; every 13th reports no page count, every third no model."""
     doc = F.col("doc_id")
@@ -188,9 +232,14 @@ def raw_responses(spark, sf_dir) -> DataFrame:
 
 
 def received_responses(spark, sf_dir) -> DataFrame:
-    """Keys of the responses that arrived; some chunks got lost."""
-    r = responses(spark, sf_dir).select("doc_id", "chunk_no")
-    return r.filter((F.col("doc_id") + F.col("chunk_no")) % 7 != 3)
+    """Keys of the responses that arrived: some chunks got lost, some came twice (in some
+    documents as often as others got lost), some nobody asked for."""
+    doc, no = F.col("doc_id"), F.col("chunk_no")
+    r = responses(spark, sf_dir).select("doc_id", "chunk_no").filter((doc + no) % 7 != 3)
+    times = F.when((doc + no) % 7 == 4, 2).otherwise(1)
+    twice = r.withColumn("n", F.explode(F.sequence(F.lit(1), times))).drop("n")
+    extra = documents_meta(spark, sf_dir).filter(doc % 17 == 1).select("doc_id", F.lit(999).alias("chunk_no"))
+    return twice.unionByName(extra)
 
 
 def page_requests(spark, sf_dir) -> DataFrame:
@@ -247,7 +296,8 @@ def cached(spark, sf_dir) -> DataFrame:
 
 def new_entries(spark, sf_dir) -> DataFrame:
     doc = F.col("doc_id")
-    return _entries(spark, sf_dir, doc % 2 == 0, F.when(doc % 4 == 0, "enhanced").otherwise("standard"))
+    chosen = (doc % 2 == 0) | (doc % 3 != 0)
+    return _entries(spark, sf_dir, chosen, F.when(doc % 4 == 0, "enhanced").otherwise("standard"))
 
 
 def request_pages(spark, sf_dir) -> DataFrame:

@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from leafgrid.operators import cache, catalog, elements, reports, tables
+from leafgrid.operators import cache, catalog, elements, paging, reports, tables
 
 
 @pytest.fixture(scope="module")
@@ -90,36 +90,83 @@ def test_top_lists_are_cut_before_the_shuffle(spark):
     assert [r.n_matches for r in catalog.search_documents(known, ["x99"]).collect()] == [11] * 10
 
 
-def test_a_hot_hash_is_split(spark):
-    """Most requests carry one text; adaptive execution splits its partition."""
-    requests = spark.range(0, 400000, 1, 4).select(
+SKEW = {
+    "spark.sql.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+    "spark.sql.shuffle.partitions": "16",
+    "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
+    "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+    "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
+}
+
+
+@pytest.fixture
+def skew(spark):
+    before = {k: spark.conf.get(k, None) for k in SKEW}
+    for k, v in SKEW.items():
+        spark.conf.set(k, v)
+    yield
+    for k, v in before.items():
+        spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+@pytest.fixture(scope="module")
+def requests(spark):
+    """Most requests carry one text; the mode is a real column."""
+    return spark.range(0, 400000, 1, 4).select(
         F.col("id").alias("doc_id"),
         F.when(F.col("id") % 10 < 7, "hot").otherwise(F.col("id").cast("string")).alias("sha16"),
-        F.lit("enhanced").alias("mode"),
+        F.when(F.col("id") % 10 < 9, "enhanced").otherwise("standard").alias("mode"),
     )
-    entries = requests.filter("doc_id % 2 = 0").select(
+
+
+@pytest.fixture(scope="module")
+def entries(requests):
+    return requests.filter("doc_id % 2 = 0").select(
         "sha16", "mode", F.col("doc_id").cast("string").alias("response"), F.col("doc_id").alias("ts")
     )
-    settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.shuffle.partitions": "16",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "100k",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "200k",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for k, v in settings.items():
-        spark.conf.set(k, v)
-    try:
-        found = cache.cache_lookup(requests, entries)
-        assert found.filter("hit").count() > 280000
+
+
+def test_a_hot_hash_is_split(skew, requests, entries):
+    for look in (cache.cache_lookup, cache.cache_hits):
+        found = look(requests, entries)
         rows = found.collect()
-        assert len(rows) == 400000
+        assert len(rows) == 400000 and sum(r.hit for r in rows) > 280000
         assert "skew=true" in plan(found)
-    finally:
-        for k, v in before.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    missed = cache.cache_misses(requests, entries)
+    assert len(missed.collect()) < 120000
+    assert "skew=true" in plan(missed)
+
+
+def test_a_hot_document_of_requests_is_split(spark, skew):
+    rows = spark.range(0, 300000, 1, 4).select(
+        F.when(F.col("id") < 250000, 0).otherwise(F.col("id")).cast("long").alias("doc_id"),
+        F.col("id").cast("int").alias("seq"),
+        (F.col("id") % 9 + 1).cast("int").alias("page"),
+    )
+    asked = spark.range(300000).select(
+        F.col("id").alias("doc_id"), F.lit(True).alias("is_pdf"), F.lit(9).alias("n_pages"), F.lit("2-3").alias("spec")
+    )
+    asked = asked.groupBy("doc_id").agg(F.first("is_pdf").alias("is_pdf"), F.max("n_pages").alias("n_pages"), F.max("spec").alias("spec"))
+    found = paging.page_range_filter(rows, asked)
+    assert len(found.collect()) == rows.filter("page IN (2, 3)").count()
+    assert "skew=true" in plan(found)
+
+
+def payload_nodes(df, column):
+    """Aggregates and windows of the plan that hold a column."""
+    text = df._jdf.queryExecution().executedPlan().toString()
+    return [x for x in text.splitlines() if re.search("Aggregate|Window", x) and column in x.split("Arguments")[0]]
+
+
+def test_payloads_stay_out_of_aggregates(spark, requests, entries):
+    assert not payload_nodes(cache.cache_hits(requests, entries), "response#")
+    lookup = cache.cache_lookup(requests, entries)
+    # only entries equal in key, time and hash are reduced by their text
+    assert all("ts#" in x for x in payload_nodes(lookup, "first(response"))
+    schema = "doc_id long, chunk_no int, offset int, elements array<struct<category:string,page:int,content:struct<html:string,markdown:string,text:string>>>"
+    chunks = spark.createDataFrame([(1, 0, 0, None)], schema)
+    assert not payload_nodes(paging.merge_elements(chunks), "elements#")
 
 
 def test_no_query_multiplies_its_inputs(spark):

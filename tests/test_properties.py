@@ -145,9 +145,12 @@ def test_merge_does_not_depend_on_the_chunk_size(spark):
         merged = paging.with_offsets(spark.createDataFrame(rows, schema), paging.chunk_plan(docs, size))
         got = {(r.doc_id, r.seq, r.page, r.markdown) for r in paging.merge_elements(merged).collect()}
         assert got == want
-        for doc, parts in itertools.groupby(paging.merge_contents(merged, 2).orderBy("doc_id", "segment_no").collect(), lambda r: r.doc_id):
-            text = "".join(r.markdown for r in parts)
-            assert text.replace("\n\n", "") == "".join(f"m{doc}.{i}" for i in range(60))
+        assert paging.merge_elements(merged, width=2).count() == len(want)
+        whole = {r.doc_id: r.markdown for r in paging.merge_contents(merged).collect()}
+        parts = paging.content_parts(merged).orderBy("doc_id", "chunk_no").collect()
+        for doc in pages:
+            assert whole[doc].replace("\n\n", "") == "".join(f"m{doc}.{i}" for i in range(60))
+            assert whole[doc] == "".join(r.markdown for r in parts if r.doc_id == doc)
 
 
 def test_null_page_stays_null_in_a_merge(spark):
@@ -158,25 +161,32 @@ def test_null_page_stays_null_in_a_merge(spark):
 
 def test_stitching_across_blocks(make):
     rng = random.Random(9)
-    rows, want, page, chain = [], {}, 0, None
-    offset = 0
-    for seq in range(60):
-        page += rng.choice([0, 1, 1, 1, 2])
-        wide = rng.random() < 0.2
-        n = rng.randint(1, 3)
-        head = "<tr><th>a</th><th>b</th></tr>" if wide else "<tr><th>a</th></tr>"
-        body = "".join("<tr><td>%d</td>%s</tr>" % (i, "<td>1</td>" if wide else "") for i in range(n))
-        rows.append((1, seq, page, "table", "1", f"<table>{head}{body}</table>"))
-        linked = chain and chain["page"] == page - 1 and chain["wide"] == wide
+    rows, seq, real = [], 0, []
+    for page in range(1, 60):
+        kinds = [["table"], ["header", "table", "footer"], ["paragraph", "table"], ["table", "paragraph"], ["table", "paragraph", "table"]]
+        for kind in rng.choice(kinds):
+            wide, n = rng.random() < 0.2, rng.randint(1, 3)
+            head = "<tr><th>a</th><th>b</th></tr>" if wide else "<tr><th>a</th></tr>"
+            body = "".join("<tr><td>%d</td>%s</tr>" % (i, "<td>1</td>" if wide else "") for i in range(n))
+            html = f"<table>{head}{body}</table>" if kind == "table" else ""
+            rows.append((1, seq, page, kind, "1", html))
+            if kind == "table":
+                real.append((seq, page, wide, n))
+            seq += 1
+    body = {p: [r[1] for r in rows if r[2] == p and r[3] not in ("header", "footer")] for p in {r[2] for r in rows}}
+    want, before, start, offset = {}, None, None, 0
+    for s, p, wide, n in real:
+        linked = before and before[1] == p - 1 and before[2] == wide and before[0] == max(body[p - 1]) and s == min(body[p])
         if not linked:
-            chain, offset = {"id": seq}, 0
-        want[seq] = (chain["id"], offset)
+            start, offset = s, 0
+        want[s] = (start, offset)
         offset += n
-        chain = {"id": chain["id"], "page": page, "wide": wide}
+        before = (s, p, wide)
+    assert 5 < sum(s != w[0] for s, w in want.items()) < len(want) - 5
     df = make(rows)
     for width in (4, 1 << 14):
         parts = stitch.stitched_parts(df, width=width)
         assert {r.seq: (r.stitched_id, r.row_offset) for r in parts.collect()} == want
-    cells = stitch.stitch_cells(tables.table_cells(tables.table_grids(df)), stitch.stitched_parts(df))
+    cells = stitch.stitch_cells(tables.table_grids(df), stitch.stitched_parts(df))
     keys = [(r.stitched_id, r.row, r.col) for r in cells.collect()]
     assert len(keys) == len(set(keys))

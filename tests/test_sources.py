@@ -5,9 +5,9 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from leafgrid.operators import catalog, elements, reports, tables
+from leafgrid.operators import catalog, elements, paging, reports, tables
 from leafgrid.plans import pipeline
-from leafgrid.session import run_folder, shared_folder
+from leafgrid.session import clear_stages, run_folder, shared_folder, stage
 from leafgrid.sources import responses, sinks
 from leafgrid.streaming import ingest
 
@@ -80,8 +80,12 @@ def test_write_assets(spark, make):
     }
     sinks.write_failures(df, failures)
     assert [(r.name, r.html) for r in spark.read.parquet(failures).collect()] == [("c00_p1_제목.html", "<p>x</p>")]
-    sinks.write_csv(tables.wide_table(tables.table_cells(tables.table_grids(df)), 2), wide)
-    assert spark.read.option("header", "true").csv(wide).count() == 2
+    lines = sinks.asset_csv(df)
+    sinks.write_csv(lines, wide)
+    files = [(r.doc_id, r.name, r.value) for r in spark.read.text(wide).collect()]
+    assert files == [(1, "t00_p1_제목.csv", "a,b"), (1, "t00_p1_제목.csv", "1,2")]
+    quoted = make([(1, 0, 1, "table", "1", '<table><tr><td>x, y</td><td>say "hi"</td></tr></table>')])
+    assert [r.line for r in sinks.asset_csv(quoted).orderBy("row").collect()] == ["0,1", '"x, y","say ""hi"""']
 
 
 def test_shared_folder_is_the_one_of_the_session(spark):
@@ -91,7 +95,9 @@ def test_shared_folder_is_the_one_of_the_session(spark):
 def test_pipeline(spark, make):
     df = make([(1, 0, 1, "caption", "<표 1> 제목", ""), (1, 1, 1, "table", "1", TABLE), (1, 2, 2, "table", "주: x", "")])
     docs = spark.createDataFrame([(1, "a.pdf", "s", None, 2, 2)], "doc_id long, name string, sha256 string, model string, usage_pages int, n_pages int")
-    out = pipeline.extract(df, docs)
+    lazy = pipeline.extract(df, docs)
+    out = pipeline.extract(df, docs, keep=stage)
+    assert all(lazy[n].count() == out[n].count() for n in out)
     meta = json.loads(out["meta"].first().meta)
     assert meta == {
         "source": {"name": "a.pdf", "sha256": "s", "pages": 2},
@@ -103,11 +109,46 @@ def test_pipeline(spark, make):
         "figures": [],
     }
     assert out["assets"].count() == 1 and out["cells"].count() == 4 and out["footnotes"].count() == 1
-    pages = reports.page_contents(docs, df, tables.visuals(df, figures=True)).collect()
+    pages = reports.page_contents(docs, tables.visuals(df, figures=True)).collect()
     assert sorted((r.page, r.answer, r.entry) for r in pages) == [(1, "data", "t00_p1_제목.csv"), (2, "empty", "sources/p2.png")]
 
 
 def test_incomplete_documents_are_left_out(spark):
-    docs = spark.createDataFrame([(1, True, 3), (2, True, 3)], "doc_id long, is_pdf boolean, n_pages int")
-    got = spark.createDataFrame([(1, 0), (1, 1), (2, 1)], "doc_id long, chunk_no int")
-    assert sorted(tuple(r) for r in pipeline.complete_responses(got, docs, 2).collect()) == [(1, 0, 0), (1, 1, 2)]
+    docs = spark.createDataFrame([(d, True, 5) for d in (1, 2, 3, 4)], "doc_id long, is_pdf boolean, n_pages int")
+    rows = [(1, 0, 5, "a"), (1, 1, 5, "b"), (1, 2, 5, "c"), (1, 1, 9, "new"), (1, 1, 2, "old")]
+    rows += [(2, 0, 1, "a"), (2, 0, 2, "a"), (2, 2, 1, "c")]  # as many as planned, but one is lost
+    rows += [(3, c, 1, "x") for c in (0, 1, 2, 7)]
+    got = spark.createDataFrame(rows, "doc_id long, chunk_no int, received_at long, body string")
+    plan = paging.chunk_plan(docs, 2)
+    found = {r.doc_id: (r.planned, r.received, r.missing, r.repeated, r.unplanned, r.failed) for r in paging.missing_chunks(plan, got).collect()}
+    assert found == {
+        1: (3, 3, 0, 1, 0, False),
+        2: (3, 2, 1, 1, 0, True),
+        3: (3, 3, 0, 0, 1, True),
+        4: (3, 0, 3, 0, 0, True),
+    }
+    kept = pipeline.complete_responses(got, docs, 2).select("doc_id", "chunk_no", "body", "offset")
+    assert sorted(tuple(r) for r in kept.collect()) == [(1, 0, "a", 0), (1, 1, "new", 2), (1, 2, "c", 4)]
+
+
+def test_one_summary_row_however_long_the_document(spark):
+    """Assets on both sides of a block border are one document with one summary."""
+    html = "<table><tr><th>a</th></tr><tr><td>1</td></tr></table>"
+    rows = [(1, s, 1, "table", "| a | 1 |", None, html) for s in (0, 5, 20_000, 40_000)]
+    df = spark.createDataFrame(rows, "doc_id long, seq int, page int, category string, markdown string, text string, html string")
+    docs = spark.createDataFrame([(1, "a.pdf", "s", None, 2, 2)], "doc_id long, name string, sha256 string, model string, usage_pages int, n_pages int")
+    assets = tables.visuals(df, figures=True, notes=True)
+    got = reports.document_meta(docs, assets).collect()
+    assert len(got) == 1
+    meta = json.loads(got[0].meta)
+    assert meta["counts"]["tables"] == 4 and [f["path"][:3] for f in meta["files"]] == ["t00", "t01", "t02", "t03"]
+    items = reports.meta_items(assets).orderBy("seq").collect()
+    assert [json.loads(r.item) for r in items if r.list == "files"] == meta["files"]
+
+
+def test_stages_are_cleared(spark):
+    df = stage(spark.range(3), "some")
+    assert df.count() == 3
+    clear_stages(spark)
+    with pytest.raises(Exception):
+        df.count()

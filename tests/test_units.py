@@ -224,7 +224,27 @@ def test_written_numbers(spark):
 def test_unit_rows(spark):
     rows = [["(%)", "(%)"], ["(단위: 조원)", ""], ["(%)", "x"], ["", ""], ["%", "건"]]
     df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "i int, r array<string>")
-    assert [x[0] for x in df.orderBy("i").select(analysis.unit_of(F.col("r"))).collect()] == ["%", "조원", None, None, "%,건"]
+    got = [x[0] for x in df.orderBy("i").select(analysis.units_of(F.col("r"))).collect()]
+    assert got == [["%", "%"], ["조원", None], None, None, ["%", "건"]]
+
+
+def test_period_change_uses_the_column_before(make):
+    html = "<table><tr><th>x</th><th>1</th><th>2</th><th>3</th><th>4</th></tr><tr><td>7</td><td>10</td><td>-</td><td>5</td><td>6</td></tr></table>"
+    got = analysis.period_change(tables.table_grids(make([(1, 0, 1, "table", "1", html)]))).orderBy("col").collect()
+    assert [(r["col"], r.num, r.previous, r.change) for r in got] == [(1, 10.0, None, None), (3, 5.0, None, None), (4, 6.0, 5.0, 1.0)]
+
+
+def test_markup_that_must_not_leak(make):
+    pages = {
+        "<table><tr><td>a<!-- x > y --></td><td>&#8722;5 &times; &#x41;&#0;</td></tr></table>": [["a", "−5 × A&#0;"]],
+        '<table><tr style="color:red; display : none"><td>no</td></tr><tr><td>b</td><td style="display:none">no</td><td>c</td></tr></table>': [["b", "c"]],
+        "<table><!-- </table> --><tr><td>d</td></tr></table>": [["d"]],
+        "<table><tr><td>out<table><tr><td>in</td></tr></table></td><td>z</td></tr></table>": None,
+    }
+    df = make([(1, i, 1, "table", "1", h) for i, h in enumerate(pages)])
+    got = tables.table_grids(df).orderBy("seq").collect()
+    assert [r.grid.body if r.grid else None for r in got] == list(pages.values())
+    assert [r.seq for r in tables.parse_failures(df).collect()] == [3]
 
 
 def test_file_names(spark):
