@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left
+from struct import pack as as_bytes
 
 import numpy as np
 import pandas as pd
@@ -28,18 +29,57 @@ from leafgrid.session import stage
 BLOCK = 8000
 MERGE = 16
 OPEN = 0.98
-CACHED = 300_000
+CACHED = 400_000
+PUNCTUATION = b".,;:!?*#$%&|()[]\"-"
+
+# how the vocabulary's files write bytes: printable ones as themselves, the others from code point 256 on
+_PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
+BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PLAIN))}
 
 _tokens: dict = {}
 
 
 def _encoder(path):
-    """Words to bytes of ids.  The vocabulary's tokens never span ASCII white space, so words are encoded alone and kept."""
+    """Texts to bytes of ids.  No token of the vocabulary spans ASCII white space, so words are encoded alone and kept.
+
+    A new word is looked up without its case and the punctuation at its end, which are tokens apart after a letter
+    or figure; only stems that are new themselves reach the tokenizer.
+    """
     if _tokens.get("path") != path:
         from tokenizers import Tokenizer
 
-        _tokens.update(path=path, of=Tokenizer.from_file(path), words={})
-    known, tokenizer = _tokens["words"], _tokens["of"]
+        _tokens.update(path=path, of=Tokenizer.from_file(path), words={}, stems={})
+    known, stems, tokenizer = _tokens["words"], _tokens["stems"], _tokens["of"]
+    model = tokenizer.model
+
+    def look(x: bytes) -> bytes:
+        s = x.decode("utf-8", "replace")
+        if s.isalpha() and (s.isascii() or max(s) < "\u0130"):
+            # letters of one case rule and no composition: the normalizers only lower them, the model takes them as they are
+            s = s.lower()
+            ids = [t.id for t in model.tokenize(s if s.isascii() else s.encode().decode("latin-1").translate(BYTES))]
+        else:
+            ids = tokenizer.encode(s, add_special_tokens=False).ids
+        return as_bytes(f"<{len(ids)}I", *ids)
+
+    def fresh(words):
+        if len(stems) > CACHED:
+            stems.clear()
+        for w in words:
+            stem = w.lower().rstrip(PUNCTUATION)
+            if stem[-1:].isalnum() and b"<|" not in w and b"'" not in w:
+                tail = w[len(stem) :]
+            else:
+                stem, tail = w, b""
+            ids = stems.get(stem)
+            if ids is None:
+                ids = stems[stem] = look(stem)
+            if tail:
+                more = stems.get(tail)
+                if more is None:
+                    more = stems[tail] = look(tail)
+                ids += more
+            known[w] = ids
 
     def encode(text: str) -> bytes:
         words = text.encode("utf-8", "surrogatepass").split()
@@ -47,11 +87,8 @@ def _encoder(path):
         if len(known) + len(new) > CACHED:
             known.clear()
             new = list(dict.fromkeys(words))
-        for lo in range(0, len(new), 5000):
-            part = new[lo : lo + 5000]
-            found = tokenizer.encode_batch([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for w, e in zip(part, found):
-                known[w] = np.array(e.ids, "<u4").tobytes()
+        if new:
+            fresh(new)
         return b"".join([known[w] for w in words])
 
     return encode
