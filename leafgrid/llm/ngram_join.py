@@ -137,6 +137,8 @@ def link_sets(sets: DataFrame) -> DataFrame:
     met = x.join(y, "h").where("xc <> yc and (yc = top or xd < yd) and 5 * least(xn, yn) >= 4 * greatest(xn, yn)")
     small_first = "(xn < yn or xn = yn and xd < yd)"
     met = met.where(f"if({small_first}, xp < xn - (8 * xn + 8) div 9 + 1, yp < yn - (8 * yn + 8) div 9 + 1)")
+    # from the first column they meet in on, a pair shares at most what either set has left
+    met = met.where("18 * least(xn - xp, yn - yp) >= 8 * (xn + yn)")
     swap = F.col("xd") < F.col("yd")
     side = lambda one, two: (F.when(swap, F.col(two)).otherwise(F.col(one)))
     met = met.select(side("xd", "yd").alias("a"), side("yd", "xd").alias("b"), side("xp", "yp").alias("ap"), side("yp", "xp").alias("bp"), side("xn", "yn").alias("an"), side("yn", "xn").alias("bn"))
