@@ -4,8 +4,8 @@ The documents by shingles incidence matrix is multiplied with its transpose in a
 A row is a distinct shingle set (copies collapse first), a block is what one shuffle partition holds of
 the columns, and a pair is given up as soon as its sizes forbid enough overlap:
 
-1. Each set gives the low part of its hashes, ``n // 5 + max(1, n // 10)`` of them.  Two sets of
-   similarity 0.8 miss at most a fifth of each other, so at least ``max(1, n // 10)`` columns (n: the
+1. Each set gives the low part of its hashes, ``n // 5 + max(1, n // 20)`` of them.  Two sets of
+   similarity 0.8 miss at most a fifth of each other, so at least ``max(1, n // 20)`` columns (n: the
    smaller set) are in both parts.  Sets with fewer columns that any other set has leave here.
 2. The remaining sets order their columns by global frequency.  A pair must meet in the first
    ``n - ceil(4n / 5) + 1`` columns of each, and for the smaller set in the first
@@ -37,7 +37,7 @@ from leafgrid.session import stage
 
 def low_part(n: int) -> int:
     """How many of a set's lowest hashes are compared first."""
-    return min(n, n // 5 + max(1, n // 10))
+    return min(n, n // 5 + max(1, n // 20))
 
 
 def _lists(parts):
@@ -113,7 +113,7 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 def link_sets(sets: DataFrame) -> DataFrame:
     """(id, component) of the sets (doc_id, h: distinct hashes) that link with any other; one row per doc_id in ``sets``."""
     cells = sets.select("doc_id", F.size("h").cast("long").alias("n"), F.explode("h").alias("h"))
-    often = cells.groupBy("h").agg(F.count("*").alias("f")).where("f > 1")
+    often = cells.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select(again("h"), "f")
     met = cells.join(often.hint("shuffle_hash"), "h")
     order = F.row_number().over(_by("doc_id", "f", "h")) - 1
     count = F.count("*").over(_by("doc_id"))
@@ -158,17 +158,18 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
     groups = stage(ids.where("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("doc_id")), "groups")
 
     # 1: sets that share enough low columns with any other set
-    low = feats.join(groups, ["doc_id", "n", "s1", "s2"], "left_semi").dropDuplicates(["doc_id"])
-    entries = low.select("doc_id", "n", "s1", F.explode("low").alias("h"))
-    common = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select("h")
-    least = F.expr("greatest(1, ((4 * n + 4) div 5) div 10)")
+    # (copies count here too, which only lets a few more sets through)
+    entries = feats.select("doc_id", "n", "s1", F.explode("low").alias("h"))
+    common = entries.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select(again("h"))
+    least = F.expr("greatest(1, ((4 * n + 4) div 5) div 20)")
     close = entries.join(common.hint("shuffle_hash"), "h").groupBy("doc_id", "n", "s1").agg(F.count("*").alias("met"))
-    close = stage(close.where(F.col("met") >= least).select("doc_id", "s1"), "close")
+    close = close.where(F.col("met") >= least).join(groups.select("doc_id", "s1"), ["doc_id", "s1"], "left_semi")
+    close = stage(close.select("doc_id", F.col("s1").alias("set")).distinct(), "close")
 
     # 2 and 3: all columns of those sets
     bits, shift = _some_ids(close.select("doc_id"))
     sets = docs.mapInArrow(lambda batches: _sets(batches, bits, shift), "doc_id long, s1 long, h array<long>")
-    sets = stage(sets.join(close, ["doc_id", "s1"], "left_semi").dropDuplicates(["doc_id"]).drop("s1"), "sets")
+    sets = stage(sets.join(close, "doc_id").where(F.col("s1") == F.col("set")).dropDuplicates(["doc_id"]).drop("s1", "set"), "sets")
     linked = link_sets(sets)
 
     # back to all documents
@@ -184,6 +185,11 @@ def without_copies(docs: DataFrame) -> DataFrame:
     return docs.join(gone, docs["doc_id"].cast("long") == gone["_id"], "left_anti")
 
 
+def again(key: str):
+    """A key written anew, so that a join shuffles both its sides and can split a hot one."""
+    return F.col(key).bitwiseXOR(F.lit(0).cast("long")).alias(key)
+
+
 def _by(key, *order):
     w = Window.partitionBy(key)
     return w.orderBy(*order) if order else w
