@@ -5,7 +5,7 @@ result to the nearest point of the E8 lattice.  A vector stands in the cell of t
 neighbouring cells (of the 240 at the least distance) whose points come next.  Vectors that meet in a cell are compared
 by cosine in double precision.
 
-A cell's vectors are compared in blocks of at most ``BLOCK``; a pair is counted only in the first cell it shares, which
+A cell's vectors are compared in blocks of about ``BLOCK``; a task gets about ``TASK`` rows of such blocks; a pair is counted only in the first cell it shares, which
 each task sees from the vectors themselves, so no pairs are shuffled: a task returns the sums of links and a spanning
 forest of what it linked.  Equal vectors collapse before and count with their number.  Cells are found for all
 vectors.  The recall against brute force is tested.
@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from leafgrid.llm.common import components
 from leafgrid.session import stage
 
-TABLES, PROBES, SCALE, BLOCK = 5, 2, 5.0, 2000
+TABLES, PROBES, SCALE, BLOCK, TASK = 5, 2, 5.0, 2000, 20_000
 
 
 def _roots() -> np.ndarray:
@@ -99,38 +99,54 @@ def _cells_of(batches):
                     )
 
 
+def _pairs(unit, least, a, b, same):
+    """Places (x, y) of the pairs between rows a and b that reach the cosine."""
+    xs, ys = [], []
+    for lo in range(0, len(a), 500):
+        x, y = np.nonzero(unit[a[lo : lo + 500]] @ unit[b].T >= least)
+        x, y = a[lo : lo + 500][x], b[y]
+        xs.append(x[x < y] if same else x)
+        ys.append(y[x < y] if same else y)
+    return np.concatenate(xs), np.concatenate(ys)
+
+
 def _compare(least):
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
-        _, t, cell, i, j = key
-        rows = rows.sort_values("rep", kind="stable").drop_duplicates("rep")
-        unit, many, ids = _unit(rows["embedding"]), rows["many"].to_numpy(np.int64), rows["rep"].to_numpy(np.int64)
-        block = rows["block"].to_numpy()
-        own = [np.sort(cells(unit, k), 1) for k in range(t + 1)]
-        a, b = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        xs, ys = [], []
-        for lo in range(0, len(a), 500):
-            x, y = np.nonzero(unit[a[lo : lo + 500]] @ unit[b].T >= least)
-            x, y = a[lo : lo + 500][x], b[y]
-            if i == j:
-                x, y = x[x < y], y[x < y]
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        """All cells (or pairs of blocks of a cell) of one task."""
+        out = []
+        for _, part in rows.groupby("dim"):
+            part = part.sort_values(["t", "cell", "i", "j", "rep"], kind="stable")
+            unit, many, ids = _unit(part["embedding"]), part["many"].to_numpy(np.int64), part["rep"].to_numpy(np.int64)
+            t, cell, i, j, block = (part[c].to_numpy(np.int64) for c in ("t", "cell", "i", "j", "block"))
+            own = [cells(unit, k) for k in range(int(t.max()) + 1)]
+            change = (np.diff(t) != 0) | (np.diff(cell) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)
+            edges = [0, *(np.flatnonzero(change) + 1).tolist(), len(ids)]
+            xs, ys = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for lo, hi in zip(edges, edges[1:]):
+                at = np.arange(lo, hi)
+                a, b = at[block[lo:hi] == i[lo]], at[block[lo:hi] == j[lo]]
+                if len(a) and len(b) and hi - lo > 1:
+                    x, y = _pairs(unit, least, a, b, i[lo] == j[lo])
+                    xs.append(x)
+                    ys.append(y)
+            x, y = np.concatenate(xs), np.concatenate(ys)
+            # a pair counts in the first cell it shares
             new = np.ones(len(x), bool)
-            for k in range(t):
-                new &= ~(own[k][x][:, :, None] == own[k][y][:, None, :]).any((1, 2))
-            same = own[t][x][:, :, None] == own[t][y][:, None, :]
-            new &= ~(same & (own[t][x] < cell)[:, :, None]).any((1, 2))
-            xs.append(x[new])
-            ys.append(y[new])
-        x, y = np.concatenate(xs or [[]]).astype(np.int64), np.concatenate(ys or [[]]).astype(np.int64)
-        links += np.bincount(x, many[y], len(ids)).astype(np.int64) + np.bincount(y, many[x], len(ids)).astype(np.int64)
-        while True:
-            low = np.minimum(root[x], root[y])
-            if (root[x] == low).all() and (root[y] == low).all():
-                break
-            np.minimum.at(root, x, low)
-            np.minimum.at(root, y, low)
-        at = np.flatnonzero(links)
-        return pd.DataFrame({"rep": ids[at], "links": links[at], "root": ids[root[at]]})
+            for k in range(len(own)):
+                same = own[k][x][:, :, None] == own[k][y][:, None, :]
+                new &= ~np.where(t[x] > k, same.any((1, 2)), (same & (own[k][x] < cell[x][:, None])[:, :, None]).any((1, 2)) & (t[x] == k))
+            x, y = x[new], y[new]
+            links = np.bincount(x, many[y], len(ids)) + np.bincount(y, many[x], len(ids))
+            root = np.arange(len(ids))
+            while True:
+                low = np.minimum(root[x], root[y])
+                if (root[x] == low).all() and (root[y] == low).all():
+                    break
+                np.minimum.at(root, x, low)
+                np.minimum.at(root, y, low)
+            at = np.flatnonzero(links)
+            out.append(pd.DataFrame({"rep": ids[at], "links": links[at].astype(np.int64), "root": ids[root[at]]}))
+        return pd.concat(out)
 
     return run
 
@@ -143,13 +159,16 @@ def lattice_links(vectors: DataFrame, least: float = 0.95) -> DataFrame:
     reps = stage(good.groupBy("embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("many")), "vectors")
     at = stage(reps.mapInArrow(_cells_of, "rep long, dim int, t int, cell long"), "cells")
     full = at.groupBy("dim", "t", "cell").agg(F.count("*").alias("n")).where("n > 1")
-    full = full.select("dim", "t", "cell", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    near = at.join(full, ["dim", "t", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "t"), "blocks").cast("int"))
+    full = stage(full.select("dim", "t", "cell", "n", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "full")
+    near = at.join(full.drop("n"), ["dim", "t", "cell"]).withColumn("block", F.pmod(F.xxhash64("rep", "t"), "blocks").cast("int"))
     # block x meets every block y: the task (least, greatest) gets both
     near = near.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     near = near.select("rep", "dim", "t", "cell", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
     near = near.join(reps, "rep")
-    found = near.groupBy("dim", "t", "cell", "i", "j").applyInPandas(_compare(least), "rep long, links long, root long")
+    # many cells to a task; a cell's block pair stays whole
+    total = full.agg(F.sum(F.col("n") * F.col("blocks"))).first()[0] or 0
+    task = F.pmod(F.xxhash64("dim", "t", "cell", "i", "j"), F.lit(max(1, round(total / TASK)))).alias("task")
+    found = near.groupBy(task).applyInPandas(_compare(least), "rep long, links long, root long")
     found = stage(found, "found")
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     parts = components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))

@@ -196,7 +196,7 @@ def _improve(bins, fill, size_of, size, a, b) -> bool:
 def _pack(size, again):
     """Pack one block; bins with more room than is worth keeping are marked for the second turn."""
 
-    def run(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         lengths = rows["length"].to_numpy(np.int64)
         bins = local_search(best_fit(lengths, size), lengths, size)
         order = np.concatenate([np.array(b, np.int64) for b in bins])

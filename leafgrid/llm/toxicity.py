@@ -37,7 +37,7 @@ PREFIXES = (4, 5, 6)
 
 
 def _terms(frames):
-    """(term, toxic, context): each term of a document with the neighbours at its first place."""
+    """(term, toxic, context): each word of a document and its beginnings, with the neighbours at its first place."""
     for frame in frames:
         for lo in range(0, len(frame), 200):
             out = []
@@ -46,15 +46,10 @@ def _terms(frames):
                 words, seen = words_of(text), set()
                 around = ["", *words, ""]
                 for i, w in enumerate(words):
-                    if w in seen:
-                        continue
-                    context = None
-                    for term in [w, *(w[:k] + "*" for k in PREFIXES if len(w) >= k)]:
-                        if term not in seen:
-                            seen.add(term)
-                            if context is None:
-                                context = hash_text(f"{around[i]} {w} {around[i + 2]}") >> 1
-                            out.append((term, toxic, context))
+                    if w not in seen:
+                        seen.add(w)
+                        context = hash_text(f"{around[i]} {w} {around[i + 2]}") >> 1
+                        out += [(term, toxic, context) for term in (w, *(w[:k] + "*" for k in PREFIXES if len(w) >= k))]
             yield pd.DataFrame(out, columns=["term", "toxic", "context"])
 
 

@@ -51,10 +51,12 @@ def test_pieces_and_sequences(spark):
 
 
 def test_local_search_empties_a_bin():
-    # best fit leaves four bins; an exchange makes it three
-    lengths = np.array([6, 5, 5, 4, 4, 3, 3])
-    bins = local_search([[0], [1, 3], [2, 4], [5, 6]], lengths, 10)
-    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(7))
+    # four for three, then three fits beside seven
+    bins = local_search([[0], [1, 2], [3]], np.array([4, 3, 6, 7]), 10)
+    assert sorted(map(sorted, bins)) == [[0, 2], [1, 3]]
+    # seven for four and two
+    bins = local_search([[0], [1, 2, 3], [4, 5]], np.array([7, 4, 2, 3, 6, 2]), 10)
+    assert len(bins) == 3 and sorted(i for b in bins for i in b) == list(range(6))
     r = np.random.default_rng(3)
     n = r.integers(1, 100, 500)
     found = local_search(best_fit(n, 128), n, 128)

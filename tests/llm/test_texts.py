@@ -151,8 +151,10 @@ def test_toxic_spans_and_rest(spark):
     text = "Onea the scum, idiot! of the thing in re"
     assert [text[a:b] for a, b in toxic_spans(text, model)] in (["scum, idiot"], ["scum", "idiot"])
     assert toxic_spans("", model) == []
-    kept = without_toxic(docs.limit(300), labels)
-    assert kept.columns == docs.columns and 200 < kept.count() < 300
+    kept = without_toxic(docs, labels)
+    known = kept.join(labels, "doc_id").agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    every = labels.agg(F.sum("toxic"), F.sum(1 - F.col("toxic"))).first()
+    assert kept.columns == docs.columns and known[0] <= 0.2 * every[0] and known[1] >= 0.99 * every[1]
 
 
 def test_held_out_language(small):
