@@ -372,6 +372,9 @@ FROM data d JOIN (VALUES (0, 0, '구분'), (0, 1, '항목'), (0, 2, '{CHART_COLU
     "typed_cells": 'SELECT *, TRY_CAST("text" AS DOUBLE) num FROM cells',
     "table_shapes": "SELECT doc_id, seq, CAST(cnt AS INT) n_rows, 4 n_cols FROM data",
     "parse_failures": "SELECT * FROM boundary",
+    "page_parse_failures": f"""
+SELECT page_id doc_id, 0 seq, 1 page, 0 "index", '{K.TABLE_FAILED}{K.PARSE_ERROR}' reason, 't00_p1_table-p1.html' fallback_path
+FROM pages WHERE html IS NULL OR NOT regexp_matches(html, '(?i)<t[dh]\\b')""",
     "write_assets": 'SELECT c.*, a."name" FROM cells c JOIN assets a USING (doc_id, seq)',
     "asset_csv": f"""
 SELECT a.doc_id, a.seq, a."name", 0 "row", h.line FROM data d JOIN assets a USING (doc_id, seq)

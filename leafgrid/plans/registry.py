@@ -222,6 +222,11 @@ def parse_failures(spark, sf):
     return tables.parse_failures(X.elements(spark, sf))
 
 
+@query
+def page_parse_failures(spark, sf):
+    return tables.parse_failures(X.page_elements(spark, sf))
+
+
 @query
 def write_assets(spark, sf):
     path = run_folder(spark, "assets")

@@ -12,5 +12,3 @@ RESPONSE = """
 """
 CORRUPT = "_corrupt_record"
 RESPONSE_OR_CORRUPT = f"{RESPONSE}, {CORRUPT} STRING"
-
-ELEMENT_COLUMNS = ("doc_id", "seq", "page", "category", "markdown", "text", "html")

@@ -172,6 +172,14 @@ def period_elements(spark, sf_dir) -> DataFrame:
     )
 
 
+def page_elements(spark, sf_dir) -> DataFrame:
+    """Raw web pages as if each were a table: real HTML, most of it without one."""
+    none = F.lit(None).cast("string")
+    return table(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("doc_id"), F.lit(0).alias("seq"), F.lit(1).alias("page"), F.lit("table").alias("category"), F.lit("| 1 |").alias("markdown"), none.alias("text"), "html"
+    )
+
+
 def documents_meta(spark, sf_dir) -> DataFrame:
     """One row per document; every 13th reports no page count, every third no model."""
     doc = F.col("doc_id")

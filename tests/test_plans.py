@@ -5,7 +5,10 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from leafgrid.operators import cache, catalog, elements, paging, reports, tables
+from leafgrid.operators import cache, catalog, elements, paging, quality, reports, stitch, tables
+from leafgrid.plans import pipeline
+from leafgrid.session import stage
+from leafgrid.sources import fixtures as X
 
 
 @pytest.fixture(scope="module")
@@ -169,10 +172,34 @@ def test_payloads_stay_out_of_aggregates(spark, requests, entries):
     assert not payload_nodes(paging.merge_elements(chunks), "elements#")
 
 
+def test_golden_keys_meet_the_elements_before_the_grid(spark, stored):
+    golden = spark.createDataFrame([(0, 3, "1", "a", 1.0, 0.1)], "doc_id long, seq int, row_label string, col_name string, expected double, tol double")
+    text = plan(quality.golden_cells(golden, stored))
+    semi = text.index("LeftSemi")
+    assert text.index("(?i)</?[a-z!]") < semi, "the grid is made above the semi join"
+
+
+def test_reports_read_the_html_once(spark, stored):
+    docs = spark.createDataFrame([(0, "n", "s", "m", 5, 5)], "doc_id long, name string, sha256 string, model string, usage_pages int, n_pages int")
+    kept = []
+    out = pipeline.extract(stored, docs, keep=lambda df, name: kept.append(stage(df, name)) or kept[-1])
+    for name in ("assets", "counts", "page_map", "index", "meta", "boundary_cases", "footnotes", "figures"):
+        assert "html" not in "".join(re.findall(r"ReadSchema: (\S+)", plan(out[name]))), name
+    assert out["counts"].first().tables == 13334
+
+
+def test_building_a_query_starts_no_job(spark):
+    seen = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("lazy", "lazy")
+    stitch.stitched_parts(X.continued_elements(spark, "/root/testdata/sf0.001"))
+    assert not [j for j in seen.getJobIdsForGroup("lazy") if (seen.getJobInfo(j) or None) and len(seen.getJobInfo(j).stageIds) > 1]
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
 def test_no_query_multiplies_its_inputs(spark):
     from leafgrid.plans.registry import QUERIES
 
-    lazy = [q for n, q in QUERIES.items() if n not in ("write_assets", "stitch_tables")]
+    lazy = [q for n, q in QUERIES.items() if n not in ("write_assets", "write_failures")]
     for query in lazy:
         text = plan(query(spark, "/root/testdata/sf0.001"))
         assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
