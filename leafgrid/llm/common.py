@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,45 +68,91 @@ def word_hashes(text: str) -> np.ndarray:
     return np.concatenate([_hash_piece(b[i:j]) for i, j in zip(cuts, [*cuts[1:], len(b)]) if j > i])
 
 
-def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
-    """Sorted distinct hashes of all runs of ``width`` words; of the whole sequence if it is shorter."""
+def window_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
+    """Hash of every run of ``width`` words; of the whole sequence if it is shorter."""
     n = len(words)
-    if not n:
-        return np.empty(0, np.int64)
     k = min(n, width)
+    if not k:
+        return np.empty(0, np.uint64)
     h = words[: n - k + 1].copy()
     for i in range(1, k):
         h = h * _JOIN + words[i : n - k + 1 + i]
-    return np.unique(mix(h + np.uint64(k)).view(np.int64))
+    return mix(h + np.uint64(k))
 
 
-def signature(values: np.ndarray) -> tuple[int, int]:
-    """128 bits that stand for a whole set of hashes."""
+def shingles(words: np.ndarray, width: int = 5) -> np.ndarray:
+    """Sorted distinct hashes of all runs of ``width`` words."""
+    return np.unique(window_hashes(words, width).view(np.int64))
+
+
+def signature_parts(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     v = values.view(np.uint64)
-    a = mix(v ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64)
-    b = np.bitwise_xor.reduce(mix(v + _STEP)) if len(v) else np.uint64(0)
+    return mix(v ^ np.uint64(0x5851F42D4C957F2D)), mix(v + _STEP)
+
+
+def signature(values: np.ndarray) -> tuple[int, int]:
+    """128 bits that stand for a whole set of hashes: a sum and an exclusive or over its members."""
+    one, two = signature_parts(values)
+    a = one.sum(dtype=np.uint64)
+    b = np.bitwise_xor.reduce(two) if len(two) else np.uint64(0)
     return int(a.view(np.int64)), int(b.view(np.int64))
 
 
-def components(edges: DataFrame, name: str = "links") -> DataFrame:
+def _forest(batches):
+    """Edges (u, v) of one task as (id, smallest id it is joined to here)."""
+    parts = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    if not parts:
+        return
+    u, v = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+    ids, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    top = list(range(len(ids)))
+    for x, y in zip(at[: len(u)].tolist(), at[len(u) :].tolist()):
+        while top[x] != x:
+            top[x] = top[top[x]]
+            x = top[x]
+        while top[y] != y:
+            top[y] = top[top[y]]
+            y = top[y]
+        if x != y:  # ids are sorted, so the smaller place is the smaller id
+            top[max(x, y)] = min(x, y)
+    for x in range(len(top)):
+        top[x] = top[top[x]]
+    roots = np.array(top)
+    keep = np.flatnonzero(roots != np.arange(len(ids)))
+    yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[roots[keep]])], names=["u", "v"])
+
+
+def components(edges: DataFrame, name: str = "links", task: int = 250_000) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), for every id on an edge.
 
-    Alternating large and small stars.  Each round is written to the shared folder, so neither
-    lineage nor driver memory grows; no group of neighbours is ever gathered in one task.
+    Rounds of two steps: tasks of about ``task`` edges replace what they hold by stars to the smallest id,
+    then a large and a small star step joins what different tasks hold.  When a single task is left, it is done;
+    else it is done when no round changes anything.  Each round is written to the shared folder, so
+    neither lineage nor driver memory grows, and no group of neighbours is gathered in one task.
     """
-    pairs = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), name)
-    while True:
+
+    def contracted(pairs):
+        n = -(-pairs.count() // task)
+        return max(1, n), stage(pairs.repartition(max(1, n)).mapInArrow(_forest, "u long, v long"), name)
+
+    pairs = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
+    tasks, pairs = contracted(stage(pairs, name))
+    seen = None
+    while tasks > 1:
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         large = large.where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", F.col("m").alias("v")))
-        after = stage(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), name)
-        # done when every id points at one smaller id that points nowhere
-        tops = after.groupBy("u").agg(F.count("*").alias("n"))
-        odd = after.join(tops.select(F.col("u").alias("v")), "v", "left_semi").limit(1).count() or tops.where("n > 1").limit(1).count()
-        if not odd:
-            leaf = after.select(F.col("u").alias("id"), F.col("v").alias("component"))
-            return leaf.union(after.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
-        pairs = after
+        after = small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+        pairs = stage(after, name)
+        mark = pairs.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if mark == seen:  # only stars are left
+            break
+        seen = mark
+        if -(-mark[0] // task) == 1:
+            tasks, pairs = contracted(pairs)
+    return pairs.select(F.col("u").alias("id"), F.col("v").alias("component")).union(
+        pairs.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct()
+    )

@@ -18,37 +18,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import mix, shingles, signature, word_hashes
-from leafgrid.llm.ngram_join import _in_bits, _lists, _some_ids, link_sets
+from leafgrid.llm.common import mix, signature_parts, window_hashes, word_hashes
+from leafgrid.llm.ngram_join import _in_bits, _lists, _some_ids, again, link_sets
 from leafgrid.session import stage
 
 LEAST, BANDS, WIDE = 45, 16, 5
 
-_A = np.random.default_rng(77).integers(1, 2**62, BANDS * WIDE, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_A = np.random.default_rng(77).integers(1, 2**31, BANDS * WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+_B = np.random.default_rng(78).integers(0, 2**32, BANDS * WIDE, dtype=np.uint32)
 
 
-def bands(values: np.ndarray) -> np.ndarray:
-    """One key per band of a set of hashes."""
+_C = np.random.default_rng(79).integers(1, 2**63, WIDE, dtype=np.uint64) | np.uint64(1)
+
+
+def minima(values: np.ndarray) -> np.ndarray:
+    """Minima of a set under 32-bit permutations; a chance meeting only adds a candidate."""
     v = values.view(np.uint64)
-    low = np.full(len(_A), np.uint64(2**64 - 1))
-    for lo in range(0, len(v), 4096):
-        part = v[lo : lo + 4096, None] * _A[None]
-        np.minimum(low, (part ^ (part >> np.uint64(32))).min(0), out=low)
-    rows = low.reshape(BANDS, WIDE)
-    key = np.arange(BANDS, dtype=np.uint64)
-    for k in range(WIDE):
-        key = mix(key * np.uint64(0xD1342543DE82EF95) + rows[:, k])
-    return key.view(np.int64)
-
-
-def paragraphs_of(text: str, least: int):
-    """(number, start, text) of each line that has at least ``least`` words."""
-    at = 0
-    for k, line in enumerate(text.split("\n")):
-        # a word and the space after it take two characters
-        if len(line) >= 2 * least - 1:
-            yield k, at, line
+    v = (v ^ (v >> np.uint64(32))).astype(np.uint32)
+    low = np.full(len(_A), np.uint32(2**32 - 1))
+    for lo in range(0, len(v), 256):  # a block stays in the processor's cache
+        part = v[lo : lo + 256, None] * _A
+        part ^= _B
+        np.minimum(low, part.min(0), out=low)
+    return low
+
+
+def bands(low: np.ndarray) -> np.ndarray:
+    """One key per band and set from (sets, BANDS * WIDE) minima."""
+    rows = low.astype(np.uint64).reshape(len(low), BANDS, WIDE)
+    return mix((rows * _C).sum(2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
+
+
+def paragraphs_of(text: str | None, least: int):
+    """(number, start, length, words, shingle set, signature) of each line of at least ``least`` words.
+
+    Words and shingles are hashed once for the whole text; no word spans two lines.
+    """
+    lines = (text or "").split("\n")
+    if max(map(len, lines)) < 2 * least - 1:
+        return
+    counts = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
+    if max(counts) < least:
+        return
+    words = word_hashes(text)
+    all_of = window_hashes(words)
+    one, two = signature_parts(all_of)
+    at = word = 0
+    for k, (line, n) in enumerate(zip(lines, counts)):
+        if n >= least:
+            own = slice(word, word + n - 4)
+            found, first = np.unique(all_of[own].view(np.int64), return_index=True)
+            sums = one[own][first].sum(dtype=np.uint64), np.bitwise_xor.reduce(two[own][first])
+            yield k, at, len(line), n, found, tuple(int(x.view(np.int64)) for x in sums)
         at += len(line) + 1
+        word += n
 
 
 def _rows(least):
@@ -56,17 +79,15 @@ def _rows(least):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
                 docs, texts = (batch.slice(lo, 500).column(i).to_pylist() for i in range(2))
-                out, keys = [], []
+                out, low = [], []
                 for doc, text in zip(docs, texts):
-                    for k, start, line in paragraphs_of(text or "", least):
-                        words = word_hashes(line)
-                        if len(words) >= least:
-                            s = shingles(words)
-                            out.append((doc, k, start, len(line), len(words), *signature(s)))
-                            keys.append(bands(s))
+                    for *place, found, sums in paragraphs_of(text, least):
+                        out.append((doc, *place, *sums))
+                        low.append(minima(found))
                 columns = list(zip(*out)) or [()] * 7
                 names = ["doc_id", "paragraph", "start", "length", "n_words", "s1", "s2"]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], _lists(keys)], names=[*names, "bands"])
+                keys = bands(np.stack(low)) if low else []
+                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], _lists(list(keys))], names=[*names, "bands"])
 
     return run
 
@@ -75,18 +96,13 @@ def _sets_of(least, bits, shift):
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                ids, found, seen = [], [], set()
+                found = {}
                 for text in batch.slice(lo, 500).column(1).to_pylist():
-                    for _, _, line in paragraphs_of(text or "", least):
-                        words = word_hashes(line)
-                        if len(words) >= least:
-                            s = shingles(words)
-                            a = signature(s)[0]
-                            if a not in seen and _in_bits(np.array([a]), bits, shift)[0]:
-                                seen.add(a)
-                                ids.append(a)
-                                found.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(found)], names=["doc_id", "h"])
+                    for *_, values, sums in paragraphs_of(text, least):
+                        found[sums[0]] = values
+                ids = np.fromiter(found, np.int64, len(found))
+                ids = ids[_in_bits(ids, bits, shift)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists([found[i] for i in ids.tolist()])], names=["doc_id", "h"])
 
     return run
 
@@ -96,12 +112,10 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     kinds = "doc_id long, paragraph long, start long, length long, n_words long, s1 long, s2 long, bands array<long>"
     rows = stage(docs.mapInArrow(_rows(least), kinds), "paragraphs")
-    # one node per distinct set; its bands are those of any of its paragraphs
+    # one node per distinct set
     nodes = stage(rows.groupBy("s1").agg(F.min(F.struct("doc_id", "paragraph", "start")).alias("first"), F.count("*").alias("copies")), "nodes")
-    firsts = nodes.select("s1", "first.*")
-    keys = rows.select("doc_id", "paragraph", "start", "s1", "bands").join(firsts, ["doc_id", "paragraph", "start", "s1"], "left_semi")
-    keys = keys.select("s1", F.explode("bands").alias("key")).distinct()
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    keys = rows.select("s1", F.explode("bands").alias("key"))
+    shared = keys.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select(again("key"))
     close = stage(keys.join(shared.hint("shuffle_hash"), "key").select(F.col("s1").alias("doc_id")).distinct(), "close")
     bits, shift = _some_ids(close)
     sets = docs.mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>").join(close, "doc_id", "left_semi")

@@ -94,8 +94,11 @@ def test_join_defines_odd_input(spark):
 
 def test_components_of_a_long_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 140)] + [(7, 7), (139, 500)]
-    got = {r["id"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 140)}, 500: 100}
+    df = spark.createDataFrame(edges, "a long, b long")
+    want = {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 140)}, 500: 100}
+    for task in (250_000, 5, 30):  # one task, and rounds over several
+        assert {r["id"]: r["component"] for r in components(df, task=task).collect()} == want
+    assert components(df.limit(0)).count() == 0
 
 
 def test_paragraphs_that_repeat(spark):
