@@ -45,6 +45,12 @@ def _lists(parts):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
+def parity(values: np.ndarray) -> np.ndarray:
+    """256 parity bits of a set: two sets differ in at least as many members as these bits differ."""
+    odd = np.bincount(values & 255, minlength=256) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _features(batches):
     for batch in batches:
         for lo in range(0, batch.num_rows, 1000):
@@ -71,7 +77,8 @@ def _sets(batches, bits, shift):
             piece = batch.take(pa.array(keep[lo : lo + 500]))
             found = [shingles(word_hashes(t.as_py() or "")) for t in piece.column(1)]
             first = pa.array([signature(x)[0] for x in found], pa.int64())
-            yield pa.RecordBatch.from_arrays([piece.column(0), first, _lists(found)], names=["doc_id", "s1", "h"])
+            marks = _lists([parity(x) for x in found])
+            yield pa.RecordBatch.from_arrays([piece.column(0), first, _lists(found), marks], names=["doc_id", "s1", "h", "q"])
 
 
 def _slot(ids, shift):
@@ -111,7 +118,8 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def link_sets(sets: DataFrame) -> DataFrame:
-    """(id, component) of the sets (doc_id, h: distinct hashes) that link with any other; one row per doc_id in ``sets``."""
+    """(id, component) of the sets that link with any other.  ``sets`` has one row per doc_id, with its distinct hashes
+    ``h`` and their ``parity`` bits ``q``."""
     cells = sets.select("doc_id", F.size("h").cast("long").alias("n"), F.explode("h").alias("h"))
     often = cells.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select(again("h"), "f")
     met = cells.join(often.hint("shuffle_hash"), "h")
@@ -127,18 +135,20 @@ def link_sets(sets: DataFrame) -> DataFrame:
     star = star.select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct()
     sure = stage(_overlap(star, sets), "links")
     parts = stage(components(sure, "parts").withColumnRenamed("id", "doc_id"), "parts")
-    front = stage(front.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component", "met"), "front")
+    front = stage(front.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component", "met").join(sets.select("doc_id", "q"), "doc_id"), "front")
     held = front.groupBy("h", "part").agg(F.count("*").alias("c"))
     main = held.groupBy("h").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("k")).where("k > 1")
     mixed = front.join(main.select("h", F.col("top.part").alias("top")), "h")
     # at least one of two sets of different parts is outside the column's largest part
-    x = mixed.where("part <> top").select("h", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("part").alias("xc"))
-    y = mixed.select("h", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("part").alias("yc"), "top")
+    x = mixed.where("part <> top").select("h", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("part").alias("xc"), F.col("q").alias("xq"))
+    y = mixed.select("h", F.col("doc_id").alias("yd"), F.col("n").alias("yn"), F.col("pos").alias("yp"), F.col("part").alias("yc"), F.col("q").alias("yq"), "top")
     met = x.join(y, "h").where("xc <> yc and (yc = top or xd < yd) and 5 * least(xn, yn) >= 4 * greatest(xn, yn)")
     small_first = "(xn < yn or xn = yn and xd < yd)"
     met = met.where(f"if({small_first}, xp < xn - (8 * xn + 8) div 9 + 1, yp < yn - (8 * yn + 8) div 9 + 1)")
     # from the first column they meet in on, a pair shares at most what either set has left
     met = met.where("18 * least(xn - xp, yn - yp) >= 8 * (xn + yn)")
+    # and two sets of that similarity differ in at most a ninth of their sizes' sum
+    met = met.where("9 * (" + " + ".join(f"bit_count(xq[{k}] ^ yq[{k}])" for k in range(4)) + ") <= xn + yn")
     swap = F.col("xd") < F.col("yd")
     side = lambda one, two: (F.when(swap, F.col(two)).otherwise(F.col(one)))
     met = met.select(side("xd", "yd").alias("a"), side("yd", "xd").alias("b"), side("xp", "yp").alias("ap"), side("yp", "xp").alias("bp"), side("xn", "yn").alias("an"), side("yn", "xn").alias("bn"))
@@ -168,7 +178,7 @@ def ngram_jaccard(docs: DataFrame) -> DataFrame:
 
     # 2 and 3: all columns of those sets
     bits, shift = _some_ids(close.select("doc_id"))
-    sets = docs.mapInArrow(lambda batches: _sets(batches, bits, shift), "doc_id long, s1 long, h array<long>")
+    sets = docs.mapInArrow(lambda batches: _sets(batches, bits, shift), "doc_id long, s1 long, h array<long>, q array<long>")
     sets = stage(sets.join(close, "doc_id").where(F.col("s1") == F.col("set")).dropDuplicates(["doc_id"]).drop("s1", "set"), "sets")
     linked = link_sets(sets)
 

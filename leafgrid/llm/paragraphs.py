@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafgrid.llm.common import mix, signature_parts, window_hashes, word_hashes
-from leafgrid.llm.ngram_join import _in_bits, _lists, _some_ids, again, link_sets
+from leafgrid.llm.ngram_join import _in_bits, _lists, _some_ids, again, link_sets, parity
 from leafgrid.session import stage
 
 LEAST, BANDS, WIDE = 45, 16, 5
@@ -102,7 +102,8 @@ def _sets_of(least, bits, shift):
                         found[sums[0]] = values
                 ids = np.fromiter(found, np.int64, len(found))
                 ids = ids[_in_bits(ids, bits, shift)]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists([found[i] for i in ids.tolist()])], names=["doc_id", "h"])
+                kept = [found[i] for i in ids.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(kept), _lists([parity(x) for x in kept])], names=["doc_id", "h", "q"])
 
     return run
 
@@ -118,7 +119,7 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     shared = keys.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select(again("key"))
     close = stage(keys.join(shared.hint("shuffle_hash"), "key").select(F.col("s1").alias("doc_id")).distinct(), "close")
     bits, shift = _some_ids(close)
-    sets = docs.mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>").join(close, "doc_id", "left_semi")
+    sets = docs.mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>, q array<long>").join(close, "doc_id", "left_semi")
     linked = link_sets(stage(sets.dropDuplicates(["doc_id"]), "sets")).withColumnRenamed("id", "s1")
     named = nodes.join(linked, "s1", "left").withColumn("cluster_id", F.coalesce("component", "s1"))
     kept = named.groupBy("cluster_id").agg(F.min("first").alias("kept"), F.sum("copies").alias("copies")).where("copies > 1")
