@@ -33,10 +33,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def word_edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First byte of each word, and the byte after its last."""
+    edge = np.flatnonzero(np.diff(_SPACE[b].astype(np.int8), prepend=1, append=1))
+    return edge[::2], edge[1::2]
+
+
 def _hash_piece(b: np.ndarray) -> np.ndarray:
-    space = _SPACE[b]
-    edge = np.flatnonzero(np.diff(space.astype(np.int8), prepend=1, append=1))
-    start, end = edge[::2], edge[1::2]
+    start, end = word_edges(b)
     if not len(start):
         return np.empty(0, np.uint64)
     power = np.full(len(b), _STEP)

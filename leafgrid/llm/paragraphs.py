@@ -6,6 +6,13 @@ collapse first.  Paragraphs that share a band with another one are joined and ve
 whole shingle sets; the join inside the colliding paragraphs is that of ``ngram_join.link_sets``, which expands no group to all its pairs.
 Of every component the first paragraph (smallest doc_id, then position) stays and the others are removed.
 
+``repeated_passages``, which the query runs, takes every line of ``FEW`` words (one shingle) or more, and then what repeats inside
+lines or across line breaks: ``windows_of_text`` cuts windows of ``RUN`` words from the word sequence of a text at places that its content
+chooses, at least one in every ``STEP`` neighbouring ones.  So a run of RUN + STEP - 1 = 23 words that stands anywhere in two places
+always shares a window.  A passage of 50 words or more of similarity 0.8 holds such a run, as each change inside costs five shingles.
+Windows in removed lines are left out; of equal ones the first stays, the others are joined to spans, and spans that share windows are a component.
+At either end of a run up to STEP - 1 words may stay, and likewise beside a changed word.
+
 Defined results: null and empty texts have no paragraphs; a paragraph that repeats inside one document is removed there too;
 rows that repeat a doc_id are texts of one document, and their paragraphs count one by one; rows without doc_id are left
 out; an empty table gives no rows; other columns are ignored.  Positions count code points.
@@ -15,14 +22,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import mix, signature_parts, window_hashes, word_hashes
+from leafgrid.llm.common import components, mix, signature_parts, window_hashes, word_edges, word_hashes
 from leafgrid.llm.ngram_join import _in_bits, _lists, _some_ids, again, link_sets, parity
 from leafgrid.session import stage
 
 LEAST, BANDS, WIDE = 45, 16, 5
+FEW, RUN, STEP = 45, 16, 8
 
 _A = np.random.default_rng(77).integers(1, 2**31, BANDS * WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(78).integers(0, 2**32, BANDS * WIDE, dtype=np.uint32)
@@ -75,18 +83,23 @@ def paragraphs_of(text: str | None, least: int):
 
 
 def _rows(least):
+    none = np.empty(0, np.int64)
+
     def run(batches):
         for batch in batches:
             for lo in range(0, batch.num_rows, 500):
-                docs, texts = (batch.slice(lo, 500).column(i).to_pylist() for i in range(2))
+                docs, marks, texts = (batch.slice(lo, 500).column(i).to_pylist() for i in range(3))
                 out, low = [], []
-                for doc, text in zip(docs, texts):
+                for doc, mark, text in zip(docs, marks, texts):
                     for *place, found, sums in paragraphs_of(text, least):
-                        out.append((doc, *place, *sums))
-                        low.append(minima(found))
-                columns = list(zip(*out)) or [()] * 7
-                names = ["doc_id", "paragraph", "start", "length", "n_words", "s1", "s2"]
-                keys = bands(np.stack(low)) if low else []
+                        out.append((doc, mark, *place, *sums))
+                        # fewer than four shingles: only an equal set is similar enough
+                        low.append(minima(found) if len(found) > 3 else None)
+                columns = list(zip(*out)) or [()] * 8
+                names = ["doc_id", "text_id", "paragraph", "start", "length", "n_words", "s1", "s2"]
+                some = [x for x in low if x is not None]
+                made = iter(bands(np.stack(some)) if some else [])
+                keys = [none if x is None else next(made) for x in low]
                 yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], _lists(list(keys))], names=[*names, "bands"])
 
     return run
@@ -111,29 +124,151 @@ def _sets_of(least, bits, shift):
 def repeated_paragraphs(docs: DataFrame, least: int = LEAST) -> DataFrame:
     """(doc_id, paragraph, start, length, n_words, cluster_id, kept_doc_id, kept_paragraph), one row per paragraph to remove."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
-    kinds = "doc_id long, paragraph long, start long, length long, n_words long, s1 long, s2 long, bands array<long>"
-    rows = stage(docs.mapInArrow(_rows(least), kinds), "paragraphs")
+    return _repeated(docs.withColumn("text_id", F.xxhash64("text")), least).drop("text_id", "kept_start")
+
+
+def _repeated(docs: DataFrame, least: int) -> DataFrame:
+    kinds = "doc_id long, text_id long, paragraph long, start long, length long, n_words long, s1 long, s2 long, bands array<long>"
+    rows = stage(docs.select("doc_id", "text_id", "text").mapInArrow(_rows(least), kinds), "paragraphs")
     # one node per distinct set
-    nodes = stage(rows.groupBy("s1").agg(F.min(F.struct("doc_id", "paragraph", "start")).alias("first"), F.count("*").alias("copies")), "nodes")
+    place = F.struct("doc_id", "paragraph", "start", "text_id")
+    nodes = stage(rows.groupBy("s1").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "nodes")
     keys = rows.select("s1", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select(again("key"))
     close = stage(keys.join(shared.hint("shuffle_hash"), "key").select(F.col("s1").alias("doc_id")).distinct(), "close")
     bits, shift = _some_ids(close)
-    sets = docs.mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>, q array<long>").join(close, "doc_id", "left_semi")
+    sets = docs.select("doc_id", "text").mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>, q array<long>").join(close, "doc_id", "left_semi")
     linked = link_sets(stage(sets.dropDuplicates(["doc_id"]), "sets")).withColumnRenamed("id", "s1")
     named = nodes.join(linked, "s1", "left").withColumn("cluster_id", F.coalesce("component", "s1"))
     kept = named.groupBy("cluster_id").agg(F.min("first").alias("kept"), F.sum("copies").alias("copies")).where("copies > 1")
     named = named.select("s1", "cluster_id").join(kept.drop("copies"), "cluster_id")
     out = rows.drop("bands", "s2").join(named, "s1")
-    first = "doc_id = kept.doc_id and paragraph = kept.paragraph and start = kept.start"
+    first = "doc_id = kept.doc_id and paragraph = kept.paragraph and start = kept.start and text_id = kept.text_id"
     out = out.where(f"not ({first})")
-    return out.select("doc_id", F.col("paragraph").cast("int").alias("paragraph"), "start", "length", "n_words", "cluster_id", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.paragraph").cast("int").alias("kept_paragraph"))
+    number = lambda name: F.col(name).cast("int")
+    return out.select("doc_id", "text_id", number("paragraph").alias("paragraph"), "start", "length", "n_words", "cluster_id", F.col("kept.doc_id").alias("kept_doc_id"), number("kept.paragraph").alias("kept_paragraph"), F.col("kept.start").alias("kept_start"))
+
+
+def windows_of_text(text: str | None):
+    """(word, start, end, line, hash) arrays of the windows of RUN words that a text's content chooses; start and end count code points."""
+    words = word_hashes(text or "")
+    if len(words) < RUN:
+        return [np.empty(0, np.int64)] * 5
+    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    first, last = word_edges(raw)
+    value = window_hashes(words, RUN)
+    n, step = len(value), min(STEP, len(value))
+    low = np.lib.stride_tricks.sliding_window_view(value, step).min(1)
+    # a window is taken if it is the least of any STEP neighbours
+    around = np.concatenate([np.zeros(step - 1, np.uint64), low, np.zeros(step - 1, np.uint64)])
+    taken = np.lib.stride_tricks.sliding_window_view(around, step).max(1) == value
+    line = np.cumsum(raw == 10)[first]
+    # and at both ends of the text and of each longer line
+    turn = np.flatnonzero(np.diff(line)) + 1
+    begin, end = np.concatenate([[0], turn]), np.concatenate([turn, [len(words)]])
+    long = end - begin >= RUN
+    taken[begin[long]] = True
+    taken[end[long] - RUN] = True
+    taken[[0, n - 1]] = True
+    at = np.flatnonzero(taken)
+    point = np.cumsum((raw & 0xC0) != 0x80)  # code points up to a byte, itself included
+    return [at, point[first[at]] - 1, point[last[at + RUN - 1] - 1], line[at], value[at].view(np.int64)]
+
+
+def _windows(batches):
+    for batch in batches:
+        for lo in range(0, batch.num_rows, 500):
+            ids, marks, texts = (batch.slice(lo, 500).column(i) for i in range(3))
+            found = [windows_of_text(t) for t in texts.to_pylist()]
+            of = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
+            columns = [pa.array(np.concatenate([x[k] for x in found]).astype(np.int64)) for k in range(5)]
+            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), marks.take(pa.array(of)), *columns], names=["doc_id", "text_id", "word", "start", "end", "line", "hash"])
+
+
+def repeated_passages(docs: DataFrame, least: int = FEW) -> DataFrame:
+    """The columns of ``repeated_paragraphs`` and kept_start, one row per line or span to remove; a span names the line it starts in."""
+    gone, spans = _passages(docs, least)
+    return gone.drop("text_id").unionByName(spans.drop("text_id"))
 
 
-def without_repeats(docs: DataFrame, least: int = LEAST) -> DataFrame:
-    """docs (doc_id, text) with the repeated paragraphs taken out of the texts."""
-    gone = repeated_paragraphs(docs, least).groupBy("doc_id").agg(F.collect_set("paragraph").alias("gone"))
-    joined = docs.join(gone.withColumnRenamed("doc_id", "gone_id"), F.col("doc_id") == F.col("gone_id"), "left")
-    lines = F.filter(F.split("text", "\n"), lambda x, i: ~F.array_contains("gone", i))
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(lines, "\n"))
-    return joined.withColumn("text", text).drop("gone", "gone_id")
+def _passages(docs: DataFrame, least: int):
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
+    docs = docs.withColumn("text_id", F.xxhash64("text"))
+    gone = stage(_repeated(docs, least), "repeated")
+    place = ["doc_id", "text_id"]
+    kinds = "doc_id long, text_id long, word long, start long, end long, line long, hash long"
+    cells = stage(docs.select(*place, "text").mapInArrow(_windows, kinds), "windows")
+    shared = cells.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select(again("hash"))
+    met = cells.join(shared.hint("shuffle_hash"), "hash")
+    # what a removed line holds is neither kept nor removed once more
+    out = gone.groupBy(*place).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("out"))
+    met = met.join(out, place, "left").where("out is null or not exists(out, x -> x.start < end and start < x.end)").drop("out")
+    met = stage(met, "met")
+    first = met.groupBy("hash").agg(F.min(F.struct(*place, "word", "start", "end", "line")).alias("kept"))
+    hits = met.join(first, "hash").where("not (doc_id = kept.doc_id and text_id = kept.text_id and word = kept.word)")
+    # in the text of the first one, what follows it only
+    own = "doc_id = kept.doc_id and text_id = kept.text_id and word < kept.word + " + str(RUN)
+    hits = stage(hits.where(f"not ({own})").dropDuplicates([*place, "word"]), "hits")
+    order = Window.partitionBy(*place).orderBy("word")
+    parted = F.coalesce(F.col("word") > F.lag("word").over(order) + RUN, F.lit(True)).cast("int")
+    hits = hits.withColumn("span", F.sum(parted).over(order))
+    # spans that share windows are one component; a hash is a node
+    head = F.min(F.struct("word", "hash")).over(Window.partitionBy(*place, "span"))["hash"]
+    hits = stage(hits.withColumn("head", head), "hits")
+    named = components(hits.select(F.col("hash").alias("a"), F.col("head").alias("b")).distinct(), "spans")
+    low = F.struct("word", "line", "kept")
+    spans = hits.groupBy(*place, "span").agg(F.min("head").alias("head"), F.min(low).alias("low"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("word").alias("top"))
+    spans = spans.join(named.withColumnRenamed("id", "head"), "head", "left")
+    spans = spans.select(
+        *place,
+        F.col("low.line").cast("int").alias("paragraph"),
+        "start",
+        (F.col("end") - F.col("start")).alias("length"),
+        (F.col("top") + RUN - F.col("low.word")).alias("n_words"),
+        F.coalesce("component", "head").alias("cluster_id"),
+        F.col("low.kept.doc_id").alias("kept_doc_id"),
+        F.col("low.kept.line").cast("int").alias("kept_paragraph"),
+        F.col("low.kept.start").alias("kept_start"),
+    )
+    return gone, spans
+
+
+def cut_out(text: str, spans) -> str:
+    """A text without some spans (start, end); lines of which nothing is left go whole."""
+    out, at, spans, k = [], 0, sorted(spans), 0
+    for line in text.split("\n"):
+        end, left, pos = at + len(line), [], at
+        while k and spans[k - 1][1] > at:
+            k -= 1
+        j = k
+        while j < len(spans) and spans[j][0] < end:
+            lo, hi = spans[j]
+            left.append(text[pos : max(pos, min(lo, end))])
+            pos = max(pos, min(hi, end))
+            j += 1
+        k = j
+        left.append(text[pos:end])
+        rest = "".join(left)
+        if pos == at or rest.strip():
+            out.append(rest)
+        at = end + 1
+    return "\n".join(out)
+
+
+def without_repeats(docs: DataFrame, least: int = FEW) -> DataFrame:
+    """docs (doc_id, text) with the repeated lines and passages taken out of the texts."""
+    gone, spans = (x.select("doc_id", "text_id", "start", (F.col("start") + F.col("length")).alias("end")) for x in _passages(docs, least))
+    gone = gone.union(spans).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_id").alias("gone_text")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
+    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("gone_text")), "left").drop("gone_id", "gone_text")
+    at, cuts = docs.columns.index("text"), len(docs.columns)
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, max(1, batch.num_rows), 500):
+                part = batch.slice(lo, 500)
+                texts, spans = part.column(at).to_pylist(), part.column(cuts).to_pylist()
+                columns = list(part.columns)[:cuts]
+                columns[at] = pa.array([t if s is None else cut_out(t, [(x["start"], x["end"]) for x in s]) for t, s in zip(texts, spans)], pa.string())
+                yield pa.RecordBatch.from_arrays(columns, names=part.schema.names[:cuts])
+
+    return joined.mapInArrow(run, docs.schema)

@@ -9,9 +9,9 @@ from leafgrid.llm.common import table
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from leafgrid.llm.paragraphs import repeated_paragraphs
+    from leafgrid.llm.paragraphs import repeated_passages
 
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

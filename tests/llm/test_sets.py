@@ -6,7 +6,7 @@ import pytest
 
 from leafgrid.llm.common import components, shingles, word_hashes
 from leafgrid.llm.ngram_join import ngram_jaccard, without_copies
-from leafgrid.llm.paragraphs import repeated_paragraphs, without_repeats
+from leafgrid.llm.paragraphs import cut_out, repeated_paragraphs, repeated_passages, windows_of_text, without_repeats
 
 SCHEMA = "doc_id long, text string, n long, h string, rep long, component string"
 
@@ -133,3 +133,39 @@ def test_paragraphs_that_repeat(spark):
     assert repeated_paragraphs(df.limit(0)).count() == 0
 
 
+
+
+def test_passages_inside_lines_and_in_short_lines(spark):
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghijé") for _ in range(r.randint(3, 7)))
+    run = lambda n: [word() for _ in range(n)]
+    passage, line = run(50), " ".join(run(8))
+    wrapped = run(60)
+    texts = [
+        " ".join(run(50) + passage + run(50)),
+        "\n".join([" ".join(run(9)), " ".join(run(50) + passage + run(50)), line]),
+        " ".join(run(900) + passage + run(900)),  # no line breaks
+        "\n".join([" ".join(run(7)), line, " ".join(run(4))]),
+        "\n".join(" ".join(wrapped[i : i + 4]) for i in range(0, 60, 4)),
+        "\n".join(" ".join(wrapped[i : i + 3]) for i in range(0, 60, 3)),  # wrapped at another width, no line of five words
+        " ".join(run(200)),
+    ]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = [x.asDict() for x in repeated_passages(df).collect()]
+    parts = {i: [" ".join(texts[i][x["start"] : x["start"] + x["length"]].split()) for x in got if x["doc_id"] == i] for i in range(7)}
+    for i in (1, 2):
+        span = parts[i][0]
+        assert len(parts[i]) == 1 and span in " ".join(passage) and len(span.split()) >= 50 - 2 * 7
+    assert parts[0] == parts[4] == parts[6] == []
+    assert parts[5] == [" ".join(wrapped)]
+    assert all(x["kept_doc_id"] < x["doc_id"] for x in got) and len({x["cluster_id"] for x in got if x["doc_id"] in (1, 2)}) == 1
+    for x in got:
+        assert texts[x["kept_doc_id"]][x["kept_start"] :].split()[0] == texts[x["doc_id"]][x["start"] :].split()[0]
+    rest = {x["doc_id"]: x["text"] for x in without_repeats(df).collect()}
+    assert rest[0] == texts[0] and rest[5] == "" and line not in rest[3] and rest[3].count("\n") == 1
+    # any run of 23 words shares a window, whatever stands around it
+    for _ in range(50):
+        same = run(23)
+        a, b = (set(windows_of_text(" ".join(run(r.randint(0, 40)) + same + run(r.randint(0, 40))))[4].tolist()) for _ in range(2))
+        assert a & b
+    assert cut_out("ab cd\n\nef", [(0, 5), (1, 4)]) == "\nef" and cut_out("ab cd ef\ngh", [(3, 10)]) == "ab \nh"
