@@ -30,7 +30,7 @@ from leafgrid.llm.ngram_join import _in_bits, _lists, _some_ids, again, link_set
 from leafgrid.session import stage
 
 LEAST, BANDS, WIDE = 45, 16, 5
-FEW, RUN, STEP = 45, 16, 8
+FEW, RUN, STEP = 5, 16, 8
 
 _A = np.random.default_rng(77).integers(1, 2**31, BANDS * WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(78).integers(0, 2**32, BANDS * WIDE, dtype=np.uint32)
