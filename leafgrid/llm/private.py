@@ -5,6 +5,9 @@ values of its format and permuted within that set: a Feistel network over the ne
 it falls back into the set.  So pseudonyms are valid values of the same format, different values stay different, and equal
 values stay linked across documents without any shared table.  Every text is rewritten in its own row.
 
+A match that fails its check is read anew: as one of its beginnings (the country's length of an IBAN, whole groups of a card or
+phone number), as one of the other kinds, and then from the next character on.
+
 Kinds: e-mail addresses, IPv4 addresses, payment cards (check digit kept valid), phone numbers, social security numbers, IBANs,
 calendar dates, access keys, and the values of password and token assignments.
 
@@ -27,6 +30,21 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 ROUNDS = 10
 LETTERS, CAPITALS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
+MONTHS = [
+    "January February March April May June July August September October November December".split(),
+    "Jan Feb Mar Apr May Jun Jul Aug Sep Oct Nov Dec".split(),
+    "Januar Februar März April Mai Juni Juli August September Oktober November Dezember".split(),
+    "janvier février mars avril mai juin juillet août septembre octobre novembre décembre".split(),
+    "enero febrero marzo abril mayo junio julio agosto septiembre octubre noviembre diciembre".split(),
+]
+_NAMES = "|".join(sorted({m for names in MONTHS for m in names}, key=lambda m: (-len(m), m)))
+#: Letters and digits of an IBAN by country.
+IBAN = {k[:2]: int(k[2:]) for k in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 "
+    "GL18 GR27 GT28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 "
+    "NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20"
+).split()}
+
 PATTERN = re.compile(
     r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
@@ -36,12 +54,16 @@ PATTERN = re.compile(
   | (?P<hex>(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9]))
   | (?P<phone>(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
-  | (?P<date>(?<![\w/.-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}/[0-9]{2}/[0-9]{4}|[0-9]{2}\.[0-9]{2}\.[0-9]{4})(?![\w/-]))
+  | (?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<_sep>[-/.])[0-9]{1,2}(?P=_sep)[0-9]{1,2}|[0-9]{1,2}(?P<_sep2>[-/.])[0-9]{1,2}(?P=_sep2)[0-9]{4})(?!(?!T[0-9]{2}:?[0-9]{2})[\w/-]))
+  | (?P<named>(?<![\w/.-])(?:[0-9]{1,2}(?:\.|st|nd|rd|th)?\ (?:de\ )?(?:MONTH)\.?,?\ (?:de\ )?[0-9]{4}|(?:MONTH)\.?\ [0-9]{1,2}(?:st|nd|rd|th)?,?\ [0-9]{4})(?![\w/-]))
   | (?P<ip>(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9]))
   | (?P<card>(?<![\w-])[0-9](?:[ -]?[0-9]){12,18}(?![\w-]))
-    """,
+    """.replace("MONTH", _NAMES),
     re.X,
 )
+KINDS = [k for k in PATTERN.groupindex if k[0] != "_"]
+#: Each kind alone, for other readings of a place.
+ALONE = {k: re.compile(part, re.X) for k, part in zip(KINDS, re.split(r"\n  \| ", PATTERN.pattern.strip()))}
 HINT = re.compile(r"[0-9]{2}|@|AKIA|ASIA|api_key=|password=|passwd=|secret=|token")
 FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
 
@@ -102,6 +124,8 @@ def luhn(digits: str) -> int:
 
 def _card(text, key):
     digits = re.sub(r"\D", "", text)
+    if not 13 <= len(digits) <= 19:
+        return None
     if luhn(digits) % 10 or digits[0] not in "23456" or len(set(digits)) < 2:
         return None
     body = digits[0] + _spell(digits[1:-1], [DIGITS] * (len(digits) - 2), key, f"card|{digits[0]}")
@@ -158,22 +182,37 @@ def _ssn(text, key):
     return f"{areas[a]:03d}-{b + 1:02d}-{c + 1:04d}"
 
 
-def _date(text, key):
-    shape = "%Y-%m-%d" if text[4] == "-" else "%d/%m/%Y" if "/" in text else "%d.%m.%Y"
+def _day(y, m, d, key):
+    """The pseudonym of a day of the calendar, or None."""
     try:
-        day = datetime.datetime.strptime(text, shape).date()
+        at = datetime.date(y, m, d).toordinal() - FIRST
     except ValueError:
-        if shape != "%d/%m/%Y":
-            return None
-        shape = "%m/%d/%Y"
-        try:
-            day = datetime.datetime.strptime(text, shape).date()
-        except ValueError:
-            return None
-    at = day.toordinal() - FIRST
-    if not 0 <= at < DAYS:
         return None
-    return datetime.date.fromordinal(permute(at, DAYS, key, "date") + FIRST).strftime(shape)
+    return datetime.date.fromordinal(permute(at, DAYS, key, "date") + FIRST) if 0 <= at < DAYS else None
+
+
+def _date(text, key):
+    a, sep, b, _, c = re.split(r"([-/.])", text)
+    padded = len(a) > 1 and len(b) > 1 and len(c) > 1
+    two = "{:02d}" if padded else "{:d}"
+    if len(a) == 4:
+        day = _day(int(a), int(b), int(c), key)
+        return day and sep.join((f"{day.year:04d}", two.format(day.month), two.format(day.day)))
+    if day := _day(int(c), int(b), int(a), key):
+        return sep.join((two.format(day.day), two.format(day.month), f"{day.year:04d}"))
+    day = _day(int(c), int(a), int(b), key) if sep != "." else None
+    return day and sep.join((two.format(day.month), two.format(day.day), f"{day.year:04d}"))
+
+
+def _named(text, key):
+    d, y = re.findall("[0-9]+", text)
+    month = re.search(_NAMES, text)[0]
+    names = next(x for x in MONTHS if month in x)
+    day = _day(int(y), names.index(month) + 1, int(d), key)
+    if not day:
+        return None
+    parts = iter((str(day.day), f"{day.year:04d}"))
+    return re.sub("[0-9]+|" + re.escape(month), lambda m: next(parts) if m[0].isdigit() else names[day.month - 1], text)
 
 
 def _email(text, key):
@@ -195,6 +234,7 @@ CHANGE = {
     "phone": _phone,
     "ssn": _ssn,
     "date": _date,
+    "named": _named,
     "ip": _ip,
     "card": _card,
 }
@@ -206,21 +246,45 @@ def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     return CHANGE[kind](text, key)
 
 
+def _shorter(kind: str, text: str):
+    """The value of a match, then its shorter beginnings that end where a group of it ends, the longest first."""
+    size = IBAN.get(text[:2]) if kind == "iban" else None
+    ends = [m.start() for m in re.finditer("[ -]", text)][::-1] if kind in ("iban", "card") else []
+    if kind == "phone":
+        ends = [m.start() for m in re.finditer("[ .-]", text)][::-1]
+    own = [e for e in ends if len(text[:e].replace(" ", "")) == size]
+    if size and len(text.replace(" ", "")) != size:
+        yield from (text[:e] for e in own)
+    yield text
+    yield from (text[:e] for e in ends if e not in own and e >= 9)
+
+
+def _reading(m, text: str, key: bytes):
+    """(length, pseudonym) of the first valid reading of what stands at a match, or None."""
+    at = m.start()
+    for kind in KINDS[KINDS.index(m.lastgroup) :]:
+        found = m if kind == m.lastgroup else ALONE[kind].match(text, at)
+        for value in _shorter(kind, found[0]) if found else ():
+            new = pseudonym(kind, value, key)
+            if new is not None:
+                return len(value), new
+    return None
+
+
 def rewrite(text: str | None, key: bytes) -> tuple[str | None, int]:
     """A text with its private values replaced, and how many there were."""
     if not text or not HINT.search(text):
         return text, 0
-    n = 0
-
-    def put(m):
-        nonlocal n
-        new = pseudonym(m.lastgroup, m.group(), key)
-        if new is None:
-            return m.group()
+    out, done, pos, n = [], 0, 0, 0
+    while m := PATTERN.search(text, pos):
+        found = _reading(m, text, key)
+        if found is None:  # another value may begin inside
+            pos = m.start() + 1
+            continue
+        out += [text[done : m.start()], found[1]]
+        done = pos = m.start() + found[0]
         n += 1
-        return new
-
-    return PATTERN.sub(put, text), n
+    return "".join([*out, text[done:]]), n
 
 
 def pseudonymise(docs: DataFrame, key: str = "leafgrid") -> DataFrame:

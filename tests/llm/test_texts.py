@@ -66,6 +66,23 @@ def test_what_fails_its_check_is_left():
         assert rewrite(text, b"k") == (text, 0)
 
 
+def test_values_beside_other_characters_are_found():
+    card, spaced, iban = "4041894974608795", "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    for value, text in [(spaced, "{} 12/25"), (spaced, "{} 123"), (card, "{} 12 items"), (card, "12 {}"), (iban, "{} AND"), (iban, "{} BANK x"), (spaced, "AB12 {}"), (spaced, "DE00 3704 {}")]:
+        out, n = rewrite(text.format(value), b"k")
+        before, after = text.split("{}")
+        new = out[len(before) : len(out) - len(after)]
+        assert n == 1 and out == before + new + after and new != value and shape(new) == shape(value), (text, out)
+        digits = new.replace(" ", "")
+        assert int("".join(str(int(c, 36)) for c in digits[4:] + digits[:4])) % 97 == 1 if value == iban else luhn(digits) % 10 == 0
+    for text in ["2024-02-29T12:00", "2024/02/29", "3/4/2021", "3.4.2021", "29-02-2024", "March 4, 2021", "4 Mar 2021", "4. März 2021", "4 de marzo de 2021", "le 1 août 1999"]:
+        out, n = rewrite(text, b"k")
+        assert n == 1 and out != text and rewrite(out, b"k")[1] == 1, (text, out)
+    assert rewrite("2024-02-29T12:00", b"k")[0].endswith("T12:00")
+    for text in ["2023/02/30", "30 February 2021", "version 1.2.2021x", "1/2/3/2021"]:
+        assert rewrite(text, b"k") == (text, 0)
+
+
 def test_values_stay_different():
     for make in (lambda i: f"10.1.{i // 250}.{i % 250}", lambda i: f"+1 (2{i // 100:02d}) 555-{i:04d}", lambda i: f"user{i}@example.org"):
         assert len({rewrite(make(i), b"k")[0] for i in range(500)}) == 500
