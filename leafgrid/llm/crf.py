@@ -13,9 +13,9 @@ from itertools import repeat
 
 import numpy as np
 
-LETTERS = re.compile(r"[^\W\d_]+")
 SLOTS = 1 << 18
 WIDTH = 32
+LETTERS = re.compile(r"[^\W\d_]+")
 KEPT = 200_000
 ROW = 128
 CHUNK_WORDS = 100_000
@@ -26,6 +26,17 @@ def words_of(text: str | None) -> list[str]:
     return LETTERS.findall((text or "").lower())
 
 
+def places_of(text: str) -> list[tuple[int, int]]:
+    """(start, end) of every word of ``words_of`` in the text, in code points."""
+    low = text.lower()
+    found = [m.span() for m in LETTERS.finditer(low)]
+    if len(low) == len(text):
+        return found
+    # lower case may take more letters than the text has
+    of = np.repeat(np.arange(len(text)), [len(c.lower()) for c in text])
+    return [(int(of[a]), int(of[b - 1]) + 1) for a, b in found]
+
+
 def _hash(x):
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9FB21C651E98DF25)
     return x ^ (x >> np.uint64(29))

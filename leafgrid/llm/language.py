@@ -3,8 +3,8 @@
 Training: documents of the training fold with a language, about ``per_language`` of each by a hash of the id; of each,
 up to ``windows`` stretches of ``span`` words spread over the whole text, every word labelled with the document's language.
 Prediction: forward-backward over all words of every text; a document's language is the one with the largest
-sum of marginals, its score that sum's share.  Words of code-switched text keep their own labels
-(``word_languages``).
+sum of marginals, its score that sum's share.  Words of code-switched text keep their own labels:
+``stretches`` are the runs (start, end, lang) of words of one language, in code points.
 
 Defined results: null, empty and letterless texts are ``und`` with score 0; without training rows every text
 is; repeated rows are predicted alike; ties go to the first language in order; other columns stay out.
@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from leafgrid.llm.crf import Tagger, chunks, fit, words_of
+from leafgrid.llm.crf import Tagger, chunks, fit, places_of, words_of
 
 
 def windows_of(words, windows, span):
@@ -74,23 +74,34 @@ class Shared:
         return self.at.value
 
 
+def stretches_in(text: str, best: np.ndarray, names: list[str]) -> list[dict]:
+    """The runs of words of one language."""
+    places, edge = places_of(text), [0, *(np.flatnonzero(np.diff(best)) + 1).tolist(), len(best)]
+    return [{"start": places[a][0], "end": places[b - 1][1], "lang": names[int(best[a])]} for a, b in zip(edge, edge[1:])]
+
+
+_STRETCHES = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("lang", pa.string())]))
+
+
 def predict(docs: DataFrame, model: dict, held_out: Column) -> DataFrame:
-    """(doc_id, held_out, lang_pred, score) for every row of docs (doc_id, text)."""
+    """(doc_id, held_out, lang_pred, score, stretches) for every row of docs (doc_id, text)."""
     shared, names = Shared(docs.sparkSession, model), model["languages"]
 
     def run(batches):
         for batch in batches:
             texts = batch.column(2).to_pylist()
             best, score = ["und"] * len(texts), np.zeros(len(texts))
+            parts: list[list] = [[] for _ in texts]
             for group in chunks(texts) if names else ():
                 for (i, words), g in zip(group, tagger(shared).tag([w for _, w in group])):
                     if len(words):
                         total = g.sum(0)
                         best[i], score[i] = names[int(total.argmax())], min(1.0, float(total.max() / total.sum()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+                        parts[i] = stretches_in(texts[i], g.argmax(1), names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(best, pa.string()), pa.array(score), pa.array(parts, _STRETCHES)], names=["doc_id", "held_out", "lang_pred", "score", "stretches"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(held_out, F.lit(False)).alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double")
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, stretches array<struct<start: long, end: long, lang: string>>")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
@@ -99,6 +110,11 @@ def language_id(docs: DataFrame) -> DataFrame:
     return predict(docs, train(docs.where(~F.coalesce(out, F.lit(True)))), out)
 
 
+def language_stretches(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, start, end, lang), one row per run of words of one language in docs (doc_id, text)."""
+    return predict(docs, model, F.lit(False)).select("doc_id", F.inline("stretches"))
+
+
 def word_languages(texts: list[str], model: dict) -> list[list[tuple[str, str]]]:
     """(word, language) of every word of some texts."""
     split = [words_of(t) for t in texts]

@@ -6,7 +6,8 @@ allows, by a likelihood ratio over distinct contexts, so that copies count once;
 training document that is or begins with such a term is labelled toxic.  The field is fitted on stretches around those words and
 on stretches of clean documents, and learns from affixes, n-grams and neighbours what it was not told.
 Forward-backward gives each word's probability; a logistic curve over a document's largest one, their sum and the
-length gives its score, and words above ``SPAN`` are the offending spans.
+length gives its score, and runs of words above ``SPAN`` are the offending spans: (start, end, probability), in code points, with
+the largest probability of the run.
 
 The fit uses a bounded sample: about ``toxic`` toxic and ``clean`` other labelled documents, by a hash of the id.
 
@@ -17,16 +18,14 @@ columns stay out.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
-from leafgrid.llm.crf import LETTERS, Tagger, chunks, fit, hash_text, words_of
+from leafgrid.llm.crf import Tagger, chunks, fit, hash_text, places_of, words_of
 from leafgrid.llm.language import Shared, sample, tagger, windows_of
 from leafgrid.session import stage
 
@@ -122,32 +121,47 @@ def _curve(x, y):
     return w
 
 
+SPANS = ArrayType(StructType([StructField("start", LongType()), StructField("end", LongType()), StructField("probability", DoubleType())]))
+_SPANS = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("probability", pa.float64())]))
+
+
+def spans_in(text: str, p: np.ndarray) -> list[dict]:
+    """The runs of words whose probability is above SPAN."""
+    high = p > SPAN
+    if not high.any():
+        return []
+    places, edge = places_of(text), np.flatnonzero(np.diff(high.astype(np.int8), prepend=0, append=0))
+    return [{"start": places[a][0], "end": places[b - 1][1], "probability": float(p[a:b].max())} for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+
+
 def _facts(shared):
-    """The columns before the last, which is the text, with its largest toxic probability, their sum and its number of words."""
+    """The columns before the last, which is the text, with its largest toxic probability, their sum, its number of words and its spans."""
 
     def run(batches):
         for batch in batches:
             texts, names = batch.column(batch.num_columns - 1).to_pylist(), batch.schema.names[:-1]
             most, total, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
+            spans: list[list] = [[] for _ in texts]
             for group in chunks(texts):
                 for (i, words), g in zip(group, tagger(shared).tag([w for _, w in group])):
                     if len(words):
                         most[i], total[i], n[i] = g[:, 1].max(), g[:, 1].sum(), len(words)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(most), pa.array(total), pa.array(n)], names=[*names, "_most", "_total", "_n"])
+                        spans[i] = spans_in(texts[i], g[:, 1])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(most), pa.array(total), pa.array(n), pa.array(spans, _SPANS)], names=[*names, "_most", "_total", "_n", "_spans"])
 
     return run
 
 
 def facts(rows: DataFrame, model: dict) -> DataFrame:
-    """All columns of rows (text) with _most, _total and _n of their texts."""
-    kinds = [*rows.schema.fields, StructField("_most", DoubleType()), StructField("_total", DoubleType()), StructField("_n", LongType())]
+    """All columns of rows (text) with _most, _total, _n and _spans of their texts."""
+    kinds = [*rows.schema.fields, StructField("_most", DoubleType()), StructField("_total", DoubleType()), StructField("_n", LongType()), StructField("_spans", SPANS)]
     return rows.select("*", F.col("text").cast("string").alias("_text")).mapInArrow(_facts(Shared(rows.sparkSession, model)), StructType(kinds))
 
 
 def score(rows: DataFrame, model: dict) -> DataFrame:
-    """All columns of rows (text) and ``_score``."""
+    """All columns of rows (text), ``_score`` and ``_spans``."""
     if model["curve"] is None:
-        return rows.withColumn("_score", F.lit(0.0))
+        return rows.withColumns({"_score": F.lit(0.0), "_spans": F.array().cast(SPANS)})
     a, b, c, d = map(float, model["curve"])
     most = F.least(F.greatest(F.col("_most"), F.lit(1e-9)), F.lit(1 - 1e-9))
     odds = F.least(F.greatest(F.log(most / (1 - most)), F.lit(-12)), F.lit(12)) / 4
@@ -161,27 +175,24 @@ def fold() -> Column:
 
 
 def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """(doc_id, held_out, score, predicted) for every row of docs (doc_id, text); learns outside the held-out fold."""
+    """(doc_id, held_out, score, predicted, spans) for every row of docs (doc_id, text); learns outside the held-out fold."""
     model = train(docs, labels.where(~fold()))
     found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
-    return found.select("doc_id", fold().alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= LEAST, 1).otherwise(0).alias("predicted"))
+    return found.select("doc_id", fold().alias("held_out"), F.col("_score").alias("score"), F.when(F.col("_score") >= LEAST, 1).otherwise(0).alias("predicted"), F.col("_spans").alias("spans"))
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that are not predicted toxic, all columns kept."""
-    return score(docs, train(docs, labels.where(~fold()))).where(F.col("_score") < LEAST).drop("_score")
+    return score(docs, train(docs, labels.where(~fold()))).where(F.col("_score") < LEAST).drop("_score", "_spans")
+
+
+def toxic_span_rows(docs: DataFrame, model: dict) -> DataFrame:
+    """(doc_id, start, end, probability), one row per offending span of docs (doc_id, text)."""
+    found = score(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), model)
+    return found.select("doc_id", F.inline("_spans"))
 
 
 def toxic_spans(text: str, model: dict) -> list[tuple[int, int]]:
     """(start, end) offsets of the runs of words whose probability is above SPAN."""
-    text = text or ""
-    words = [(m.group().lower(), m.start(), m.end()) for m in re.finditer(LETTERS, text)]
-    tags = Tagger(model).tag([[w for w, _, _ in words]])[0]
-    runs: list[tuple[int, int]] = []
-    for j, ((_, lo, hi), g) in enumerate(zip(words, tags)):
-        if g[1] > SPAN:
-            if j and runs and runs[-1][1] == words[j - 1][2]:
-                runs[-1] = (runs[-1][0], hi)
-            else:
-                runs.append((lo, hi))
-    return runs
+    tags = Tagger(model).tag([words_of(text)])[0]
+    return [(x["start"], x["end"]) for x in spans_in(text or "", tags[:, 1])] if len(tags) else []

@@ -10,10 +10,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from leafgrid.llm.article import extract, main_text
-from leafgrid.llm.crf import SLOTS, Tagger, features, fit, marginals, words_of
-from leafgrid.llm.language import language_id, train as train_language, word_languages
+from leafgrid.llm.crf import SLOTS, Tagger, features, fit, marginals, places_of, words_of
+from leafgrid.llm.language import language_id, language_stretches, train as train_language, word_languages
 from leafgrid.llm.private import PATTERN, luhn, permute, pseudonymise, rewrite, with_pseudonyms
-from leafgrid.llm.toxicity import toxic_spans, toxicity, train as train_toxicity, without_toxic
+from leafgrid.llm.toxicity import toxic_span_rows, toxic_spans, toxicity, train as train_toxicity, without_toxic
 
 SMALL = "/root/testdata/sf0.01"
 VALUES = {
@@ -192,6 +192,27 @@ def test_language_defines_odd_input(small):
     assert [t for _, t in tags[:4]] == ["en"] * 4 and [t for _, t in tags[-4:]] == ["de"] * 4
 
 
+def two_label_model():
+    r = random.Random(3)
+    texts, labels = [], []
+    for _ in range(60):
+        y = r.randrange(2)
+        texts.append(["".join(r.choice("abcd" if y else "wxyz") for _ in range(r.randint(3, 8))) for _ in range(10)])
+        labels.append([y] * 10)
+    return {"languages": ["one", "two"], "curve": np.array([1.0, 0, 0, 0]), **fit(texts, labels, 2)}
+
+
+def test_spans_and_stretches_of_a_table(spark):
+    model = two_label_model()
+    text = "1 wxyz İ zyxw, xxyy wzzy abcd dcba. cbad"
+    df = spark.createDataFrame([(1, text), (2, None), (3, ""), (4, "wxyz zyxw")], "doc_id long, text string")
+    spans = toxic_span_rows(df, model).collect()
+    assert [(r["doc_id"], text[r["start"] : r["end"]]) for r in spans] == [(1, "abcd dcba. cbad")] and 0.5 < spans[0]["probability"] <= 1
+    runs = [(r["doc_id"], r["lang"], r["start"], r["end"]) for r in language_stretches(df, model).orderBy("doc_id", "start").collect()]
+    assert runs[-1] == (4, "one", 0, 9) and runs[-2][:2] == (1, "two") and text[runs[-2][2] : runs[-2][3]] == "abcd dcba. cbad"
+    assert places_of("İa b") == [(0, 1), (1, 2), (3, 4)]
+
+
 def test_words():
     assert words_of("Ça, va2bien! O'Neil_x") == ["ça", "va", "bien", "o", "neil", "x"] and words_of(None) == []
 
