@@ -15,14 +15,14 @@ import numpy as np
 
 SLOTS = 1 << 18
 WIDTH = 32
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
 KEPT = 200_000
 ROW = 128
 CHUNK_WORDS = 100_000
 
 
 def words_of(text: str | None) -> list[str]:
-    """Lower-case runs of letters."""
+    """Lower-case runs of letters; longer ones than WIDTH are several words, so that every letter counts."""
     return LETTERS.findall((text or "").lower())
 
 
@@ -43,7 +43,7 @@ def _hash(x):
 
 
 def features(words: list[str], grams=(2, 3), prefixes=(1, 2, 3, 4, 5, 6), suffixes=(1, 2, 3, 4)):
-    """(row, slot) of every feature of every word.  N-grams are those of a word's first WIDTH letters."""
+    """(row, slot) of every feature of every word.  ``words_of`` gives no word of more than WIDTH letters, so n-grams are those of all its letters."""
     n = len(words)
     if not n:
         return np.empty(0, np.int64), np.empty(0, np.int64)

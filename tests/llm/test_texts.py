@@ -213,6 +213,15 @@ def test_spans_and_stretches_of_a_table(spark):
     assert places_of("İa b") == [(0, 1), (1, 2), (3, 4)]
 
 
+def test_every_letter_of_a_long_run_counts():
+    model = two_label_model()
+    text = "wxyz" * 2400 + "abcd" * 100
+    (lo, hi), *more = toxic_spans(text, model)
+    assert not more and abs(lo - 9600) <= 32 and hi == len(text) == 10_000
+    assert "".join(words_of(text)) == text and max(map(len, words_of(text))) == 32
+    assert [y for _, y in word_languages([text], model)[0]][-1] == "two"
+
+
 def test_words():
     assert words_of("Ça, va2bien! O'Neil_x") == ["ça", "va", "bien", "o", "neil", "x"] and words_of(None) == []
 
