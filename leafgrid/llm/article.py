@@ -3,7 +3,9 @@
 A page's tags form a light tree of blocks.  Every paragraph passes points for its length and commas to its parent, half of them
 to the grandparent, a third to the next; a container's points are discounted by its share of link text.  The best container is
 kept, widened to the article it is part of, with those of its siblings that score well or read like prose.  Menus, headers,
-footers, sidebars, notices, adverts, forms, comments, scripts and styles are taken out by tag, role and class name first.
+footers, sidebars, notices, adverts, forms, comments, scripts and styles are taken out by tag, role and class name first.  Forms and class
+names only suggest it: an element that has all the articles of a page or most of its paragraph points stays, and words such as
+``with-sidebar`` or ``ad-free`` say nothing of the element itself.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined by an empty line.  Nothing is cut.
 
@@ -41,6 +43,10 @@ JUNK_WORDS = set(
     "related replies reply respond rss search share sharing shoutbox sidebar sidenav signup site-header site-footer skyscraper social sponsor sponsored "
     "subscribe subscription taboola tags teaser toolbar topbar trending warning widget widgets".split()
 )
+#: First and last parts of class names that tell of something beside the element, or of a state.
+BESIDE_FIRST = set("with has no not without is hide show tags tag".split())
+BESIDE_LAST = set("free open opened closed enabled disabled none off on left right visible hidden".split())
+REPLIES = set("comment comments commentlist disqus replies reply respond".split())
 JUNK_ROLES = set("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 GOOD_WORDS = set("article body content entry main page post story text blog hentry articlebody".split())
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
@@ -57,28 +63,29 @@ FENCES = {"ul", "ol", "dl", "table", "html", "body", "article", "section", "main
 
 
 class Node:
-    __slots__ = ("tag", "parent", "points", "junk", "size", "links", "first", "last", "article", "good")
+    __slots__ = ("tag", "parent", "points", "junk", "size", "links", "first", "last", "article", "good", "most")
 
-    def __init__(self, tag, parent, junk, good):
+    def __init__(self, tag, parent, junk, good, most=0.0):
         self.tag, self.parent, self.junk, self.good = tag, parent, junk, good
+        self.most = most  # junk unless it has more than this share of the page's points
         self.points, self.size, self.links, self.first, self.last = 0.0, 0, 0, -1, -1
         self.article = tag in ("article", "main")
 
 
 def _look(tag, attributes, parent):
-    """(junk, good) of a tag by its name, role and class words."""
-    if parent.junk or tag in JUNK_TAGS:
-        return True, False
+    """(junk, good, share of the page's points it needs to stay) of a tag by its name, role and class words."""
+    if parent.junk or tag in JUNK_TAGS and tag != "form":
+        return True, False, 0.0
     inside = parent
     while inside is not None and not inside.article:
         inside = inside.parent
     if tag == "header":
-        return inside is None, False
-    words, role, hidden = set(), "", False
+        return inside is None, False, 0.0
+    words, names, role, hidden = set(), set(), "", False
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if name in ("class", "id"):
-            words.update(value.split())
+            names.update(value.split())
             words.update(re.split(r"[\s_-]+", value))
         elif name == "role":
             role = value.strip()
@@ -88,12 +95,47 @@ def _look(tag, attributes, parent):
             hidden = hidden or "display:none" in value.replace(" ", "") or "visibility:hidden" in value.replace(" ", "")
         elif name == "itemprop" and value == "articlebody":
             words.add("articlebody")
+    words |= names
     if hidden or role in JUNK_ROLES:
-        return True, False
+        return True, False, 0.0
     if tag in ("body", "html", "main") or tag in HEADINGS and "h1" == tag:
-        return False, False
-    junk = bool(words & JUNK_WORDS)
-    return junk, not junk and bool(words & GOOD_WORDS)
+        return False, False, 0.0
+    most = 0.5 if tag == "form" else 0.0
+    for name in names:
+        parts = re.split(r"[_-]+", name)
+        if name in JUNK_WORDS:
+            most = 0.9
+        elif tag != "article" and JUNK_WORDS.intersection(parts) and parts[0] not in BESIDE_FIRST and parts[-1] not in BESIDE_LAST:
+            most = max(most, 0.9 if REPLIES.intersection(parts) else 0.5)
+    return False, not most and bool(words & GOOD_WORDS), most
+
+
+def points_of(node, text):
+    """What a block counts for its containers."""
+    return 1 + text.count(",") + min(len(text) / 100, 3) if len(text) >= 25 and node.tag not in HEADINGS else 0
+
+
+def without_junk(blocks):
+    """The blocks outside elements that their names make junk and that hold too little of the page to be its text."""
+    total, inside = 0.0, 0.0
+    held: dict[int, list] = {}
+    above = []
+    for node, text, _ in blocks:
+        points, up, article, soft = points_of(node, text), node, False, []
+        while up is not None:
+            article = article or up.article and up.most < 0.9
+            if up.most:
+                soft.append((up, article))
+            up = up.parent
+        total += points
+        inside += points * article
+        above.append([n for n, _ in soft])
+        for n, own in soft:
+            x = held.setdefault(id(n), [n, 0.0, 0.0])
+            x[1] += points
+            x[2] += points * own
+    gone = {k for k, (n, points, own) in held.items() if points <= n.most * total and (not own or own < inside)}
+    return [b for b, nodes in zip(blocks, above) if not any(id(n) in gone for n in nodes)] if gone else blocks
 
 
 def blocks_of(page: str):
@@ -163,8 +205,7 @@ def blocks_of(page: str):
                     at = node.parent
                     break
                 node = node.parent
-        junk, good = _look(tag, m[3], at)
-        at = Node(tag, at, junk, good)
+        at = Node(tag, at, *_look(tag, m[3], at))
     end_block()
     return root, blocks
 
@@ -177,6 +218,7 @@ def main_text(page: str | None) -> str:
     if not page:
         return ""
     _, blocks = blocks_of(page)
+    blocks = without_junk(blocks)
     if not blocks:
         return ""
     nodes: dict[int, Node] = {}
@@ -191,8 +233,7 @@ def main_text(page: str | None) -> str:
             up.size += len(text)
             up.links += linked
             up = up.parent
-        if len(text) >= 25 and node.tag not in HEADINGS:
-            points = 1 + text.count(",") + min(len(text) / 100, 3)
+        if points := points_of(node, text):
             up, share = node.parent if node.tag in PARTS and node.parent is not None else node, 1
             while up is not None and share <= 3:
                 up.points += points / share

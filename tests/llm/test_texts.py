@@ -243,6 +243,14 @@ def test_article_is_found(name):
     assert main_text(PAGES[name]) == f"Title\n\n{P1}\n\n{P2}"
 
 
+@pytest.mark.parametrize("name", ["content with-sidebar", "has-sidebar", "page no-header", "entry-content ad-free", "sidebar-layout", "widget-page"])
+def test_wrappers_with_junk_words_stay(name):
+    side = "<div class=sidebar><p>Some long text in the sidebar, which is, of course, no content.</div>"
+    text = f"<h1>Title</h1><p>{P1}</p><p>{P2}</p>"
+    for page in (f"<div class='{name}'>{text}{side}</div>", f"<div class='{name}'><article>{text}</article>{side}</div>", f"<article class='post tags-x comments-open'>{text}</article>{side}", f"<form id=aspnet><div>{text}</div>{side}</form>"):
+        assert main_text(f"<body>{page}<div class=comment-list><p>I like it, I really do, thank you.</p></div></body>") == f"Title\n\n{P1}\n\n{P2}", page
+
+
 def test_cut_and_odd_pages(spark):
     assert main_text("<p>Short.") == "Short."
     assert main_text("<html><body><nav><a>x</a></nav></body>") == ""
