@@ -71,6 +71,24 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafgrid.llm.manifest import proofs
+
+    return proofs(table(spark, sf_dir, "documents"))
+
+
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafgrid.llm.owners import owners
+
+    return owners(table(spark, sf_dir, "documents"))
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from leafgrid.llm.centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,5 +102,8 @@ QUERIES = {
         op8_language_id,
         op9_ngram_jaccard_join,
         op10_html_extraction,
+        op11_merkle_manifest,
+        op12_exact_dedup,
+        op13_centroid_clustering,
     )
 }

@@ -68,4 +68,92 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
-ORACLE = {"op7_exact_top_k": TOP_K, "op6_mixing": MIXING, "op9_ngram_jaccard_join": JACCARD}
+_LEAF = "sha256(concat(" + ", ".join(f"coalesce(strlen({c}) || ':' || {c}, '-')" for c in ("id", "source", "lang", "chars", "{text}")) + "))"
+
+MERKLE = rf"""
+WITH RECURSIVE d AS (
+  SELECT *, doc_id::VARCHAR id, n_chars::VARCHAR chars, coalesce('+' || lang, '') tree,
+         translate("text", 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') low FROM documents
+), c AS (
+  SELECT *, {_LEAF.format(text='"text"')} leaf, {_LEAF.format(text="low")} tampered,
+         list_reduce(flatten([[4294967295::BIGINT], flatten(list_transform(list_transform(range(1, len(id) + 1), lambda k: ascii(id[k])),
+           lambda b: [b::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))]),
+           lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) ELSE xor(a >> 1, 3988292384 * (a & 1)) END) crc
+  FROM d
+), p AS (
+  SELECT *, CASE WHEN xor(crc, 4294967295) % 3 = 0 THEN tampered ELSE leaf END mine,
+         row_number() OVER (PARTITION BY tree ORDER BY doc_id, leaf) - 1 i FROM c
+), t(tree, lvl, i, h) AS (
+  SELECT tree, 0, i, leaf FROM p
+  UNION ALL
+  SELECT tree, lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i))
+  FROM (SELECT *, count(*) OVER (PARTITION BY tree) n FROM t) WHERE n > 1 GROUP BY tree, lvl, i // 8
+), high AS (
+  SELECT tree, max(lvl) top, arg_max(h, lvl) subroot FROM t GROUP BY tree
+), tops AS (
+  SELECT *, row_number() OVER (ORDER BY tree) - 1 i FROM high
+), u(lvl, i, h) AS (
+  SELECT 0, i, subroot FROM tops
+  UNION ALL
+  SELECT lvl + 1, i // 8, sha256(string_agg(h, '' ORDER BY i)) FROM (SELECT *, count(*) OVER () n FROM u) WHERE n > 1 GROUP BY lvl, i // 8
+), steps AS (
+  SELECT p.tree, p.i, t.lvl step, coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i < p.i // (8 ** t.lvl)::BIGINT), '') l,
+         coalesce(string_agg(t.h, '' ORDER BY t.i) FILTER (t.i > p.i // (8 ** t.lvl)::BIGINT), '') r
+  FROM p JOIN high USING (tree) JOIN t ON t.tree = p.tree AND t.lvl < high.top AND t.i // 8 = p.i // (8 ** (t.lvl + 1))::BIGINT
+  GROUP BY ALL
+  UNION ALL
+  SELECT p.tree, p.i, o.top + u.lvl, coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i < o.i // (8 ** u.lvl)::BIGINT), ''),
+         coalesce(string_agg(u.h, '' ORDER BY u.i) FILTER (u.i > o.i // (8 ** u.lvl)::BIGINT), '')
+  FROM p JOIN tops o USING (tree) JOIN u ON u.lvl < (SELECT max(lvl) FROM u) AND u.i // 8 = o.i // (8 ** (u.lvl + 1))::BIGINT
+  GROUP BY ALL
+), f(tree, i, step, h) AS (
+  SELECT tree, i, 0, mine FROM p
+  UNION ALL
+  SELECT f.tree, f.i, f.step + 1, sha256(s.l || f.h || s.r) FROM f JOIN steps s ON s.tree = f.tree AND s.i = f.i AND s.step = f.step
+), done AS (
+  SELECT tree, i, arg_max(h, step) folded_root FROM f GROUP BY tree, i
+), proof AS (
+  SELECT tree, i, sha256(string_agg(l || r, '' ORDER BY step)) proof_sha256 FROM steps GROUP BY tree, i
+)
+SELECT p.doc_id, p.leaf, high.subroot, g.root, coalesce(proof_sha256, sha256('')) proof_sha256, folded_root, folded_root = g.root verified
+FROM p JOIN high USING (tree) JOIN done USING (tree, i) LEFT JOIN proof USING (tree, i), (SELECT arg_max(h, lvl) root FROM u) g
+"""
+
+EXACT = r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce("text", '')) n, regexp_replace(coalesce("text", ''), '[\x20\x09-\x0D]', '', 'g') s FROM documents
+)
+SELECT doc_id, first_value(doc_id) OVER w keep_id, count(*) OVER (PARTITION BY s) group_size,
+       row_number() OVER w = 1 kept, sha256(s) text_sha256
+FROM d WINDOW w AS (PARTITION BY s ORDER BY n DESC, doc_id)
+"""
+
+_SQUARED = "list_sum(list_transform(list_zip(v, r.c[k]), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+_NEAREST = f"list_min(list_transform(range(1, len(r.c) + 1), lambda k: {{'d': {_SQUARED}, 'k': k}}))"
+
+CENTROIDS = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) v FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), r(round, c) AS (
+  SELECT 0, list(v ORDER BY h) FROM (SELECT v, sha256('3:' || vec_id) h FROM v ORDER BY h LIMIT 8)
+  UNION ALL
+  SELECT any_value(round) + 1, list(coalesce(s, old) ORDER BY k) FROM (
+    SELECT g.round, g.k, g.old, m.s FROM (
+      SELECT round, unnest(range(1, len(c) + 1)) k, unnest(c) old FROM r WHERE round < 10) g
+    LEFT JOIN (
+      SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY pos) s FROM (
+        SELECT near.k k, pos, CAST(sum(v[pos]) AS BIGINT) s, count(*) n FROM (
+          SELECT v, {_NEAREST} near FROM v, r WHERE r.round < 10), range(1, 65) x(pos)
+        GROUP BY near.k, pos) GROUP BY k) m ON m.k = g.k)
+  HAVING count(*) > 0
+), a AS (
+  SELECT vec_id, {_NEAREST} near, r.c FROM v, r WHERE r.round = 10
+)
+SELECT vec_id, CAST(near.k - 1 AS INTEGER) "cluster", CAST(near.d AS BIGINT) distance, CAST(sum(near.d) OVER (PARTITION BY near.k) AS BIGINT) cluster_inertia,
+       CAST(sum(near.d) OVER () AS BIGINT) inertia, sha256(array_to_string(c[near.k], ',')) centroid_sha256
+FROM a
+"""
+
+ORACLE = {"op7_exact_top_k": TOP_K, "op6_mixing": MIXING, "op9_ngram_jaccard_join": JACCARD,
+          "op11_merkle_manifest": MERKLE, "op12_exact_dedup": EXACT, "op13_centroid_clustering": CENTROIDS}
