@@ -98,9 +98,9 @@ def _steps(text):
     return [(int(x[0]), x[1:]) for x in text.split(",") if x]
 
 
-def _up(size: int) -> int:
+def _up(size: int, levels: int) -> int:
     """Levels of a subtree of a tree with so many leaves in this round."""
-    return min(LEVELS, height(size))
+    return min(levels, height(size))
 
 
 def leaf(columns=COLUMNS, **instead: Column) -> Column:
@@ -138,88 +138,96 @@ def placed(rows: DataFrame, order: list, name: str) -> DataFrame:
     return found.withColumn("index", F.col("_from") + F.col("_row")).drop("_part", "_row", "_from")
 
 
-def _subtree(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    rows = rows.sort_values("index")
-    size = int(rows["size"].iloc[0])
-    nodes, root = lay_out(rows["digest"].tolist(), _up(size))
-    return pd.DataFrame({"tree": [key[0]], "block": [key[1]], "size": [size], "held": [len(rows)], "nodes": [nodes], "root": [root]})
+def _subtree(levels):
+    def build(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("index")
+        size = int(rows["size"].iloc[0])
+        nodes, root = lay_out(rows["digest"].tolist(), _up(size, levels))
+        return pd.DataFrame({"tree": [key[0]], "block": [key[1]], "size": [size], "held": [len(rows)], "nodes": [nodes], "root": [root]})
 
+    return build
 
-def _block(index: str = "index") -> Column:
-    return F.expr(f"{index} div {FAN**LEVELS}")
 
+def _block(levels: int) -> Column:
+    return F.expr(f"index div {FAN**levels}").alias("block")
 
-def stored(nodes: DataFrame, name: str) -> list[DataFrame]:
+
+def stored(nodes: DataFrame, levels: int, name: str) -> list[DataFrame]:
     """The subtrees of trees given by (tree, index, size, digest), a table for each round; the last has one for each tree."""
     rounds = []
     while True:
-        blocks = nodes.withColumn("block", _block()).groupBy("tree", "block").applyInPandas(_subtree, _STORED)
+        blocks = nodes.select("*", _block(levels)).groupBy("tree", "block").applyInPandas(_subtree(levels), _STORED)
         rounds.append(stage(blocks, f"{name}-{len(rounds)}"))
         if rounds[-1].where("block > 0").isEmpty():
             return rounds
-        size = F.expr(f"(size + {FAN**LEVELS - 1}) div {FAN**LEVELS}")
+        size = F.expr(f"(size + {FAN**levels - 1}) div {FAN**levels}")
         nodes = rounds[-1].select("tree", F.col("block").alias("index"), size.alias("size"), F.col("root").alias("digest"))
 
 
-def _hand_down(batches):
-    for rows in batches:
-        out = []
-        for tree, block, size, held, nodes, path, subroot, root in rows.itertuples(index=False):
-            levels, above = runs(nodes, held, _up(size)), _steps(path)
-            for i in range(held):
-                own = [(i // FAN**k % FAN, run[i // FAN ** (k + 1)]) for k, run in enumerate(levels)]
-                out.append((tree, block * FAN**LEVELS + i, _write(own + above), subroot, root))
-        yield pd.DataFrame(out, columns=["tree", "block", "path", "subroot", "root"])
+def _way(i: int, levels: list[list[str]]) -> list[tuple[int, str]]:
+    """The path of leaf i inside its subtree."""
+    return [(i // FAN**k % FAN, level[i // FAN ** (k + 1)]) for k, level in enumerate(levels)]
+
+
+def _hand_down(levels):
+    def run(batches):
+        for rows in batches:
+            for tree, block, size, held, nodes, path, subroot, root in rows.itertuples(index=False):
+                own, above = runs(nodes, held, _up(size, levels)), _steps(path)
+                out = [(tree, block * FAN**levels + i, _write(_way(i, own) + above), subroot, root) for i in range(held)]
+                yield pd.DataFrame(out, columns=["tree", "block", "path", "subroot", "root"])
 
+    return run
 
-def handed_down(blocks: DataFrame, above: DataFrame) -> DataFrame:
+
+def handed_down(blocks: DataFrame, above: DataFrame, levels: int) -> DataFrame:
     """(tree, block, path, subroot, root) of the leaves of stored subtrees, from the same of the subtrees themselves."""
     met = look_up(blocks.select("tree", "block", "size", "held", "nodes"), above, ["tree", "block"])
     met = met.select("tree", "block", "size", "held", "nodes", "path", "subroot", "root")
-    return met.mapInPandas(_hand_down, "tree string, block long, path string, subroot string, root string")
-
-
-def _prove(key: tuple, rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
-    b = block.iloc[0]
-    levels, above, first = runs(b["nodes"], b["held"], _up(b["size"])), _steps(b["path"]), key[1] * FAN**LEVELS
-    rest = others(above)
-    # the proof above a run is the same for all its leaves
-    tails = {}
-    out = []
-    for index, original, tampered in zip(rows["index"], rows["leaf"], rows["tampered"]):
-        i = index - first
-        path = [(i // FAN**k % FAN, run[i // FAN ** (k + 1)]) for k, run in enumerate(levels)]
-        if i // FAN not in tails:
-            tails[i // FAN] = others(path[1:]) + rest
-        proof = digest(others(path[:1]) + tails[i // FAN])
-        out.append((proof, folded(tampered if isinstance(tampered, str) else original, path + above)))
-    out = pd.DataFrame(out, columns=["proof_sha256", "folded_root"], index=rows.index)
-    return pd.concat([rows[["doc_id", "leaf"]], out], axis=1).assign(subroot=b["subroot"], root=b["root"])
-
-
-def manifest(docs: DataFrame) -> tuple[DataFrame, list[DataFrame], DataFrame, list[DataFrame]]:
+    return met.mapInPandas(_hand_down(levels), "tree string, block long, path string, subroot string, root string")
+
+
+def _prove(levels):
+    def run(key: tuple, rows: pd.DataFrame, block: pd.DataFrame) -> pd.DataFrame:
+        b = block.iloc[0]
+        own, above = runs(b["nodes"], b["held"], _up(b["size"], levels)), _steps(b["path"])
+        rest, tails, out = others(above), {}, []
+        for index, original, tampered in zip(rows["index"], rows["leaf"], rows["tampered"]):
+            i = index - key[1] * FAN**levels
+            path = _way(i, own)
+            if i // FAN not in tails:  # the proof above a run is the same for all its leaves
+                tails[i // FAN] = others(path[1:]) + rest
+            proof = digest(others(path[:1]) + tails[i // FAN])
+            out.append((proof, folded(tampered if isinstance(tampered, str) else original, path + above)))
+        out = pd.DataFrame(out, columns=["proof_sha256", "folded_root"], index=rows.index)
+        return pd.concat([rows[["doc_id", "leaf"]], out], axis=1).assign(subroot=b["subroot"], root=b["root"])
+
+    return run
+
+
+def manifest(docs: DataFrame, levels: int = LEVELS) -> tuple[DataFrame, list[DataFrame], DataFrame, list[DataFrame]]:
     """The numbered leaves, the stored subtrees of the languages by round, the numbered subroots, and the subtrees above them."""
     rows = placed(stage(leaves(docs), "leaves"), ["doc_id", "leaf", "at"], "numbered")
-    rounds = stored(rows.select("tree", "index", "size", F.col("leaf").alias("digest")), "subtrees")
+    rounds = stored(rows.select("tree", "index", "size", F.col("leaf").alias("digest")), levels, "subtrees")
     tops = rounds[-1].select(F.lit("").alias("tree"), F.col("tree").alias("of"), F.col("root").alias("digest"))
     tops = placed(tops, ["of"], "subroots")
-    return rows, rounds, tops, stored(tops, "upper-subtrees")
+    return rows, rounds, tops, stored(tops, levels, "upper-subtrees")
 
 
-def proofs(docs: DataFrame) -> DataFrame:
+def proofs(docs: DataFrame, levels: int = LEVELS) -> DataFrame:
     """(doc_id, leaf, subroot, root, proof_sha256, folded_root, verified), one row per row of docs."""
-    rows, rounds, tops, upper = manifest(docs)
+    rows, rounds, tops, upper = manifest(docs, levels)
     above = upper[-1].select("tree", "block", F.lit("").alias("path"), F.lit("").alias("subroot"), "root")
     for blocks in reversed(upper):
-        above = handed_down(blocks, above)
+        above = handed_down(blocks, above, levels)
     tops = tops.select("of", F.col("digest").alias("_own"), F.col("index").alias("block"))
     above = tops.join(above, "block").select(F.col("of").alias("tree"), F.lit(0).cast("long").alias("block"), "path", F.col("_own").alias("subroot"), "root")
     for blocks in reversed(rounds[1:]):
-        above = handed_down(blocks, above)
+        above = handed_down(blocks, above, levels)
     blocks = look_up(rounds[0].select("tree", "block", "size", "held", "nodes"), above, ["tree", "block"])
     # as text, because pandas has no whole numbers beside nulls
-    asked = rows.select("tree", _block().alias("block"), "index", F.col("doc_id").cast("string").alias("doc_id"), "leaf", "tampered")
+    asked = rows.select("tree", _block(levels), "index", F.col("doc_id").cast("string").alias("doc_id"), "leaf", "tampered")
     out = "doc_id string, leaf string, proof_sha256 string, folded_root string, subroot string, root string"
-    found = asked.groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block")).applyInPandas(_prove, out)
+    found = asked.groupBy("tree", "block").cogroup(blocks.groupBy("tree", "block")).applyInPandas(_prove(levels), out)
     doc_id = F.col("doc_id").cast(docs.schema["doc_id"].dataType).alias("doc_id")
     return found.select(doc_id, "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
