@@ -39,6 +39,10 @@ CHART_BR_COUNT = 3
 MIN_DIGIT_SHARE = 0.01
 PROSE_LENGTH = 50
 
+# Spans as HTML limits them, and how many positions of one table its spans and its padding may fill.
+MAX_COLSPAN, MAX_ROWSPAN = 1000, 65534
+MAX_POSITIONS = 1 << 21
+
 # Captions and names.
 CAPTION_PREFIX = rf"^[<\[]?{WS}*(그림|표|차트|Figure|Table|Fig\.?){WS}*[^>\]]*[>\]]?{WS}*"
 CAPTION_LOOKBACK = 9

@@ -55,8 +55,8 @@ _OTHER_TAGS = (
     (r"(?i)</?[a-z!][^>]*>", ""),
 )
 _OPEN = "array<struct<i:int,text:string,left:int>>"
-_ROWS = "array<array<string>>"
 _ALL = 1 << 30
+_PIECE = 128
 
 
 def let(value: Column, use) -> Column:
@@ -126,19 +126,22 @@ def _replace_other(text: Column) -> Column:
     return text
 
 
-def _span(attrs: Column, name: str) -> Column:
-    n = F.regexp_extract(attrs, rf"(?i)\b{name}\s*=\s*[\"']?\s*(\d+)", 1)
-    return F.coalesce(F.nullif(n, F.lit("")).try_cast("int"), F.lit(1))
+def _span(attrs: Column, name: str, most: int, zero: int) -> Column:
+    """A span as HTML reads it: at most ``most``, one if it is not a number; ``zero`` is what 0 means."""
+    digits = F.regexp_extract(attrs, rf"(?i)\b{name}\s*=\s*[\"']?\s*\+?0*(\d*)", 1)
+    stated = attrs.rlike(rf"(?i)\b{name}\s*=\s*[\"']?\s*\+?\d")
+    n = F.when(F.length(digits) > 9, most).when(digits == "", zero).otherwise(F.least(digits.try_cast("int"), F.lit(most)))
+    return F.when(stated, n).otherwise(1)
 
 
 def _parse_cell(part: Column) -> Column:
     attrs = F.substring_index(part, _TEXT, 1)
-    spanned = attrs.contains("span") | attrs.contains("SPAN")
+    spanned = attrs.rlike("(?i)span")
     one = F.lit(1)
     return F.struct(
         part.startswith("h").alias("th"),
-        F.when(spanned, _span(attrs, "rowspan")).otherwise(one).alias("down"),
-        F.when(spanned, _span(attrs, "colspan")).otherwise(one).alias("across"),
+        F.when(spanned, _span(attrs, "rowspan", K.MAX_ROWSPAN, K.MAX_ROWSPAN)).otherwise(one).alias("down"),
+        F.when(spanned, _span(attrs, "colspan", K.MAX_COLSPAN, 1)).otherwise(one).alias("across"),
         strip(F.substring_index(F.substring_index(part, _TEXT, -1), _DONE, 1)).alias("text"),
     )
 
@@ -153,15 +156,15 @@ def sections(table: Column) -> Column:
     head, foot = f"{_HEAD}([^{_FOOT}{_END}]*)", f"{_FOOT}([^{_HEAD}{_END}]*)"
 
     def part(text, mark, pattern):
-        return _parse_rows(F.when(text.contains(mark), F.array_join(_matches(text, pattern), "")).otherwise(""))
+        return F.when(text.contains(mark), F.array_join(_matches(text, pattern), "")).otherwise("")
 
-    return let(
+    parts = let(
         _marked(table),
-        lambda t: F.struct(
-            part(t, _HEAD, head).alias("head"),
-            _parse_rows(F.regexp_replace(t, f"{head}|{foot}", "")).alias("rest"),
-            part(t, _FOOT, foot).alias("foot"),
-        ),
+        lambda t: F.array(part(t, _HEAD, head), F.regexp_replace(t, f"{head}|{foot}", ""), part(t, _FOOT, foot)),
+    )
+    return let(
+        F.transform(parts, _parse_rows),
+        lambda p: F.struct(F.get(p, 0).alias("head"), F.get(p, 1).alias("rest"), F.get(p, 2).alias("foot")),
     )
 
 
@@ -184,52 +187,74 @@ def split_header(s: Column) -> Column:
 
 
 def _place(rows: Column) -> Column:
-    """Grid of texts; a cell's text is copied to every position its spans cover."""
-    wide = F.transform(
+    """Grid of texts; a cell's text is copied to every position its spans cover.
+
+    A span ends with its section.  If all spans together cover more than ``MAX_POSITIONS``, every cell
+    is taken once, without its spans.
+    """
+    n = F.size(rows)
+    inside = F.transform(
         rows,
-        lambda r: F.flatten(
-            F.transform(r, lambda c: F.array_repeat(F.struct(c.text, c.down), c.across))
+        lambda r, i: F.transform(
+            r, lambda c: F.struct(c.text.alias("text"), F.least(c.down, n - i).alias("down"), c.across.alias("across"))
         ),
     )
+    none = F.lit(0).cast("long")
+    covered = F.aggregate(
+        inside, none, lambda a, r: a + F.aggregate(r, none, lambda b, c: b + c.down.cast("long") * c.across)
+    )
+    plain = F.transform(rows, lambda r: F.transform(r, lambda c: c.text))
+    spans = F.exists(inside, lambda r: F.exists(r, lambda c: (c.down != 1) | (c.across != 1)))
+    return F.when(spans & (covered <= K.MAX_POSITIONS), _place_spans(inside)).otherwise(plain)
+
+
+def _place_spans(rows: Column) -> Column:
+    """Rows are placed one after another; ``open`` holds, by column, the cells that hang down into the next row.
+
+    An array that grows with the table must not be bound by ``let``, which copies it: each step only appends
+    its own small result.  The rows are taken in pieces, so no list gets longer than a piece or the number of pieces.
+    """
 
-    def advance(out, row):
+    def advance(row):
         still = F.transform(
             F.filter(row, lambda o: o.left > 1),
             lambda o: F.struct(o.i.alias("i"), o.text.alias("text"), (o.left - 1).alias("left")),
         )
-        line = F.array(F.transform(row, lambda o: o.text))
-        return F.struct(still.cast(_OPEN).alias("open"), F.concat(out, line).alias("out"))
-
-    def step(state, cells):
-        taken = F.transform(state.open, lambda o: o.i)
-        free = F.array_except(F.sequence(F.lit(0), F.size(cells) + F.size(state.open)), taken)
-        placed = F.zip_with(
-            F.slice(free, F.lit(1), F.size(cells)),
-            cells,
-            lambda i, c: F.struct(i.alias("i"), c.text.alias("text"), c.down.alias("left")),
+        return F.struct(still.cast(_OPEN).alias("open"), F.transform(row, lambda o: o.text).alias("line"))
+
+    def placed(hanging, wide):
+        free = F.array_except(
+            F.sequence(F.lit(0), F.size(wide) + F.size(hanging)), F.transform(hanging, lambda o: o.i)
         )
-        row = F.array_sort(F.concat(state.open, placed))
-        return let(row, lambda r: advance(state.out, r))
-
-    def finish(state):
-        more = F.array_max(F.transform(state.open, lambda o: o.left))
-        tail = F.transform(
-            F.sequence(F.lit(1), more),
-            lambda n: F.transform(F.filter(state.open, lambda o: o.left >= n), lambda o: o.text),
+        new = F.zip_with(
+            F.slice(free, F.lit(1), F.size(wide)),
+            wide,
+            lambda i, c: F.struct(i.alias("i"), c.text.alias("text"), c.down.alias("left")),
         )
-        return F.when(more >= 1, F.concat(state.out, tail)).otherwise(state.out)
+        return let(F.array_sort(F.concat(hanging, new)), advance)
 
-    start = F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast(_ROWS).alias("out"))
-    spans = F.exists(rows, lambda r: F.exists(r, lambda c: (c.down != 1) | (c.across != 1)))
-    plain = F.transform(rows, lambda r: F.transform(r, lambda c: c.text))
-    return F.when(spans, F.aggregate(wide, start, step, finish)).otherwise(plain)
+    def step(done, cells):
+        wide = F.flatten(F.transform(cells, lambda c: F.array_repeat(F.struct(c.text, c.down), c.across)))
+        return F.concat(done, F.array(let(wide, lambda w: placed(F.element_at(done, -1).open, w))))
+
+    def piece(done, some):
+        hanging = F.element_at(F.element_at(done, -1), -1).open
+        first = F.array(F.struct(hanging.alias("open"), F.array().cast("array<string>").alias("line")))
+        return F.concat(done, F.array(F.aggregate(some, first, step)))
+
+    starts = F.sequence(F.lit(0), F.greatest(F.size(rows) - 1, F.lit(0)), F.lit(_PIECE))
+    pieces = F.transform(starts, lambda at: F.slice(rows, at + 1, F.lit(_PIECE)))
+    nothing = F.array(F.array(F.struct(F.array().cast(_OPEN).alias("open"), F.array().cast("array<string>").alias("line"))))
+    placed_rows = F.aggregate(pieces, nothing, piece)
+    return F.flatten(F.transform(placed_rows, lambda p: F.transform(F.slice(p, F.lit(2), F.lit(_ALL)), lambda r: r.line)))
 
 
 def place_sections(s: Column) -> Column:
     """Each section is placed on its own: spans never cross from header to body."""
-    foot = F.when(F.size(s.foot) > 0, _place(s.foot)).otherwise(F.array().cast(_ROWS))
-    return F.struct(
-        _place(s["head"]).alias("head"), F.concat(_place(s.rest), foot).alias("body")
+    grids = F.transform(F.array(s["head"], s.rest, s.foot), _place)
+    return let(
+        grids,
+        lambda g: F.struct(F.get(g, 0).alias("head"), F.concat(F.get(g, 1), F.get(g, 2)).alias("body")),
     )
 
 
@@ -253,11 +278,16 @@ def settle_header(g: Column) -> Column:
 
 
 def square(g: Column) -> Column:
-    """Pad every row to the widest one; in a one-column table blank data rows drop out."""
+    """Pad every row to the widest one; in a one-column table blank data rows drop out.
+
+    Rows stay as they are if the padded grid had more than ``MAX_POSITIONS``.
+    """
 
     def padded(width):
+        small = width.cast("long") * (F.size(g["head"]) + F.size(g.body)) <= K.MAX_POSITIONS
+
         def pad(rows):
-            ragged = F.exists(rows, lambda r: F.size(r) < width)
+            ragged = small & F.exists(rows, lambda r: F.size(r) < width)
             full = F.transform(
                 rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r)))
             )

@@ -1,10 +1,15 @@
-"""Follow-up questions on extracted tables, answered inside each grid without a shuffle."""
+"""Follow-up questions on extracted tables.
 
-from pyspark.sql import Column, DataFrame
+They are answered inside each grid without a shuffle; only changes between periods need one, of bare numbers.
+"""
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.functions import html as H
+from leafgrid.functions.periods import MONTHS, period
 from leafgrid.functions.text import strip
+from leafgrid.operators.elements import once
 from leafgrid.operators.tables import number
 
 UNIT = r"(%p|%|pp|bp|조원|억원|만원|천원|원|달러|명|건|개|배)"
@@ -42,20 +47,68 @@ def compare_series(grids: DataFrame, label_col: int, left: str, right: str) -> D
     )
 
 
-def period_change(grids: DataFrame, labels: int = 1) -> DataFrame:
-    """Change of each number against the column before it; the first ``labels`` columns name the
-    row, the others are periods.  A period without a number gives no row and no previous value."""
+def period_columns(grids: DataFrame, labels: int = 1) -> DataFrame:
+    """Numbers of the columns whose header names a period (``kind, at``); the first ``labels`` columns
+    name the row.  Totals and other columns are no period; ``series`` is the row."""
+    known = grids.select(
+        "doc_id",
+        "seq",
+        F.col("grid.body").alias("body"),
+        once(H.let(F.col("grid"), lambda g: F.transform(H.header_names(g), period)).alias("periods")),
+    )
+    rows = known.select("doc_id", "seq", "periods", F.posexplode_outer("body").alias("row", "cells")).filter("row IS NOT NULL")
+    values = F.zip_with("cells", "periods", lambda t, p: F.struct(p.kind.alias("kind"), p.at.alias("at"), number(t).alias("num")))
+    values = F.transform(values, lambda v, i: F.struct(i.alias("col"), v.kind.alias("kind"), v.at.alias("at"), v.num.alias("num")))
+    values = F.filter(values, lambda v: (v.col >= labels) & v.kind.isNotNull() & v.num.isNotNull())
+    return rows.select("doc_id", "seq", F.col("row").alias("series"), "row", F.inline(values))
+
+
+def period_rows(grids: DataFrame, label_col: int = 0) -> DataFrame:
+    """The same for tables whose rows are periods, named in ``label_col``; ``series`` is the column."""
     rows = grids.select("doc_id", "seq", F.posexplode_outer("grid.body").alias("row", "cells")).filter("row IS NOT NULL")
-    nums = F.transform(F.slice("cells", labels + 1, H._ALL), number)
-    steps = F.transform(
-        "nums",
-        lambda n, i: F.struct(
-            (i + labels).alias("col"), n.alias("num"), F.when(i > 0, F.get("nums", i - 1)).alias("previous")
-        ),
+    rows = rows.select("*", period(F.get("cells", F.lit(label_col))).alias("p")).filter("p IS NOT NULL")
+    values = F.transform("cells", lambda t, i: F.struct(i.alias("series"), i.alias("col"), number(t).alias("num")))
+    values = F.filter(values, lambda v: (v.series != label_col) & v.num.isNotNull())
+    values = rows.select("doc_id", "seq", "row", "p.kind", "p.at", F.inline(values))
+    return values.select("doc_id", "seq", "series", "row", "col", "kind", "at", "num")
+
+
+def period_change(values: DataFrame) -> DataFrame:
+    """Change and rate of each number against the period before it and against a year before.
+
+    ``values`` comes from ``period_columns`` or ``period_rows``.  The windows range over the calendar, so a missing
+    period gives null, not the one before the gap; so does a period that a series states twice.  A rate is the
+    change by the size of what it is compared with, null against zero.
+    """
+    series = Window.partitionBy("doc_id", "seq", "series", "kind").orderBy("at")
+
+    def back(months):
+        there = series.rangeBetween(-months, -months)
+        return F.when(F.count("num").over(there) == 1, F.max("num").over(there))
+
+    steps = {kind: back(n) for kind, n in MONTHS.items()}
+    before = F.coalesce(*[F.when(F.col("kind") == kind, step) for kind, step in steps.items()])
+    out = values.select("*", before.alias("previous"), steps["year"].alias("year_ago"))
+
+    def rate(change, base):
+        return F.round(change / F.nullif(F.abs(base), F.lit(0.0)), 6)
+
+    change, yearly = F.col("num") - F.col("previous"), F.col("num") - F.col("year_ago")
+    return out.select(
+        "doc_id",
+        "seq",
+        "row",
+        "col",
+        "kind",
+        F.make_date(F.floor(F.col("at") / 12), F.col("at") % 12 + 1, F.lit(1)).alias("period"),
+        "num",
+        "previous",
+        change.alias("change"),
+        rate(change, F.col("previous")).alias("rate"),
+        "year_ago",
+        yearly.alias("year_change"),
+        rate(yearly, F.col("year_ago")).alias("year_rate"),
     )
-    out = rows.select("doc_id", "seq", "row", nums.alias("nums"))
-    out = out.select("doc_id", "seq", "row", F.inline(F.filter(steps, lambda x: x.num.isNotNull())))
-    return out.withColumn("change", F.col("num") - F.col("previous"))
 
 
 def normalize_numbers(cells: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ the HTML, so an error in the HTML path cannot cancel out.
 
 from leafgrid import constants as K
 from leafgrid.plans.registry import CHART_COLUMNS, SEARCH_TERMS, THRESHOLDS
-from leafgrid.sources.fixtures import CHUNK_PAGES, EXTENSIONS, START
+from leafgrid.sources.fixtures import CHUNK_PAGES, EXTENSIONS, LOST, START
 
 
 def _q(text: str) -> str:
@@ -252,6 +252,10 @@ words AS (
   SELECT origin, doc_id, seq, w, COUNT(*) n FROM (
     SELECT origin, doc_id, seq, unnest(regexp_split_to_array({_strip('"text"')}, '{K.WS}+')) w FROM said) WHERE w <> ''
   GROUP BY ALL),
+totals AS (
+  SELECT *, dense_rank() OVER (PARTITION BY doc_id ORDER BY pr) - 1 rn FROM (
+    SELECT CAST(o_custkey AS BIGINT) doc_id, o_orderpriority pr, year(o_orderdate) * 12 + (quarter(o_orderdate) - 1) * 3 ym,
+      CAST(SUM(CAST(trunc(o_totalprice) AS BIGINT)) AS DOUBLE) num FROM orders GROUP BY ALL)),
 written AS (
   SELECT ok l_orderkey, no l_linenumber, qty, (ok + no) % 8 g, (qty * 1000)::VARCHAR q,
     substring(q, 1, length(q) - 3) || ',000' comma, FROM ln)
@@ -295,6 +299,15 @@ LEFT JOIN {_listing("assets", "json_object('index', idx, 'page', page, 'figure_t
                     "seq", "items", "prefix = 'f'")} fg USING (doc_id)
 """
 
+LOST_AT = LOST[0] * 12 + (LOST[1] - 1) * 3
+_CHANGES = """
+SELECT v.doc_id, v.seq, v."row", CAST(v.col AS INT) col, v.kind, make_date(v.ym // 12, v.ym % 12 + 1, 1) "period", v.num,
+  p.num previous, v.num - p.num "change", ROUND((v.num - p.num) / abs(p.num), 6) rate,
+  y.num year_ago, v.num - y.num year_change, ROUND((v.num - y.num) / abs(y.num), 6) year_rate
+FROM ({values}) v
+LEFT JOIN ({values}) p ON p.doc_id = v.doc_id AND p.seq = v.seq AND p.pr = v.pr AND p.ym = v.ym - CASE v.kind WHEN 'year' THEN 12 ELSE 3 END
+LEFT JOIN ({values}) y ON y.doc_id = v.doc_id AND y.seq = v.seq AND y.pr = v.pr AND y.ym = v.ym - 12"""
+
 _SELECTS = {
     "catalog_documents": f"""
 SELECT path, size_bytes, stem, ext_l ext, ext_l = '.pdf' is_pdf, COALESCE(mime, '{K.DEFAULT_MIME}') mime,
@@ -364,6 +377,21 @@ SELECT doc_id, chunk_no, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id, chunk_no O
 SELECT label, COUNT(*) n, ROUND(COUNT(*) / SUM(COUNT(*)) OVER (), 6) share
 FROM lab WHERE category = 'table' GROUP BY label""",
     "table_cells": "SELECT * FROM cells",
+    "spanned_cells": """
+SELECT CAST(j.doc_id AS BIGINT) doc_id, i * 3 + 1 seq, h."row", h.col, true is_header, h."text"
+FROM j, (VALUES (0, 0, '쌍'), (0, 1, '쌍'), (0, 2, '값'), (0, 3, '값'), (1, 0, '쌍'), (1, 1, '쌍'), (1, 2, '항목'), (1, 3, '합계')) h("row", col, "text")
+WHERE cnt > 0
+UNION ALL
+SELECT CAST(j.doc_id AS BIGINT), i * 3 + 1, CAST(r.rn + 1 AS INT), c.col, false,
+  CASE WHEN c.col < 2 THEN f.no WHEN c.col = 2 THEN r.no ELSE r.qty END::VARCHAR
+FROM j JOIN rk r ON r.ok = j.ok JOIN rk f ON f.ok = r.ok AND f.rn = r.rn - (r.rn - 1) % 2, (VALUES (0), (1), (2), (3)) c(col)
+UNION ALL
+SELECT CAST(j.doc_id AS BIGINT), i * 3 + 1, CAST(rn + 1 AS INT), col, head, "text" FROM j JOIN (
+  SELECT ok, rn, false head, '끝' "text" FROM (SELECT ok, MAX(rn) + 1 rn FROM rk GROUP BY ok)) x ON x.ok = j.ok,
+  (SELECT unnest(range(1000))::INT col) WHERE j.ok % 1000 = 0
+UNION ALL
+SELECT CAST(j.doc_id AS BIGINT), i * 3 + 1, CAST(y AS INT), col, y < 2, '' FROM j, LATERAL (SELECT unnest(range(cnt + 2)) y),
+  (SELECT unnest(range(4, 1000))::INT col) WHERE j.ok % 1000 = 0 AND cnt > 0""",
     "table_headers": f"""
 SELECT d.doc_id, d.seq, h.col, h."name", d.n_head n_levels
 FROM data d JOIN (VALUES (0, 0, '구분'), (0, 1, '항목'), (0, 2, '{CHART_COLUMNS[0]}'), (0, 3, '{CHART_COLUMNS[1]}'),
@@ -383,7 +411,8 @@ UNION ALL
 SELECT a.doc_id, a.seq, a."name", CAST(b."row" - b.n_head + 1 AS INT), CASE b.v WHEN 2 THEN 'order' ELSE '주문' END || ',' || no || ',' || qty || ',' || n
 FROM bodies b JOIN assets a USING (doc_id, seq) WHERE b.col = 0""",
     "write_failures": """
-SELECT a.doc_id, a.seq, a."name", e.html FROM assets a JOIN el e USING (doc_id, seq) WHERE NOT a.parsed_ok AND a.prefix IN ('t', 'c')""",
+SELECT doc_id, seq, "name", CASE k WHEN 6 THEN '<figure><p>no data</p></figure>' ELSE '<table></table>' END html
+FROM assets WHERE NOT parsed_ok AND prefix IN ('t', 'c')""",
     "stitch_tables": """
 SELECT p.doc_id, p.stitched_id, CAST(CASE WHEN c.is_header THEN c."row" ELSE c."row" + p.row_offset END AS BIGINT) "row",
   c.col, c.is_header, c."text"
@@ -462,13 +491,16 @@ FROM said s LEFT JOIN words w ON w.origin = s.origin AND w.doc_id = s.doc_id AND
 SELECT doc_id, seq, CAST(rn - 1 AS INT) "row", CAST(no AS VARCHAR) "label", CAST(qty AS DOUBLE) left_value,
   CAST(n AS DOUBLE) right_value, CAST(qty - n AS DOUBLE) difference, ROUND(qty / n, 6) ratio
 FROM data JOIN rk USING (ok) WHERE v = 0""",
-    "period_change": """
-SELECT doc_id, 0 seq, CAST(rn AS INT) "row", CAST(y - 1991 AS INT) col, num, previous, num - previous "change"
-FROM (SELECT *, LAG(num) OVER (PARTITION BY doc_id, pr ORDER BY y) previous
-  FROM (SELECT doc_id, pr, dense_rank() OVER (PARTITION BY doc_id ORDER BY pr) - 1 rn, unnest(range(1992, 1999)) y
-    FROM (SELECT DISTINCT CAST(o_custkey AS BIGINT) doc_id, o_orderpriority pr FROM orders)) g
-  LEFT JOIN (SELECT o_custkey doc_id, o_orderpriority pr, year(o_orderdate) y, CAST(SUM(CAST(trunc(o_totalprice) AS BIGINT)) AS DOUBLE) num
-    FROM orders GROUP BY ALL) v USING (doc_id, pr, y)) WHERE num IS NOT NULL""",
+    "period_change": _CHANGES.format(
+        values=f"""
+    SELECT doc_id, 0 seq, pr, CAST(rn AS INT) "row", ym // 12 - 1991 col, 'year' kind, ym // 12 * 12 ym, SUM(num) num FROM totals WHERE ym < 1999 * 12 GROUP BY ALL
+    UNION ALL
+    SELECT doc_id, 1, pr, CAST(rn AS INT), (ym - 1992 * 12) // 3 + 1 - (ym > {LOST_AT})::INT, 'quarter', ym, num FROM totals WHERE ym < 1999 * 12 AND ym <> {LOST_AT}"""
+    ),
+    "period_rows": _CHANGES.format(
+        values="""
+    SELECT doc_id, 2 seq, pr, CAST(ym // 12 - 1992 AS INT) "row", rn + 1 col, 'year' kind, ym // 12 * 12 ym, SUM(num) num FROM totals WHERE ym < 1999 * 12 GROUP BY ALL"""
+    ),
     "normalize_numbers": """
 SELECT l_orderkey, l_linenumber,
   CASE g WHEN 0 THEN '▲' || comma WHEN 1 THEN '▽ ' || comma WHEN 2 THEN '(' || comma || ')' WHEN 3 THEN qty || '.5%'

@@ -202,6 +202,11 @@ def table_cells(spark, sf):
     return tables.table_cells(_grids(spark, sf))
 
 
+@query
+def spanned_cells(spark, sf):
+    return tables.table_cells(tables.table_grids(X.spanned_elements(spark, sf)))
+
+
 @query
 def table_headers(spark, sf):
     return tables.table_headers(_grids(spark, sf))
@@ -415,7 +420,14 @@ def compare_series(spark, sf):
 
 @query
 def period_change(spark, sf):
-    return analysis.period_change(tables.table_grids(X.period_elements(spark, sf)))
+    grids = tables.table_grids(X.period_elements(spark, sf).filter("seq < 2"))
+    return analysis.period_change(analysis.period_columns(grids))
+
+
+@query
+def period_rows(spark, sf):
+    grids = tables.table_grids(X.period_elements(spark, sf).filter("seq = 2"))
+    return analysis.period_change(analysis.period_rows(grids))
 
 
 @query

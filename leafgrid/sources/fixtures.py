@@ -152,24 +152,92 @@ def continued_elements(spark, sf_dir) -> DataFrame:
     return e.withColumn("category", F.when(title & (case % 4 == 1), "header").otherwise(F.col("category")))
 
 
+def _as_elements(rows: DataFrame) -> DataFrame:
+    """Table elements from ``doc_id, seq, page, html``."""
+    return rows.select(
+        "doc_id",
+        F.col("seq").cast("int").alias("seq"),
+        F.col("page").cast("int").alias("page"),
+        F.lit("table").alias("category"),
+        F.lit("| 1 |").alias("markdown"),
+        F.lit(None).cast("string").alias("text"),
+        "html",
+    )
+
+
+def spanned_elements(spark, sf_dir) -> DataFrame:
+    """A table per order whose body cells span two rows and two columns; a last odd line ends such a cell early."""
+    pair = F.transform(
+        "lines",
+        lambda l, n: _text(
+            "<tr>",
+            F.when(n % 2 == 0, _text('<td rowspan="', F.when(F.col("ok") % 3 == 0, "2").otherwise("02"), '" colspan=2>', l.no.cast("string"), "</td>")).otherwise(""),
+            "<td>", l.no.cast("string"), "</td><td>", l.qty.cast("string"), "</td></tr>",
+        ),
+    )
+    head = '<table><thead><tr><th rowspan="2" colspan="2">쌍</th><th colspan="2">값</th></tr><tr><th>항목</th><th>합계</th></tr></thead><tbody>'
+    foot = '</tbody><tfoot><tr><td colspan="4000000000">끝</td></tr></tfoot></table>'
+    # a few tables end with a cell of a limitless width
+    end = F.when(F.col("ok") % 1000 == 0, foot).otherwise("</tbody></table>")
+    o = order_tables(spark, sf_dir).filter("lines IS NOT NULL")
+    return _as_elements(o.select("doc_id", (F.col("i") * 3 + 1).alias("seq"), "page", _text(head, F.array_join(pair, ""), end).alias("html")))
+
+
 YEARS = range(1992, 1999)
+LOST = (1995, 3)
+QUARTERS = [(y, q) for y in YEARS for q in (1, 2, 3, 4) if (y, q) != LOST]
 
 
 def period_elements(spark, sf_dir) -> DataFrame:
-    """One table per customer: order totals by priority (rows) and year (columns)."""
+    """Three tables per customer of order totals by priority: years in columns, quarters in columns (one is lacking,
+    the headers are spelled in four ways), years in rows; each has a column or row of totals."""
     o = table(spark, sf_dir, "orders").groupBy(
-        F.col("o_custkey").alias("doc_id"), F.col("o_orderpriority").alias("pr"), F.year("o_orderdate").alias("y")
+        F.col("o_custkey").alias("doc_id"),
+        F.col("o_orderpriority").alias("pr"),
+        F.year("o_orderdate").alias("y"),
+        F.quarter("o_orderdate").alias("q"),
     ).agg(F.sum(F.col("o_totalprice").cast("bigint")).alias("v"))
-    per_row = o.groupBy("doc_id", "pr").agg(*[F.coalesce(F.sum(F.when(F.col("y") == y, F.col("v"))).cast("string"), F.lit("-")).alias(f"y{y}") for y in YEARS])
-    cells = F.concat(*[_text("<td>", F.col(f"y{y}"), "</td>") for y in YEARS])
-    row = per_row.select("doc_id", F.struct("pr", _text("<tr><td>", F.col("pr"), "</td>", cells, "</tr>").alias("h")).alias("r"))
-    rows = row.groupBy("doc_id").agg(F.array_sort(F.collect_list("r")).alias("rows"))
-    head = "<table><tr><th>구분</th>" + "".join(f"<th>{y}</th>" for y in YEARS) + "</tr>"
-    html = _text(head, F.array_join(F.transform("rows", lambda r: r.h), ""), "</table>")
-    none = F.lit(None).cast("string")
-    return rows.select(
-        "doc_id", F.lit(0).alias("seq"), F.lit(1).alias("page"), F.lit("table").alias("category"), F.lit("| 1 |").alias("markdown"), none.alias("text"), html.alias("html")
+    when = lambda y, q=None: (F.col("y") == y) & (F.lit(True) if q is None else F.col("q") == q)
+    written = lambda c: F.coalesce(F.sum(c).cast("string"), F.lit("-"))
+    per_row = o.groupBy("doc_id", "pr").agg(
+        written(F.col("v")).alias("total"),
+        *[written(F.when(when(y), F.col("v"))).alias(f"y{y}") for y in YEARS],
+        *[written(F.when(when(y, q), F.col("v"))).alias(f"q{y}{q}") for y, q in QUARTERS],
+    )
+    years, quarters = [f"y{y}" for y in YEARS], [f"q{y}{q}" for y, q in QUARTERS]
+
+    def line(names):
+        return _text("<tr><td>", F.col("pr"), "</td>", *[_text("<td>", F.col(n), "</td>") for n in (*names, "total")], "</tr>")
+
+    row = F.struct("pr", line(years).alias("years"), line(quarters).alias("quarters"), *years)
+    rows = per_row.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    body = lambda name: F.array_join(F.transform("rows", lambda r: r[name]), "")
+    ths = lambda texts: "".join(f"<th>{t}</th>" for t in texts)
+    short = lambda y: str(y)[2:]
+    heads = [
+        ths(f"{y}Q{q}" for y, q in QUARTERS),
+        ths(f"'{short(y)}.{q}/4" for y, q in QUARTERS),
+        None,
+        ths(f"{q}Q{short(y)}" for y, q in QUARTERS),
+    ]
+    single = [f"<table><tr><th>구분</th>{h}<th>합계</th></tr>" for h in heads if h]
+    groups = "".join(f'<th colspan="{sum(x == y for x, _ in QUARTERS)}">{y}년</th>' for y in YEARS)
+    double = (
+        f'<table><thead><tr><th rowspan="2">구분</th>{groups}<th rowspan="2">합계</th></tr>'
+        f"<tr>{ths(f'{q}분기' for _, q in QUARTERS)}</tr></thead><tbody>"
+    )
+    spelling = F.col("doc_id") % 4
+    head = F.when(spelling == 0, single[0]).when(spelling == 1, single[1]).when(spelling == 2, double).otherwise(single[2])
+    down = F.concat(
+        *[_text(f"<tr><td>{y}년</td>", F.array_join(F.transform("rows", lambda r: _text("<td>", r[f"y{y}"], "</td>")), ""), "</tr>") for y in YEARS]
     )
+    names = F.array_join(F.transform("rows", lambda r: _text("<th>", r.pr, "</th>")), "")
+    tables = [
+        _text("<table><tr><th>구분</th>" + ths(YEARS) + "<th>합계</th></tr>", body("years"), "</table>"),
+        _text(head, body("quarters"), F.when(spelling == 2, "</tbody></table>").otherwise("</table>")),
+        _text("<table><tr><th>연도</th>", names, "</tr>", down, "<tr><td>합계</td></tr></table>"),
+    ]
+    return _as_elements(rows.select("doc_id", F.lit(1).alias("page"), F.posexplode(F.array(*tables)).alias("seq", "html")))
 
 
 def page_elements(spark, sf_dir) -> DataFrame:

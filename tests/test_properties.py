@@ -2,6 +2,7 @@
 
 import itertools
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -77,8 +78,7 @@ def place(rows):
                 for dy in range(down):
                     filled[y + dy, x + dx] = text
             x += across
-    height = max([y for y, _ in filled] + [len(rows) - 1]) + 1
-    for y in range(height):
+    for y in range(len(rows)):  # a span ends with its section
         out.append([filled[y, x] for x in sorted(x for yy, x in filled if yy == y)])
     return out
 
@@ -107,6 +107,31 @@ def test_random_spans(spark):
         assert got[i] == wanted[i], htmls[i]
 
 
+def test_spans_over_many_rows(spark):
+    """Spans cross the seams of the pieces in which rows are placed."""
+    rng = random.Random(23)
+    rows = [[(f"{y}.{x}", rng.choice([1, 1, 2, 40, 300]), rng.choice([1, 1, 1, 2])) for x in range(rng.randint(0, 2))] for y in range(700)]
+    html = "<table>" + "".join("<tr>" + "".join(f'<td rowspan="{d}" colspan={a}>{t}</td>' for t, d, a in r) + "</tr>" for r in rows) + "</table>"
+    rows, across = [[(t, d, 1) for t, d, a in r for _ in range(a)] for r in rows], None
+    grid = place(rows)
+    width = max(map(len, grid))
+    found = spark.createDataFrame([(html,)], "html string").select(H.table_grid(F.col("html")).alias("g")).first().g
+    assert found.n_cols == width and found.body == [r + [""] * (width - len(r)) for r in grid]
+
+
+def test_spans_beyond_any_use(spark):
+    """Limits of HTML, and of what the spans of one table may cover."""
+    wide = "<table><tr><td colspan=2000000000>a</td></tr></table>"
+    many = "<table><tr>" + "<td colspan=1000 rowspan=65534>a</td>" * 300 + "</tr>" + "<tr><td>b</td></tr>" * 2000 + "</table>"
+    long = "<table>" + "".join(f'<tr><td rowspan="2">{i}</td><td colspan="2">x</td></tr>' for i in range(16000)) + "</table>"
+    df = spark.createDataFrame([(0, wide), (1, many), (2, long)], "i int, html string").select("i", H.table_grid(F.col("html")).alias("g"))
+    start = time.perf_counter()
+    sizes = {r.i: (r.n, r.w) for r in df.select("i", F.expr("explode(array(struct(size(g.body) n, g.n_cols w))) s")).select("i", "s.*").collect()}
+    assert sizes == {0: (1, 1000), 1: (2001, 300), 2: (16000, 4)}
+    assert time.perf_counter() - start < 30
+    assert [len(r) for r in df.filter("i = 1").first().g.body[:2]] == [300, 300]
+
+
 def overlaps(html):
     """Wide cells that run into a cell hanging down from above: the order of the texts is
     then a matter of taste, so these are left to the hand-written cases."""

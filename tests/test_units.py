@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafgrid import constants as K
 from leafgrid.functions import html as H
 from leafgrid.functions import text as T
+from leafgrid.functions.periods import MONTHS, period
 from leafgrid.operators import analysis, catalog, elements, paging, quality, reports, tables
 
 
@@ -136,7 +137,11 @@ def grid(spark, html):
         ("<table><tr><td>a</td></tr><tr><td> </td></tr></table>", ([], [["a"]], 1)),
         ("<table><thead><tr><th></th></tr><tr><th>h</th></tr><tr><th> </th></tr></thead><tr><td>1</td><td>2</td></tr></table>",
          ([["h", ""]], [["", ""], ["1", "2"]], 2)),
-        ("<table><tr><td rowspan='3'>a</td><td>b</td></tr></table>", ([], [["a", "b"], ["a", ""], ["a", ""]], 2)),
+        # a span ends with its section
+        ("<table><tr><td rowspan='3'>a</td><td>b</td></tr></table>", ([], [["a", "b"]], 2)),
+        ("<table><tbody><tr><td rowspan='300000000'>a</td><td>b</td></tr><tr><td>c</td></tr></tbody></table>", ([], [["a", "b"], ["a", "c"]], 2)),
+        ("<table><tr><td rowspan=0>a</td><td COLSPAN=0>b</td></tr><tr><td>c</td></tr><tr></tr></table>", ([], [["a", "b"], ["a", "c"], ["a", ""]], 2)),
+        ("<table><tr><td rowspan=-1 colspan=x>a</td><td colspan=+02>b</td></tr></table>", ([], [["a", "b", "b"]], 3)),
     ],
 )
 def test_grids(spark, html, expected):
@@ -228,10 +233,46 @@ def test_unit_rows(spark):
     assert got == [["%", "%"], ["조원", None], None, None, ["%", "건"]]
 
 
-def test_period_change_uses_the_column_before(make):
-    html = "<table><tr><th>x</th><th>1</th><th>2</th><th>3</th><th>4</th></tr><tr><td>7</td><td>10</td><td>-</td><td>5</td><td>6</td></tr></table>"
-    got = analysis.period_change(tables.table_grids(make([(1, 0, 1, "table", "1", html)]))).orderBy("col").collect()
-    assert [(r["col"], r.num, r.previous, r.change) for r in got] == [(1, 10.0, None, None), (3, 5.0, None, None), (4, 6.0, 5.0, 1.0)]
+def test_periods(spark):
+    year, half, quarter, month = ((k, lambda y, p=1, n=n: y * 12 + (p - 1) * n) for k, n in MONTHS.items())
+    cases = {
+        "2024": (year, 2024), "2024년": (year, 2024), "2024년도": (year, 2024), "'24": (year, 2024), "’98년": (year, 1998), "24년": (year, 2024),
+        "2024Q1": (quarter, 2024, 1), "2024 4Q": (quarter, 2024, 4), "'24.1/4": (quarter, 2024, 1), "2024년 1분기": (quarter, 2024, 1),
+        "2024.3/4분기": (quarter, 2024, 3), "2024년__2/4": (quarter, 2024, 2), "1Q24": (quarter, 2024, 1), "q3 '99": (quarter, 1999, 3),
+        "2024년 상반기": (half, 2024, 1), "2024 하반기": (half, 2024, 2), "2024H2": (half, 2024, 2), "'24.1H": (half, 2024, 1),
+        "2024.12": (month, 2024, 12), "2024-03": (month, 2024, 3), "'24.3월": (month, 2024, 3), "2024년 9월": (month, 2024, 9), " 2024/1 ": (month, 2024, 1),
+    }
+    want = [(kind[0], kind[1](*rest)) for kind, *rest in cases.values()]
+    assert [tuple(p) for p in values(spark, list(cases), period)] == want
+    none = ["", "24", "합계", "계", "1/4", "2024년 합계", "2024.13", "2024년 5/4", "12345", "2024Q5", "증감률(2024)", "전년 대비", "1899", None]
+    assert values(spark, none, period) == [None] * len(none)
+
+
+def test_period_change(make):
+    head = "".join(f"<th>{t}</th>" for t in ("x", "2022Q4", "2023Q1", "2023.2/4", "합계", "2023년 4분기", "2024Q1", "'24.1/4", "2023"))
+    html = f"<table><tr>{head}</tr><tr><td>7</td><td>8</td><td>10</td><td>-5</td><td>99</td><td>6</td><td>1</td><td>1</td><td>50</td></tr></table>"
+    grids = tables.table_grids(make([(1, 0, 1, "table", "1", html)]))
+    got = analysis.period_change(analysis.period_columns(grids)).orderBy("kind", "col").collect()
+    assert [(r["col"], r.kind, r.num, r.previous, r.change, r.rate, r.year_ago, r.year_rate) for r in got] == [
+        (1, "quarter", 8.0, None, None, None, None, None),
+        (2, "quarter", 10.0, 8.0, 2.0, 0.25, None, None),
+        (3, "quarter", -5.0, 10.0, -15.0, -1.5, None, None),
+        (5, "quarter", 6.0, None, None, None, 8.0, -0.25),  # the third quarter is lacking
+        (6, "quarter", 1.0, 6.0, -5.0, -0.833333, 10.0, -0.9),  # stated twice, but not compared with
+        (7, "quarter", 1.0, 6.0, -5.0, -0.833333, 10.0, -0.9),
+        (8, "year", 50.0, None, None, None, None, None),
+    ]
+    assert [str(r.period) for r in got][-2:] == ["2024-01-01", "2023-01-01"]
+
+
+def test_periods_in_rows(make):
+    rows = [("2021", "0", "a"), ("2022년", "5", "4"), ("합계", "9", "9"), ("'23", "4", "8")]
+    html = "<table><tr><th>연도</th><th>a</th><th>b</th></tr>" + "".join(f"<tr>{''.join(f'<td>{t}</td>' for t in r)}</tr>" for r in rows) + "</table>"
+    grids = tables.table_grids(make([(1, 0, 1, "table", "1", html), (1, 1, 1, "table", "1", "<table><tr><td></td></tr></table>")]))
+    got = analysis.period_change(analysis.period_rows(grids)).orderBy("col", "row").collect()
+    assert [(r["row"], r["col"], r.previous, r.change, r.rate) for r in got] == [
+        (0, 1, None, None, None), (1, 1, 0.0, 5.0, None), (3, 1, 5.0, -1.0, -0.2), (1, 2, None, None, None), (3, 2, 4.0, 4.0, 1.0)
+    ]
 
 
 def test_markup_that_must_not_leak(make):
