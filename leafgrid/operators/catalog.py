@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid import constants as K
+from leafgrid.functions.search import containing
 from leafgrid.functions.text import nfc
 
 
@@ -55,31 +56,19 @@ def fingerprint_documents(documents: DataFrame, content: str = "content") -> Dat
     )
 
 
-def search_documents(catalog: DataFrame, terms: list, listed: int = K.SEARCH_LISTED) -> DataFrame:
+def search_documents(catalog: DataFrame, terms, listed: int = K.SEARCH_LISTED) -> DataFrame:
     """Files whose stem contains a term, newest first; one status per term.
 
-    Upper and lower case and composed and decomposed letters do not matter.  The terms
-    are call arguments, so they are matched inside the row.  The listing keeps its top
-    rows map-side (window group limit); the counts are plain partial aggregates.
+    Upper and lower case and composed and decomposed letters do not matter.  A list of terms
+    is matched inside the row; a DataFrame with a column ``term``, of any size, by runs of characters
+    both sides share (``functions/search.py``).  The listing keeps its top rows map-side
+    (window group limit); the counts are plain partial aggregates.
     """
-    spark = catalog.sparkSession
-    terms = list(dict.fromkeys(terms))
-    asked = spark.createDataFrame([(t,) for t in terms], "term string")
-    needle = {t: unicodedata.normalize("NFC", t).lower() for t in terms}
-    wanted = F.array(
-        *[F.struct(F.lit(t).alias("term"), F.lit(needle[t]).alias("needle")) for t in terms]
-    )
-    found = (
-        catalog.filter(F.col("ext").isin(*K.MIME_TYPES))
-        .withColumn("_stem", F.lower(nfc(F.col("stem"))))
-        .select(
-            "path",
-            "mtime",
-            F.explode(F.filter(wanted, lambda w: F.contains(F.col("_stem"), w.needle))).alias("_w"),
-        )
-        .groupBy(F.col("_w.term").alias("term"), "path")
-        .agg(F.max("mtime").alias("mtime"))
-    )
+    files = catalog.filter(F.col("ext").isin(*K.MIME_TYPES))
+    if isinstance(terms, DataFrame):
+        asked, found = _find_many(files, terms)
+    else:
+        asked, found = _find_few(files, terms)
     newest = Window.partitionBy("term").orderBy(F.col("mtime").desc(), "path")
     top = found.withColumn("rank", F.row_number().over(newest)).filter(F.col("rank") <= listed)
     counts = found.groupBy("term").agg(F.count(F.lit(1)).alias("n_matches"))
@@ -99,6 +88,36 @@ def search_documents(catalog: DataFrame, terms: list, listed: int = K.SEARCH_LIS
     )
 
 
+def _find_many(files: DataFrame, terms: DataFrame):
+    asked = terms.select("term").where("term IS NOT NULL").distinct()
+    needles = asked.select("term", F.lower(nfc(F.col("term"))).alias("needle"))
+    files = files.groupBy("path").agg(F.max("mtime").alias("mtime"), F.min("stem").alias("stem"))
+    files = files.select("path", "mtime", F.lower(nfc(F.col("stem"))).alias("stem"))
+    found = containing(files, ["path"], "stem", needles, keep=["mtime"])
+    return asked, found.join(needles, "needle").select("term", "path", "mtime")
+
+
+def _find_few(files: DataFrame, terms: list):
+    spark = files.sparkSession
+    terms = list(dict.fromkeys(terms))
+    asked = spark.createDataFrame([(t,) for t in terms], "term string")
+    needle = {t: unicodedata.normalize("NFC", t).lower() for t in terms}
+    wanted = F.array(
+        *[F.struct(F.lit(t).alias("term"), F.lit(needle[t]).alias("needle")) for t in terms]
+    )
+    found = (
+        files.withColumn("_stem", F.lower(nfc(F.col("stem"))))
+        .select(
+            "path",
+            "mtime",
+            F.explode(F.filter(wanted, lambda w: F.contains(F.col("_stem"), w.needle))).alias("_w"),
+        )
+        .groupBy(F.col("_w.term").alias("term"), "path")
+        .agg(F.max("mtime").alias("mtime"))
+    )
+    return asked, found
+
+
 def recent_documents(catalog: DataFrame, n: int = K.RECENT_LISTED) -> DataFrame:
     """The newest ``n`` accepted kinds of files of each folder."""
     folder = F.regexp_replace("path", "/[^/]*$", "")

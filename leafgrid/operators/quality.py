@@ -1,11 +1,14 @@
 """Checks of extracted tables and documents against golden values and thresholds."""
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
 from leafgrid import constants as K
 from leafgrid.functions import html as H
 from leafgrid.functions import text as T
+from leafgrid.functions.search import containing
 from leafgrid.operators.elements import label, once
 from leafgrid.operators.tables import number, table_grids
 
@@ -51,6 +54,15 @@ def golden_substrings(golden: DataFrame, elements: DataFrame, needed: int = 4) -
     return found.select("doc_id", "seq", hits.alias("hits"), (hits >= needed).alias("passed"))
 
 
+def find_substrings(wanted: DataFrame, elements: DataFrame) -> DataFrame:
+    """Tables (``doc_id, seq``) whose space-joined data cells contain a string, for any number of strings
+    (column ``wanted``), wherever they are expected."""
+    joined = F.array_join(F.transform("grid.body", lambda r: F.array_join(r, " ")), " ")
+    tables = table_grids(elements).select("doc_id", "seq", joined.alias("text"))
+    found = containing(tables, ["doc_id", "seq"], "text", wanted, "wanted")
+    return found.withColumnRenamed("needle", "wanted")
+
+
 def largest_table_on_page(
     targets: DataFrame, elements: DataFrame, min_rows: int = 5, min_cols: int = 5
 ) -> DataFrame:
@@ -174,11 +186,15 @@ def eval_rollup(scenarios: DataFrame, checks: DataFrame) -> DataFrame:
 
 
 def eval_totals(rollup: DataFrame) -> DataFrame:
-    return rollup.groupBy("scenario").agg(
+    """Passed and failed evaluations of each scenario, of each document and over all, in one aggregate."""
+    sets = [[F.col("scenario")], [F.col("doc_id")], []]
+    totals = rollup.groupingSets(sets, F.col("scenario"), F.col("doc_id")).agg(
+        F.when(F.grouping("scenario") == 0, "scenario").when(F.grouping("doc_id") == 0, "document").otherwise("all").alias("of"),
         F.count(F.lit(1)).alias("n"),
         F.count_if("passed").alias("n_pass"),
         F.count_if(~F.col("passed")).alias("n_fail"),
     )
+    return totals.select("of", "scenario", "doc_id", "n", "n_pass", "n_fail", (F.col("n_fail") == 0).alias("passed"))
 
 
 def mask_secrets(messages: DataFrame, rules=K.SECRET_RULES, length: int = K.MESSAGE_LENGTH) -> DataFrame:
@@ -187,25 +203,64 @@ def mask_secrets(messages: DataFrame, rules=K.SECRET_RULES, length: int = K.MESS
     return masked.withColumn("excerpt", F.substring("text", 1, length))
 
 
+@F.pandas_udf(IntegerType())
+def _smallest_period(tails: pd.Series) -> pd.Series:
+    """By the prefix function: the words but for the longest border that is also their beginning."""
+
+    def of(words):
+        if words is None:
+            return None
+        words, border = list(words), [0] * len(words)
+        k = 0
+        for i in range(1, len(words)):
+            while k and words[i] != words[k]:
+                k = border[k - 1]
+            k += words[i] == words[k]
+            border[i] = k
+        period = len(words) - k
+        return period if 3 * period <= len(words) else None
+
+    return tails.map(of).astype("Int32")
+
+
+def _loop(words: Column, n: Column) -> Column:
+    """Period of the last half of the words if it holds three turns of it or more, else null.
+
+    In a loop the last third of that half has no word that its beginning lacks.  Few other texts are
+    like that, and only such reach Python.
+    """
+    def suspect(tail):
+        third = F.floor(F.size(tail) / 3).cast("int")
+        start = F.slice(tail, F.lit(1), F.size(tail) - third)
+        end = F.slice(tail, F.size(tail) - third + 1, third)
+        return F.when(F.size(F.array_except(end, start)) == 0, tail)
+
+    half = F.ceil(n / 2).cast("int")
+    return _smallest_period(H.let(F.slice(words, n - half + 1, half), suspect))
+
+
 def description_loops(texts: DataFrame, text: str = "text", share: float = 0.5, min_words: int = 20) -> DataFrame:
-    """Descriptions stuck on one word: its share of all words and the verdict.
+    """Descriptions stuck on one word (its share of all words) or on a phrase that repeats to the end (its
+    ``period`` in words), and the verdict.
 
     The words of a text are sorted inside the row and the longest run is its top count,
     so no word is ever shuffled.
     """
-    words = F.array_sort(F.filter(F.split(T.strip(F.col(text)), f"{K.WS}+"), lambda w: w != ""))
+    in_order = F.filter(F.split(T.strip(F.col(text)), f"{K.WS}+"), lambda w: w != "")
+    words = F.array_sort("_in_order")
     start = F.struct(F.lit(None).cast("string").alias("last"), F.lit(0).alias("run"), F.lit(0).alias("top"))
 
     def count(state, word):
         run = F.when(state["last"] == word, state.run + 1).otherwise(1)
         return F.struct(word.alias("last"), run.alias("run"), F.greatest(state.top, run).alias("top"))
 
-    rows = texts.withColumn("_words", words)
+    rows = texts.withColumn("_in_order", in_order).withColumn("_words", words)
     rows = rows.withColumn("n_words", F.size("_words"))
+    rows = rows.withColumn("period", F.when(F.col("n_words") >= min_words, _loop(F.col("_in_order"), F.col("n_words"))))
     rows = rows.withColumn("top_count", F.aggregate("_words", start, count, lambda s: s.top))
     rate = F.col("top_count") / F.greatest("n_words", F.lit(1))
-    return rows.drop("_words", text).select(
+    return rows.drop("_words", "_in_order", text).select(
         "*",
         F.round(rate, 6).alias("top_share"),
-        ((F.col("n_words") >= min_words) & (rate >= share)).alias("looping"),
+        (((F.col("n_words") >= min_words) & (rate >= share)) | F.col("period").isNotNull()).alias("looping"),
     )

@@ -247,7 +247,14 @@ parts AS (
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) row_offset FROM chains),
 said AS (
   SELECT 'figures' origin, doc_id, seq, description "text" FROM assets WHERE prefix = 'f'
-  UNION ALL SELECT 'documents', doc_id, 0, "text" FROM documents),
+  UNION ALL SELECT 'documents', doc_id, 0, "text" FROM documents
+  UNION ALL SELECT 'stuck', doc_id, 0, '시작 말 ' || repeat(lang || ' ' || source || ' ' || doc_id || ' ', doc_id % 12) FROM documents),
+tails AS (
+  SELECT origin, doc_id, seq, w[len(w) - (len(w) + 1) // 2 + 1:] t FROM (
+    SELECT origin, doc_id, seq, list_filter(regexp_split_to_array({_strip('"text"')}, '{K.WS}+'), lambda x: x <> '') w FROM said) WHERE len(w) >= 20),
+periods AS (
+  SELECT origin, doc_id, seq, CAST(list_min(list_filter(range(1, len(t) // 3 + 1),
+    lambda p: CASE WHEN t[p + 1] = t[1] THEN t[p + 1:] = t[1:len(t) - p] ELSE false END)) AS INT) period FROM tails),
 words AS (
   SELECT origin, doc_id, seq, w, COUNT(*) n FROM (
     SELECT origin, doc_id, seq, unnest(regexp_split_to_array({_strip('"text"')}, '{K.WS}+')) w FROM said) WHERE w <> ''
@@ -308,6 +315,17 @@ FROM ({values}) v
 LEFT JOIN ({values}) p ON p.doc_id = v.doc_id AND p.seq = v.seq AND p.pr = v.pr AND p.ym = v.ym - CASE v.kind WHEN 'year' THEN 12 ELSE 3 END
 LEFT JOIN ({values}) y ON y.doc_id = v.doc_id AND y.seq = v.seq AND y.pr = v.pr AND y.ym = v.ym - 12"""
 
+_LATEST = """
+SELECT sha16, "mode", arg_max(response, ts) response, MAX(ts) ts
+FROM (SELECT * FROM entries UNION ALL SELECT * FROM fresh) GROUP BY sha16, "mode" """
+
+_MISSING = """
+SELECT *, missing > 0 OR unplanned > 0 failed FROM (
+  SELECT d.doc_id, COUNT(c.chunk_no) planned, COUNT(*) FILTER (g <> 3) received, COUNT(*) FILTER (g = 3) missing,
+    COUNT(*) FILTER (g = 4) repeated, CAST((d.doc_id % 17 = 1)::INT AS BIGINT) unplanned
+  FROM docs d JOIN (SELECT *, (doc_id + chunk_no) % 7 g FROM chunks) c USING (doc_id) GROUP BY d.doc_id)
+WHERE missing + repeated + unplanned > 0"""
+
 _SELECTS = {
     "catalog_documents": f"""
 SELECT path, size_bytes, stem, ext_l ext, ext_l = '.pdf' is_pdf, COALESCE(mime, '{K.DEFAULT_MIME}') mime,
@@ -332,9 +350,36 @@ SELECT doc_id, chunk_no, CASE WHEN NOT corrupt THEN model END model, CASE WHEN N
 FROM (SELECT *, (doc_id + chunk_no) % 11 = 5 corrupt FROM chunks)""",
     "cache_lookup": 'SELECT doc_id, sha16, "mode", hit, matched, response FROM lookup',
     "cache_misses": 'SELECT doc_id, sha16, "mode" FROM lookup WHERE NOT hit',
-    "cache_upsert": """
-SELECT sha16, "mode", arg_max(response, ts) response, MAX(ts) ts
-FROM (SELECT * FROM entries UNION ALL SELECT * FROM fresh) GROUP BY sha16, "mode" """,
+    "cache_upsert": _LATEST,
+    "latest_entries": _LATEST,
+    "stored_cache_lookup": 'SELECT doc_id, sha16, "mode", hit, matched, response FROM lookup',
+    "search_many": f"""
+SELECT * FROM (
+WITH many AS (
+  SELECT '-' || c_custkey term FROM customer UNION SELECT unnest(['', 'C', 'résumé', 'RE' || chr(769) || 'S', 'nothing like it', '-1', 'SRC1-'])),
+found_many AS (
+  SELECT w.term, f.path, ROW_NUMBER() OVER (PARTITION BY w.term ORDER BY f.doc_id DESC) "rank", COUNT(*) OVER (PARTITION BY w.term) n
+  FROM (SELECT term, lower(nfc_normalize(term)) needle FROM many) w
+  JOIN (SELECT *, lower(nfc_normalize(stem)) low FROM files WHERE ext_l IN (SELECT ext FROM mimes)) f ON contains(f.low, w.needle))
+SELECT w.term, CASE WHEN c.n IS NULL THEN 'none' WHEN c.n = 1 THEN 'unique' ELSE 'ambiguous' END status,
+  COALESCE(c.n, 0) n_matches, GREATEST(COALESCE(c.n, 0) - {K.SEARCH_LISTED}, 0) overflow, CAST(f."rank" AS INT) "rank", f.path
+FROM many w LEFT JOIN (SELECT DISTINCT term, n FROM found_many) c ON c.term = w.term
+LEFT JOIN found_many f ON f.term = w.term AND f."rank" <= {K.SEARCH_LISTED})""",
+    "response_fields": """
+SELECT c.doc_id, c.chunk_no, CASE WHEN NOT corrupt THEN model END model, CASE WHEN NOT corrupt THEN 1 END api_version,
+  CASE WHEN NOT corrupt AND c.doc_id % 2 = 0 THEN c.chunk_no + 0.5e0 END top, CASE WHEN NOT corrupt THEN first END first_markdown, corrupt
+FROM (SELECT *, (doc_id + chunk_no) % 11 = 5 corrupt FROM chunks) c
+JOIN (SELECT doc_id, chunk_no, arg_min(markdown, seq) first FROM chunked GROUP BY doc_id, chunk_no) f USING (doc_id, chunk_no)""",
+    "unnamed_fields": """
+SELECT doc_id, chunk_no, field, CASE field WHEN 'api_version' THEN '1'
+  ELSE '{"box":[{"x":0.25,"y":' || chunk_no || '.5}],"dpi":' || doc_id % 7 || '}' END "value"
+FROM chunks, (VALUES ('api_version'), ('ocr.state')) f(field)
+WHERE (doc_id + chunk_no) % 11 <> 5 AND (field = 'api_version' OR doc_id % 2 = 0)""",
+    "find_substrings": """
+SELECT w.wanted, COUNT(*) n_tables, MAX(t.doc_id) last_doc
+FROM (SELECT DISTINCT l_linenumber || ' ' || CAST(l_quantity AS BIGINT) || ' ' wanted FROM lineitem) w
+JOIN (SELECT d.doc_id, d.seq, s FROM (SELECT * FROM data UNION ALL SELECT * FROM vis WHERE label = 'other' AND false) d JOIN joined USING (ok)) t ON contains(t.s, w.wanted)
+GROUP BY w.wanted""",
     "page_range_filter": "SELECT * FROM picked",
     "page_ranges": "SELECT * FROM ranges",
     "chunk_plan": f"""
@@ -355,12 +400,8 @@ SELECT doc_id, chunk_no, NULLIF(html, '') || chr(10) || chr(10) html, NULLIF(mar
 SELECT doc_id, arg_max(model, chunk_no) FILTER (model IS NOT NULL) model, CAST(SUM(pages) AS BIGINT) pages
 FROM chunks GROUP BY doc_id""",
     "restore_page_offset": "SELECT doc_id, seq, page FROM picked",
-    "missing_chunks": """
-SELECT *, missing > 0 OR unplanned > 0 failed FROM (
-  SELECT d.doc_id, COUNT(c.chunk_no) planned, COUNT(*) FILTER (g <> 3) received, COUNT(*) FILTER (g = 3) missing,
-    COUNT(*) FILTER (g = 4) repeated, CAST((d.doc_id % 17 = 1)::INT AS BIGINT) unplanned
-  FROM docs d JOIN (SELECT *, (doc_id + chunk_no) % 7 g FROM chunks) c USING (doc_id) GROUP BY d.doc_id)
-WHERE missing + repeated + unplanned > 0""",
+    "streamed_missing_chunks": _MISSING,
+    "missing_chunks": _MISSING,
     "elements": f"""
 SELECT doc_id, chunk_no, CAST(ROW_NUMBER() OVER (PARTITION BY doc_id, chunk_no ORDER BY seq) - 1 AS INT) seq,
   page - chunk_no * {CHUNK_PAGES} page, category, markdown, html FROM chunked""",
@@ -476,8 +517,9 @@ FROM volumes v LEFT JOIN (SELECT doc_id, COUNT(*) n FROM boundary
   WHERE contains(reason, 'chart parse failed') AND doc_id % 7 <> 0 GROUP BY doc_id) b USING (doc_id)""",
     "eval_rollup": "SELECT * FROM rollup_rows",
     "eval_totals": """
-SELECT scenario, COUNT(*) n, COUNT(*) FILTER (passed) n_pass, COUNT(*) FILTER (NOT passed) n_fail
-FROM rollup_rows GROUP BY scenario""",
+SELECT CASE WHEN GROUPING(scenario) = 0 THEN 'scenario' WHEN GROUPING(doc_id) = 0 THEN 'document' ELSE 'all' END "of",
+  scenario, doc_id, COUNT(*) n, COUNT(*) FILTER (passed) n_pass, COUNT(*) FILTER (NOT passed) n_fail, n_fail = 0 passed
+FROM rollup_rows GROUP BY GROUPING SETS ((scenario), (doc_id), ())""",
     "mask_secrets": f"""
 SELECT doc_id, m AS "text", substring(m, 1, {K.MESSAGE_LENGTH}) excerpt FROM (
   SELECT doc_id, {_MASKED} || regexp_replace("text", 'up_[A-Za-z0-9]{{10,}}', 'up_***REDACTED***', 'g') || ' up_***REDACTED***' m
@@ -485,8 +527,9 @@ SELECT doc_id, m AS "text", substring(m, 1, {K.MESSAGE_LENGTH}) excerpt FROM (
     "description_loops": """
 SELECT s.origin, s.doc_id, s.seq, CAST(COALESCE(SUM(n), 0) AS INT) n_words, CAST(COALESCE(MAX(n), 0) AS INT) top_count,
   ROUND(COALESCE(MAX(n) / SUM(n), 0), 6) top_share,
-  COALESCE(SUM(n) >= 20 AND MAX(n) / SUM(n) >= 0.05, false) looping
-FROM said s LEFT JOIN words w ON w.origin = s.origin AND w.doc_id = s.doc_id AND w.seq = s.seq GROUP BY ALL""",
+  ANY_VALUE(period) "period", COALESCE(SUM(n) >= 20 AND MAX(n) / SUM(n) >= 0.05, false) OR ANY_VALUE(period) IS NOT NULL looping
+FROM said s LEFT JOIN words w ON w.origin = s.origin AND w.doc_id = s.doc_id AND w.seq = s.seq
+LEFT JOIN periods p ON p.origin = s.origin AND p.doc_id = s.doc_id AND p.seq = s.seq GROUP BY s.origin, s.doc_id, s.seq""",
     "compare_series": """
 SELECT doc_id, seq, CAST(rn - 1 AS INT) "row", CAST(no AS VARCHAR) "label", CAST(qty AS DOUBLE) left_value,
   CAST(n AS DOUBLE) right_value, CAST(qty - n AS DOUBLE) difference, ROUND(qty / n, 6) ratio

@@ -8,7 +8,8 @@ from leafgrid.operators import elements as E
 from leafgrid.session import run_folder
 from leafgrid.sources import fixtures as X
 from leafgrid.sources import responses as R
-from leafgrid.sources import sinks
+from leafgrid.sources import sinks, store
+from leafgrid.streaming import completeness
 
 SEARCH_TERMS = ["src1", "SRC1-2", "src19-", "résumé", "src3-3.", "nothing like it", "-"]
 CHART_COLUMNS = ["수량__합계", "수량__건수"]
@@ -39,6 +40,12 @@ def search_documents(spark, sf):
     return catalog.search_documents(catalog.catalog_documents(X.files(spark, sf)), SEARCH_TERMS)
 
 
+@query
+def search_many(spark, sf):
+    files = catalog.catalog_documents(X.files(spark, sf))
+    return catalog.search_documents(files, X.many_terms(spark, sf))
+
+
 @query
 def recent_documents(spark, sf):
     return catalog.recent_documents(catalog.catalog_documents(X.files(spark, sf)))
@@ -58,6 +65,26 @@ def read_responses(spark, sf):
     )
 
 
+@query
+def response_fields(spark, sf):
+    parsed = R.parse_responses(R.with_variant(X.raw_responses(spark, sf)))
+    return parsed.select(
+        "doc_id",
+        "chunk_no",
+        "model",
+        R.response_field("$.api_version", "int").alias("api_version"),
+        R.response_field("$['ocr.state'].box[0].y", "double").alias("top"),
+        R.response_field("$.elements[0].content.markdown", "string").alias("first_markdown"),
+        F.col("_corrupt_record").isNotNull().alias("corrupt"),
+    )
+
+
+@query
+def unnamed_fields(spark, sf):
+    found = R.unnamed_fields(R.with_variant(X.raw_responses(spark, sf)).drop("raw"))
+    return found.withColumn("value", F.to_json("value"))
+
+
 @query
 def cache_lookup(spark, sf):
     return cache.cache_lookup(X.requests(spark, sf), X.cached(spark, sf))
@@ -70,9 +97,27 @@ def cache_misses(spark, sf):
 
 @query
 def cache_upsert(spark, sf):
+    # stored, brought up to date, and once more, which changes nothing
+    path = run_folder(spark, "cache")
+    store.upsert_store(X.cached(spark, sf), path)
+    store.upsert_store(X.new_entries(spark, sf), path)
+    store.upsert_store(X.new_entries(spark, sf), path)
+    return store.read_store(spark, path).drop("prefix")
+
+
+@query
+def latest_entries(spark, sf):
     return cache.cache_upsert(X.cached(spark, sf), X.new_entries(spark, sf))
 
 
+@query
+def stored_cache_lookup(spark, sf):
+    path = run_folder(spark, "bucketed")
+    name = path.rpartition("/")[2].replace("-", "_")
+    store.save_bucketed(X.cached(spark, sf), name, path, buckets=8)
+    return store.lookup_bucketed(X.requests(spark, sf), name, buckets=8)
+
+
 # -- paging --------------------------------------------------------------------------
 
 
@@ -132,6 +177,15 @@ def missing_chunks(spark, sf):
     return paging.missing_chunks(plan, X.received_responses(spark, sf))
 
 
+@query
+def streamed_missing_chunks(spark, sf):
+    start = F.timestamp_seconds(F.lit(X.START) + F.col("doc_id") % 100 * 60)
+    plan = paging.chunk_plan(X.chunk_documents(spark, sf), X.CHUNK_PAGES).withColumn("at", start)
+    received = X.received_responses(spark, sf).withColumn("at", start + F.expr("INTERVAL 1 MINUTE"))
+    happened = completeness.events(plan, received)
+    return completeness.closed(completeness.over_stored(happened, run_folder(spark, "completeness")))
+
+
 # -- elements ------------------------------------------------------------------------
 
 
@@ -335,6 +389,12 @@ def golden_substrings(spark, sf):
     return quality.golden_substrings(X.golden_strings(spark, sf), X.elements(spark, sf))
 
 
+@query
+def find_substrings(spark, sf):
+    found = quality.find_substrings(X.many_strings(spark, sf), X.elements(spark, sf).filter("seq % 3 = 1"))
+    return found.groupBy("wanted").agg(F.count(F.lit(1)).alias("n_tables"), F.max("doc_id").alias("last_doc"))
+
+
 @query
 def largest_table_on_page(spark, sf):
     pages = X.documents_meta(spark, sf).select(
@@ -407,7 +467,8 @@ def description_loops(spark, sf):
     whole = X.table(spark, sf, "documents").select(
         F.lit("documents").alias("origin"), "doc_id", F.lit(0).alias("seq"), "text"
     )
-    return quality.description_loops(found.unionByName(whole), share=0.05)
+    stuck = X.stuck_texts(spark, sf).select(F.lit("stuck").alias("origin"), "doc_id", F.lit(0).alias("seq"), "text")
+    return quality.description_loops(found.unionByName(whole).unionByName(stuck), share=0.05)
 
 
 # -- follow-up analysis --------------------------------------------------------------

@@ -10,5 +10,6 @@ RESPONSE = """
     content: STRUCT<html: STRING, markdown: STRING, text: STRING>,
     coordinates: ARRAY<STRUCT<x: DOUBLE, y: DOUBLE>>>>
 """
+NAMED = ("model", "usage", "content", "elements")
 CORRUPT = "_corrupt_record"
 RESPONSE_OR_CORRUPT = f"{RESPONSE}, {CORRUPT} STRING"

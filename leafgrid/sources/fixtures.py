@@ -299,14 +299,38 @@ def chunk_documents(spark, sf_dir) -> DataFrame:
 
 
 def raw_responses(spark, sf_dir) -> DataFrame:
-    """Responses as JSON text with a field nobody knows; some are cut off."""
+    """Responses as JSON text with fields nobody knows; some are cut off."""
     r = responses(spark, sf_dir)
-    raw = F.to_json(F.struct("model", "usage", "content", "elements", F.lit(1).alias("api_version")))
+    box = F.array(F.struct(F.lit(0.25).alias("x"), (F.col("chunk_no") + 0.5).alias("y")))
+    ocr = F.when(F.col("doc_id") % 2 == 0, F.struct((F.col("doc_id") % 7).alias("dpi"), box.alias("box")))
+    raw = F.to_json(F.struct("model", "usage", "content", "elements", F.lit(1).alias("api_version"), ocr.alias("ocr.state")))
     broken = (F.col("doc_id") + F.col("chunk_no")) % 11 == 5
     cut = F.when(broken, F.substr(raw, F.lit(1), F.length(raw) - 2)).otherwise(raw)
     return r.select("doc_id", "chunk_no", cut.alias("raw"))
 
 
+def stuck_texts(spark, sf_dir) -> DataFrame:
+    """Descriptions that end in a phrase of three words, said up to eleven times."""
+    doc = F.col("doc_id")
+    phrase = _text(F.col("lang"), " ", F.col("source"), " ", doc.cast("string"), " ")
+    return table(spark, sf_dir, "documents").select(doc, _text("시작 말 ", F.repeat(phrase, (doc % 12).cast("int"))).alias("text"))
+
+
+def many_terms(spark, sf_dir) -> DataFrame:
+    """Search terms in the number of the customers, and some odd ones."""
+    c = table(spark, sf_dir, "customer").select(_text("-", F.col("c_custkey").cast("string")).alias("term"))
+    odd = spark.createDataFrame([("",), ("C",), ("résumé",), ("RE\u0301S",), ("nothing like it",), ("-1",), ("SRC1-",)], "term string")
+    return c.unionByName(odd)
+
+
+def many_strings(spark, sf_dir) -> DataFrame:
+    """Strings as they stand in tables: number and quantity of a line, wherever it is."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        _text(F.col("l_linenumber").cast("string"), " ", F.col("l_quantity").cast("bigint").cast("string"), " ").alias("wanted")
+    )
+    return lines.distinct()
+
+
 def received_responses(spark, sf_dir) -> DataFrame:
     """Keys of the responses that arrived: some chunks got lost, some came twice (in some
     documents as often as others got lost), some nobody asked for."""

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from leafgrid.schemas import CORRUPT, RESPONSE_OR_CORRUPT
+from leafgrid.schemas import CORRUPT, NAMED, RESPONSE_OR_CORRUPT
 
 _BY_LINE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
@@ -22,6 +22,29 @@ def parse_responses(raw: DataFrame, column: str = "raw") -> DataFrame:
     return parsed.select(*keep, "_r.*")
 
 
+def with_variant(responses: DataFrame, raw: str = "raw") -> DataFrame:
+    """Adds ``response VARIANT``: the whole response with fields no schema names, null if it is no JSON."""
+    return responses.withColumn("response", F.try_parse_json(raw))
+
+
+def response_field(path: str, kind: str, response: str = "response"):
+    """A field of the variant by its path, null if it is absent or of another kind."""
+    return F.try_variant_get(response, path, kind)
+
+
+def unnamed_fields(responses: DataFrame, response: str = "response") -> DataFrame:
+    """One row per top-level field that the schema does not name: ``field`` and its ``value VARIANT``."""
+    keep = [c for c in responses.columns if c != response]
+    fields = responses.sparkSession.tvf.variant_explode(F.col(response).outer())
+    found = responses.lateralJoin(fields).where(~F.col("key").isin(*NAMED))
+    return found.select(*keep, F.col("key").alias("field"), "value")
+
+
+def read_raw(spark: SparkSession, path: str, multiline: bool = False) -> DataFrame:
+    """Response files as text (``path, raw``), a row per line or per file."""
+    return spark.read.text(path, wholetext=multiline).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("raw"))
+
+
 def valid(responses: DataFrame) -> DataFrame:
     return responses.filter(F.col(CORRUPT).isNull()).drop(CORRUPT)
 

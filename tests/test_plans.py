@@ -9,6 +9,7 @@ from leafgrid.operators import cache, catalog, elements, paging, quality, report
 from leafgrid.plans import pipeline
 from leafgrid.session import stage
 from leafgrid.sources import fixtures as X
+from leafgrid.sources import store
 
 
 @pytest.fixture(scope="module")
@@ -156,6 +157,57 @@ def test_a_hot_document_of_requests_is_split(spark, skew):
     assert "skew=true" in plan(found)
 
 
+def test_a_bucketed_cache_is_not_shuffled(spark, skew, requests, entries, tmp_path):
+    store.save_bucketed(entries, "bucketed_entries", str(tmp_path / "entries"), buckets=8)
+    found = store.lookup_bucketed(requests, "bucketed_entries", buckets=8)
+    lines = plan(found).splitlines()
+    scan = next(i for i, x in enumerate(lines) if "Scan parquet" in x and "SelectedBucketsCount: 8 out of 8" in x)
+    join = max(i for i, x in enumerate(lines[:scan]) if "Join" in x)
+    branch = []
+    depth = lambda x: len(re.match(r"[ :|+*()0-9-]*", x).group())
+    at, level = scan, depth(lines[scan])
+    while at > join:
+        at -= 1
+        if depth(lines[at]) < level:
+            branch.append(lines[at])
+            level = depth(lines[at])
+    assert "Join" in branch[-1] and not any("Exchange" in x for x in branch)
+    rows = found.collect()
+    assert "skew=true" in plan(found)
+    assert len(rows) == 400000
+    key = lambda r: r.doc_id
+    assert sorted(rows, key=key) == sorted(cache.cache_lookup(requests, entries).collect(), key=key)
+    spark.sql("DROP TABLE bucketed_entries")
+
+
+def test_many_terms_are_not_compared_with_every_text(spark):
+    files = spark.range(20000).select(
+        F.concat(F.lit("/a/report-"), F.hex(F.col("id") * 7919), F.lit(".pdf")).alias("path"), F.lit(1).alias("size_bytes"), F.lit(0).cast("timestamp").alias("mtime")
+    )
+    known = catalog.catalog_documents(files)
+    terms = spark.range(100000).select(F.hex(F.col("id") * 13).alias("term"))
+    found = catalog.search_documents(known, terms)
+    text = plan(found)
+    assert "Cartesian" not in text and "NestedLoop" not in text
+    found = found.where("n_matches > 0").collect()
+    stems = [f"report-{i * 7919:X}".lower() for i in range(20000)]
+    some = [f"{i * 13:X}" for i in range(0, 100000, 997)]
+    want = {t: n for t in some if (n := sum(t.lower() in s for s in stems))}
+    got = {r.term: r.n_matches for r in found if r.term in set(some)}
+    assert got == want and len(found) > 100
+
+
+def test_terms_as_rows_give_what_a_list_gives(spark):
+    names = ["Résumé 1", "re\u0301sume\u0301 2", "x", "", "aé b", "ÉÉ", "표 1", "a.b", "aa", "aaa"]
+    rows = [(f"/d{k}/{n}.pdf", 1, None) for k in range(3) for n in names] + [("/d0/x.pdf", 1, None)]
+    known = catalog.catalog_documents(spark.createDataFrame(rows, "path string, size_bytes long, mtime timestamp"))
+    terms = ["RÉSUMÉ", "é", "", "x", "a", "aa", "aaa", "aaaa", "표 1", " ", ".", "é b", "no such", "éé"]
+    key = lambda r: (r.term, r["rank"] or 0)
+    few = sorted(catalog.search_documents(known, terms, 4).collect(), key=key)
+    many = spark.createDataFrame([(t,) for t in [*terms, "x", None]], "term string")
+    assert sorted(catalog.search_documents(known, many, 4).collect(), key=key) == few
+
+
 def payload_nodes(df, column):
     """Aggregates and windows of the plan that hold a column."""
     text = df._jdf.queryExecution().executedPlan().toString()

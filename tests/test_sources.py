@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from leafgrid.operators import catalog, elements, paging, reports, tables
 from leafgrid.plans import pipeline
 from leafgrid.session import clear_stages, run_folder, shared_folder, stage
-from leafgrid.sources import responses, sinks
+from leafgrid.sources import responses, sinks, store
 from leafgrid.streaming import ingest
 
 TABLE = "<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr></table>"
@@ -48,6 +48,45 @@ def test_multiline_responses(spark, tmp_path):
     assert df.select(F.size("elements")).first()[0] == 2
 
 
+def test_no_field_is_lost(spark, tmp_path):
+    texts = ['{"model": "m", "elements": [{"page": 1, "id": 7}], "x.y": {"a": [1, null]}, "n": 1.50}', "{broken", '{"model": null}', "[1]", ""]
+    for i, t in enumerate(texts):
+        (tmp_path / f"{i}.json").write_text(t)
+    raw = responses.read_raw(spark, str(tmp_path), multiline=True).withColumn("i", F.regexp_extract("path", r"(\d)\.json$", 1).cast("int"))
+    both = responses.parse_responses(responses.with_variant(raw)).orderBy("i")
+    rows = both.select("i", "model", F.col("_corrupt_record").isNotNull().alias("bad"), responses.response_field("$.elements[0].id", "int").alias("id"), responses.response_field("$['x.y'].a[0]", "int").alias("a"), responses.response_field("$.model", "int").alias("no"))
+    got = {r.i: tuple(r)[1:] for r in rows.collect()}
+    assert got[0] == ("m", False, 7, 1, None) and got[1][:2] == (None, True) and got[2] == (None, False, None, None, None)
+    fields = responses.unnamed_fields(both.select("i", "response")).select("i", "field", F.to_json("value").alias("v")).collect()
+    assert sorted(map(tuple, fields)) == [(0, "n", "1.5"), (0, "x.y", '{"a":[1,null]}')]
+
+
+def files_of(folder):
+    return {str(p): p.stat().st_mtime_ns for p in folder.rglob("*.parquet")}
+
+
+def test_store_rewrites_only_what_changes(spark, tmp_path):
+    folder = tmp_path / "store"
+    kinds = "sha16 string, mode string, response string, ts long"
+    first = [("aa1", "enhanced", "r1", 1), ("aa2", "enhanced", "r2", 1), ("bb1", "01", "r3", 1), ("bb1", None, "r4", 1), ("cc1", "a/b=c", "r5", 1)]
+    assert store.upsert_store(spark.createDataFrame(first, kinds), str(folder)) == 5
+    before = files_of(folder)
+    # one newer, one older, one equal, one new in a folder of its own, one key twice
+    second = [("aa1", "enhanced", "new", 2), ("bb1", "01", "old", 0), ("cc1", "a/b=c", "r5", 1), ("dd1", "x", "r6", 1), ("dd1", "x", "r7", 3), ("bb1", "", "late", 5)]
+    incoming = spark.createDataFrame(second, kinds)
+    assert store.upsert_store(incoming, str(folder)) == 3
+    after = files_of(folder)
+    kept = {p for p in before if after.get(p) == before[p]}
+    assert sum("prefix=aa" in p for p in kept) == 0 and any("mode=01" in p for p in kept) and any("prefix=cc" in p for p in kept)
+    assert store.upsert_store(incoming, str(folder)) == 0 and files_of(folder) == after
+    rows = {(r.sha16, r["mode"]): (r.response, r.ts) for r in store.read_store(spark, str(folder)).collect()}
+    assert rows == {
+        ("aa1", "enhanced"): ("new", 2), ("aa2", "enhanced"): ("r2", 1), ("bb1", "01"): ("r3", 1),
+        ("bb1", None): ("late", 5), ("cc1", "a/b=c"): ("r5", 1), ("dd1", "x"): ("r7", 3),
+    }
+    assert store.read_store(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_catalog_of_a_folder(spark, folder):
     (folder / "sub").mkdir()
     (folder / "sub" / "x.PDF").write_bytes(b"pdf")

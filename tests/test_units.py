@@ -301,6 +301,37 @@ def test_size_limit_is_strict_and_first(spark):
     assert got == {"/a.pdf": None, "/b.txt": "too_large", "/c.txt": "unsupported_ext"}
 
 
+def test_phrases_that_repeat_to_the_end(spark):
+    prose = " ".join(f"w{i * i % 31} v{i % 17}" for i in range(60))
+    cases = {
+        "가 나 다 " * 20: 3,
+        "가 " * 30: 1,
+        "도식의 설명은 다음과 같다 " * 2 + "a b c d " * 30: 4,
+        "a b c " * 6 + "a b": 3,  # the last turn is not whole
+        "a b a c " * 8: 4,
+        "a a b " * 9 + "c": None,  # it goes on
+        prose: None,
+        " ".join(f"w{i}" for i in range(40)) + " x" * 3: None,
+        "a b " * 9: None,  # too short
+        " ".join(str(i) for i in range(10)) + " " + " ".join(str(i) for i in range(10)): None,  # twice is no loop
+        "": None,
+    }
+    got = values(spark, list(cases), lambda t: t)
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(got)], "i int, text string")
+    rows = quality.description_loops(df).orderBy("i").collect()
+    assert [r.period for r in rows] == list(cases.values())
+    assert [r.looping for r in rows] == [p is not None or t.startswith("a a b") for t, p in cases.items()]
+
+
+def test_totals_by_scenario_document_and_over_all(spark):
+    rows = spark.createDataFrame([(1, "a", True), (1, "b", False), (2, "a", True), (2, "b", True)], "doc_id long, scenario string, passed boolean")
+    got = {(r.of, r.scenario, r.doc_id): (r.n, r.n_pass, r.n_fail, r.passed) for r in quality.eval_totals(rows).collect()}
+    assert got == {
+        ("scenario", "a", None): (2, 2, 0, True), ("scenario", "b", None): (2, 1, 1, False),
+        ("document", None, 1): (2, 1, 1, False), ("document", None, 2): (2, 2, 0, True), ("all", None, None): (4, 3, 1, False),
+    }
+
+
 def test_loops(spark):
     df = spark.createDataFrame([("w " * 20,), ("w " * 19,), ("w x " * 10,), ("",)], "text string")
     got = [(r.n_words, r.top_count, r.looping) for r in quality.description_loops(df).collect()]
