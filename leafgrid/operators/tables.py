@@ -148,3 +148,10 @@ def wide_table(cells: DataFrame, n_cols: int) -> DataFrame:
     wide = cells.groupBy("doc_id", "seq", "row", "is_header").pivot("col", list(range(n_cols)))
     out = wide.agg(F.first("text"))
     return out.toDF("doc_id", "seq", "row", "is_header", *[f"c{i}" for i in range(n_cols)])
+
+
+def wide_tables(grids: DataFrame, chosen: DataFrame, n_cols: int) -> DataFrame:
+    """The same from grids, for the tables that ``chosen`` (``doc_id, seq``) names; columns beyond a table's
+    width are null, and ``n_cols`` says how wide it is, so that a cut is seen.  Rows stay in their grid: nothing is pivoted."""
+    rows = grid_rows(grids.join(chosen.select("doc_id", "seq").distinct(), ["doc_id", "seq"], "left_semi").withColumn("n_cols", F.col("grid.n_cols")), "n_cols")
+    return rows.select("doc_id", "seq", "row", "is_header", "n_cols", *[F.get("cells", F.lit(i)).alias(f"c{i}") for i in range(n_cols)])

@@ -433,6 +433,10 @@ SELECT CAST(j.doc_id AS BIGINT), i * 3 + 1, CAST(rn + 1 AS INT), col, head, "tex
 UNION ALL
 SELECT CAST(j.doc_id AS BIGINT), i * 3 + 1, CAST(y AS INT), col, y < 2, '' FROM j, LATERAL (SELECT unnest(range(cnt + 2)) y),
   (SELECT unnest(range(4, 1000))::INT col) WHERE j.ok % 1000 = 0 AND cnt > 0""",
+    "wide_tables": """
+SELECT doc_id, seq, "row", is_header, 4 n_cols, MAX("text") FILTER (col = 0) c0, MAX("text") FILTER (col = 1) c1, MAX("text") FILTER (col = 2) c2,
+  MAX("text") FILTER (col = 3) c3, CAST(NULL AS VARCHAR) c4
+FROM cells JOIN (SELECT doc_id, MIN(seq) seq FROM data WHERE prefix = 't' GROUP BY doc_id) f USING (doc_id, seq) GROUP BY ALL""",
     "table_headers": f"""
 SELECT d.doc_id, d.seq, h.col, h."name", d.n_head n_levels
 FROM data d JOIN (VALUES (0, 0, '구분'), (0, 1, '항목'), (0, 2, '{CHART_COLUMNS[0]}'), (0, 3, '{CHART_COLUMNS[1]}'),

@@ -261,6 +261,14 @@ def spanned_cells(spark, sf):
     return tables.table_cells(tables.table_grids(X.spanned_elements(spark, sf)))
 
 
+@query
+def wide_tables(spark, sf):
+    # the first readable table of each document
+    first = tables.visuals(X.elements(spark, sf), captions=False, shapes=False).where("prefix = 't' AND parsed_ok")
+    first = first.groupBy("doc_id").agg(F.min("seq").alias("seq"))
+    return tables.wide_tables(_grids(spark, sf), first, 5)
+
+
 @query
 def table_headers(spark, sf):
     return tables.table_headers(_grids(spark, sf))
