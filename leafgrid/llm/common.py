@@ -22,6 +22,21 @@ _JOIN = np.uint64(0xD1342543DE82EF95)
 _PIECE = 1 << 20
 
 
+_worker: dict = {}
+
+
+def worker_cache(owner: str) -> dict:
+    """What a Python worker keeps for one operator between batches and tasks.
+
+    Workers are used again by later stages; when another operator asks, what the one before kept is given up, so that
+    the caches of a pipeline's stages do not add up.
+    """
+    if owner not in _worker:
+        _worker.clear()
+        _worker[owner] = {}
+    return _worker[owner]
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -24,32 +24,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from leafgrid.llm.common import worker_cache
 from leafgrid.session import stage
 
 BLOCK = 8000
 MERGE = 16
 OPEN = 0.98
-CACHED = 400_000
+#: Words a worker keeps, and the bytes of the longest one it does: about 200 bytes a word, at most 500.
+CACHED, KEPT = 250_000, 64
+ROWS = 500
 PUNCTUATION = b".,;:!?*#$%&|()[]\"-"
 
 # how the vocabulary's files write bytes: printable ones as themselves, the others from code point 256 on
 _PLAIN = {*range(33, 127), *range(161, 173), *range(174, 256)}
 BYTES = {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - _PLAIN))}
 
-_tokens: dict = {}
-
-
 def _encoder(path):
     """Texts to bytes of ids.  No token of the vocabulary spans ASCII white space, so words are encoded alone and kept.
 
     A new word is looked up without its case and the punctuation at its end, which are tokens apart after a letter
     or figure; only stems that are new themselves reach the tokenizer.
     """
-    if _tokens.get("path") != path:
+    kept = worker_cache("packing")
+    if kept.get("path") != path:
         from tokenizers import Tokenizer
 
-        _tokens.update(path=path, of=Tokenizer.from_file(path), words={}, stems={})
-    known, stems, tokenizer = _tokens["words"], _tokens["stems"], _tokens["of"]
+        kept.update(path=path, of=Tokenizer.from_file(path), words={}, stems={})
+    known, stems, tokenizer = kept["words"], kept["stems"], kept["of"]
     model = tokenizer.model
 
     def look(x: bytes) -> bytes:
@@ -63,8 +64,8 @@ def _encoder(path):
         return as_bytes(f"<{len(ids)}I", *ids)
 
     def fresh(words):
-        if len(stems) > CACHED:
-            stems.clear()
+        """Keep the ids of new words; those of words too long to keep are returned."""
+        long = {}
         for w in words:
             stem = w.lower().rstrip(PUNCTUATION)
             if stem[-1:].isalnum() and b"<|" not in w and b"'" not in w:
@@ -73,22 +74,31 @@ def _encoder(path):
                 stem, tail = w, b""
             ids = stems.get(stem)
             if ids is None:
-                ids = stems[stem] = look(stem)
+                ids = look(stem)
+                if len(stem) <= KEPT:
+                    stems[stem] = ids
             if tail:
                 more = stems.get(tail)
                 if more is None:
-                    more = stems[tail] = look(tail)
+                    more = look(tail)
+                    if len(tail) <= KEPT:
+                        stems[tail] = more
                 ids += more
-            known[w] = ids
+            if len(w) <= KEPT:
+                known[w] = ids
+            else:
+                long[w] = ids
+        return long
 
     def encode(text: str) -> bytes:
         words = text.encode("utf-8", "surrogatepass").split()
+        for kept in (known, stems):
+            if len(kept) > CACHED:
+                kept.clear()
         new = [w for w in dict.fromkeys(words) if w not in known]
-        if len(known) + len(new) > CACHED:
-            known.clear()
-            new = list(dict.fromkeys(words))
-        if new:
-            fresh(new)
+        long = fresh(new) if new else None
+        if long:
+            return b"".join([known[w] if w in known else long[w] for w in words])
         return b"".join([known[w] for w in words])
 
     return encode
@@ -100,15 +110,15 @@ def _pieces(path, length, close):
     def run(batches):
         encode = _encoder(path)
         for batch in batches:
-            out = []
-            for doc, copy, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                ids = encode(text or "") + end
-                for k, start in enumerate(range(0, len(ids), 4 * length)):
-                    part = ids[start : start + 4 * length]
-                    out.append((doc, copy, k, start // 4, len(part) // 4, zlib.crc32(part)))
-            columns = list(zip(*out)) or [()] * 6
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
+            for lo in range(0, batch.num_rows, ROWS):
+                out = []
+                for doc, copy, text in zip(*(batch.slice(lo, ROWS).column(i).to_pylist() for i in range(3))):
+                    ids = encode(text or "") + end
+                    for k, start in enumerate(range(0, len(ids), 4 * length)):
+                        part = ids[start : start + 4 * length]
+                        out.append((doc, copy, k, start // 4, len(part) // 4, zlib.crc32(part)))
+                kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["doc_id", "copy", "piece", "start", "length", "ids_crc32"])
 
     return run
 
