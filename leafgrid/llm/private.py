@@ -8,7 +8,7 @@ values stay linked across documents without any shared table.  Every text is rew
 A match that fails its check is read anew: as one of its beginnings (the country's length of an IBAN, whole groups of a card or
 phone number), as one of the other kinds, and then from the next character on.
 
-Kinds: e-mail addresses, IPv4 addresses, payment cards (check digit kept valid), phone numbers, social security numbers, IBANs,
+Kinds: e-mail addresses, IPv4 and global IPv6 addresses, payment cards (check digit kept valid), phone numbers, social security numbers, IBANs,
 calendar dates, access keys, and the values of password and token assignments.
 
 Defined results: a null text stays null and an empty one empty; numbers that fail their check are left alone; repeated rows
@@ -18,6 +18,7 @@ and ties change alike; an empty table gives no rows; other columns stay as they
 from __future__ import annotations
 
 import datetime
+import ipaddress
 import re
 from functools import lru_cache
 from hashlib import blake2b
@@ -27,6 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
+from leafgrid.llm.common import worker_cache
+
 ROUNDS = 10
 LETTERS, CAPITALS, DIGITS, HEX = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", "0123456789abcdef"
 
@@ -49,10 +52,11 @@ PATTERN = re.compile(
     r"""
     (?P<email>(?<![\w.+-])[A-Za-z0-9][\w.+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,})
   | (?P<key>(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9]))
-  | (?P<secret>(?:(?<=password=)|(?<=passwd=)|(?<=secret=)|(?<=token=)|(?<=token\ =\ ")|(?<=token\ =\ )|(?<=api_key=))[A-Za-z0-9]{8,})
+  | (?P<secret>(?i:(?<![a-z])(?:password|passwd|pwd|secret|token|api[_-]?key))["']?[ ]?(?:=[ ]?["']?[A-Za-z0-9]{8,}|:[ ]?["']?(?=[A-Za-z]*[0-9])(?=[0-9]*[A-Za-z])[A-Za-z0-9]{8,}))
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
   | (?P<hex>(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9]))
-  | (?P<phone>(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4})(?![\w]))
+  | (?P<ipv6>(?<![\w:.])[23][0-9A-Fa-f]{3}:(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:]))
+  | (?P<phone>(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[1-9][0-9]{0,3}(?:[ -][0-9]{2,4}){2,4})(?![\w]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<_sep>[-/.])[0-9]{1,2}(?P=_sep)[0-9]{1,2}|[0-9]{1,2}(?P<_sep2>[-/.])[0-9]{1,2}(?P=_sep2)[0-9]{4})(?!(?!T[0-9]{2}:?[0-9]{2})[\w/-]))
   | (?P<named>(?<![\w/.-])(?:[0-9]{1,2}(?:\.|st|nd|rd|th)?\ (?:de\ )?(?:MONTH)\.?,?\ (?:de\ )?[0-9]{4}|(?:MONTH)\.?\ [0-9]{1,2}(?:st|nd|rd|th)?,?\ [0-9]{4})(?![\w/-]))
@@ -64,8 +68,10 @@ PATTERN = re.compile(
 KINDS = [k for k in PATTERN.groupindex if k[0] != "_"]
 #: Each kind alone, for other readings of a place.
 ALONE = {k: re.compile(part, re.X) for k, part in zip(KINDS, re.split(r"\n  \| ", PATTERN.pattern.strip()))}
-HINT = re.compile(r"[0-9]{2}|@|AKIA|ASIA|api_key=|password=|passwd=|secret=|token")
-FIRST, DAYS = datetime.date(1900, 1, 1).toordinal(), 73049  # to 2099-12-31
+FIGURES = re.compile(r"[0-9]\.?[0-9]")
+SIGNS = re.compile(r"(?i:[dtny])[\"']? ?[=:]")
+#: Days of birth and other past days stay before NOW, later ones after it.
+FIRST, NOW, LAST = (datetime.date(*d).toordinal() for d in ((1900, 1, 1), (2025, 1, 1), (2100, 1, 1)))
 
 
 def permute(value: int, size: int, key: bytes, tweak: str) -> int:
@@ -154,7 +160,20 @@ def _ip(text, key):
     return ".".join(map(str, (permute(value - low, high - low, key, "ip") + low).to_bytes(4, "big")))
 
 
+def _ipv6(text, key):
+    """Addresses of the global unicast range 2000::/3 stay in it; equal ones are linked however they are written."""
+    try:
+        value = int(ipaddress.IPv6Address(text))
+    except ValueError:
+        return None
+    low = 1 << 125
+    new = ipaddress.IPv6Address(permute(value - low, low, key, "ipv6") + low)
+    new = new.compressed if "::" in text else ":".join(f"{int(g, 16):x}" for g in new.exploded.split(":"))
+    return new.upper() if text.isupper() else new
+
+
 def _phone(text, key):
+    """The national number is permuted, alike with and without the country's code or a leading 0."""
     digits = re.sub(r"\D", "", text)
     if not 9 <= len(digits) <= 15:
         return None
@@ -163,12 +182,18 @@ def _phone(text, key):
         fixed = len(re.match(r"\+([0-9]+)", text)[1])
         if fixed > 3:  # country code without a separator
             fixed = 1 if digits[0] in "17" else 2
+    elif digits[0] == "0":
+        fixed = 1
+        if not re.fullmatch("0[1-9][0-9]{0,3}(?:[ -][0-9]{2,4}){2,4}", text) or len(digits) > 12:
+            return None
     rest = digits[fixed:]
     plan = len(rest) == 10 and (not fixed or digits[:fixed] == "1")
     if plan and (rest[0] in "01" or rest[3] in "01"):
         return None if not fixed else _put(text, digits[:fixed] + _spell(rest, [DIGITS] * 10, key, "phone|odd"))
     kinds = [DIGITS[2:] if plan and i in (0, 3) else DIGITS for i in range(len(rest))]
-    return _put(text, digits[:fixed] + _spell(rest, kinds, key, f"phone|{digits[:fixed]}|{len(rest)}|{plan}"))
+    if digits[0] == "0" or not plan:  # a national number does not begin with 0 in either form
+        kinds[0] = DIGITS[1:] if rest[0] != "0" else DIGITS
+    return _put(text, digits[:fixed] + _spell(rest, kinds, key, f"phone|{len(rest)}|{plan}|{rest[0] == '0'}"))
 
 
 def _ssn(text, key):
@@ -185,10 +210,11 @@ def _ssn(text, key):
 def _day(y, m, d, key):
     """The pseudonym of a day of the calendar, or None."""
     try:
-        at = datetime.date(y, m, d).toordinal() - FIRST
+        at = datetime.date(y, m, d).toordinal()
     except ValueError:
         return None
-    return datetime.date.fromordinal(permute(at, DAYS, key, "date") + FIRST) if 0 <= at < DAYS else None
+    low, high = (FIRST, NOW) if at < NOW else (NOW, LAST)
+    return datetime.date.fromordinal(permute(at - low, high - low, key, "date") + low) if low <= at < high else None
 
 
 def _date(text, key):
@@ -225,10 +251,17 @@ def _hex(text, key):
     return "".join(_spell(text[i : i + 32], [HEX] * len(text[i : i + 32]), key, f"hex|{text[:i]}") for i in range(0, len(text), 32))
 
 
+def _secret(text, key):
+    """The value of an assignment; its name, sign and quotes stay."""
+    name, value = re.fullmatch("(.*[^A-Za-z0-9])([A-Za-z0-9]+)", text, re.S).groups()
+    return name + (_hex(value, key) if set(value) <= set(HEX) else _by_class(value, key, "secret"))
+
+
 CHANGE = {
     "email": _email,
     "key": lambda t, k: _by_class(t, k, "key", 4),
-    "secret": lambda t, k: _hex(t, k) if set(t) <= set(HEX) else _by_class(t, k, "secret"),
+    "secret": _secret,
+    "ipv6": _ipv6,
     "iban": _iban,
     "hex": _hex,
     "phone": _phone,
@@ -240,10 +273,12 @@ CHANGE = {
 }
 
 
-@lru_cache(100_000)
 def pseudonym(kind: str, text: str, key: bytes) -> str | None:
     """The pseudonym of a value, or None if it fails its check."""
-    return CHANGE[kind](text, key)
+    kept = worker_cache("private")
+    if "of" not in kept:
+        kept["of"] = lru_cache(100_000)(lambda kind, text, key: CHANGE[kind](text, key))
+    return kept["of"](kind, text, key)
 
 
 def _shorter(kind: str, text: str):
@@ -271,9 +306,15 @@ def _reading(m, text: str, key: bytes):
     return None
 
 
+def may_hold_values(text: str) -> bool:
+    """What every kind needs somewhere: two figures in a row or around a dot, an @, an access key, or = or : after the last
+    letter of a secret's name."""
+    return "@" in text or FIGURES.search(text) is not None or ("=" in text or ":" in text) and SIGNS.search(text) is not None or "AKIA" in text or "ASIA" in text
+
+
 def rewrite(text: str | None, key: bytes) -> tuple[str | None, int]:
     """A text with its private values replaced, and how many there were."""
-    if not text or not HINT.search(text):
+    if not text or not may_hold_values(text):
         return text, 0
     out, done, pos, n = [], 0, 0, 0
     while m := PATTERN.search(text, pos):
@@ -287,15 +328,23 @@ def rewrite(text: str | None, key: bytes) -> tuple[str | None, int]:
     return "".join([*out, text[done:]]), n
 
 
-def pseudonymise(docs: DataFrame, key: str = "leafgrid") -> DataFrame:
-    """(doc_id, text, n_values) for every row of docs; ``key`` is the secret of the permutation."""
+#: Setting of the session that holds the secret of the permutation.
+KEY, NO_SECRET = "spark.leafgrid.pii.key", "leafgrid"
+
+
+def _key(docs: DataFrame, key: str | None) -> str:
+    return key or docs.sparkSession.conf.get(KEY, NO_SECRET)
+
+
+def pseudonymise(docs: DataFrame, key: str | None = None) -> DataFrame:
+    """(doc_id, text, n_values) for every row of docs; ``key`` is the secret of the permutation, else the session's."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return _replace(rows, key, True)
+    return _replace(rows, _key(docs, key), True)
 
 
-def with_pseudonyms(docs: DataFrame, key: str = "leafgrid") -> DataFrame:
+def with_pseudonyms(docs: DataFrame, key: str | None = None) -> DataFrame:
     """docs with rewritten texts, all columns kept."""
-    done = _replace(docs, key, False)
+    done = _replace(docs, _key(docs, key), False)
     return done.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else done
 
 
