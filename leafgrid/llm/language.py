@@ -18,9 +18,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from leafgrid.llm.common import worker_cache
 from leafgrid.llm.crf import Tagger, chunks, fit, places_of, words_of
 
 
+ROWS = 500
+
+
 def windows_of(words, windows, span):
     """Up to ``windows`` stretches of ``span`` words, spread evenly over the text."""
     if len(words) <= windows * span:
@@ -30,10 +34,18 @@ def windows_of(words, windows, span):
 
 
 def sample(rows: DataFrame, label: str, per_label: int, key: str = "doc_id", seed: int = 11) -> DataFrame:
-    """About ``per_label`` rows of each label, by a hash of the key."""
-    counts = rows.groupBy(label).count().withColumn("share", F.lit(float(per_label)) / F.col("count")).drop("count")
+    """About ``per_label`` rows of each label, by a hash of the key.
+
+    The labels are the model's, so their counts come to the driver and go back as a filter: no row is shuffled, and of
+    rows not taken only label and key are read.
+    """
+    counts = {r[label]: r["count"] for r in rows.groupBy(label).count().collect()}
+    if not counts:
+        return rows
+    kind = rows.schema[label].dataType
+    share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k).cast(kind), F.lit(per_label / n))])
     at = F.pmod(F.xxhash64(F.lit(seed), F.col(key)), F.lit(1_000_000)) / F.lit(1e6)
-    return rows.join(counts, label).where(at < F.col("share")).drop("share")
+    return rows.where(at < F.try_element_at(share, F.col(label)))
 
 
 def train(docs: DataFrame, per_language: int = 300, windows: int = 5, span: int = 30) -> dict:
@@ -53,14 +65,12 @@ def train(docs: DataFrame, per_language: int = 300, windows: int = 5, span: int
     return {"languages": names, **fit(texts, labels, max(1, len(names)))}
 
 
-_tagger: dict = {}
-
-
 def tagger(shared):
     """One tagger per worker and model."""
-    if _tagger.get("id") != shared.id:
-        _tagger.update(id=shared.id, of=Tagger(shared.value))
-    return _tagger["of"]
+    kept = worker_cache("tagger")
+    if kept.get("id") != shared.id:
+        kept.update(id=shared.id, of=Tagger(shared.value))
+    return kept["of"]
 
 
 class Shared:
@@ -88,7 +98,7 @@ def predict(docs: DataFrame, model: dict, held_out: Column) -> DataFrame:
     shared, names = Shared(docs.sparkSession, model), model["languages"]
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             texts = batch.column(2).to_pylist()
             best, score = ["und"] * len(texts), np.zeros(len(texts))
             parts: list[list] = [[] for _ in texts]

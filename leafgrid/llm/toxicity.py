@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType, StructField, StructType
 
 from leafgrid.llm.crf import Tagger, chunks, fit, hash_text, places_of, words_of
-from leafgrid.llm.language import Shared, sample, tagger, windows_of
+from leafgrid.llm.language import ROWS, Shared, sample, tagger, windows_of
 from leafgrid.session import stage
 
 SPAN = 0.5
@@ -75,7 +75,10 @@ def train(docs: DataFrame, labels: DataFrame, toxic: int = 1000, clean: int = 60
     known = labels.where("toxic is not null and doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     yes = sample(known.where("toxic = 1"), "toxic", toxic)
     no = sample(known.where("toxic = 0"), "toxic", clean)
-    picked = yes.select("doc_id", "toxic").union(no.select("doc_id", "toxic"))
+    picked = stage(yes.select("doc_id", "toxic").union(no.select("doc_id", "toxic")), "picked")
+    # the sample's size is its parameters'; that is checked, and only such a small side is broadcast, so texts are not shuffled
+    if picked.count() <= 4 * (toxic + clean):
+        picked = F.broadcast(picked)
     rows = docs.where("text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(picked, "doc_id").select("toxic", "text")
     rows = stage(rows.withColumn("toxic", F.col("toxic").cast("int")), "labelled")
     terms = toxic_terms(rows)
@@ -138,7 +141,7 @@ def _facts(shared):
     """The columns before the last, which is the text, with its largest toxic probability, their sum, its number of words and its spans."""
 
     def run(batches):
-        for batch in batches:
+        for batch in (b.slice(lo, ROWS) for b in batches for lo in range(0, b.num_rows, ROWS)):
             texts, names = batch.column(batch.num_columns - 1).to_pylist(), batch.schema.names[:-1]
             most, total, n = np.zeros(len(texts)), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
             spans: list[list] = [[] for _ in texts]
