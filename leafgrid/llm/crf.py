@@ -9,13 +9,18 @@ multiplied up, and every row then starts from what stands before and after it.
 from __future__ import annotations
 
 import re
+import sys
 from itertools import repeat
 
 import numpy as np
 
 SLOTS = 1 << 18
 WIDTH = 32
+# fractions, circled and Roman figures count as word characters, but are no letters
+_FIGURES = "".join(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isnumeric() and not c.isalpha() and not c.isdecimal())
 LETTERS = re.compile(rf"[^\W\d_]{{1,{WIDTH}}}")
+#: Takes ten times as long; for texts with such figures only.
+STRICT = re.compile(rf"[^\W\d_{_FIGURES}]{{1,{WIDTH}}}")
 KEPT = 200_000
 ROW = 128
 CHUNK_WORDS = 100_000
@@ -23,13 +28,16 @@ CHUNK_WORDS = 100_000
 
 def words_of(text: str | None) -> list[str]:
     """Lower-case runs of letters; longer ones than WIDTH are several words, so that every letter counts."""
-    return LETTERS.findall((text or "").lower())
+    text = (text or "").lower()
+    found = LETTERS.findall(text)
+    return found if all(map(str.isalpha, found)) else STRICT.findall(text)
 
 
 def places_of(text: str) -> list[tuple[int, int]]:
     """(start, end) of every word of ``words_of`` in the text, in code points."""
     low = text.lower()
-    found = [m.span() for m in LETTERS.finditer(low)]
+    letters = LETTERS if all(map(str.isalpha, LETTERS.findall(low))) else STRICT
+    found = [m.span() for m in letters.finditer(low)]
     if len(low) == len(text):
         return found
     # lower case may take more letters than the text has

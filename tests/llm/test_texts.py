@@ -265,3 +265,103 @@ def test_cut_and_odd_pages(spark):
     assert len(got) == 5 and all(r["n_chars"] == len(r["text"]) for r in got)
     assert sorted(r["n_chars"] for r in got)[:2] == [0, 0]
     assert extract(df.limit(0)).count() == 0
+
+
+def test_figures_are_no_letters(spark):
+    from leafgrid.llm.crf import words_of
+    from leafgrid.llm.language import predict, train
+
+    assert words_of("½ ② ① 12 Ⅷ x² a½b 日本三 ٣ ǅ") == ["x", "a", "b", "日本三", "ǆ"]
+    docs = spark.createDataFrame([(i, t * 20, lang) for i in range(20) for t, lang in (("der hund und ", "de"), ("le chat et ", "fr"))], "doc_id long, text string, lang string")
+    model = train(docs)
+    odd = spark.createDataFrame([(1, "½ ② ① 12"), (2, None), (3, ""), (4, "le chat ½")], "doc_id long, text string")
+    got = {r.doc_id: (r.lang_pred, r.score) for r in predict(odd, model, F.lit(False)).collect()}
+    assert got[1] == got[2] == got[3] == ("und", 0.0) and got[4][0] == "fr"
+
+
+def test_caches_of_workers_stay_small(monkeypatch):
+    import public_tokenizers
+
+    from leafgrid.llm import packing
+    from leafgrid.llm.common import worker_cache
+
+    monkeypatch.setattr(packing, "CACHED", 1000)
+    encode = packing._encoder(public_tokenizers.path("word_bpe_49k.json"))
+    for i in range(3000):
+        encode(f"w{i} v{i}, {'x' * 100}{i} " * 2)
+        for kept in (worker_cache("packing")["words"], worker_cache("packing")["stems"]):
+            assert len(kept) <= 1010 and all(len(w) <= packing.KEPT for w in kept)
+    kept = worker_cache("one")
+    kept["x"] = 1
+    assert worker_cache("one") is kept and worker_cache("two") == {} and worker_cache("one") == {}
+
+
+def test_ids_do_not_depend_on_the_cache(monkeypatch):
+    import public_tokenizers
+
+    from leafgrid.llm import packing
+    from leafgrid.llm.common import worker_cache
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [" ".join(f"word{(i * j) % 37}, Ünï{j}." for j in range(60)) for i in range(20)] + ["x" * 5000 + " y"]
+    encode = packing._encoder(path)
+    whole = [encode(t) for t in texts]
+    worker_cache("other")
+    monkeypatch.setattr(packing, "CACHED", 2000)
+    encode = packing._encoder(path)
+    assert [encode(t) for t in texts] == whole
+
+
+KEYED = b"a key"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "ping 8.8.8.8 now", "1.2.3.4", "Password=abcdefgh123", "API_KEY=abcdefgh99", "api-key = 'Zz12345678'", "token: abcdef123456", '"secret": "a1b2c3d4e5"',
+        "at 2001:db8::ff00:42:8329.", "2001:0DB8:0000:0000:0000:FF00:0042:8329", "call 020 7946 0958 now", "079 123 45 67", "0151-2345-6789", "pwd=hunter2hunter2",
+    ],
+)
+def test_values_in_unusual_forms_change(text):
+    new, n = rewrite(text, KEYED)
+    assert n == 1 and new != text
+    shape = lambda s: re.sub("[A-Za-z]", "a", re.sub("[0-9]", "0", s))
+    if not re.search("2001|[.]|abcdef12|a1b2", text):  # hexadecimal values stay such
+        assert shape(new) == shape(text)
+    assert re.split(r"[=:] ?", text)[0] == re.split(r"[=:] ?", new)[0] or "2001" in text or not re.search("[=:]", text)
+
+
+@pytest.mark.parametrize(
+    "text", ["token: something", "the password: unknown word", "at 12:34:56 o'clock", "a::b std::vector 1::2", "version 1.2.3", "0.5 0.25 0.125", "pages 100 200 300", "the key = value", "00 11 22"]
+)
+def test_what_is_no_value_stays(text):
+    assert rewrite(text, KEYED) == (text, 0)
+
+
+def test_one_number_has_one_pseudonym():
+    digits = lambda s: re.sub(r"\D", "", s)
+    us = [digits(rewrite(t, KEYED)[0])[-10:] for t in ("415-555-2671", "+1 (415) 555-2671", "(415) 555-2671", "+14155552671", "+1 415.555.2671")]
+    assert len(set(us)) == 1 and us[0] != "4155552671"
+    uk = [digits(rewrite(t, KEYED)[0])[-10:] for t in ("020 7946 0958", "+44 20 7946 0958", "+442079460958")]
+    assert len(set(uk)) == 1 and uk[0] != "2079460958"
+    six = [rewrite(t, KEYED)[0] for t in ("2001:db8::1", "2001:0db8:0:0::1")]
+    assert six[0] == six[1]
+
+
+def test_past_days_stay_past():
+    for y in range(1900, 2025, 5):
+        assert rewrite(f"born {y}-03-04", KEYED)[0][5:] < "2025"
+    assert rewrite("due 2031-03-04", KEYED)[0][4:] >= "2025"
+
+
+def test_the_key_is_the_sessions(spark):
+    from leafgrid.llm.private import KEY
+
+    df = spark.createDataFrame([(1, "a@b.org 8.8.8.8")], "doc_id long, text string")
+    plain = pseudonymise(df).first().text
+    spark.conf.set(KEY, "another")
+    try:
+        assert pseudonymise(df).first().text == pseudonymise(df, "another").first().text != plain
+        assert with_pseudonyms(df).first().text != plain
+    finally:
+        spark.conf.unset(KEY)
