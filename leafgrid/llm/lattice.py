@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from leafgrid.llm.common import components
 from leafgrid.session import stage
 
+#: SCALE holds for 64 components; eight of d directions hold a share of a distance that falls with sqrt(8 / d).
 TABLES, PROBES, SCALE, BLOCK, TASK = 5, 2, 5.0, 2000, 20_000
 
 
@@ -69,7 +70,7 @@ def _directions(dim: int, table: int) -> np.ndarray:
 
 def cells(unit: np.ndarray, table: int) -> np.ndarray:
     """(n, 1 + PROBES) cell numbers: a point's doubled coordinates, one byte each."""
-    y = unit @ (_directions(unit.shape[1], table) * SCALE)
+    y = unit @ (_directions(unit.shape[1], table) * (SCALE * np.sqrt(unit.shape[1] / 64)))
     home = decode(y)
     near = (y - home) @ ROOTS.T
     best = np.argsort(-near, axis=1, kind="stable")[:, :PROBES]
