@@ -104,7 +104,9 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5) -> DataFrame:
         found = search_block(q, q_ids, x, x_ids, p, k)
         return pd.DataFrame([(q_ids[i], x_ids[j], s) for i, j, s in found], columns=names)
 
-    near = ask.unionByName(held).groupBy("dim", "qb", "xb").applyInPandas(run, "query_id long, vec_id long, score long")
+    # a fixed number of tasks: adaptive execution would judge these small rows with much work to be one task
+    tasks = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = ask.unionByName(held).repartition(tasks, "dim", "qb", "xb").groupBy("dim", "qb", "xb").applyInPandas(run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
