@@ -62,25 +62,28 @@ CLOSES = {
 FENCES = {"ul", "ol", "dl", "table", "html", "body", "article", "section", "main", "div"}
 
 
+DEEP = 512
+
+
 class Node:
-    __slots__ = ("tag", "parent", "points", "junk", "size", "links", "first", "last", "article", "good", "most")
+    __slots__ = ("tag", "parent", "points", "junk", "size", "links", "first", "last", "article", "good", "most", "inside", "depth")
 
     def __init__(self, tag, parent, junk, good, most=0.0):
         self.tag, self.parent, self.junk, self.good = tag, parent, junk, good
         self.most = most  # junk unless it has more than this share of the page's points
         self.points, self.size, self.links, self.first, self.last = 0.0, 0, 0, -1, -1
         self.article = tag in ("article", "main")
+        #: whether it is an article or in one
+        self.inside = self.article or parent is not None and parent.inside
+        self.depth = parent.depth + 1 if parent is not None else 0
 
 
 def _look(tag, attributes, parent):
     """(junk, good, share of the page's points it needs to stay) of a tag by its name, role and class words."""
     if parent.junk or tag in JUNK_TAGS and tag != "form":
         return True, False, 0.0
-    inside = parent
-    while inside is not None and not inside.article:
-        inside = inside.parent
     if tag == "header":
-        return inside is None, False, 0.0
+        return not parent.inside, False, 0.0
     words, names, role, hidden = set(), set(), "", False
     for m in ATTRIBUTE.finditer(attributes) if attributes else ():
         name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
@@ -192,19 +195,19 @@ def blocks_of(page: str):
             elif tag == "p":
                 end_block()
             continue
-        if tag in ("button", "label"):
-            pass
         end_block()
         links = 0
         if at.tag == "p" or at.tag in HEADINGS and tag in BLOCKS:
             at = at.parent
-        elif tag in CLOSES:
+        if tag in CLOSES:
             node = at
             while node.parent is not None and node.tag not in FENCES:
                 if node.tag in CLOSES[tag]:
                     at = node.parent
                     break
                 node = node.parent
+        if at.depth >= DEEP:  # as browsers do, what is deeper stands beside
+            at = at.parent
         at = Node(tag, at, *_look(tag, m[3], at))
     end_block()
     return root, blocks
@@ -213,6 +216,10 @@ def blocks_of(page: str):
 PARTS = {"p", "pre", "td", "th", "li", "dd", "dt", "blockquote", "figcaption", "caption", "summary"} | HEADINGS
 
 
+#: Siblings of the best container that are text of the same article if they hold text and few links.
+OWN_PARTS = {"p", "section", "article", "blockquote", "pre"}
+
+
 def main_text(page: str | None) -> str:
     """The article of one page."""
     if not page:
@@ -251,7 +258,7 @@ def main_text(page: str | None) -> str:
         for n in nodes.values():
             if n is not best and n.parent is best.parent:
                 dense = n.links / max(1, n.size)
-                if value(n) >= max(10, value(best) / 5) or n.tag == "p" and dense < 0.25 and n.size > 80 or n.tag in HEADINGS and n.last < best.first:
+                if value(n) >= max(10, value(best) / 5) or n.tag in OWN_PARTS and dense < 0.25 and n.size > 80 or n.tag in HEADINGS and n.last < best.first:
                     keep.add(id(n))
     # lists and tables that are mostly links are menus
     menus = {id(n) for n in nodes.values() if n.tag in ("ul", "ol", "table", "dl") and n.last > n.first and n.links > 0.6 * n.size}
