@@ -175,3 +175,23 @@ def test_top_k_is_exact(spark):
             want += [(q, k + 1, x, -s) for k, (s, x) in enumerate(sorted(all_of)[:5])]
     assert got == sorted(want)
     assert top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
+
+
+@pytest.mark.parametrize("dim", [8, 16, 64, 384, 768])
+def test_recall_of_the_cells_at_every_dimension(dim):
+    from leafgrid.llm.lattice import TABLES, cells
+
+    r = np.random.default_rng(dim)
+    x = r.normal(size=(1500, dim))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    other = r.normal(size=x.shape)
+    other -= (other * x).sum(1, keepdims=True) * x
+    other /= np.linalg.norm(other, axis=1, keepdims=True)
+    cosine = r.uniform(0.95, 0.97, (len(x), 1))
+    y = cosine * x + np.sqrt(1 - cosine**2) * other
+    met = np.zeros(len(x), bool)
+    for t in range(TABLES):
+        met |= (cells(x, t)[:, :, None] == cells(y, t)[:, None, :]).any((1, 2))
+    assert met.mean() >= 0.95
+    # vectors that have nothing to do with each other do not fill a few cells
+    assert len(np.unique(cells(x, 0)[:, 0])) > 0.3 * len(x)

@@ -365,3 +365,24 @@ def test_the_key_is_the_sessions(spark):
         assert with_pseudonyms(df).first().text != plain
     finally:
         spark.conf.unset(KEY)
+
+
+def test_open_items_and_deep_pages_take_linear_time():
+    import time
+
+    for page, least in (
+        ("<ul>" + "<li><p>An item of some length, with a comma, that has no end tag." * 20_000, 20_000),
+        ("<table>" + "<tr><td>A cell of some length, with a comma, and no end tag either." * 10_000, 10_000),
+        ("<div>" * 16_000 + "<p>A paragraph of some length, with a comma, deep inside the page.</p>" * 50, 50),
+        ("<div>A text of some length, with a comma, before a deeper one that goes on." * 3000, 100),
+    ):
+        start = time.process_time()
+        found = main_text(f"<html><body><article>{page}</article></body></html>")
+        assert time.process_time() - start < 10
+        assert len(found.split("\n\n")) >= least
+
+
+def test_paragraphs_of_sibling_sections_stay():
+    one, two = "The first part of the text, which is long enough to count. " * 3, "The second part, in a section of its own, goes on with it. " * 2
+    page = f"<body><div class=content><p>{one}</p></div><section><p>{two}</p></section><section><ul><li><a href=x>menu of links that is no part of the text at all, really</a></ul></section></body>"
+    assert main_text(page) == f"{one.strip()}\n\n{two.strip()}"
