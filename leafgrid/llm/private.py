@@ -56,7 +56,7 @@ PATTERN = re.compile(
   | (?P<iban>(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:[ ]?[A-Z0-9]{4}){2,7}(?:[ ]?[A-Z0-9]{1,3})?(?![A-Za-z0-9]))
   | (?P<hex>(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![A-Za-z0-9]))
   | (?P<ipv6>(?<![\w:.])[23][0-9A-Fa-f]{3}:(?=[0-9A-Fa-f:]*[0-9])(?:[0-9A-Fa-f]{0,4}:){1,6}[0-9A-Fa-f]{0,4}(?![\w:]))
-  | (?P<phone>(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|0[1-9][0-9]{0,3}(?:[ -][0-9]{2,4}){2,4})(?![\w]))
+  | (?P<phone>(?<![\w+(])(?:\+[0-9]{1,3}[ .-]?(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}|\([0-9]{3}\)[ ]?[0-9]{3}[ .-][0-9]{4}|[0-9]{3}[.-][0-9]{3}[.-][0-9]{4}|(?<![0-9][ -])0[1-9][0-9]{0,3}(?:[ -][0-9]{2,4}){2,4}(?![ -][0-9]))(?![\w]))
   | (?P<ssn>(?<![\w-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w-]))
   | (?P<date>(?<![\w/.-])(?:[0-9]{4}(?P<_sep>[-/.])[0-9]{1,2}(?P=_sep)[0-9]{1,2}|[0-9]{1,2}(?P<_sep2>[-/.])[0-9]{1,2}(?P=_sep2)[0-9]{4})(?!(?!T[0-9]{2}:?[0-9]{2})[\w/-]))
   | (?P<named>(?<![\w/.-])(?:[0-9]{1,2}(?:\.|st|nd|rd|th)?\ (?:de\ )?(?:MONTH)\.?,?\ (?:de\ )?[0-9]{4}|(?:MONTH)\.?\ [0-9]{1,2}(?:st|nd|rd|th)?,?\ [0-9]{4})(?![\w/-]))
