@@ -1,20 +1,22 @@
 """Operator 1: passages that repeat, paragraph by paragraph, by MinHash banding.
 
 A paragraph is a line of at least ``LEAST`` words.  Its five-word shingles give ``BANDS`` bands of ``WIDE`` minima; at
-similarity 0.8 two paragraphs share a band with probability 1 - (1 - 0.8^5)^16 = 0.998.  Equal shingle sets
+similarity 0.8 two paragraphs share a band with probability 1 - (1 - 0.8^3)^9 = 0.998.  Equal shingle sets
 collapse first.  Paragraphs that share a band with another one are joined and verified by exact Jaccard over their
 whole shingle sets; the join inside the colliding paragraphs is that of ``ngram_join.link_sets``, which expands no group to all its pairs.
 Of every component the first paragraph (smallest doc_id, then position) stays and the others are removed.
 
 ``repeated_passages``, which the query runs, takes every line of ``FEW`` words (one shingle) or more, and then what repeats inside
-lines or across line breaks: ``windows_of_text`` cuts windows of ``RUN`` words from the word sequence of a text at places that its content
+lines or across line breaks: ``windows_of`` cuts windows of ``RUN`` words from the word sequence of a text at places that its content
 chooses, at least one in every ``STEP`` neighbouring ones.  So a run of RUN + STEP - 1 = 23 words that stands anywhere in two places
 always shares a window.  A passage of 50 words or more of similarity 0.8 holds such a run, as each change inside costs five shingles.
+Hashes of windows are counted first, and only windows that stand in two places are written.
 Windows in removed lines are left out; of equal ones the first stays, the others are joined to spans, and spans that share windows are a component.
 At either end of a run up to STEP - 1 words may stay, and likewise beside a changed word.
 
 Defined results: null and empty texts have no paragraphs; a paragraph that repeats inside one document is removed there too;
-rows that repeat a doc_id are texts of one document, and their paragraphs count one by one; rows without doc_id are left
+rows that repeat a doc_id are texts of one document, and their paragraphs count one by one; rows equal in doc_id and text
+are one text, from each of which the same is removed; rows without doc_id are left
 out; an empty table gives no rows; other columns are ignored.  Positions count code points.
 """
 
@@ -26,97 +28,129 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafgrid.llm.common import components, mix, signature_parts, window_hashes, word_edges, word_hashes
-from leafgrid.llm.ngram_join import _in_bits, _lists, _some_ids, again, link_sets, parity
+from leafgrid.llm.ngram_join import _in_bits, _lists, _slot, again, link_sets, parity
 from leafgrid.session import stage
 
-LEAST, BANDS, WIDE = 45, 16, 5
+LEAST, BANDS, WIDE = 45, 9, 3
 FEW, RUN, STEP = 5, 16, 8
 
 _A = np.random.default_rng(77).integers(1, 2**31, BANDS * WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(78).integers(0, 2**32, BANDS * WIDE, dtype=np.uint32)
-
-
 _C = np.random.default_rng(79).integers(1, 2**63, WIDE, dtype=np.uint64) | np.uint64(1)
 
 
-def minima(values: np.ndarray) -> np.ndarray:
-    """Minima of a set under 32-bit permutations; a chance meeting only adds a candidate."""
-    v = values.view(np.uint64)
-    v = (v ^ (v >> np.uint64(32))).astype(np.uint32)
-    low = np.full(len(_A), np.uint32(2**32 - 1))
-    for lo in range(0, len(v), 256):  # a block stays in the processor's cache
-        part = v[lo : lo + 256, None] * _A
-        part ^= _B
-        np.minimum(low, part.min(0), out=low)
-    return low
+class Texts:
+    """Words and lines of some texts, taken as one sequence of bytes in which a line break ends each text.
 
+    ``first`` and ``last`` are the bytes at which words begin and end, ``line`` is the line of each word and
+    ``text`` the text of each line.
+    """
 
-def bands(low: np.ndarray) -> np.ndarray:
-    """One key per band and set from (sets, BANDS * WIDE) minima."""
-    rows = low.astype(np.uint64).reshape(len(low), BANDS, WIDE)
-    return mix((rows * _C).sum(2) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
-
+    def __init__(self, texts: list[str]):
+        whole = "\n".join(texts)
+        raw = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
+        self.words = word_hashes(whole)
+        self.first, self.last = word_edges(raw)
+        breaks = np.flatnonzero(raw == 10)
+        self.later = np.flatnonzero((raw & 0xC0) == 0x80)
+        self.line = np.searchsorted(breaks, self.first)
+        self.begin, self.end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(raw)]])
+        lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
+        self.text = np.repeat(np.arange(len(texts)), lines)
+        self.top = np.cumsum(lines) - lines  # first line of each text
+
+    def point(self, at):
+        """Code points before a byte."""
+        return at - np.searchsorted(self.later, at)
+
+    def place(self, at, line):
+        """Code points from the begin of a line's text to a byte."""
+        return self.point(at) - self.point(self.begin[self.top[self.text[line]]])
+
+
+def _portions(batches, bound: int = 1 << 20):
+    """Columns before the text, and texts of up to 500 rows and about ``bound`` characters together (one row at least)."""
+    for batch in batches:
+        at, size, texts = 0, 0, []
+        column = batch.column(batch.num_columns - 1)
+        for k in range(batch.num_rows):
+            texts.append(column[k].as_py() or "")
+            size += len(texts[-1])
+            if size >= bound or len(texts) == 500 or k == batch.num_rows - 1:
+                yield [batch.column(i).slice(at, len(texts)) for i in range(batch.num_columns - 1)], texts
+                at, size, texts = k + 1, 0, []
+
+
+def paragraphs_of(texts: list[str], least: int):
+    """(Texts, lines of at least ``least`` words, their numbers of words, ends, values, sums): the five-word shingles of the
+    k-th line are ``values[ends[k] : ends[k + 1]]``, distinct and in order, and their sum stands for the set.  Takes
+    ``least`` of five or more; no word or shingle spans two lines."""
+    t = Texts(texts)
+    n = np.bincount(t.line, minlength=len(t.text))
+    taken = np.flatnonzero(n >= max(least, 5))
+    if not len(taken):
+        return t, taken, n[taken], np.zeros(1, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
+    of = t.line[:-4]
+    inside = (of == t.line[4:]) & (n >= max(least, 5))[of]
+    values, of = window_hashes(t.words)[inside], of[inside]
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    new = np.ones(len(values), bool)
+    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
+    values, of = values[new], of[new]
+    ends = np.searchsorted(of, np.concatenate([taken, [len(t.text)]]))
+    return t, taken, n[taken], ends, values, np.add.reduceat(signature_parts(values)[0], ends[:-1])
+
+
+def bands(values: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """(sets, BANDS) keys of the minima of sets under 32-bit permutations; a chance meeting only adds a candidate."""
+    v = (values ^ (values >> np.uint64(32))).astype(np.uint32)
+    keys = np.zeros((len(ends) - 1, BANDS), np.uint64)
+    for k in range(BANDS * WIDE):
+        low = np.minimum.reduceat(v * _A[k] ^ _B[k], ends[:-1])
+        keys[:, k // WIDE] += low.astype(np.uint64) * _C[k % WIDE]
+    return mix(keys + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
-def paragraphs_of(text: str | None, least: int):
-    """(number, start, length, words, shingle set, signature) of each line of at least ``least`` words.
 
-    Words and shingles are hashed once for the whole text; no word spans two lines.
-    """
-    lines = (text or "").split("\n")
-    if max(map(len, lines)) < 2 * least - 1:
-        return
-    counts = [len(x.encode("utf-8", "surrogatepass").split()) for x in lines]
-    if max(counts) < least:
-        return
-    words = word_hashes(text)
-    all_of = window_hashes(words)
-    one, two = signature_parts(all_of)
-    at = word = 0
-    for k, (line, n) in enumerate(zip(lines, counts)):
-        if n >= least:
-            own = slice(word, word + n - 4)
-            found, first = np.unique(all_of[own].view(np.int64), return_index=True)
-            sums = one[own][first].sum(dtype=np.uint64), np.bitwise_xor.reduce(two[own][first])
-            yield k, at, len(line), n, found, tuple(int(x.view(np.int64)) for x in sums)
-        at += len(line) + 1
-        word += n
+def _rows(least):
+    def run(batches):
+        for (docs, marks), texts in _portions(batches):
+            t, line, n, ends, values, sums = paragraphs_of(texts, least)
+            if not len(line):
+                continue
+            # fewer than four shingles: only an equal set is similar enough
+            some = np.diff(ends) > 3
+            keys = bands(values, ends)[some].ravel()
+            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(keys))
+            of = pa.array(t.text[line])
+            start = t.place(t.begin[line], line)
+            columns = [line - t.top[t.text[line]], start, t.place(t.end[line], line) - start, n, sums.view(np.int64)]
+            names = ["doc_id", "text_id", "paragraph", "start", "length", "n_words", "s1", "bands"]
+            yield pa.RecordBatch.from_arrays([docs.take(of), marks.take(of), *[pa.array(c, pa.int64()) for c in columns], lists], names=names)
 
+    return run
 
-def _rows(least):
-    none = np.empty(0, np.int64)
 
+def _keys(bits, shift):
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                docs, marks, texts = (batch.slice(lo, 500).column(i).to_pylist() for i in range(3))
-                out, low = [], []
-                for doc, mark, text in zip(docs, marks, texts):
-                    for *place, found, sums in paragraphs_of(text, least):
-                        out.append((doc, mark, *place, *sums))
-                        # fewer than four shingles: only an equal set is similar enough
-                        low.append(minima(found) if len(found) > 3 else None)
-                columns = list(zip(*out)) or [()] * 8
-                names = ["doc_id", "text_id", "paragraph", "start", "length", "n_words", "s1", "s2"]
-                some = [x for x in low if x is not None]
-                made = iter(bands(np.stack(some)) if some else [])
-                keys = [none if x is None else next(made) for x in low]
-                yield pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns], _lists(list(keys))], names=[*names, "bands"])
+            lists = batch.column(1)
+            keys = lists.flatten().to_numpy(zero_copy_only=False)
+            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
+            kept = _in_bits(keys, bits, shift)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(keys[kept])], names=["s1", "key"])
 
     return run
 
 
 def _sets_of(least, bits, shift):
     def run(batches):
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                found = {}
-                for text in batch.slice(lo, 500).column(1).to_pylist():
-                    for *_, values, sums in paragraphs_of(text, least):
-                        found[sums[0]] = values
-                ids = np.fromiter(found, np.int64, len(found))
-                ids = ids[_in_bits(ids, bits, shift)]
-                kept = [found[i] for i in ids.tolist()]
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), _lists(kept), _lists([parity(x) for x in kept])], names=["doc_id", "h", "q"])
+        for _, texts in _portions(batches):
+            *_, ends, values, sums = paragraphs_of(texts, least)
+            ids, first = np.unique(sums.view(np.int64), return_index=True)
+            kept = _in_bits(ids, bits, shift)
+            found = [values[ends[k] : ends[k + 1]].view(np.int64) for k in first[kept].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept], pa.int64()), _lists(found), _lists([parity(x) for x in found])], names=["doc_id", "h", "q"])
 
     return run
 
@@ -128,61 +162,102 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 
 
 def _repeated(docs: DataFrame, least: int) -> DataFrame:
-    kinds = "doc_id long, text_id long, paragraph long, start long, length long, n_words long, s1 long, s2 long, bands array<long>"
+    kinds = "doc_id long, text_id long, paragraph long, start long, length long, n_words long, s1 long, bands array<long>"
     rows = stage(docs.select("doc_id", "text_id", "text").mapInArrow(_rows(least), kinds), "paragraphs")
     # one node per distinct set
     place = F.struct("doc_id", "paragraph", "start", "text_id")
     nodes = stage(rows.groupBy("s1").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "nodes")
     keys = rows.select("s1", F.explode("bands").alias("key"))
     shared = keys.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select(again("key"))
-    close = stage(keys.join(shared.hint("shuffle_hash"), "key").select(F.col("s1").alias("doc_id")).distinct(), "close")
-    bits, shift = _some_ids(close)
-    sets = docs.select("doc_id", "text").mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>, q array<long>").join(close, "doc_id", "left_semi")
+    shared = stage(shared, "shared")
+    keys = rows.select("s1", "bands").mapInArrow(_keys(*_sieve(shared)), "s1 long, key long")
+    close = stage(keys.join(shared.select(again("key")).hint("shuffle_hash"), "key").select(F.col("s1").alias("doc_id")).distinct(), "close")
+    bits, shift = _sieve(close)
+    sets = docs.select("text").mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>, q array<long>").join(close, "doc_id", "left_semi")
     linked = link_sets(stage(sets.dropDuplicates(["doc_id"]), "sets")).withColumnRenamed("id", "s1")
     named = nodes.join(linked, "s1", "left").withColumn("cluster_id", F.coalesce("component", "s1"))
     kept = named.groupBy("cluster_id").agg(F.min("first").alias("kept"), F.sum("copies").alias("copies")).where("copies > 1")
-    named = named.select("s1", "cluster_id").join(kept.drop("copies"), "cluster_id")
-    out = rows.drop("bands", "s2").join(named, "s1")
+    named = named.select("s1", "cluster_id").join(kept.select(again("cluster_id"), "kept"), "cluster_id")
+    out = rows.drop("bands").join(named.select(again("s1"), "cluster_id", "kept"), "s1")
     first = "doc_id = kept.doc_id and paragraph = kept.paragraph and start = kept.start and text_id = kept.text_id"
     out = out.where(f"not ({first})")
     number = lambda name: F.col(name).cast("int")
     return out.select("doc_id", "text_id", number("paragraph").alias("paragraph"), "start", "length", "n_words", "cluster_id", F.col("kept.doc_id").alias("kept_doc_id"), number("kept.paragraph").alias("kept_paragraph"), F.col("kept.start").alias("kept_start"))
 
 
-def windows_of_text(text: str | None):
-    """(word, start, end, line, hash) arrays of the windows of RUN words that a text's content chooses; start and end count code points."""
-    words = word_hashes(text or "")
-    if len(words) < RUN:
-        return [np.empty(0, np.int64)] * 5
-    raw = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
-    first, last = word_edges(raw)
-    value = window_hashes(words, RUN)
-    n, step = len(value), min(STEP, len(value))
-    low = np.lib.stride_tricks.sliding_window_view(value, step).min(1)
-    # a window is taken if it is the least of any STEP neighbours
-    around = np.concatenate([np.zeros(step - 1, np.uint64), low, np.zeros(step - 1, np.uint64)])
-    taken = np.lib.stride_tricks.sliding_window_view(around, step).max(1) == value
-    line = np.cumsum(raw == 10)[first]
-    # and at both ends of the text and of each longer line
-    turn = np.flatnonzero(np.diff(line)) + 1
-    begin, end = np.concatenate([[0], turn]), np.concatenate([turn, [len(words)]])
-    long = end - begin >= RUN
-    taken[begin[long]] = True
-    taken[end[long] - RUN] = True
-    taken[[0, n - 1]] = True
+def windows_of(texts: list[str]):
+    """(text, word, start, end, line, hash) arrays of the windows of RUN words that the contents of texts choose.
+
+    Word, line, start and end count from the begin of the text, start and end code points.
+    """
+    t = Texts(texts)
+    if len(t.words) < RUN:
+        return [np.empty(0, np.int64)] * 6
+    value, of = window_hashes(t.words, RUN), t.text[t.line]
+    n = len(value)
+    inside = of[:n] == of[RUN - 1 :]
+    # a window is taken if it is the least of any STEP neighbours of its text
+    low = np.zeros(n + STEP - 1, np.uint64)
+    if n >= STEP:
+        least = value[: n - STEP + 1].copy()
+        for k in range(1, STEP):
+            np.minimum(least, value[k : n - STEP + 1 + k], out=least)
+        least[of[: n - STEP + 1] != of[RUN + STEP - 2 :]] = 0
+        low[STEP - 1 : n] = least
+    best = low[:n].copy()
+    for k in range(1, STEP):
+        np.maximum(best, low[k : n + k], out=best)
+    taken = (best == value) & inside
+    # and at both ends of each text and of each longer line; all of a text that has fewer than STEP
+    for parts in (t.line, of):
+        turn = np.flatnonzero(np.diff(parts)) + 1
+        begin, end = np.concatenate([[0], turn]), np.concatenate([turn, [len(parts)]])
+        long = end - begin >= RUN
+        taken[begin[long]] = True
+        taken[end[long] - RUN] = True
+    for lo, hi in zip(begin[long].tolist(), end[long].tolist()):
+        if hi - lo < RUN + STEP - 1:
+            taken[lo : hi - RUN + 1] = True
     at = np.flatnonzero(taken)
-    point = np.cumsum((raw & 0xC0) != 0x80)  # code points up to a byte, itself included
-    return [at, point[first[at]] - 1, point[last[at + RUN - 1] - 1], line[at], value[at].view(np.int64)]
+    line, text = t.line[at], of[at]
+    word = at - begin[np.searchsorted(begin, at, "right") - 1]
+    return [text, word, t.place(t.first[at], line), t.place(t.last[at + RUN - 1], line), line - t.top[text], value[at].view(np.int64)]
 
 
-def _windows(batches):
-    for batch in batches:
-        for lo in range(0, batch.num_rows, 500):
-            ids, marks, texts = (batch.slice(lo, 500).column(i) for i in range(3))
-            found = [windows_of_text(t) for t in texts.to_pylist()]
-            of = np.repeat(np.arange(len(found)), [len(x[0]) for x in found])
-            columns = [pa.array(np.concatenate([x[k] for x in found]).astype(np.int64)) for k in range(5)]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(of)), marks.take(pa.array(of)), *columns], names=["doc_id", "text_id", "word", "start", "end", "line", "hash"])
+def _counts(batches):
+    for _, texts in _portions(batches):
+        values, counts = np.unique(windows_of(texts)[5], return_counts=True)
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["hash", "c"])
+
+
+def _windows(bits, shift):
+    def run(batches):
+        for (docs, marks), texts in _portions(batches):
+            of, *columns = windows_of(texts)
+            kept = _in_bits(columns[-1], bits, shift)
+            of = pa.array(of[kept], pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.take(of), marks.take(of), *[pa.array(c[kept], pa.int64()) for c in columns]], names=["doc_id", "text_id", "word", "start", "end", "line", "hash"])
+
+    return run
+
+
+def _sieve(ids: DataFrame, most: int = 24):
+    """A bitmap of a column of ids, about eight bits for each and 2^most (2 MB) at most: a first sieve of what meets the exact join."""
+    log2 = min(most, max(16, (8 * ids.count()).bit_length()))
+    shift = 64 - log2
+
+    def gather(batches):
+        bits = np.zeros(1 << (log2 - 6), np.uint64)
+        for batch in batches:
+            at = _slot(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), shift)
+            np.bitwise_or.at(bits, (at >> np.uint64(6)).astype(np.int64), np.uint64(1) << (at & np.uint64(63)))
+        used = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(bits[used].view(np.int64))], names=["word", "bits"])
+
+    words = ids.mapInArrow(gather, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    bits = np.zeros(1 << (log2 - 6), np.uint64)
+    bits[words["word"].to_numpy()] = words["bits"].to_numpy().view(np.uint64)
+    return bits, shift
 
 
 def repeated_passages(docs: DataFrame, least: int = FEW) -> DataFrame:
@@ -194,21 +269,24 @@ def repeated_passages(docs: DataFrame, least: int = FEW) -> DataFrame:
 def _passages(docs: DataFrame, least: int):
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where("doc_id is not null")
     docs = docs.withColumn("text_id", F.xxhash64("text"))
-    gone = stage(_repeated(docs, least), "repeated")
+    # rows equal in doc_id and text are one text
+    gone = stage(_repeated(docs, least).dropDuplicates(["doc_id", "text_id", "start"]), "repeated")
     place = ["doc_id", "text_id"]
     kinds = "doc_id long, text_id long, word long, start long, end long, line long, hash long"
-    cells = stage(docs.select(*place, "text").mapInArrow(_windows, kinds), "windows")
-    shared = cells.groupBy("hash").agg(F.count("*").alias("c")).where("c > 1").select(again("hash"))
-    met = cells.join(shared.hint("shuffle_hash"), "hash")
+    # only windows that stand in two places are written
+    counts = docs.select("text").mapInArrow(_counts, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
+    shared = stage(counts.where("c > 1").select("hash"), "shared")
+    cells = docs.select(*place, "text").mapInArrow(_windows(*_sieve(shared)), kinds)
+    met = cells.join(shared.select(again("hash")).hint("shuffle_hash"), "hash")
     # what a removed line holds is neither kept nor removed once more
     out = gone.groupBy(*place).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("out"))
     met = met.join(out, place, "left").where("out is null or not exists(out, x -> x.start < end and start < x.end)").drop("out")
     met = stage(met, "met")
     first = met.groupBy("hash").agg(F.min(F.struct(*place, "word", "start", "end", "line")).alias("kept"))
-    hits = met.join(first, "hash").where("not (doc_id = kept.doc_id and text_id = kept.text_id and word = kept.word)")
+    hits = met.join(first.select(again("hash"), "kept"), "hash").where("not (doc_id = kept.doc_id and text_id = kept.text_id and word = kept.word)")
     # in the text of the first one, what follows it only
     own = "doc_id = kept.doc_id and text_id = kept.text_id and word < kept.word + " + str(RUN)
-    hits = stage(hits.where(f"not ({own})").dropDuplicates([*place, "word"]), "hits")
+    hits = stage(hits.where(f"not ({own})").dropDuplicates([*place, "word"]), "first_hits")
     order = Window.partitionBy(*place).orderBy("word")
     parted = F.coalesce(F.col("word") > F.lag("word").over(order) + RUN, F.lit(True)).cast("int")
     hits = hits.withColumn("span", F.sum(parted).over(order))
@@ -255,11 +333,20 @@ def cut_out(text: str, spans) -> str:
     return "\n".join(out)
 
 
+def _free(name: str, docs: DataFrame) -> str:
+    """The name, or one like it that no column has."""
+    taken = {x.lower() for x in docs.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def without_repeats(docs: DataFrame, least: int = FEW) -> DataFrame:
     """docs (doc_id, text) with the repeated lines and passages taken out of the texts."""
     gone, spans = (x.select("doc_id", "text_id", "start", (F.col("start") + F.col("length")).alias("end")) for x in _passages(docs, least))
-    gone = gone.union(spans).groupBy(F.col("doc_id").alias("gone_id"), F.col("text_id").alias("gone_text")).agg(F.collect_set(F.struct("start", "end")).alias("gone"))
-    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col("gone_id")) & (F.xxhash64(F.col("text").cast("string")) == F.col("gone_text")), "left").drop("gone_id", "gone_text")
+    names = [_free(x, docs) for x in ("gone_id", "gone_text", "gone")]
+    gone = gone.union(spans).groupBy(F.col("doc_id").alias(names[0]), F.col("text_id").alias(names[1])).agg(F.collect_set(F.struct("start", "end")).alias(names[2]))
+    joined = docs.join(gone, (F.col("doc_id").cast("long") == F.col(names[0])) & (F.xxhash64(F.col("text").cast("string")) == F.col(names[1])), "left").drop(*names[:2])
     at, cuts = docs.columns.index("text"), len(docs.columns)
 
     def run(batches):

@@ -6,7 +6,7 @@ import pytest
 
 from leafgrid.llm.common import components, shingles, word_hashes
 from leafgrid.llm.ngram_join import ngram_jaccard, without_copies
-from leafgrid.llm.paragraphs import cut_out, repeated_paragraphs, repeated_passages, windows_of_text, without_repeats
+from leafgrid.llm.paragraphs import cut_out, repeated_paragraphs, repeated_passages, windows_of, without_repeats
 
 SCHEMA = "doc_id long, text string, n long, h string, rep long, component string"
 
@@ -166,6 +166,6 @@ def test_passages_inside_lines_and_in_short_lines(spark):
     # any run of 23 words shares a window, whatever stands around it
     for _ in range(50):
         same = run(23)
-        a, b = (set(windows_of_text(" ".join(run(r.randint(0, 40)) + same + run(r.randint(0, 40))))[4].tolist()) for _ in range(2))
+        a, b = (set(windows_of([" ".join(run(r.randint(0, 40)) + same + run(r.randint(0, 40)))])[5].tolist()) for _ in range(2))
         assert a & b
     assert cut_out("ab cd\n\nef", [(0, 5), (1, 4)]) == "\nef" and cut_out("ab cd ef\ngh", [(3, 10)]) == "ab \nh"
