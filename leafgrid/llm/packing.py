@@ -147,60 +147,105 @@ def best_fit(lengths: np.ndarray, size: int) -> list[list[int]]:
     return bins
 
 
-def local_search(bins: list[list[int]], lengths: np.ndarray, size: int, rounds: int = 4) -> list[list[int]]:
+def least_bins(lengths: np.ndarray, size: int) -> int:
+    """No packing has fewer bins.
+
+    Pieces over half a bin need one each, and pieces of k tokens or more fit beside them only in bins that leave k; and
+    of pieces over the (k + 1)-th part of a bin no more than k fit together.
+    """
+    many = np.bincount(lengths, minlength=size + 1)
+    count = np.concatenate([[0], np.cumsum(many)])
+    total = np.concatenate([[0], np.cumsum(many * np.arange(size + 1))])
+    half = size // 2
+    k = np.arange(half + 1)
+    alone = count[size + 1] - count[half + 1]
+    beside = (size * (count[size - k + 1] - count[half + 1])) - (total[size - k + 1] - total[half + 1])
+    over = np.maximum(0, total[half + 1] - total[k] - beside)
+    k = np.arange(1, size + 1)
+    return int(max((alone + -(-over // size)).max(), (-(-(count[size + 1] - count[size // (k + 1) + 1]) // k)).max()))
+
+
+def local_search(bins: list[list[int]], lengths: np.ndarray, size: int) -> list[list[int]]:
     """Exchange pieces between underfull bins while the sum of squared fills grows; drop bins that empty.
 
-    A bin that is to empty gives each of its pieces x to a bin with room r: by a move (x <= r), or by an exchange against
-    one piece or two pieces of that bin worth y with y < x <= y + r, which leaves the emptying bin smaller.
+    A bin that is to empty gives a piece x to a bin that is as full or fuller and has room r: by a move (x <= r), or by an
+    exchange against one piece or two pieces of that bin worth y with y < x <= y + r, which leaves the emptying bin
+    smaller.  All underfull bins are asked, emptiest first to give and all others to take, until nothing improves or
+    no packing can have fewer bins.  Every step raises the sum of squared fills, so the search ends.
     """
-    size_of = lengths.tolist()
-    fill = [sum(size_of[i] for i in b) for b in bins]
-    fewest = -(-sum(fill) // size)
-    for _ in range(rounds):
-        under = sorted((b for b in range(len(bins)) if 0 < fill[b] < size), key=lambda b: fill[b])
-        over = sum(1 for f in fill if f) - fewest
+    fewest = least_bins(lengths, size)
+    if len(bins) <= fewest:
+        return bins
+    of = np.empty(len(lengths), np.int64)
+    for b, held in enumerate(bins):
+        of[held] = b
+    fill = np.bincount(of, lengths, len(bins)).astype(np.int64)
+    some = np.flatnonzero(fill[of] < size)  # pieces of underfull bins
+    left, changed = len(bins), True
+    while changed and left > fewest:
         changed = False
-        for source in under[:over]:
-            others = [b for b in under if b != source and fill[source] <= fill[b] < size]
-            for b in sorted(others, key=lambda b: fill[b])[:400]:
-                while fill[source] and fill[b] < size and _improve(bins, fill, size_of, size, source, b):
-                    changed = True
-                if not fill[source]:
+        for source in sorted(np.flatnonzero(fill < size).tolist(), key=lambda b: (fill[b], b)):
+            while 0 < fill[source] < size:
+                step = _best_step(of, fill, lengths, size, some, source)
+                if not step:
                     break
-        if not changed:
+                gain, to, given, back = step
+                of[given] = to
+                of[list(back)] = source
+                fill[source] -= gain
+                fill[to] += gain
+                changed = True
+            left = np.count_nonzero(fill)
+            if left <= fewest:
+                break
+    order = np.argsort(of, kind="stable")
+    return [held.tolist() for held in np.split(order, np.cumsum(np.bincount(of, minlength=len(bins)))[:-1]) if len(held)]
+
+
+def _best_step(of, fill, lengths, size, some, source):
+    """(gain, bin, piece given, pieces taken back) of a step that lowers a bin, or None.
+
+    The step that lowers it most among moves and exchanges of one; those against two are looked at where there is none.
+    """
+    takes = (fill >= fill[source]) & (fill < size)
+    takes[source] = False
+    own = some[of[some] == source]
+    sizes, first = np.unique(lengths[own], return_index=True)
+    room = size - fill
+    open_bins = np.flatnonzero(takes)
+    if not len(open_bins):
+        return None
+    widest = room[open_bins].max()
+    best = None
+    for x, i in zip(sizes[::-1].tolist(), own[first[::-1]].tolist()):
+        if x <= widest:  # the fullest bin that takes it whole
+            fits = open_bins[room[open_bins] >= x]
+            best = (x, int(fits[np.argmin(room[fits])]), i, ())
             break
-    return [b for b in bins if b]
-
-
-def _improve(bins, fill, size_of, size, a, b) -> bool:
-    """The best step from bin a to the fuller bin b: the one that fills b most."""
-    room = size - fill[b]
-    best, step = 0, None
-    to = sorted((size_of[j], j) for j in bins[b])
-    pairs = sorted((to[p][0] + to[q][0], to[p][1], to[q][1]) for p in range(len(to)) for q in range(p)) if len(to) <= 24 else []
-    for i in bins[a]:
-        x = size_of[i]
-        if x <= room:
-            if x > best:
-                best, step = x, (i, ())
-            continue
-        at = bisect_left(to, (x - room, -1))
-        if at < len(to) and 0 < x - to[at][0] and x - to[at][0] > best:
-            best, step = x - to[at][0], (i, (to[at][1],))
-        at = bisect_left(pairs, (x - room, -1, -1))
-        if at < len(pairs) and 0 < x - pairs[at][0] and x - pairs[at][0] > best:
-            best, step = x - pairs[at][0], (i, pairs[at][1:])
-    if not step:
-        return False
-    i, back = step
-    bins[a].remove(i)
-    bins[b].append(i)
-    for j in back:
-        bins[b].remove(j)
-        bins[a].append(j)
-    fill[a] -= best
-    fill[b] += best
-    return True
+    others = some[takes[of[some]]]
+    others = others[np.argsort(of[others], kind="stable")]
+    n, where = lengths[others], of[others]
+
+    def look(y, bin_of, *pieces):
+        nonlocal best
+        for x, i in zip(sizes.tolist(), own[first].tolist()):
+            if best and x <= best[0]:
+                continue
+            gain = np.where((y < x) & (x - y <= room[bin_of]), x - y, 0)
+            k = int(np.argmax(gain))
+            if gain[k] > (best[0] if best else 0):
+                best = (int(gain[k]), int(bin_of[k]), i, tuple(int(p[k]) for p in pieces))
+
+    if len(others):
+        look(n, where, others)
+    if best:
+        return best
+    # pieces of one bin stand together: two of a bin are some places apart
+    for apart in range(1, int(np.bincount(where).max()) if len(others) else 0):
+        same = np.flatnonzero(where[apart:] == where[:-apart])
+        if len(same):
+            look(n[same] + n[same + apart], where[same], others[same], others[same + apart])
+    return best
 
 
 def _pack(size, again):

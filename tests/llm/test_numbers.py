@@ -11,7 +11,7 @@ from tokenizers import Tokenizer
 
 from leafgrid.llm.lattice import ROOTS, decode, lattice_links
 from leafgrid.llm.mixing import mix_sources, mixture, targets
-from leafgrid.llm.packing import best_fit, local_search, pack
+from leafgrid.llm.packing import _best_step, best_fit, least_bins, local_search, pack
 from leafgrid.llm.topk import top_k
 
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +50,49 @@ def test_pieces_and_sequences(spark):
     assert pack(df.limit(0), WORDS).count() == 0
 
 
+def test_no_packing_has_fewer_bins():
+    def fewest(n, size):
+        best = len(n)
+
+        def put(k, room):
+            nonlocal best
+            if len(room) >= best:
+                return
+            if k == len(n):
+                best = len(room)
+                return
+            for j in range(len(room)):
+                if room[j] >= n[k]:
+                    put(k + 1, [*room[:j], room[j] - n[k], *room[j + 1 :]])
+            put(k + 1, [*room, size - n[k]])
+
+        put(0, [])
+        return best
+
+    r = np.random.default_rng(4)
+    for _ in range(200):
+        n = r.integers(1, r.integers(2, 13), r.integers(1, 8))
+        bins = best_fit(n, 12)
+        found = local_search(bins, n, 12)
+        assert least_bins(n, 12) <= fewest(n.tolist(), 12) <= len(found) <= len(bins)
+        assert sorted(i for b in found for i in b) == list(range(len(n))) and all(sum(n[b]) <= 12 for b in found)
+    assert least_bins(np.full(800, 690), 2048) == 400 and least_bins(np.array([6, 6, 6, 4, 4, 4, 4]), 10) == 4
+
+
+def test_local_search_asks_every_bin():
+    # only one bin of 702 can help, and of the 41 pieces in it two must come back
+    long = [2] * 38 + [400, 401, 120]
+    n = np.array([802, *[999] * 700, *long])
+    of = np.repeat(np.arange(702), [1] * 701 + [41])
+    fill = np.bincount(of, n).astype(np.int64)
+    assert _best_step(of, fill, n, 1000, np.arange(len(n)), 0) == (1, 701, 0, (739, 740))
+    alike = np.random.default_rng(2).integers(600, 800, 2000)
+    bins = best_fit(alike, 2048)
+    found = local_search(bins, alike, 2048)
+    assert least_bins(alike, 2048) <= len(found) < len(bins) and all(sum(alike[b]) <= 2048 for b in found)
+    assert sorted(i for b in found for i in b) == list(range(2000))
+
+
 def test_local_search_empties_a_bin():
     # four for three, then three fits beside seven
     bins = local_search([[0], [1, 2], [3]], np.array([4, 3, 6, 7]), 10)
