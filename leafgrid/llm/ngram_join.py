@@ -45,10 +45,11 @@ def _lists(parts):
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(parts) if parts else np.empty(0, np.int64), pa.int64()))
 
 
-def parity(values: np.ndarray) -> np.ndarray:
-    """256 parity bits of a set: two sets differ in at least as many members as these bits differ."""
-    odd = np.bincount(values & 255, minlength=256) & 1
-    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+def parity(values: np.ndarray, groups: int = 1) -> np.ndarray:
+    """Groups of 256 parity bits of a set, one by each byte of its hashes: two sets differ in at least as many members
+    as the bits of any group differ."""
+    odd = [np.bincount((values >> 8 * k) & 255, minlength=256) & 1 for k in range(groups)]
+    return np.packbits(np.concatenate(odd).astype(np.uint8)).view(np.int64)
 
 
 def _features(batches):
@@ -117,9 +118,9 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= 80 * union).select("a", "b")
 
 
-def link_sets(sets: DataFrame) -> DataFrame:
+def link_sets(sets: DataFrame, groups: int = 1) -> DataFrame:
     """(id, component) of the sets that link with any other.  ``sets`` has one row per doc_id, with its distinct hashes
-    ``h`` and their ``parity`` bits ``q``."""
+    ``h`` and their ``parity`` bits ``q``, in so many groups."""
     cells = sets.select("doc_id", F.size("h").cast("long").alias("n"), F.explode("h").alias("h"))
     often = cells.groupBy("h").agg(F.count("*").alias("f")).where("f > 1").select(again("h"), "f")
     met = cells.join(often.hint("shuffle_hash"), "h")
@@ -148,7 +149,8 @@ def link_sets(sets: DataFrame) -> DataFrame:
     # from the first column they meet in on, a pair shares at most what either set has left
     met = met.where("18 * least(xn - xp, yn - yp) >= 8 * (xn + yn)")
     # and two sets of that similarity differ in at most a ninth of their sizes' sum
-    met = met.where("9 * (" + " + ".join(f"bit_count(xq[{k}] ^ yq[{k}])" for k in range(4)) + ") <= xn + yn")
+    differ = [" + ".join(f"bit_count(xq[{k}] ^ yq[{k}])" for k in range(4 * g, 4 * g + 4)) for g in range(groups)]
+    met = met.where(" and ".join(f"9 * ({d}) <= xn + yn" for d in differ))
     swap = F.col("xd") < F.col("yd")
     side = lambda one, two: (F.when(swap, F.col(two)).otherwise(F.col(one)))
     met = met.select(side("xd", "yd").alias("a"), side("yd", "xd").alias("b"), side("xp", "yp").alias("ap"), side("yp", "xp").alias("bp"), side("xn", "yn").alias("an"), side("yn", "xn").alias("bn"))

@@ -1,7 +1,7 @@
 """Operator 1: passages that repeat, paragraph by paragraph, by MinHash banding.
 
 A paragraph is a line of at least ``LEAST`` words.  Its five-word shingles give ``BANDS`` bands of ``WIDE`` minima; at
-similarity 0.8 two paragraphs share a band with probability 1 - (1 - 0.8^3)^9 = 0.998.  Equal shingle sets
+similarity 0.8 two paragraphs share a band with probability 1 - (1 - 0.8^3)^9 = 0.998.  Lines of equal shingles
 collapse first.  Paragraphs that share a band with another one are joined and verified by exact Jaccard over their
 whole shingle sets; the join inside the colliding paragraphs is that of ``ngram_join.link_sets``, which expands no group to all its pairs.
 Of every component the first paragraph (smallest doc_id, then position) stays and the others are removed.
@@ -33,6 +33,8 @@ from leafgrid.session import stage
 
 LEAST, BANDS, WIDE = 45, 9, 3
 FEW, RUN, STEP = 5, 16, 8
+#: Groups of 256 parity bits a set has: lines are many and alike, and one group lets half the pairs through that differ by a little too much.
+PARITY = 8
 
 _A = np.random.default_rng(77).integers(1, 2**31, BANDS * WIDE, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
 _B = np.random.default_rng(78).integers(0, 2**32, BANDS * WIDE, dtype=np.uint32)
@@ -68,8 +70,9 @@ class Texts:
         return self.point(at) - self.point(self.begin[self.top[self.text[line]]])
 
 
-def _portions(batches, bound: int = 1 << 20):
-    """Columns before the text, and texts of up to 500 rows and about ``bound`` characters together (one row at least)."""
+def _portions(batches, bound: int = 1 << 17):
+    """Columns before the text, and texts of up to 500 rows and about ``bound`` characters together (one row at least): what a
+    processor's cache holds."""
     for batch in batches:
         at, size, texts = 0, 0, []
         column = batch.column(batch.num_columns - 1)
@@ -83,22 +86,17 @@ def _portions(batches, bound: int = 1 << 20):
 
 def paragraphs_of(texts: list[str], least: int):
     """(Texts, lines of at least ``least`` words, their numbers of words, ends, values, sums): the five-word shingles of the
-    k-th line are ``values[ends[k] : ends[k + 1]]``, distinct and in order, and their sum stands for the set.  Takes
+    k-th line are ``values[ends[k] : ends[k + 1]]``, in the order of the text, and their sum stands for the line.  Takes
     ``least`` of five or more; no word or shingle spans two lines."""
     t = Texts(texts)
     n = np.bincount(t.line, minlength=len(t.text))
-    taken = np.flatnonzero(n >= max(least, 5))
+    long = n >= max(least, 5)
+    taken = np.flatnonzero(long)
     if not len(taken):
         return t, taken, n[taken], np.zeros(1, np.int64), np.empty(0, np.uint64), np.empty(0, np.uint64)
     of = t.line[:-4]
-    inside = (of == t.line[4:]) & (n >= max(least, 5))[of]
-    values, of = window_hashes(t.words)[inside], of[inside]
-    order = np.lexsort((values, of))
-    values, of = values[order], of[order]
-    new = np.ones(len(values), bool)
-    new[1:] = (values[1:] != values[:-1]) | (of[1:] != of[:-1])
-    values, of = values[new], of[new]
-    ends = np.searchsorted(of, np.concatenate([taken, [len(t.text)]]))
+    values = window_hashes(t.words)[(of == t.line[4:]) & long[of]]
+    ends = np.concatenate([[0], np.cumsum(n[taken] - 4)])
     return t, taken, n[taken], ends, values, np.add.reduceat(signature_parts(values)[0], ends[:-1])
 
 
@@ -118,10 +116,7 @@ def _rows(least):
             t, line, n, ends, values, sums = paragraphs_of(texts, least)
             if not len(line):
                 continue
-            # fewer than four shingles: only an equal set is similar enough
-            some = np.diff(ends) > 3
-            keys = bands(values, ends)[some].ravel()
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * BANDS)]), pa.int32()), pa.array(keys))
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(line) + 1) * BANDS, pa.int32()), pa.array(bands(values, ends).ravel()))
             of = pa.array(t.text[line])
             start = t.place(t.begin[line], line)
             columns = [line - t.top[t.text[line]], start, t.place(t.end[line], line) - start, n, sums.view(np.int64)]
@@ -149,8 +144,8 @@ def _sets_of(least, bits, shift):
             *_, ends, values, sums = paragraphs_of(texts, least)
             ids, first = np.unique(sums.view(np.int64), return_index=True)
             kept = _in_bits(ids, bits, shift)
-            found = [values[ends[k] : ends[k + 1]].view(np.int64) for k in first[kept].tolist()]
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept], pa.int64()), _lists(found), _lists([parity(x) for x in found])], names=["doc_id", "h", "q"])
+            found = [np.unique(values[ends[k] : ends[k + 1]].view(np.int64)) for k in first[kept].tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(ids[kept], pa.int64()), _lists(found), _lists([parity(x, PARITY) for x in found])], names=["doc_id", "h", "q"])
 
     return run
 
@@ -164,7 +159,7 @@ def repeated_paragraphs(docs: DataFrame, least: int = LEAST) -> DataFrame:
 def _repeated(docs: DataFrame, least: int) -> DataFrame:
     kinds = "doc_id long, text_id long, paragraph long, start long, length long, n_words long, s1 long, bands array<long>"
     rows = stage(docs.select("doc_id", "text_id", "text").mapInArrow(_rows(least), kinds), "paragraphs")
-    # one node per distinct set
+    # one node per distinct line
     place = F.struct("doc_id", "paragraph", "start", "text_id")
     nodes = stage(rows.groupBy("s1").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "nodes")
     keys = rows.select("s1", F.explode("bands").alias("key"))
@@ -174,7 +169,7 @@ def _repeated(docs: DataFrame, least: int) -> DataFrame:
     close = stage(keys.join(shared.select(again("key")).hint("shuffle_hash"), "key").select(F.col("s1").alias("doc_id")).distinct(), "close")
     bits, shift = _sieve(close)
     sets = docs.select("text").mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>, q array<long>").join(close, "doc_id", "left_semi")
-    linked = link_sets(stage(sets.dropDuplicates(["doc_id"]), "sets")).withColumnRenamed("id", "s1")
+    linked = link_sets(stage(sets.dropDuplicates(["doc_id"]), "sets"), PARITY).withColumnRenamed("id", "s1")
     named = nodes.join(linked, "s1", "left").withColumn("cluster_id", F.coalesce("component", "s1"))
     kept = named.groupBy("cluster_id").agg(F.min("first").alias("kept"), F.sum("copies").alias("copies")).where("copies > 1")
     named = named.select("s1", "cluster_id").join(kept.select(again("cluster_id"), "kept"), "cluster_id")
@@ -282,7 +277,7 @@ def _passages(docs: DataFrame, least: int):
     out = gone.groupBy(*place).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("out"))
     met = met.join(out, place, "left").where("out is null or not exists(out, x -> x.start < end and start < x.end)").drop("out")
     met = stage(met, "met")
-    first = met.groupBy("hash").agg(F.min(F.struct(*place, "word", "start", "end", "line")).alias("kept"))
+    first = met.groupBy("hash").agg(F.min(F.struct(*place, "word", "start", "end", "line")).alias("kept"), F.count("*").alias("c")).where("c > 1")
     hits = met.join(first.select(again("hash"), "kept"), "hash").where("not (doc_id = kept.doc_id and text_id = kept.text_id and word = kept.word)")
     # in the text of the first one, what follows it only
     own = "doc_id = kept.doc_id and text_id = kept.text_id and word < kept.word + " + str(RUN)

@@ -2,11 +2,13 @@
 
 import random
 
+import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from leafgrid.llm.common import components, shingles, word_hashes
+from leafgrid.llm.common import components, shingles, signature, window_hashes, word_hashes
 from leafgrid.llm.ngram_join import ngram_jaccard, without_copies
-from leafgrid.llm.paragraphs import cut_out, repeated_paragraphs, repeated_passages, windows_of, without_repeats
+from leafgrid.llm.paragraphs import cut_out, paragraphs_of, repeated_paragraphs, repeated_passages, windows_of, without_repeats
 
 SCHEMA = "doc_id long, text string, n long, h string, rep long, component string"
 
@@ -169,3 +171,60 @@ def test_passages_inside_lines_and_in_short_lines(spark):
         a, b = (set(windows_of([" ".join(run(r.randint(0, 40)) + same + run(r.randint(0, 40)))])[5].tolist()) for _ in range(2))
         assert a & b
     assert cut_out("ab cd\n\nef", [(0, 5), (1, 4)]) == "\nef" and cut_out("ab cd ef\ngh", [(3, 10)]) == "ab \nh"
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_lines_and_windows_of_many_texts_are_those_of_each(seed):
+    r = random.Random(seed)
+    word = lambda: "".join(r.choice("abcé나") for _ in range(r.randint(1, 4)))
+    line = lambda: r.choice(["", "  "]) + r.choice([" ", "\t"]).join(word() for _ in range(r.choice([0, 1, 4, 5, 6, 9, 16, 22, 40])))
+    texts = ["\n".join(line() for _ in range(r.randint(0, 6))) for _ in range(40)] + ["", "\n", "a b a b a b a b a b a b"]
+    texts.append(" ".join(["same"] * 60))
+    t, lines, n, ends, values, sums = paragraphs_of(texts, 5)
+    got = {}
+    for k, at in enumerate(lines.tolist()):
+        of = int(t.text[at])
+        lo, hi = (int(t.place(x[at], at)) for x in (t.begin, t.end))
+        got[of, at - int(t.top[of])] = (texts[of][lo:hi], int(n[k]), values[ends[k] : ends[k + 1]].view(np.int64).tolist(), int(sums[k].view(np.int64)))
+    want = {}
+    for i, text in enumerate(texts):
+        for k, x in enumerate(text.split("\n")):
+            if len(x.encode().split()) >= 5:
+                s = window_hashes(word_hashes(x))
+                want[i, k] = (x, len(x.encode().split()), s.view(np.int64).tolist(), signature(s)[0])
+    assert got == want
+    together = list(zip(*(c.tolist() for c in windows_of(texts))))
+    assert together == [(i, *w[1:]) for i, x in enumerate(texts) for w in zip(*(c.tolist() for c in windows_of([x])))]
+    for i, word_at, start, end, line_at, value in together:
+        words = texts[i][start:end].split()
+        assert len(words) == 16 and texts[i].split()[word_at : word_at + 16] == words
+        assert texts[i][:start].count("\n") == line_at and int(window_hashes(word_hashes(" ".join(words)), 16).view(np.int64)[0]) == value
+
+
+def test_passages_of_repeated_rows_and_clashing_names(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(5))
+    run = lambda n: " ".join(word() for _ in range(n))
+    passage, other = run(60), run(70)
+    rows = [
+        (1, f"{run(80)} {passage} {run(80)}", "x"),
+        (2, passage, "y"),
+        (2, passage, "z"),  # the row before once more
+        (2, f"{run(20)}\n{other}", "y"),
+        (3, f"{other}\n{run(9)}", None),
+        (None, passage, "n"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumn("gone_id", F.lit(7)).withColumn("GONE_TEXT", F.col("text"))
+    got = [x.asDict() for x in repeated_passages(df).collect()]
+    assert len(got) == len({(x["doc_id"], x["start"], x["length"]) for x in got})
+    rest = without_repeats(df)
+    assert rest.columns == df.columns
+    rest = sorted(((x["doc_id"], x["text"], x["gone"]) for x in rest.collect()), key=str)
+    left = [x for x in rest if x[0] == 2 and x[2] in ("y", "z")]
+    assert len(rest) == 6 and (None, passage, "n") in rest
+    assert [t for d, t, _ in rest if d == 1] == [rows[0][1]]  # the first one stays whole
+    # both rows lose the same, but for a few words at either end
+    assert len({t for _, t, _ in left if t != rows[3][1]}) == 1 and len(left) == 3 and (2, rows[3][1], "y") in rest
+    assert all(len(t.split()) <= 14 for _, t, _ in left if t != rows[3][1])
+    assert [t for d, t, _ in rest if d == 3] == [rows[4][1].split("\n")[1]]
+    assert repeated_passages(df.limit(0)).count() == 0
