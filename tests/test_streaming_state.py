@@ -81,3 +81,26 @@ def test_events_of_both_sides(spark):
     r = spark.createDataFrame([(1, 0, "x", at(1)), (None, 0, "x", at(1))], "doc_id long, chunk_no long, model string, at timestamp")
     assert sorted(map(tuple, C.events(p, r).where("doc_id = 1").select("doc_id", "chunk_no", "planned").collect())) == [(1, 0, False), (1, 0, True)]
     assert C.events(p, r).filter(F.col("doc_id").isNull()).count() == 1
+
+
+def test_documents_of_a_bucket_share_one_state(spark, tmp_path):
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", C.STORE)
+    events = [r for d in range(60) for r in (*plan(d, 3, d % 5), (d, 0, False, 6), (d, 1, False, 6), *([(d, 2, False, 7)] if d % 3 else []))]
+    folder = str(tmp_path / "events")
+    spark.createDataFrame([(d, c, p, at(m)) for d, c, p, m in events], KINDS).repartition(7).write.json(folder)
+    try:
+        reports = C.completeness(spark.readStream.schema(KINDS).json(folder), "60 minutes", "10 minutes", buckets=2)
+        out = reports.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out"))
+        query = out.option("maxFilesPerTrigger", 1).trigger(availableNow=True).start()
+        query.awaitTermination()
+        assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 2
+        spark.createDataFrame([(99, 0, True, at(300))], KINDS).write.mode("append").json(folder)
+        out.trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
+    found = spark.read.schema(C.REPORT).parquet(str(tmp_path / "out"))
+    assert sorted(r.doc_id for r in found.where("status = 'complete'").collect()) == [d for d in range(60) if d % 3]
+    over = {r.doc_id: r for r in found.where("status = 'closed'").collect()}
+    assert sorted(over) == list(range(60))
+    assert all(r.missing_chunks == ([] if d % 3 else [2]) and r.received == (3 if d % 3 else 2) and r.repeated == 0 for d, r in over.items())
