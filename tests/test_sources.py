@@ -185,6 +185,22 @@ def test_one_summary_row_however_long_the_document(spark):
     assert [json.loads(r.item) for r in items if r.list == "files"] == meta["files"]
 
 
+def test_a_summary_reads_its_assets_once(spark, make):
+    """Entries and counts come from one pass; documents without assets have empty lists, null documents no summary."""
+    html = "<table><tr><th>a</th></tr><tr><td>1</td></tr></table>"
+    df = make([(1, 0, 1, "table", "| a | 1 |", html), (1, 1, 1, "chart", "x", ""), (1, 2, 1, "table", "주: b", html), (None, 0, 1, "table", "| a | 1 |", html)])
+    rows = [(d, "a.pdf", "s", None, 2, 2) for d in (1, 2, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, name string, sha256 string, model string, usage_pages int, n_pages int")
+    got = reports.document_meta(docs, tables.visuals(df.where("seq >= 0"), figures=True, notes=True))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("collect_list(") == 1
+    meta = {r.doc_id: json.loads(r.meta) for r in got.collect()}
+    assert sorted(meta) == [1, 2]
+    assert meta[1]["counts"] == {"tables": 1, "charts": 0, "figures": 0, "footnotes": 1}
+    assert [len(meta[1][n]) for n in ("files", "boundary_cases", "footnotes", "figures")] == [1, 1, 1, 0]
+    assert "fallback_path" in meta[1]["boundary_cases"][0] and meta[1]["files"][0]["caption"] is None
+    assert meta[2]["counts"]["tables"] == 0 and meta[2]["files"] == []
+
+
 def test_stages_are_cleared(spark):
     df = stage(spark.range(3), "some")
     assert df.count() == 3
