@@ -255,3 +255,32 @@ def test_no_query_multiplies_its_inputs(spark):
     for query in lazy:
         text = plan(query(spark, "/root/testdata/sf0.001"))
         assert "CartesianProduct" not in text and "NestedLoopJoin" not in text
+
+
+def reusing_plan(spark, df):
+    """The plan with shared shuffles; adaptive execution would only find them as it runs."""
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return df._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_a_label_trims_its_text_once(stored):
+    text = elements.classify_elements(stored)._jdf.queryExecution().optimizedPlan().toString()
+    assert text.count("trim(") == 1
+
+
+def test_checks_of_the_same_tables_parse_them_once(spark, stored):
+    asked = stored.filter("seq % 3 = 1").select("doc_id", "seq")
+    numbers = asked.select("*", F.lit("a").alias("row_label"), F.lit("b").alias("col_name"), F.lit(1.0).alias("expected"), F.lit(0.1).alias("tol"))
+    strings = asked.select("*", F.array(F.lit("1")).alias("wanted"))
+    both = quality.golden_cells(numbers, stored).select("doc_id", "hit").unionByName(
+        quality.golden_substrings(strings, stored).select("doc_id", F.col("passed").alias("hit"))
+    )
+    assert reusing_plan(spark, both).count("Generate inline(array(struct(grid") == 1
+
+
+def test_stitching_measures_each_table_once(spark, stored):
+    text = reusing_plan(spark, stitch.stitched_parts(stored))
+    assert text.count("Generate inline(array(struct(_facts") == 1
