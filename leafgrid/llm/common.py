@@ -16,6 +16,8 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _BYTE = np.random.default_rng(20240).integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
+#: What a byte adds to its word: capitals as small letters, white space nothing.
+_ADDS = np.where(_SPACE, np.uint64(0), _BYTE[_LOWER])
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
 _JOIN = np.uint64(0xD1342543DE82EF95)
@@ -50,22 +52,38 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 def word_edges(b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """First byte of each word, and the byte after its last."""
-    edge = np.flatnonzero(np.diff(_SPACE[b].astype(np.int8), prepend=1, append=1))
+    if not len(b):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    inside = np.zeros(len(b) + 2, bool)
+    np.logical_not(_SPACE[b], out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
     return edge[::2], edge[1::2]
 
 
-def _hash_piece(b: np.ndarray) -> np.ndarray:
-    start, end = word_edges(b)
+_powers: dict = {}
+
+
+def _powers_of(base: np.uint64, n: int) -> np.ndarray:
+    """base^0, base^1, ... (n of them); those of texts up to _PIECE bytes are kept."""
+    known = _powers.get(int(base))
+    if known is None or len(known) < n:
+        size = n if n > _PIECE else max(1 << 16, 1 << (n - 1).bit_length())
+        known = np.full(size, base)
+        known[0] = 1
+        np.multiply.accumulate(known, out=known)
+        if size <= _PIECE:
+            _powers[int(base)] = known
+    return known[:n]
+
+
+def _hash_piece(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the words of some bytes, from ``start`` to ``end`` each."""
     if not len(start):
         return np.empty(0, np.uint64)
-    power = np.full(len(b), _STEP)
-    power[0] = 1
-    np.multiply.accumulate(power, out=power)
-    total = np.concatenate([[np.uint64(0)], np.cumsum(_BYTE[b] * power, dtype=np.uint64)])
-    back = np.full(len(b), _BACK)
-    back[0] = 1
-    np.multiply.accumulate(back, out=back)
-    return mix((total[end] - total[start]) * back[start] + (end - start).astype(np.uint64))
+    adds = _ADDS[b]
+    adds *= _powers_of(_STEP, len(b))
+    # white space adds nothing, so a word's sum may go on to the next one
+    return mix(np.add.reduceat(adds, start) * _powers_of(_BACK, len(b))[start] + (end - start).astype(np.uint64))
 
 
 def word_hashes(text: str) -> np.ndarray:
@@ -74,17 +92,21 @@ def word_hashes(text: str) -> np.ndarray:
     A word's hash depends on its bytes alone.  Long texts are taken in pieces that end at white
     space, so that the work space stays small.
     """
-    b = _LOWER[np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)]
+    b = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+    return hashes_between(b, *word_edges(b))
+
+
+def hashes_between(b: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """``word_hashes`` of the words that begin at the bytes ``first`` and end before ``last``."""
     if len(b) <= _PIECE:
-        return _hash_piece(b) if len(b) else np.empty(0, np.uint64)
-    space = np.flatnonzero(_SPACE[b])
-    cuts = [0]
-    while cuts[-1] + _PIECE < len(b):
-        at = np.searchsorted(space, cuts[-1] + _PIECE)
-        if at == len(space):
-            break
-        cuts.append(int(space[at]))
-    return np.concatenate([_hash_piece(b[i:j]) for i, j in zip(cuts, [*cuts[1:], len(b)]) if j > i])
+        return _hash_piece(b, first, last)
+    found, k = [], 0
+    while k < len(first):
+        j = max(k + 1, int(np.searchsorted(last, first[k] + _PIECE, "right")))
+        at = first[k]
+        found.append(_hash_piece(b[at : last[j - 1]], first[k:j] - at, last[k:j] - at))
+        k = j
+    return np.concatenate(found) if found else np.empty(0, np.uint64)
 
 
 def window_hashes(words: np.ndarray, width: int = 5) -> np.ndarray:
@@ -141,6 +163,54 @@ def _forest(batches):
     yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(ids[roots[keep]])], names=["u", "v"])
 
 
+#: Buckets in which equal hashes meet: the first 12 bits of a hash; the 32 bits after them tell hashes of a bucket apart.
+BUCKET_BITS = 12
+_REST = np.uint64(64 - BUCKET_BITS - 32)
+
+
+def dealt(hashes: np.ndarray, with_ids: np.ndarray | None = None) -> pa.RecordBatch:
+    """(bucket, rest, ids): for each bucket the next 32 bits of its hashes, four bytes each, and what goes with them, eight bytes each.
+
+    ``hashes`` are unsigned and ascend.
+    """
+    ends = np.searchsorted(hashes, np.arange(1, 1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+    ends = np.concatenate([[0], ends, [len(hashes)]])
+    used = np.flatnonzero(np.diff(ends))
+    rest = (hashes >> _REST).astype(np.uint32)
+    columns, names = [pa.array(used, pa.int32()), _binaries(rest, ends, used)], ["bucket", "rest"]
+    if with_ids is not None:
+        columns, names = [*columns, _binaries(with_ids, ends, used)], [*names, "ids"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
+
+
+def _binaries(values, ends, used):
+    at = (np.concatenate([ends[used], ends[-1:]]) * values.itemsize).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(used), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(values))])
+
+
+def shared_key(hashes: np.ndarray) -> np.ndarray:
+    """The bits of a hash that ``dealt`` sends, as one number."""
+    return (hashes.view(np.uint64) >> _REST).view(np.int64)
+
+
+def by_bucket(batches, most: int = 1 << 20):
+    """(bucket, whether it goes on, columns after it) from rows sorted by bucket, about ``most`` hashes at once."""
+    at, held, size = None, [], 0
+
+    def gathered():
+        return [np.frombuffer(b"".join(x), t) for x, t in zip(zip(*held), (np.uint32, np.int64))]
+
+    for batch in batches:
+        for bucket, *columns in zip(*(c.to_pylist() for c in batch.columns)):
+            if held and (bucket != at or size >= most):
+                yield at, bucket == at, gathered()
+                held, size = [], 0
+            at, size = bucket, size + len(columns[0]) // 4
+            held.append(columns)
+    if held:
+        yield at, False, gathered()
+
+
 def components(edges: DataFrame, name: str = "links", task: int = 250_000) -> DataFrame:
     """(id, component): the smallest id reachable over edges (a, b), for every id on an edge.
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import components, mix, signature_parts, window_hashes, word_edges, word_hashes
+from leafgrid.llm.common import by_bucket, components, dealt, hashes_between, mix, shared_key, signature_parts, window_hashes, word_edges
 from leafgrid.llm.ngram_join import _in_bits, _lists, _slot, again, link_sets, parity
 from leafgrid.session import stage
 
@@ -51,11 +51,12 @@ class Texts:
     def __init__(self, texts: list[str]):
         whole = "\n".join(texts)
         raw = np.frombuffer(whole.encode("utf-8", "surrogatepass"), np.uint8)
-        self.words = word_hashes(whole)
         self.first, self.last = word_edges(raw)
+        self.words = hashes_between(raw, self.first, self.last)
         breaks = np.flatnonzero(raw == 10)
-        self.later = np.flatnonzero((raw & 0xC0) == 0x80)
-        self.line = np.searchsorted(breaks, self.first)
+        self.later = np.flatnonzero((raw & 0xC0) == 0x80) if len(raw) > len(whole) else np.empty(0, np.int64)
+        ends = np.searchsorted(self.first, breaks)  # words before each break
+        self.line = np.repeat(np.arange(len(breaks) + 1), np.diff(ends, prepend=0, append=len(self.first)))
         self.begin, self.end = np.concatenate([[0], breaks + 1]), np.concatenate([breaks, [len(raw)]])
         lines = np.array([t.count("\n") + 1 for t in texts], np.int64)
         self.text = np.repeat(np.arange(len(texts)), lines)
@@ -63,7 +64,7 @@ class Texts:
 
     def point(self, at):
         """Code points before a byte."""
-        return at - np.searchsorted(self.later, at)
+        return at - np.searchsorted(self.later, at) if len(self.later) else at
 
     def place(self, at, line):
         """Code points from the begin of a line's text to a byte."""
@@ -126,16 +127,44 @@ def _rows(least):
     return run
 
 
-def _keys(bits, shift):
-    def run(batches):
-        for batch in batches:
-            lists = batch.column(1)
-            keys = lists.flatten().to_numpy(zero_copy_only=False)
-            ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), np.diff(lists.offsets.to_numpy()))
-            kept = _in_bits(keys, bits, shift)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(keys[kept])], names=["s1", "key"])
+def _dealt_keys(batches, most: int = 1 << 22):
+    """Band keys of the distinct lines (s1, bands) of a task, dealt to buckets."""
+    held, size = [], 0
 
-    return run
+    def out():
+        ids, keys = (np.concatenate(x) for x in zip(*held))
+        ids, first = np.unique(ids, return_index=True)
+        keys = keys.reshape(-1, BANDS)[first].ravel().view(np.uint64)
+        order = np.argsort(keys)
+        return dealt(keys[order], ids[order // BANDS])
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append((batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).flatten().to_numpy(zero_copy_only=False)))
+            size += len(held[-1][1])
+        if size >= most:
+            yield out()
+            held, size = [], 0
+    if held:
+        yield out()
+
+
+def _met_keys(batches):
+    """Lines that share a key with a line of other shingles, from buckets; may name a line more than once."""
+    known = None
+    for _, more, (keys, ids) in by_bucket(batches):
+        many = np.zeros(len(keys), bool)
+        if known:
+            keys, ids, many = (np.concatenate(x) for x in zip(known, (keys, ids, many)))
+        order = np.argsort(keys, kind="stable")
+        keys, ids, many = keys[order], ids[order], many[order]
+        begin = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        met = np.minimum.reduceat(ids, begin) != np.maximum.reduceat(ids, begin)
+        met |= np.logical_or.reduceat(many, begin)
+        # of a bucket that goes on, one line of each key is kept
+        known = (keys[begin], ids[begin], met) if more else None
+        found = np.unique(ids[np.repeat(met, np.diff(begin, append=len(keys)))])
+        yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["s1"])
 
 
 def _sets_of(least, bits, shift):
@@ -162,11 +191,8 @@ def _repeated(docs: DataFrame, least: int) -> DataFrame:
     # one node per distinct line
     place = F.struct("doc_id", "paragraph", "start", "text_id")
     nodes = stage(rows.groupBy("s1").agg(F.min(place).alias("first"), F.count("*").alias("copies")), "nodes")
-    keys = rows.select("s1", F.explode("bands").alias("key"))
-    shared = keys.groupBy("key").agg(F.min("s1").alias("low"), F.max("s1").alias("high")).where("low <> high").select(again("key"))
-    shared = stage(shared, "shared")
-    keys = rows.select("s1", "bands").mapInArrow(_keys(*_sieve(shared)), "s1 long, key long")
-    close = stage(keys.join(shared.select(again("key")).hint("shuffle_hash"), "key").select(F.col("s1").alias("doc_id")).distinct(), "close")
+    keys = rows.select("s1", "bands").mapInArrow(_dealt_keys, "bucket int, rest binary, ids binary")
+    close = stage(_by_bucket(keys).mapInArrow(_met_keys, "s1 long").select(F.col("s1").alias("doc_id")).distinct(), "close")
     bits, shift = _sieve(close)
     sets = docs.select("text").mapInArrow(_sets_of(least, bits, shift), "doc_id long, h array<long>, q array<long>").join(close, "doc_id", "left_semi")
     linked = link_sets(stage(sets.dropDuplicates(["doc_id"]), "sets"), PARITY).withColumnRenamed("id", "s1")
@@ -219,23 +245,78 @@ def windows_of(texts: list[str]):
     return [text, word, t.place(t.first[at], line), t.place(t.last[at + RUN - 1], line), line - t.top[text], value[at].view(np.int64)]
 
 
-def _counts(batches):
+def _by_bucket(rows: DataFrame) -> DataFrame:
+    return rows.repartition("bucket").sortWithinPartitions("bucket")
+
+
+def _dealt_windows(batches, most: int = 1 << 22):
+    """Hashes of the windows of a task, at most two of a kind, dealt to buckets."""
+    held, size = [], 0
+
+    def out():
+        v = np.sort(np.concatenate(held).view(np.uint64))
+        third = np.zeros(len(v), bool)
+        third[2:] = v[2:] == v[:-2]
+        return dealt(v[~third])
+
     for _, texts in _portions(batches):
-        values, counts = np.unique(windows_of(texts)[5], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(counts, pa.int64())], names=["hash", "c"])
+        held.append(windows_of(texts)[5])
+        size += len(held[-1])
+        if size >= most:
+            yield out()
+            held, size = [], 0
+    if size:
+        yield out()
+
+
+def _met_windows(batches):
+    """Keys that stand in two places, once each, from buckets."""
+    known, told = np.empty(0, np.uint32), np.empty(0, np.uint32)
+    for bucket, more, (rest,) in by_bucket(batches):
+        v = np.sort(np.concatenate([known, rest]))
+        met = np.setdiff1d(v[1:][v[1:] == v[:-1]], told)
+        # what a bucket that goes on has shown so far
+        known, told = (np.unique(v), np.concatenate([told, met])) if more else (np.empty(0, np.uint32),) * 2
+        yield pa.RecordBatch.from_arrays([pa.array((bucket << 32) + met.astype(np.int64))], names=["key"])
 
 
 def _windows(bits, shift):
+    """One row per text: what may stand in two places, as lists."""
+
     def run(batches):
         for (docs, marks), texts in _portions(batches):
             of, *columns = windows_of(texts)
-            kept = _in_bits(columns[-1], bits, shift)
-            of = pa.array(of[kept], pa.int64())
-            yield pa.RecordBatch.from_arrays([docs.take(of), marks.take(of), *[pa.array(c[kept], pa.int64()) for c in columns]], names=["doc_id", "text_id", "word", "start", "end", "line", "hash"])
+            kept = _in_bits(shared_key(columns[-1]), bits, shift)
+            of = of[kept]
+            used = np.unique(of)
+            ends = pa.array(np.searchsorted(of, np.append(used, len(texts))), pa.int32())
+            lists = [pa.ListArray.from_arrays(ends, pa.array(c[kept], pa.int64() if k == 4 else pa.int32())) for k, c in enumerate(columns)]
+            used = pa.array(used, pa.int64())
+            yield pa.RecordBatch.from_arrays([docs.take(used), marks.take(used), *lists], names=["doc_id", "text_id", "word", "start", "end", "line", "hash"])
 
     return run
 
 
+def _outside(batches):
+    """The windows of texts, one row each, that touch no part of ``out`` (begins and ends, disjoint)."""
+    for batch in batches:
+        lists = [batch.column(k) for k in range(2, 7)]
+        row = np.repeat(np.arange(batch.num_rows), np.diff(lists[0].offsets.to_numpy()))
+        columns = [x.flatten().to_numpy(zero_copy_only=False).astype(np.int64) for x in lists]
+        out = batch.column(7)
+        size = out.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+        parts = out.flatten()
+        lo, hi = (np.sort((np.repeat(np.arange(batch.num_rows), size) << 32) + parts.field(k).to_numpy(zero_copy_only=False)) for k in (0, 1))
+        begin, end = ((row << 32) + columns[k] for k in (1, 2))
+        # the first part that ends after a window's begin
+        after = np.searchsorted(hi, begin, "right")
+        kept = np.append(lo, np.iinfo(np.int64).max)[after] >= end
+        row, columns = pa.array(row[kept]), [c[kept] for c in columns]
+        place = [batch.column(0).take(row), batch.column(1).take(row)]
+        key = pa.array(shared_key(columns[4]))
+        yield pa.RecordBatch.from_arrays([*place, *map(pa.array, columns), key], names=["doc_id", "text_id", "word", "start", "end", "line", "hash", "key"])
+
+
 def _sieve(ids: DataFrame, most: int = 24):
     """A bitmap of a column of ids, about eight bits for each and 2^most (2 MB) at most: a first sieve of what meets the exact join."""
     log2 = min(most, max(16, (8 * ids.count()).bit_length()))
@@ -267,27 +348,27 @@ def _passages(docs: DataFrame, least: int):
     # rows equal in doc_id and text are one text
     gone = stage(_repeated(docs, least).dropDuplicates(["doc_id", "text_id", "start"]), "repeated")
     place = ["doc_id", "text_id"]
-    kinds = "doc_id long, text_id long, word long, start long, end long, line long, hash long"
     # only windows that stand in two places are written
-    counts = docs.select("text").mapInArrow(_counts, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c"))
-    shared = stage(counts.where("c > 1").select("hash"), "shared")
+    counts = _by_bucket(docs.select("text").mapInArrow(_dealt_windows, "bucket int, rest binary"))
+    shared = stage(counts.mapInArrow(_met_windows, "key long"), "shared")
+    kinds = "doc_id long, text_id long, word array<int>, start array<int>, end array<int>, line array<int>, hash array<long>"
     cells = docs.select(*place, "text").mapInArrow(_windows(*_sieve(shared)), kinds)
-    met = cells.join(shared.select(again("hash")).hint("shuffle_hash"), "hash")
     # what a removed line holds is neither kept nor removed once more
     out = gone.groupBy(*place).agg(F.collect_set(F.struct("start", (F.col("start") + F.col("length")).alias("end"))).alias("out"))
-    met = met.join(out, place, "left").where("out is null or not exists(out, x -> x.start < end and start < x.end)").drop("out")
-    met = stage(met, "met")
+    cells = cells.join(out, place, "left").dropDuplicates(place)
+    met = cells.mapInArrow(_outside, "doc_id long, text_id long, word long, start long, end long, line long, hash long, key long")
+    met = stage(met.join(shared.select(again("key")).hint("shuffle_hash"), "key").drop("key"), "met")
     first = met.groupBy("hash").agg(F.min(F.struct(*place, "word", "start", "end", "line")).alias("kept"), F.count("*").alias("c")).where("c > 1")
     hits = met.join(first.select(again("hash"), "kept"), "hash").where("not (doc_id = kept.doc_id and text_id = kept.text_id and word = kept.word)")
     # in the text of the first one, what follows it only
     own = "doc_id = kept.doc_id and text_id = kept.text_id and word < kept.word + " + str(RUN)
-    hits = stage(hits.where(f"not ({own})").dropDuplicates([*place, "word"]), "first_hits")
     order = Window.partitionBy(*place).orderBy("word")
     parted = F.coalesce(F.col("word") > F.lag("word").over(order) + RUN, F.lit(True)).cast("int")
-    hits = hits.withColumn("span", F.sum(parted).over(order))
+    hits = hits.where(f"not ({own})").withColumn("parted", parted)
+    # a text has each word once, so the first window of a span is the least
+    head = F.last(F.when(F.col("parted") == 1, F.col("hash")), True).over(order)
+    hits = stage(hits.select("*", F.sum("parted").over(order).alias("span"), head.alias("head")).drop("parted"), "hits")
     # spans that share windows are one component; a hash is a node
-    head = F.min(F.struct("word", "hash")).over(Window.partitionBy(*place, "span"))["hash"]
-    hits = stage(hits.withColumn("head", head), "hits")
     named = components(hits.select(F.col("hash").alias("a"), F.col("head").alias("b")).distinct(), "spans")
     low = F.struct("word", "line", "kept")
     spans = hits.groupBy(*place, "span").agg(F.min("head").alias("head"), F.min(low).alias("low"), F.min("start").alias("start"), F.max("end").alias("end"), F.max("word").alias("top"))

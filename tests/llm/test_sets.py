@@ -1,12 +1,15 @@
 """Similarity join and repeated paragraphs against brute force."""
 
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from leafgrid.llm.common import components, shingles, signature, window_hashes, word_hashes
+from leafgrid.llm import common, ngram_join, paragraphs
+from leafgrid.llm.common import by_bucket, components, dealt, shared_key, shingles, signature, window_hashes, word_hashes
 from leafgrid.llm.ngram_join import ngram_jaccard, without_copies
 from leafgrid.llm.paragraphs import cut_out, paragraphs_of, repeated_paragraphs, repeated_passages, windows_of, without_repeats
 
@@ -228,3 +231,36 @@ def test_passages_of_repeated_rows_and_clashing_names(spark):
     assert all(len(t.split()) <= 14 for _, t, _ in left if t != rows[3][1])
     assert [t for d, t, _ in rest if d == 3] == [rows[4][1].split("\n")[1]]
     assert repeated_passages(df.limit(0)).count() == 0
+
+
+def test_equal_hashes_meet_in_buckets():
+    r = np.random.default_rng(4)
+    keys = r.choice(r.integers(0, 2**64, 3000, dtype=np.uint64) | (r.integers(0, 3, 3000).astype(np.uint64) << np.uint64(62)), 20_000)
+    keys[::7] = keys[0]  # one that is met very often
+    ids = r.integers(0, 400, len(keys))
+    order = np.argsort(keys)
+    parts = [dealt(np.sort(keys[k::3]), None) for k in range(3)]
+    rows = sorted((row for p in parts for row in p.to_pylist()), key=lambda x: x["bucket"])
+    assert sum(len(x["rest"]) for x in rows) == 4 * len(keys)  # four bytes a hash
+    names = Counter(shared_key(keys).tolist())
+    for most in (1 << 20, 3, 500):
+        batches = [pa.RecordBatch.from_pylist(rows[k : k + 50]) for k in range(0, len(rows), 50)]
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(paragraphs, "by_bucket", lambda x, most=most: by_bucket(x, most))
+            got = [x for b in paragraphs._met_windows(batches) for x in b.column(0).to_pylist()]
+            assert sorted(got) == sorted(k for k, c in names.items() if c > 1)
+            pairs = [pa.RecordBatch.from_pylist([x]) for x in dealt(keys[order], ids[order]).to_pylist()]
+            met = {x for b in paragraphs._met_keys(pairs) for x in b.column(0).to_pylist()}
+        of = {}
+        for k, i in zip(keys.tolist(), ids.tolist()):
+            of.setdefault(k, set()).add(i)
+        assert met == {i for x in of.values() if len(x) > 1 for i in x}
+
+
+def test_words_of_long_texts_are_those_of_short_ones(monkeypatch):
+    words = ["Ab", "é나", "x" * 40, "\x1c", "ab"] * 30
+    text = "  " + " \t\n".join(words) + "\n "
+    whole = word_hashes(text).tolist()
+    assert whole == [int(word_hashes(w)[0]) for w in words] and word_hashes("Ab") == word_hashes("aB")
+    monkeypatch.setattr(common, "_PIECE", 50)
+    assert word_hashes(text).tolist() == whole and len(word_hashes(" \n")) == len(word_hashes("")) == 0
