@@ -10,8 +10,9 @@ the columns, and a pair is given up as soon as its sizes forbid enough overlap:
 2. The remaining sets order their columns by global frequency.  A pair must meet in the first
    ``n - ceil(4n / 5) + 1`` columns of each, and for the smaller set in the first
    ``n - ceil(8n / 9) + 1``; columns that only one set has need no row.
-3. Every column compares its sets with its most central one.  What links is one component; then
-   only sets of different components that meet in a column are compared, their overlap over the
+3. Every column compares its sets with its most central one.  What links is one component.  While columns
+   hold many pairs of different components, each compares its sets with another one, chosen by hash, as long as
+   that takes a tenth of those pairs away.  Then only sets of different components that meet in a column are compared, their overlap over the
    columns they meet in is accumulated, and pairs whose sum plus what may follow is below the bound
    8 (|A| + |B|) / 18 are dropped.
 4. Overlaps of the pairs that are left are counted over the whole sets.
@@ -35,6 +36,10 @@ from leafgrid.llm.common import components, shingles, signature, word_hashes
 from leafgrid.session import stage
 
 
+#: Pairs of rows in columns of several parts, as a multiple of all rows, beyond which other centres are tried first.
+CROWD = 16
+
+
 def low_part(n: int) -> int:
     """How many of a set's lowest hashes are compared first."""
     return min(n, n // 5 + max(1, n // 20))
@@ -118,6 +123,16 @@ def _overlap(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").where(100 * both >= 80 * union).select("a", "b")
 
 
+def _parted(front: DataFrame, parts: DataFrame):
+    """(front with the part of each set, columns of several parts with their largest, how many pairs of rows those columns hold)"""
+    front = front.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component")
+    front = stage(front, "front")
+    held = front.groupBy("h", "part").agg(F.count("*").alias("c"))
+    main = held.groupBy("h").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("k"), F.sum("c").alias("size"))
+    main = stage(main.where("k > 1"), "columns")
+    return front, main, main.agg(F.coalesce(F.sum((F.col("size") - F.col("top.c")) * F.col("size").cast("double")), F.lit(0.0))).first()[0]
+
+
 def link_sets(sets: DataFrame, groups: int = 1) -> DataFrame:
     """(id, component) of the sets that link with any other.  ``sets`` has one row per doc_id, with its distinct hashes
     ``h`` and their ``parity`` bits ``q``, in so many groups."""
@@ -136,9 +151,17 @@ def link_sets(sets: DataFrame, groups: int = 1) -> DataFrame:
     star = star.select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct()
     sure = stage(_overlap(star, sets), "links")
     parts = stage(components(sure, "parts").withColumnRenamed("id", "doc_id"), "parts")
-    front = stage(front.join(parts, "doc_id", "left").withColumn("part", F.coalesce("component", "doc_id")).drop("component", "met").join(sets.select("doc_id", "q"), "doc_id"), "front")
-    held = front.groupBy("h", "part").agg(F.count("*").alias("c"))
-    main = held.groupBy("h").agg(F.max(F.struct("c", "part")).alias("top"), F.count("*").alias("k")).where("k > 1")
+    front, main, pairs = _parted(front.drop("met").join(sets.select("doc_id", "q"), "doc_id"), parts)
+    # where many sets of a column are still apart, other centres come before all pairs do
+    turn, before = 0, None
+    while pairs > CROWD * front.count() and (before is None or 10 * pairs < 9 * before):
+        turn, before = turn + 1, pairs
+        centre = front.groupBy("h").agg(F.max(F.struct(F.xxhash64("doc_id", "h", F.lit(turn)), "doc_id", "n", "part")).alias("c"))
+        star = front.join(centre, "h").where("part <> c.part and 5 * least(n, c.n) >= 4 * greatest(n, c.n)")
+        star = star.select(F.greatest("doc_id", "c.doc_id").alias("a"), F.least("doc_id", "c.doc_id").alias("b")).distinct()
+        sure = sure.union(stage(_overlap(star, sets), "links"))
+        parts = stage(components(sure, "parts").withColumnRenamed("id", "doc_id"), "parts")
+        front, main, pairs = _parted(front.drop("part"), parts)
     mixed = front.join(main.select("h", F.col("top.part").alias("top")), "h")
     # at least one of two sets of different parts is outside the column's largest part
     x = mixed.where("part <> top").select("h", F.col("doc_id").alias("xd"), F.col("n").alias("xn"), F.col("pos").alias("xp"), F.col("part").alias("xc"), F.col("q").alias("xq"))

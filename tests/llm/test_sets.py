@@ -264,3 +264,31 @@ def test_words_of_long_texts_are_those_of_short_ones(monkeypatch):
     assert whole == [int(word_hashes(w)[0]) for w in words] and word_hashes("Ab") == word_hashes("aB")
     monkeypatch.setattr(common, "_PIECE", 50)
     assert word_hashes(text).tolist() == whole and len(word_hashes(" \n")) == len(word_hashes("")) == 0
+
+
+def test_crowds_of_near_copies_are_joined_by_centres_first(spark, monkeypatch):
+    """No set is near all others: each of 300 sequences has one word changed, and links with those changed nearby."""
+    r = random.Random(8)
+    base = [f"w{i}" for i in range(87)]
+    lines = []
+    for i in range(300):
+        words = list(base)
+        words[r.randrange(8, 79)] = f"x{i}"
+        lines.append(" ".join(words))
+    lines += [" ".join(f"y{r.randrange(10**6)}" for _ in range(40)) for _ in range(20)]
+    found = {i: shingles(word_hashes(x)) for i, x in enumerate(lines)}
+    rows = [(i, s.tolist(), ngram_join.parity(s, 8).tolist()) for i, s in found.items()]
+    sets = spark.createDataFrame(rows, "doc_id long, h array<long>, q array<long>")
+    crowds, parted = [], ngram_join._parted
+
+    def counted(*args):
+        got = parted(*args)
+        crowds.append(got[2])
+        return got
+
+    monkeypatch.setattr(ngram_join, "_parted", counted)
+    got = {x["id"]: x["component"] for x in ngram_join.link_sets(sets, 8).collect()}
+    want = joined({i: grams(x) for i, x in enumerate(lines)})
+    members = Counter(want.values())
+    assert got == {i: c for i, c in want.items() if members[c] > 1}
+    assert len(crowds) > 1 and 2 * crowds[-1] < crowds[0], crowds
