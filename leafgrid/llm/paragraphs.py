@@ -10,8 +10,8 @@ Of every component the first paragraph (smallest doc_id, then position) stays an
 lines or across line breaks: ``windows_of`` cuts windows of ``RUN`` words from the word sequence of a text at places that its content
 chooses, at least one in every ``STEP`` neighbouring ones.  So a run of RUN + STEP - 1 = 23 words that stands anywhere in two places
 always shares a window.  A passage of 50 words or more of similarity 0.8 holds such a run, as each change inside costs five shingles.
-Hashes of windows are counted first, and only windows that stand in two places are written.
-Windows in removed lines are left out; of equal ones the first stays, the others are joined to spans, and spans that share windows are a component.
+Hashes of windows are counted first, in buckets of packed bytes (``common.dealt``), and a sieve of those that stand in two places says which windows are
+written, one row a text.  Windows in removed lines are left out; of equal ones the first stays, the others are joined to spans, and spans that share windows are a component.
 At either end of a run up to STEP - 1 words may stay, and likewise beside a changed word.
 
 Defined results: null and empty texts have no paragraphs; a paragraph that repeats inside one document is removed there too;
